@@ -36,7 +36,7 @@ WITH w AS (
   SELECT r, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM grams WHERE c > 1) GROUP BY r
 ), f AS (
-  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS word_chars,
+  SELECT doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
          coalesce(n_lines, 0) AS n_lines,
