@@ -7,13 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, packing, quality, rans
+from . import licenses, packing, quality, rans, substrings
 from .common import table
 
 #: Words of the contracts, as a DuckDB expression over ``text``.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws FROM documents
+), win AS (
+  SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS g
+  FROM (SELECT r, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM win) WHERE c > 1
+), gone AS (
+  SELECT DISTINCT r, i + k AS p FROM twice, (SELECT unnest(range(0, 35)) AS k)
+), kept AS (
+  SELECT w.r, string_agg(u.word, ' ' ORDER BY u.p) AS t, count(*) AS n
+  FROM w, LATERAL (SELECT unnest(w.ws) AS word, unnest(range(1, len(w.ws) + 1)) AS p) u
+  WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.r = w.r AND g.p = u.p) GROUP BY w.r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (r)
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.cascade(docs, features=quality.BASE)
@@ -73,11 +99,13 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_substring_dedup": op3_substring_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
     "op8_token_files": op8_token_files,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": OP3_SQL,
     "op6_quality_rules": OP6_SQL,
 }
