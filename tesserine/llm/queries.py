@@ -4,16 +4,104 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import jaccard, leaks, licenses, packing, quality, rans, substrings
+from . import fixity, jaccard, leaks, licenses, packing, preferences, quality, rans, substrings, urls
 from .common import table
 
 #: Words of the contracts, as a DuckDB expression over ``text``.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def _op1_sql() -> str:
+    """The rules, and the steps over host links one after another."""
+    rules = sorted(urls.RULES, key=lambda r: (len(r.rule), r.rule), reverse=True)
+    fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.rule}'" for r in rules) + " END"
+    by_rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
+    host = lambda u: f"translate(regexp_extract({u}, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
+    steps = "".join(
+        f""", t{k} AS (SELECT e.dst AS host, sum(t.m * e.n / o.n) * {urls.DAMPING} AS m FROM t{k - 1} t JOIN e ON e.src = t.host JOIN o ON o.src = e.src GROUP BY 1)
+        , d{k} AS (SELECT e.src AS host, sum(t.m * e.n / i.n) * {urls.DAMPING} AS m FROM d{k - 1} t JOIN e ON e.dst = t.host JOIN i ON i.dst = e.dst GROUP BY 1)"""
+        for k in range(1, urls.STEPS + 1)
+    )
+    total = lambda x: " UNION ALL ".join(f"SELECT * FROM {x}{k}" for k in range(urls.STEPS + 1))
+    return rf"""
+WITH p AS (
+  SELECT page_id, html, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
+), r AS (
+  SELECT *, {rule} AS rule, {by_rule} AS by_rule FROM p
+), h AS (
+  SELECT host, count(*) AS n, count(*) FILTER (by_rule = 'allow') AS a, count(*) FILTER (by_rule = 'block') AS b FROM r WHERE host <> '' GROUP BY host
+), s AS (
+  SELECT *, b >= {urls.SEED_SHARE} * n AS bad, NOT (b >= {urls.SEED_SHARE} * n) AND a > 0 AS good FROM h
+), l AS (
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']([^"''>]*)', 1)) AS href FROM p
+), e AS (
+  SELECT src, dst, count(*) AS n FROM (
+    SELECT src, {host("CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END")} AS dst FROM l WHERE regexp_matches(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')
+  ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
+), o AS (SELECT src, sum(n) AS n FROM e GROUP BY src), i AS (SELECT dst, sum(n) AS n FROM e GROUP BY dst)
+, t0 AS (SELECT host, a / (SELECT CAST(sum(a) AS DOUBLE) FROM s WHERE good) AS m FROM s WHERE good)
+, d0 AS (SELECT host, b / (SELECT CAST(sum(b) AS DOUBLE) FROM s WHERE bad) AS m FROM s WHERE bad)
+{steps}
+, t AS (SELECT host, sum(m) AS m FROM ({total("t")}) GROUP BY host), d AS (SELECT host, sum(m) AS m FROM ({total("d")}) GROUP BY host)
+SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d.m, 0) > coalesce(t.m, 0)
+       AND d.m >= {urls.FLOOR} / greatest(1, (SELECT count(*) FROM s WHERE bad)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM r LEFT JOIN t ON t.host = r.host LEFT JOIN d ON d.host = r.host
+"""
+
+
+#: Pages that one archive file of the audit holds, by their numbers.
+_PER_ARCHIVE = 256
+
+
+def _archived(pages: DataFrame) -> DataFrame:
+    """WARC records of the pages: archive file, offset by the order of the page numbers, and the record."""
+    records = pages.select("page_id", F.format_string("part-%06d.warc", F.floor(F.col("page_id") / _PER_ARCHIVE)).alias("archive"), fixity.warc_record(F.col("url"), F.col("html")).alias("record"))
+    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    return records.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0)))
+
+
+def _replica(records: DataFrame) -> DataFrame:
+    """A second copy of all records with damage that the page number tells: a byte changed, a record cut, one lost."""
+    n = F.length("record")
+    changed = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("substring(record, 1, length(record) div 2)"), F.lit("?"), F.expr("substring(record, length(record) div 2 + 2)")))
+    cut = F.when(F.col("page_id") % 89 == 5, F.substring("record", F.lit(1), n - F.lit(7)))
+    return records.where(F.col("page_id") % 401 != 7).withColumn("record", F.coalesce(cut, changed, "record"))
+
+
+def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _archived(table(spark, sf_dir, "pages"))
+    return fixity.audit(records, _replica(records))
+
+
+OP2_SQL = f"""
+WITH r AS (
+  SELECT page_id, format('part-{{:06d}}.warc', page_id // {_PER_ARCHIVE}) AS archive,
+         'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '')
+         || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
+         || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages
+), a AS (
+  SELECT *, CAST(coalesce(sum(strlen(record)) OVER (PARTITION BY archive ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS off FROM r
+), b AS (
+  SELECT archive, off, CASE WHEN page_id % 89 = 5 THEN substr(record, 1, length(record) - 7)
+         WHEN page_id % 97 = 13 THEN substr(record, 1, length(record) // 2) || '?' || substr(record, length(record) // 2 + 2) ELSE record END AS record
+  FROM a WHERE page_id % 401 <> 7
+)
+SELECT a.archive, a.off AS offset, sha256(a.record) AS first_digest, sha256(b.record) AS second_digest,
+       CASE WHEN b.record IS NULL THEN 'missing' ELSE 'changed' END AS damage
+FROM a LEFT JOIN b ON a.archive = b.archive AND a.off = b.off WHERE b.record IS NULL OR a.record <> b.record
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substrings.deduplicate(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -65,6 +153,49 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS c FROM rea
 """
 
 
+def _stale(turns: DataFrame) -> DataFrame:
+    """The rejected side: each conversation with its last reply replaced by the reply before it, or by none."""
+    own = Window.partitionBy("conv_id").orderBy("turn")
+    replies = turns.where(F.col("role") == preferences.ASSISTANT).select("conv_id", "turn", F.lag("text").over(own).alias("before"), F.lead("turn").over(own).alias("next"))
+    last = replies.where(F.col("next").isNull()).select("conv_id", "turn", F.coalesce("before", F.lit("")).alias("before"), F.lit(True).alias("last"))
+    return turns.join(last, ["conv_id", "turn"], "left").select("conv_id", "turn", "role", F.when(F.col("last") & (F.col("role") == preferences.ASSISTANT), F.col("before")).otherwise(F.col("text")).alias("text"))
+
+
+def _spelt(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+
+
+def op5_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    made = preferences.pair(turns, _stale(turns))
+    return made.withColumns({c: _spelt(c) for c in ("chosen_spans", "rejected_spans")})
+
+
+OP5_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, role, text, role = 'assistant' AND turn = max(turn) FILTER (role = 'assistant') OVER (PARTITION BY conv_id) AS final FROM conversations
+), b AS (
+  SELECT conv_id, turn, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS before FROM t WHERE role = 'assistant'
+), s AS (
+  SELECT t.conv_id, t.turn, t.role, t.text AS c, CASE WHEN final THEN before ELSE text END AS r FROM t LEFT JOIN b ON b.conv_id = t.conv_id AND b.turn = t.turn
+), d AS (
+  SELECT *, min(CASE WHEN c IS DISTINCT FROM r THEN turn END) OVER (PARTITION BY conv_id) AS split FROM s
+), e AS (
+  SELECT *, split IS NULL OR turn < split AS common, '<|im_start|>' || coalesce(role, '') || chr(10) AS head, '<|im_end|>' || chr(10) AS foot FROM d
+), f AS (
+  SELECT *, head || coalesce(c, '') || foot AS cc, head || coalesce(r, '') || foot AS rr FROM e
+), g AS (
+  SELECT *, coalesce(sum(length(cc)) OVER w, 0) + length(head) AS cs, coalesce(sum(length(rr)) OVER w, 0) + length(head) AS rs FROM f
+  WINDOW w AS (PARTITION BY conv_id, common ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+)
+SELECT conv_id, count(*) FILTER (common) AS n_prompt, coalesce(string_agg(cc, '' ORDER BY turn) FILTER (common), '') AS prompt,
+       coalesce(string_agg(cc, '' ORDER BY turn) FILTER (NOT common), '') AS chosen, coalesce(string_agg(rr, '' ORDER BY turn) FILTER (NOT common), '') AS rejected,
+       coalesce(string_agg(CAST(cs AS BIGINT) || '-' || CAST(cs + length(coalesce(c, '')) + length(foot) AS BIGINT), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(CAST(rs AS BIGINT) || '-' || CAST(rs + length(coalesce(r, '')) + length(foot) AS BIGINT), ',' ORDER BY turn) FILTER (NOT common AND role = 'assistant'), '') AS rejected_spans
+FROM g GROUP BY conv_id
+"""
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = quality.cascade(docs, features=quality.BASE)
@@ -130,8 +261,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filters": op1_url_filters,
+    "op2_warc_fixity": op2_warc_fixity,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+    "op5_preference_formatting": op5_preference_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
     "op8_token_files": op8_token_files,
@@ -139,7 +273,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": _op1_sql(),
+    "op2_warc_fixity": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_ngram_jaccard_join": OP4_SQL,
+    "op5_preference_formatting": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
 }
