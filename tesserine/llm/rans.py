@@ -41,6 +41,8 @@ LANES = 32
 BLOCK = 1 << 16
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 22
+#: Segments whose first ids are sent to every executor; those of more are joined by a shuffle.
+BROADCAST_SEGMENTS = 1_000_000
 
 _MAGIC = b"TRS1"
 _HEAD = struct.Struct("<4sIQIIII")
@@ -244,6 +246,8 @@ def read_tokens(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     # one row for each few million ids: the running sum over all of them is small
     order = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
     first = segments.select(F.col("part").alias("_part"), F.col("segment").alias("_segment"), F.coalesce(F.sum("n_tokens").over(order), F.lit(0)).alias("_first"))
+    if segments.select("part").count() <= BROADCAST_SEGMENTS:
+        first = F.broadcast(first)
     return docs.join(first, ["_part", "_segment"]).select(F.col("_key").alias(key), (F.col("_first") + F.col("_before")).alias("start"), "n_tokens", "ids")
 
 
