@@ -148,8 +148,8 @@ def measured(texts: list[bytes | None], rules: tuple[Rule, ...]) -> list[tuple[s
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
     """Rules by rejection per cost, the highest first, as a bounded sample of rows estimates them."""
-    rows = docs.select(F.col(text).cast("string").alias("t")).limit(sample_rows).toArrow()
-    found = {name: share / cost for name, cost, share in measured(kernel.binaries(rows.column(0)), rules)}
+    rows = docs.select(F.col(text).cast("string").alias("t")).take(sample_rows)  # reads as few partitions as it needs
+    found = {name: share / cost for name, cost, share in measured([r.t.encode() if r.t else b"" for r in rows], rules)}
     return tuple(sorted(rules, key=lambda r: -found[r.name]))
 
 
