@@ -9,8 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import sqlsuite
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sqlsuite.QUERIES}
+ORACLE_SQL: dict[str, str] = {**sqlsuite.ORACLE_SQL}
 
 _SHIPPED: set[str] = set()
 
