@@ -208,14 +208,11 @@ def screen(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "i
         def run(batches: Iterator[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
             index = _Index(block, q)
             for batch, texts in kernel.slices(batches, "_text"):
-                found = index.search(texts)
-                if found:
-                    lists = batch.column(2).to_pylist()
-                    for i, own in found.items():
-                        chars = lambda n, t=texts[i]: len(t[:n].decode(errors="ignore"))
-                        lists[i] = sorted([*lists[i], *({"item_id": block[k].item, "edits": e, "start": chars(a), "end": chars(b)} for k, (e, a, b) in own.items())], key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
-                    batch = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, arrow)], ["_row", "_text", "_found"])
-                yield batch
+                lists = batch.column(2).to_pylist()
+                for i, own in index.search(texts).items():
+                    chars = lambda n, t=texts[i]: len(t[:n].decode(errors="ignore"))
+                    lists[i] = sorted([*lists[i], *({"item_id": block[k].item, "edits": e, "start": chars(a), "end": chars(b)} for k, (e, a, b) in own.items())], key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, arrow)], ["_row", "_text", "_found"])
 
         out = out.mapInArrow(run, schema)
     return out.select(*[F.col("_row")[c].alias(c) for c in rest], F.col("_found").alias("leaks"))
