@@ -5,8 +5,8 @@ frequency over the whole corpus. Two sets that reach the threshold share a shing
 in the first ``n - ceil(t n) + 1`` of each, and two shingles in one more. Small
 sets enumerate their subsets of two shingles of that prefix as keys; large sets
 scan the inverted lists of single ones. The boundary is the size at which the
-expected cost of both is least: subsets to enumerate on one side, list entries to
-scan on the other.
+cost of both is least: subsets to enumerate on one side; on the other entries in
+lists, and shingles whose lists are scanned.
 
 Sets that share a key are joined by stars, not by pairs, into candidate groups. A
 group is then decided exactly from its inverted lists: overlaps of one set with
@@ -100,7 +100,8 @@ def _shingled(dealt: chunks.Chunks, k: int, num: int, den: int) -> DataFrame:
             order = np.lexsort((h, c))[alone : p + 1]
             prefix.append(h[order].view(np.int64))
             n_first.append(max(0, p - alone))
-            cost.append(int(np.sum(2.0 ** (c[order[: max(0, p - alone)]] / 4))))
+            # a row for each list that it stands in, and the shingles that a scan counts
+            cost.append(max(0, p - alone) + int(np.count_nonzero(c)))
             shared.append(h[c > 0].view(np.int64))
         lists = pa.list_(pa.int64())
         return pa.table(
