@@ -78,13 +78,14 @@ def _rotated(words: Column, n: int, shift: int) -> Column:
     return F.zip_with(turned, after, lambda x, y: F.shiftleft(x, bits).bitwiseOR(F.shiftrightunsigned(y, 64 - bits)))
 
 
-def _halves_swapped(words: Column, n: int) -> Column:
-    return F.flatten(F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(2)), lambda i: F.array(F.element_at(words, i + 1), F.element_at(words, i))))
+def _halves_swapped(words: Column) -> Column:
+    side = lambda k: F.filter(words, lambda _, i: i % 2 == k)
+    return F.flatten(F.zip_with(side(0), side(1), lambda low, high: F.array(high, low)))
 
 
 def permute(vector: Column, shift: int, words: int = WORDS) -> Column:
     """Cyclic rotation in the layout of 128-bit words, the first of them the most significant."""
-    return _halves_swapped(_rotated(_halves_swapped(vector, words), words, shift), words)
+    return _halves_swapped(_rotated(_halves_swapped(vector), words, shift))
 
 
 def permute_binary(vector: Column, shift: int, words: int = WORDS) -> Column:
@@ -101,9 +102,8 @@ def to_bytes(vector: Column) -> Column:
 
 def from_bytes(data: Column, words: int = WORDS) -> Column:
     """Words of ``8 * words`` bytes; other lengths are an error."""
-    h = F.hex(data)
-    word = lambda i: F.conv(F.concat(*[F.substring(h, i * 16 + 15 - 2 * k, F.lit(2)) for k in range(8)]), 16, -10).cast("long")
-    parsed = F.transform(F.sequence(F.lit(0), F.lit(words - 1)), word)
+    word = lambda h: F.conv(F.concat(*[F.substring(h, 15 - 2 * k, 2) for k in range(8)]), 16, -10).cast("long")
+    parsed = F.transform(F.regexp_extract_all(F.hex(data), F.lit("(.{16})"), 1), word)
     return F.when(F.octet_length(data) == 8 * words, parsed).otherwise(F.raise_error(F.concat(F.lit(f"a vector has {8 * words} bytes, not "), F.octet_length(data).cast("string"))))
 
 

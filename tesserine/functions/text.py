@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hypervector import WORDS, majority, rotated
 
@@ -72,7 +73,7 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def stable_hash(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, as 16 hexadecimal digits."""
     return text.map(lambda t: None if t is None else f"{fnv1a(t.encode()):016x}")
@@ -82,7 +83,7 @@ def absence_id(query: Column) -> Column:
     return F.concat(F.lit("absence:"), stable_hash(normalize(query)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def scoped_absence_id(scope: pd.Series, query: pd.Series) -> pd.Series:
     """Id within a scope: the hash of the scope's length (8 bytes, little-endian), the scope and the query."""
     made = [f"absence:{fnv1a(len(s.encode()).to_bytes(8, 'little') + s.encode() + q.encode()):016x}" for s, q in zip(scope, query, strict=True)]

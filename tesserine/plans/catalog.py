@@ -9,10 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sqlsuite
+from . import memory, sqlsuite
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**sqlsuite.QUERIES}
-ORACLE_SQL: dict[str, str] = {**sqlsuite.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**memory.QUERIES, **sqlsuite.QUERIES}
+ORACLE_SQL: dict[str, str] = {**memory.ORACLE_SQL, **sqlsuite.ORACLE_SQL}
 
 _SHIPPED: set[str] = set()
 
