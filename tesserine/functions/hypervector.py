@@ -123,8 +123,11 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
     ``sign`` names a column of +1 and -1 that adds and retracts. Partial counts are made batch by batch before the
     shuffle, so that a group of any size costs a few rows for each task.
     """
-    packed = rows.select(F.struct(*keys).alias("key"), F.col(vector).alias("v"), (F.col(sign) if sign else F.lit(1)).cast("long").alias("sign"))
-    schema = packed.select("key", F.col("sign").alias("n"), F.array("sign").alias("counts")).schema
+    names = rows.select(F.struct(*keys).alias("key")).schema["key"].dataType
+    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
+    packed = rows.select(key.alias("key"), F.col(vector).alias("v"), (F.col(sign) if sign else F.lit(1)).cast("long").alias("sign"))
+    schema = "key string, n long, counts array<long>"
+    named = lambda made: made.select(F.from_json("key", names).alias("key"), "n", "counts").select("key.*", "n", "counts")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,16 +139,15 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
             sign_ = batch.column(2).to_numpy(zero_copy_only=False)
             seen: dict[object, list[int]] = {}
             for i, k in enumerate(batch.column(0).to_pylist()):
-                seen.setdefault(tuple(k.items()), []).append(i)
+                seen.setdefault(k, []).append(i)
             n = [int(sign_[at].sum()) for at in seen.values()]
             sums = [(bits[at] * sign_[at][:, None]).sum(axis=0) for at in seen.values()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at[0] for at in seen.values()])), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["key", "n", "counts"])
 
     parts = packed.mapInArrow(partial, schema)
-    places = [F.sum(F.col("counts")[i]).alias(f"c{i}") for i in range(64 * words)] if words <= 2 else None
-    if places:
+    if words <= 2:
         total = parts.groupBy("key").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("counts")[i]) for i in range(64 * words)]).alias("counts"))
-        return total.select("key.*", "n", "counts")
+        return named(total)
 
     def added(group: pa.Table) -> pa.Table:
         stack = np.array(group.column("counts").to_pylist(), np.int64).sum(axis=0)
@@ -155,7 +157,7 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
     # two levels: a group's partial counts meet in a bounded number first
     salted = parts.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(16)))
     half = salted.groupBy("key", "salt").applyInArrow(lambda t: added(t.select(["key", "n", "counts"])), schema)
-    return half.groupBy("key").applyInArrow(added, schema).select("key.*", "n", "counts")
+    return named(half.groupBy("key").applyInArrow(added, schema))
 
 
 def finalized(counts: Column, n: Column, words: int = WORDS) -> Column:

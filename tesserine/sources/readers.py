@@ -70,7 +70,7 @@ def index_lines(lines: DataFrame, field: str = "text", id_field: str | None = No
     judged = lines.withColumn("why", why)
     id_ = F.concat(F.lit("jsonl:"), F.col("line").cast("string"))
     id_ = F.coalesce(own(id_field), id_) if id_field else id_
-    tags = F.filter(F.transform(F.split(F.coalesce(own(tag_field), F.lit("")), ","), F.trim), lambda t: t != "") if tag_field else F.array().cast("array<string>")
+    tags = F.filter(F.transform(F.split(F.coalesce(own(tag_field), F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "") if tag_field else F.array().cast("array<string>")
     kept = judged.where("why is null").select(id_.alias("id"), F.col("line"), own(field).alias("searchable_text"), preview(own(field)).alias("text_preview"), tags.alias("tags"))
     return kept, judged.where("why is not null").groupBy("why").agg(F.count(F.lit(1)).alias("skipped"))
 
