@@ -26,12 +26,18 @@ def warc_record(uri: Column, payload: Column) -> Column:
     return F.concat(head, body, F.lit("\r\n\r\n"))
 
 
+def digest_of(record: Column) -> Column:
+    """SHA-256 of a record's bytes; a null record has that of no bytes."""
+    return F.sha2(F.coalesce(record, F.lit("")), 256)
+
+
 def leaves(records: DataFrame, archive: str = "archive", offset: str = "offset", record: str = "record") -> DataFrame:
-    """``archive``, ``offset`` and ``digest`` of each record. A null record has the digest of no bytes; a null offset is 0.
+    """``archive``, ``offset`` and ``digest`` of each record; a null offset is 0. Rows may bring their ``digest`` in
+    place of the record, so that records need not be moved to learn their offsets.
 
     Rows that repeat a record at an offset are one record. Different records at one offset are all kept.
     """
-    digest = F.sha2(F.coalesce(F.col(record), F.lit("")), 256)
+    digest = F.col("digest") if "digest" in records.columns else digest_of(F.col(record))
     return records.select(F.col(archive).cast("string").alias("archive"), F.coalesce(F.col(offset).cast("long"), F.lit(0)).alias("offset"), digest.alias("digest")).distinct()
 
 
@@ -69,7 +75,7 @@ def _differing(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Records on which two replicas (``archive``, ``offset``, ``record``) differ: ``archive``, ``offset``,
+    """Records on which two replicas (``archive``, ``offset``, and ``record`` or ``digest``) differ: ``archive``, ``offset``,
     ``first_digest``, ``second_digest`` and ``damage``: ``changed``, ``missing`` (from the second) or ``extra``.
 
     Where one offset holds several different records on a side, the sorted digests are joined by a comma. Replicas

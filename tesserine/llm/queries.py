@@ -62,24 +62,27 @@ FROM r LEFT JOIN t ON t.host = r.host LEFT JOIN d ON d.host = r.host
 _PER_ARCHIVE = 256
 
 
-def _archived(pages: DataFrame) -> DataFrame:
-    """WARC records of the pages: archive file, offset by the order of the page numbers, and the record."""
-    records = pages.select("page_id", F.format_string("part-%06d.warc", F.floor(F.col("page_id") / _PER_ARCHIVE)).alias("archive"), fixity.warc_record(F.col("url"), F.col("html")).alias("record"))
-    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    return records.withColumn("offset", F.coalesce(F.sum(F.octet_length("record").cast("long")).over(before), F.lit(0)))
-
-
-def _replica(records: DataFrame) -> DataFrame:
-    """A second copy of all records with damage that the page number tells: a byte changed, a record cut, one lost."""
-    n = F.length("record")
-    changed = F.when(F.col("page_id") % 97 == 13, F.concat(F.expr("substring(record, 1, length(record) div 2)"), F.lit("?"), F.expr("substring(record, length(record) div 2 + 2)")))
-    cut = F.when(F.col("page_id") % 89 == 5, F.substring("record", F.lit(1), n - F.lit(7)))
-    return records.where(F.col("page_id") % 401 != 7).withColumn("record", F.coalesce(cut, changed, "record"))
+def _replica(page: Column, record: Column) -> Column:
+    """A second copy of a record with damage that the page number tells: a byte changed, a record cut, one lost (null)."""
+    n = F.length(record)
+    half = F.floor(n / 2).cast("int")
+    changed = F.concat(F.substring(record, F.lit(1), half), F.lit("?"), F.substring(record, half + 2, n))
+    return F.when(page % 401 == 7, F.lit(None)).when(page % 89 == 5, F.substring(record, F.lit(1), n - 7)).when(page % 97 == 13, changed).otherwise(record)
 
 
 def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = _archived(table(spark, sf_dir, "pages"))
-    return fixity.audit(records, _replica(records))
+    """All pages as WARC records of archive files, offsets by the order of their numbers, against a damaged replica.
+
+    Records are hashed where they are read; sizes and digests alone are moved to add up the offsets.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", fixity.warc_record(F.col("url"), F.col("html")).alias("record"))
+    archive = F.format_string("part-%06d.warc", F.floor(F.col("page_id") / _PER_ARCHIVE))
+    copy = _replica(F.col("page_id"), F.col("record"))
+    hashed = pages.select("page_id", archive.alias("archive"), F.octet_length("record").cast("long").alias("size"), fixity.digest_of(F.col("record")).alias("first"), F.when(copy.isNotNull(), fixity.digest_of(copy)).alias("second"))
+    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = hashed.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    side = lambda c: placed.where(F.col(c).isNotNull()).select("archive", "offset", F.col(c).alias("digest"))
+    return fixity.audit(side("first"), side("second"))
 
 
 OP2_SQL = f"""
