@@ -133,7 +133,9 @@ def ask(chunks: Chunks, keys: Callable[[list[bytes | None]], Distinct]) -> DataF
     """First pass: what ``keys`` finds in the texts of each chunk."""
 
     def emit(group: pa.Table) -> pa.Table:
-        return sent(group.column("_chunk")[0].as_py(), keys(kernel.binaries(group.column("_text"))))
+        out = sent(group.column("_chunk")[0].as_py(), keys(kernel.binaries(group.column("_text"))))
+        kernel.release()
+        return out
 
     return chunks.rows.groupBy("_chunk").applyInArrow(emit, _SENT)
 
@@ -148,7 +150,9 @@ def again(chunks: Chunks, answers: DataFrame, run: Callable[[pa.Table, pa.Table]
     """A later pass: ``run`` gets the rows of a chunk and the answers to it."""
 
     def both(rows: pa.Table, codes: pa.Table) -> pa.Table:
-        return run(rows, codes)
+        out = run(rows, codes)
+        kernel.release()
+        return out
 
     return chunks.rows.groupBy("_chunk").cogroup(answers.groupBy("_chunk")).applyInArrow(both, schema)
 

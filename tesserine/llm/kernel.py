@@ -7,6 +7,7 @@ and polynomial (Rabin-Karp) in an odd base, finished by a bijective mix.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,9 @@ import pyarrow as pa
 
 from .common import SLICE_BYTES
 
+#: What a worker keeps between tasks for one kind of work. Other kinds of work drop it.
+HELD: dict[str, object] = {}
+
 _SEG = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _M = (1 << 64) - 1
@@ -43,8 +47,17 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
+def release() -> None:
+    """Give freed memory back to the system, so that workers that are used again don't add up."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 class _Base:
-    """Powers of a base and of its inverse mod 2**64, grown on demand up to the longest array seen."""
+    """Powers of a base and of its inverse mod 2**64, grown on demand to at most ``_SEG`` and one window."""
 
     def __init__(self, base: int) -> None:
         self.base, self.inverse = base, pow(base, -1, 1 << 64)
@@ -52,7 +65,7 @@ class _Base:
 
     def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n, min(2 * len(self.up), _SEG + 1), 1 << 16)
             self.up, self.down = _powers(self.base, size), _powers(self.inverse, size)
         return self.up, self.down
 
@@ -111,20 +124,25 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lane: int
 
 
 def window_hashes(words: np.ndarray, n: int, lane: int = 0) -> np.ndarray:
-    """Rolling hash of each run of ``n`` consecutive entries of ``words``."""
+    """Rolling hash of each run of ``n`` consecutive entries of ``words``, in parts of bounded temporaries."""
     if len(words) < n:
         return np.empty(0, np.uint64)
-    up, down = _POW[lane].tables(len(words) + 1)
-    c = np.empty(len(words) + 1, np.uint64)
-    c[0] = 0
-    np.cumsum(words * up[: len(words)], out=c[1:])
-    return mix((c[n:] - c[:-n]) * down[: len(words) - n + 1])
+    out = np.empty(len(words) - n + 1, np.uint64)
+    for at in range(0, len(out), _SEG):
+        part = words[at : at + _SEG + n - 1]
+        up, down = _POW[lane].tables(len(part) + 1)
+        c = np.empty(len(part) + 1, np.uint64)
+        c[0] = 0
+        np.cumsum(part * up[: len(part)], out=c[1:])
+        out[at : at + _SEG] = mix((c[n:] - c[:-n]) * down[: len(part) - n + 1])
+    return out
 
 
 class Texts:
     """Texts of a slice, joined; ``first[i]:first[i + 1]`` are the words of text ``i``."""
 
     def __init__(self, texts: list[bytes | None], inside: np.ndarray = NON_BLANK, lower: bool = False) -> None:
+        HELD.clear()
         texts = [t or b"" for t in texts]
         self.data = b"\n".join(texts) + b"\n"
         if lower:
@@ -173,3 +191,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             if size >= most or i == len(texts) - 1:
                 yield batch.slice(lo, i + 1 - lo), texts[lo : i + 1]
                 lo, size = i + 1, 0
+    release()

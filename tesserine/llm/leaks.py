@@ -111,6 +111,7 @@ class _Index:
     """Q-grams of a block of items."""
 
     def __init__(self, items: list[Item], q: int) -> None:
+        kernel.HELD.clear()
         self.items, self.q = items, q
         grams = [_grams(np.frombuffer(i.text, np.uint8), q) for i in items]
         all_ = np.concatenate(grams) if grams else np.empty(0, np.uint64)

@@ -14,6 +14,9 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
+
+from .kernel import HELD
 
 #: Pieces that one worker remembers; two generations of this size bound its memory.
 REMEMBER = 250_000
@@ -38,16 +41,22 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        # the same merges, for pieces that are normal and split already
+        self.path = path
+        # the library's merges, for pieces that are normal and split already
         self.piece = Tokenizer.from_file(path)
         self.piece.normalizer = normalizers.Sequence([])
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.size = self.library.get_vocab_size()
-        self.special = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
+        self.special = tuple(t.content for t in self.piece.get_added_tokens_decoder().values())
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):  # noqa: ANN201
+        """The library's own tokenizer, for texts that need all of it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _learn(self, pieces: set[str]) -> None:
         """Make sure that ``pieces`` are in the new generation."""
         unknown = pieces.difference(self.new)
@@ -84,11 +93,8 @@ class Encoder:
                 yield b"".join(map(get, own))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file; it lives as long as the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a vocabulary file; it lives until the worker turns to other work."""
+    if path not in HELD:
+        HELD[path] = Encoder(path)
+    return HELD[path]
