@@ -8,15 +8,28 @@ from pyspark.sql import functions as F
 from .common import drop_stored, stored
 
 
-def _stars(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star step over edges ``u > v``."""
+#: Edges up to which the least neighbours of their nodes are sent to every executor.
+BROADCAST_EDGES = 200_000
+
+
+def _joinable(low: DataFrame, edges: int) -> DataFrame:
+    """Least neighbours, for a join with edges of which one node may have a great share.
+
+    Few are sent to all executors. Many are written first: a join of two scans is one whose skewed partitions
+    Spark splits, which it can't where the aggregate feeds the join.
+    """
+    return F.broadcast(low) if edges <= BROADCAST_EDGES else stored(low, "least")
+
+
+def _stars(edges: DataFrame, n: int) -> DataFrame:
+    """One large-star and one small-star step over ``n`` edges ``u > v``."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = both.join(_joinable(low, n), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     # the node itself keeps its edge to the minimum
     large = large.unionByName(low.where(F.col("m") < F.col("u")).select("u", F.col("m").alias("v"))).where(F.col("u") != F.col("v")).distinct()
     low = large.groupBy("u").agg(F.min("v").alias("m"))
-    small = large.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    small = large.join(_joinable(low, n), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -33,7 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
         if tuple(new) == mark or new[0] == 0:
             break
         mark = tuple(new)
-        then = stored(_stars(now), "stars")
+        then = stored(_stars(now, new[0]), "stars")
         drop_stored(now)
         now = then
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -152,7 +152,9 @@ def test_linked_scans_decide_exactly():
         assert jaccard.linked(n, sets, asked, 75, 100).tolist() == [root(a) for a in range(25)]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "BROADCAST_EDGES", few)
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 45), (60, 60)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 50: 40, 40: 40, 45: 40}
