@@ -16,7 +16,7 @@ from .tables import manifest
 
 ORDER = {"concepts": ["id"], "associations": ["src_id", "dst_id"], "concept_versions": ["id", "version"], "benchmarks": ["suite", "name", "run_at_us"]}
 CODECS = {"zstd": "zstd", "snappy": "snappy", "none": "uncompressed"}
-MAGIC = b"CSMBIN01"
+MAGIC = b"TESSER01"
 
 
 def export_parquet(rows: DataFrame, table: str, path: str, compression: str = "zstd", row_group_bytes: int = 128 << 20, partition_by: str | None = None) -> int:
