@@ -19,6 +19,7 @@ from ..functions import text as tx
 from ..operators import analytics, bridge, filters, fusion, graph, keyword, lifecycle, search
 from ..sources import readers, schemas
 from ..streaming import reservoir
+from . import harness
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -693,3 +694,17 @@ def w8(spark, sf_dir):
     id_ = F.concat(F.lit("m"), "user_id", F.lit(":v"), (F.col("event_id") % 7).cast("string"))
     n = F.regexp_extract(id_, r":v(\d+)$", 1).cast("int")
     return _t(spark, sf_dir, "events").select("event_id", F.when(n >= 2, F.concat(F.regexp_replace(id_, r"\d+$", ""), (n - 1).cast("string"))).alias("previous"))
+
+
+@query("w11_benchmark_run")
+def w11(spark, sf_dir):
+    made = harness.run(spark)
+    return made.select("task_type", "cases", *[_r(c).alias(c) for c in ("recall_at_5", "reciprocal_rank", "ndcg_at_10", "abstain_precision", "abstain_recall")])
+
+
+@query("w1_session_links", "SELECT conv_id, turn, CAST(turn - 1 AS BIGINT) AS before FROM conversations WHERE turn > 0")
+def w1(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", F.concat_ws(":", "conv_id", "turn").alias("memory_id"))
+    there = harness.neighbour_links(turns).where("strength = 0.8")
+    part = lambda c, i: F.split_part(c, F.lit(":"), F.lit(i)).cast("long")
+    return there.select(part(F.col("to_id"), 1).alias("conv_id"), part(F.col("to_id"), 2).alias("turn"), part(F.col("from_id"), 2).alias("before"))
