@@ -57,40 +57,49 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Make sure that ``pieces`` are in the new generation."""
-        unknown = pieces.difference(self.new)
-        if len(self.new) + len(unknown) > REMEMBER:
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.new) + len(pieces) > REMEMBER:
             self.new, self.old = {}, self.new
-            unknown = pieces
-        known = unknown.intersection(self.old)
-        self.new.update((w, self.old[w]) for w in known)
-        rest = list(unknown.difference(known))
-        for at in range(0, len(rest), _CALL):
-            part = rest[at : at + _CALL]
+        for at in range(0, len(pieces), _CALL):
+            part = pieces[at : at + _CALL]
             for w, e in zip(part, self.piece.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.new[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [bool(_PLAIN.fullmatch(t)) and not any(s in t for s in self.special) for t in texts]
-        at, pieces = 0, set()
-        lists: list[list[str] | None] = []
-        for i, (t, p) in enumerate(zip(texts, plain, strict=True)):
-            own = _PIECES.findall(t.lower()) if p else None
-            lists.append(own)
-            pieces.update(own or ())
-            if len(pieces) >= REMEMBER // 4 or i == len(texts) - 1:
-                yield from self._flush(texts[at : i + 1], lists, pieces)
-                at, pieces, lists = i + 1, set(), []
-
-    def _flush(self, texts: list[str], lists: list[list[str] | None], pieces: set[str]) -> Iterator[bytes]:
-        self._learn(pieces)
-        get = self.new.__getitem__
-        for t, own in zip(texts, lists, strict=True):
-            if own is None:
+        """Ids of each text in turn. Pieces not remembered wait until a call's worth of them is together."""
+        waiting: list[tuple[str, list, list[str], list[int]]] = []
+        asked: dict[str, None] = {}
+        for t in texts:
+            if not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
+                waiting.append((t, None, None, None))
+                continue
+            own = _PIECES.findall(t.lower())
+            ids = list(map(self.new.get, own))
+            open_ = [i for i, v in enumerate(ids) if v is None] if None in ids else []
+            left = []
+            for i in open_:
+                known = self.old.get(own[i])
+                if known is None:
+                    asked[own[i]] = None
+                    left.append(i)
+                else:
+                    ids[i] = self.new[own[i]] = known
+            waiting.append((t, ids, own, left))
+            if len(asked) >= _CALL:
+                yield from self._answered(waiting, asked)
+                waiting, asked = [], {}
+        yield from self._answered(waiting, asked)
+
+    def _answered(self, waiting: list[tuple], asked: dict[str, None]) -> Iterator[bytes]:
+        self._learn(list(asked))
+        for t, ids, own, left in waiting:
+            if ids is None:
                 yield array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
-            else:
-                yield b"".join(map(get, own))
+                continue
+            for i in left:
+                # a rotation can come between: what was asked for is in the new generation or the old one
+                ids[i] = self.new.get(own[i]) or self.old[own[i]]
+            yield b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
