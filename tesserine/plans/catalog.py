@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -26,10 +27,12 @@ def ship(spark: SparkSession, root: str) -> None:
     started_with = spark._jvm.System.getenv("PYTHONPATH") or ""
     if root in started_with.split(os.pathsep):
         return
-    with tempfile.TemporaryDirectory() as d:
-        top = os.path.join(d, "src")
-        shutil.copytree(os.path.join(root, "tesserine"), os.path.join(top, "tesserine"), ignore=shutil.ignore_patterns("__pycache__"))
-        pipeline = os.path.join(root, "corpus_pipeline.py")
-        if os.path.exists(pipeline):
-            shutil.copy(pipeline, top)
-        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "tesserine_package"), "zip", top))
+    # Spark serves the archive from here as long as the application runs
+    d = tempfile.mkdtemp(prefix="tesserine-package-")
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    top = os.path.join(d, "src")
+    shutil.copytree(os.path.join(root, "tesserine"), os.path.join(top, "tesserine"), ignore=shutil.ignore_patterns("__pycache__"))
+    pipeline = os.path.join(root, "corpus_pipeline.py")
+    if os.path.exists(pipeline):
+        shutil.copy(pipeline, top)
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(d, "tesserine_package"), "zip", top))
