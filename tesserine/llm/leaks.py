@@ -37,8 +37,8 @@ _FOLD = np.frombuffer(bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <=
 _PART = 1 << 20
 
 
-def folded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Folded bytes, and which bytes of ``raw`` they are."""
+def folded(raw: bytes, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Folded bytes, and which bytes of ``raw`` they are. A run of spaces ends where one of ``starts`` begins a text."""
     buf = np.frombuffer(raw, np.uint8)
     out = _FOLD[buf]
     if len(buf) > 1:  # capitals from U+00C0 to U+00DE, but the sign U+00D7
@@ -46,6 +46,8 @@ def folded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         out[1:][capital] += 0x20
     keep = np.ones(len(out), bool)
     keep[1:] = (out[1:] != 0x20) | (out[:-1] != 0x20)
+    if starts is not None:
+        keep[starts] = True
     return out[keep], np.flatnonzero(keep)
 
 
@@ -97,6 +99,8 @@ def align(item: bytes, region: bytes, width: int) -> tuple[int, int, int]:
         rows[r, :-1] = np.minimum(rows[r, :-1], rows[r - 1, 1:] + 1)
     d = int(np.argmin(rows[m]))
     edits, r, end = int(rows[m, d]), m, m + d
+    if edits >= far:  # the region ends before any diagonal reaches the item's end
+        return edits, 0, 0
     while r:
         if r + d <= len(b) and r + d > 0 and rows[r, d] == rows[r - 1, d] + (padded[r + d - 1] != a[r - 1]):
             r -= 1
@@ -143,7 +147,7 @@ class _Index:
         raw = [t or b"" for t in texts]
         joined = b"\n".join(raw) + b"\n"
         offsets = np.concatenate([[0], np.cumsum([len(t) + 1 for t in raw])])
-        buf, source = folded(joined)
+        buf, source = folded(joined, offsets[:-1])
         edge = np.searchsorted(source, offsets)
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
         if not len(self.keys):
@@ -170,9 +174,12 @@ class _Index:
             # before its first shared q-gram and after its last one a place may lie up to the budget beside the band
             lo, width = b * (it.budget + 1) - it.budget, 4 * it.budget + 2
             start, stop = max(lo, int(edge[i])), min(lo + len(it.text) + width, int(edge[i + 1]))
-            region = buf[start:stop].tobytes()
+            # diagonals before the text are kept: a zero byte, which no folded text has, costs as much as the item's byte left out
+            before = start - lo
+            region = bytes(before) + buf[start:stop].tobytes()
             exact = region.find(it.text)
             edits, x, y = (0, exact, exact + len(it.text)) if exact >= 0 else align(it.text, region, width)
+            x, y = max(x - before, 0), y - before
             if edits <= it.budget and y > x and (k not in own or edits < own[k][0]):
                 own[k] = (edits, int(source[start + x] - offsets[i]), int(source[start + y - 1] - offsets[i]) + 1)
         return {i: v for i, v in found.items() if v}

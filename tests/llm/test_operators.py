@@ -275,6 +275,31 @@ def test_leaks_against_brute_force():
         assert set(found.get(i, {})) == expected
 
 
+def test_leaks_at_the_ends_of_a_text():
+    r = random.Random(8)
+    letters = "abcde "
+    items = [leaks.prepare(i, "".join(r.choice(letters) for _ in range(r.randint(36, 90)))) for i in range(12)]
+    whole = [i.text for i in items]
+    # by hand: the third byte left out, and as many first or last bytes as the budget has
+    texts = [w[:2] + w[3:] for w in whole] + [w[i.budget :] for w, i in zip(whole, items, strict=True)] + [w[: -i.budget] for w, i in zip(whole, items, strict=True)]
+    # and halves, which are too little
+    texts += [b"tail " + w[: len(w) // 2] for w in whole] + [w[len(w) // 2 :] + b" head" for w in whole]
+    for _ in range(120):
+        own = list(r.choice(whole).decode())
+        for _ in range(r.randint(0, 4)):
+            k = r.randrange(min(len(own), r.choice([6, len(own)])))
+            own[k : k + 1] = r.choice([[], [], ["a"], [own[k], "b"]])
+        rest = "".join(r.choice(letters) for _ in range(40))
+        texts.append(r.choice(["".join(own) + rest, rest + "".join(own), "".join(own)]).encode())
+    found = leaks._Index(items, leaks.Q).search(texts)
+    assert all(k % 12 in found.get(k, {}) for k in range(36))
+    for i, t in enumerate(texts):
+        flat = leaks.folded(t + b"\n")[0].tobytes()
+        best = {k: edit_distance(item.text, flat) for k, item in enumerate(items)}
+        assert {k: v[0] for k, v in found.get(i, {}).items()} == {k: n for k, n in best.items() if n <= items[k].budget}
+        assert all(0 <= a < b <= len(t) + 1 for _, a, b in found.get(i, {}).values())
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q", None), (2, "https://x.com/en/", ""), (3, "no scheme", "<a href='//b.net/'>"), (4, None, None), (5, "ftp://net#f", "x"), (6, "x://y.example.net/de/81/a", "h"), (6, "x://y.example.net/de/81/a", "h"), (7, "a://evil.org/es/1", "<a href=http://friend.io/>")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
