@@ -197,19 +197,20 @@ class LshIndex:
         every = F.array(*[F.struct(F.lit(t).alias("table"), self._key(F.col(vector), t).alias("key")) for t in range(self.tables)])
         return corpus.select(F.col(id_).alias("id"), F.explode(every).alias("k")).select("k.table", "k.key", "id")
 
-    def candidates(self, index: DataFrame, query: list[int]) -> DataFrame:
-        """Ids that share a bucket with the query."""
+    def candidates(self, index: DataFrame, query: list[int], flips: int = 0) -> DataFrame:
+        """Ids that share a bucket with the query, or with ``flips`` its buckets and those up to so many bits beside them."""
         unsigned = [w & ((1 << 64) - 1) for w in query]
         wanted = []
         for t, places in enumerate(self.places):
             key = sum(((unsigned[p // 64] >> (p % 64)) & 1) << i for i, p in enumerate(places))
             wanted.append((t, key - (1 << 64) if key >= 1 << 63 else key))
-        hit = reduce(lambda a, b: a | b, [(F.col("table") == t) & (F.col("key") == k) for t, k in wanted])
+        near = lambda k: F.bit_count(F.col("key").bitwiseXOR(F.lit(k).cast("long"))) <= flips if flips else F.col("key") == k
+        hit = reduce(lambda a, b: a | b, [(F.col("table") == t) & near(k) for t, k in wanted])
         return index.where(hit).select("id").distinct()
 
-    def search(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, id_: str = "id", vector: str = "vector") -> DataFrame:
-        """Exact re-ranking of the candidates. May give fewer than ``k`` rows."""
-        near = corpus.withColumnRenamed(id_, "id").join(self.candidates(index, query), "id", "left_semi")
+    def search(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, id_: str = "id", vector: str = "vector", flips: int = 0) -> DataFrame:
+        """Exact re-ranking of the candidates. May give fewer than ``k`` rows, and miss near ones; ``flips`` looks into more buckets."""
+        near = corpus.withColumnRenamed(id_, "id").join(self.candidates(index, query, flips), "id", "left_semi")
         return top_k(scored(near, query, "id", vector), k)
 
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:

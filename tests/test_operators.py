@@ -45,6 +45,20 @@ def test_lsh_recall(spark):
     assert found / total >= 0.9
 
 
+def test_lsh_recall_of_the_registered_index(spark, sf):
+    from tesserine.plans import memory
+
+    rows = memory.sketches(spark, sf).cache()
+    keys = memory._LSH.keys(rows).cache()
+    words = {r.id: list(r.vector) for r in rows.collect()}
+    found = total = 0
+    for q in range(0, 500, 50):
+        exact = {r.id for r in search.probe(rows, words[q], 10).collect()}
+        found += len(exact & {r.id for r in memory._LSH.search(rows, keys, words[q], 10, flips=1).collect()})
+        total += 10
+    assert found / total >= 0.9
+
+
 def test_bucket_widths_and_presets():
     assert search.bucket_width(2, 200_000, 1000) == 8 and search.bucket_width(12, 10, 1000) == 12 and search.bucket_width(1, 1 << 40, 1) == 16
     assert search.filter_strategy(10, 9) == "Pre" and search.filter_strategy(100, 50) == "BucketPost" and search.filter_strategy(100, 90) == "ScanPost"
