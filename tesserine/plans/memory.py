@@ -671,10 +671,10 @@ def e2(spark, sf_dir):
 
 @query("e8_reservoir_sequence")
 def e8(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").withColumn("f", F.array((F.col("value") / 100).cast("double")))
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = e.withColumn("o", F.row_number().over(order)).where("o <= 1024")
-    return reservoir.encode_series(e, "user_id", "o", "f", 1).select("user_id", "steps", hv.weight(F.col("vector")).alias("weight"), F.size("attractors").alias("settled"))
+    e = _t(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("o"), F.array((F.col("value") / 100).cast("double")).alias("f"))
+    # all events of a user, however many
+    made = reservoir.encode_series(e, "user_id", "o", "f", 1, longest=None)
+    return made.select("user_id", "steps", hv.weight(F.col("vector")).alias("weight"), F.size("attractors").alias("settled"))
 
 
 @query("e19_ttl_policy", "SELECT event_id, CASE WHEN event_type = 'purchase' THEN 60 WHEN value > 50 THEN 30 END AS ttl FROM events")

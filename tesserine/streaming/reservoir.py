@@ -1,16 +1,19 @@
 """Echo-state reservoir: time series to hypervectors.
 
-Steps within a series follow one another, series do not: each is one group of an
-``applyInPandas`` with a fresh state. Weights come from one seed and are made once
-in a worker. A state of 10 240 nodes and sparse weights bound a worker's memory.
+Steps within a series follow one another, series do not: rows come sorted by series
+and step, batch by batch, and each series starts with a fresh state. Weights come from
+one seed and are made once in a worker. A state of 10 240 nodes, sparse weights and one
+batch of rows bound a worker's memory, however long a series is.
 """
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,15 +23,25 @@ BITS = 10_240
 #: Leak, inputs of a node, neighbours of a node, width of the ring they lie in, nodes between updates.
 LEAK, INPUT_DEGREE, DEGREE, RING, STRIDE = 0.3, 4, 8, 512, 32
 SETTLED = 1e-5
+#: A state beyond two to this power is scaled down by it.
+HUGE = 200
 
 
-def squash(x: np.ndarray) -> np.ndarray:
-    """A rational approximation of the hyperbolic tangent."""
-    return x * (x * x + 27) / (9 * x * x + 27)
+def squash(x: np.ndarray, shift: int = 0) -> np.ndarray:
+    """A rational approximation of the hyperbolic tangent, of ``x`` times two to the power ``shift`` and in that unit."""
+    if not shift:
+        return x * (x * x + 27) / (9 * x * x + 27)
+    one = np.ldexp(1.0, -2 * shift)
+    under = 9 * x * x + 27 * one
+    return np.divide(x * (x * x + 27 * one), under, out=x / 9, where=under > 0)
 
 
 class Reservoir:
-    """Sparse random weights and a leaky state of which every 32nd node moves in a step, in turn."""
+    """Sparse random weights and a leaky state of which every 32nd node moves in a step, in turn.
+
+    The approximated tangent has no bound, so states may grow with each step; the state is ``state`` times two to the
+    power ``shift``, which never overflows.
+    """
 
     def __init__(self, inputs: int, size: int = BITS, seed: int = 42, beta: float = 0.0, chaos: float = 0.0, radius: float = 0.95) -> None:
         if not 1 <= size <= 100_000 or not 1 <= inputs <= 100_000 or not 0 <= beta <= 0.5 or chaos < 0:
@@ -64,7 +77,7 @@ class Reservoir:
             self.weight *= radius / now
 
     def reset(self) -> None:
-        self.state, self.before, self.phase = np.zeros(self.size), np.zeros(self.size), 0
+        self.state, self.before, self.phase, self.shift = np.zeros(self.size), np.zeros(self.size), 0, 0
         self.noise = np.random.Generator(np.random.PCG64(self.seed + 1))
 
     def step(self, values: np.ndarray) -> float:
@@ -72,12 +85,18 @@ class Reservoir:
         if len(values) != self.inputs:
             raise ValueError(f"a step has {self.inputs} values, not {len(values)}")
         u = values + self.noise.uniform(-self.chaos, self.chaos, self.inputs) if self.chaos else values
+        u = np.ldexp(u, -self.shift) if self.shift else u
         i = np.arange(self.phase, self.size, STRIDE)
         drive = (self.in_weight[i] * u[self.in_at[i]]).sum(axis=1) + (self.weight[i] * self.state[self.at[i]]).sum(axis=1)
         new = self.state.copy()
-        new[i] = LEAK * squash(drive) + (1 - LEAK + self.beta) * self.state[i] - self.beta * self.before[i]
+        new[i] = LEAK * squash(drive, self.shift) + (1 - LEAK + self.beta) * self.state[i] - self.beta * self.before[i]
         moved = float(np.linalg.norm(new - self.state))
+        if self.shift:
+            with np.errstate(over="ignore"):
+                moved = float(np.ldexp(moved, self.shift))
         self.before, self.state, self.phase = self.state, new, (self.phase + 1) % STRIDE
+        if np.abs(new[i]).max(initial=0) > 2.0**HUGE:
+            self.before, self.state, self.shift = np.ldexp(self.before, -HUGE), np.ldexp(new, -HUGE), self.shift + HUGE
         return moved
 
     def run(self, series: np.ndarray) -> np.ndarray:
@@ -97,20 +116,35 @@ def _shared(inputs: int, size: int, seed: int, beta: float, chaos: float) -> Res
     return Reservoir(inputs, size, seed, beta, chaos)
 
 
-def encode_series(rows: DataFrame, key: str, order: str, features: str, inputs: int, size: int = BITS, seed: int = 42, beta: float = 0.0, chaos: float = 0.0, longest: int = LIMITS["sequence"]) -> DataFrame:
+def encode_series(rows: DataFrame, key: str, order: str, features: str, inputs: int, size: int = BITS, seed: int = 42, beta: float = 0.0, chaos: float = 0.0, longest: int | None = LIMITS["sequence"]) -> DataFrame:
     """``key``, ``steps``, ``vector`` and ``attractors`` (steps at which the state settled) of each series.
 
-    A series of over ``longest`` steps is an error, which also bounds a group.
+    A series of over ``longest`` steps is an error; with None it may have any length. Nulls in ``order`` come last.
     """
     kind = dict(rows.dtypes)[key]
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > longest:
-            raise ValueError(f"a series has at most {longest} steps, not {len(group)}")
-        r = _shared(inputs, size, seed, beta, chaos)
-        r.reset()
-        moved = [r.step(np.asarray(v, float)) for v in group.sort_values("o")["f"]]
-        return pd.DataFrame({key: [group["k"].iloc[0]], "steps": [len(group)], "vector": [r.words()], "attractors": [[i for i, m in enumerate(moved) if m < SETTLED]]})
+    schema = f"{key} {kind}, steps long, vector array<long>, attractors array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, now, steps, settled = _shared(inputs, size, seed, beta, chaos), None, 0, array("i")
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([now, pa.array([steps], pa.int64()), pa.array([r.words()], pa.list_(pa.int64())), pa.array([np.frombuffer(settled, np.int32)], pa.list_(pa.int32()))], [key, "steps", "vector", "attractors"])
+
+        for batch in batches:
+            for i, values in enumerate(batch.column(1).to_pylist()):
+                own = batch.column(0).slice(i, 1)
+                if now is None or not own.equals(now):
+                    if now is not None:
+                        yield made()
+                    r.reset()
+                    now, steps, settled = pa.concat_arrays([own]), 0, array("i")
+                if longest is not None and steps >= longest:
+                    raise ValueError(f"a series has at most {longest} steps")
+                if r.step(np.asarray(values, float)) < SETTLED:
+                    settled.append(steps)
+                steps += 1
+        if now is not None:
+            yield made()
 
     shaped = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(features).alias("f"))
-    return shaped.groupBy("k").applyInPandas(run, f"{key} {kind}, steps long, vector array<long>, attractors array<int>")
+    return shaped.repartition("k").sortWithinPartitions("k", F.col("o").asc_nulls_last()).select("k", "f").mapInArrow(run, schema)

@@ -252,3 +252,40 @@ def test_reservoir(spark):
     rows = spark.createDataFrame([(k, i, [float(k), 1.0]) for k in (1, 2) for i in range(5)], "k int, i int, f array<double>")
     got = {x.k: x for x in reservoir.encode_series(rows, "k", "i", "f", 2).collect()}
     assert got[1].steps == 5 and got[1].vector != got[2].vector and len(got[1].vector) == hv.WORDS
+
+
+def test_long_series_are_stepped_whole(spark, tmp_path):
+    from tesserine.plans import memory
+
+    # one user with a third of all rows, more than the default limit and than a batch of Arrow
+    n = 12_000
+    at = F.timestamp_seconds(F.col("id") * 7919 % (3 * n))
+    events = spark.range(3 * n).select(F.col("id").alias("event_id"), at.alias("ts"), F.when(F.col("id") < n, -1).otherwise(F.col("id") % 400).cast("long").alias("user_id"), (F.col("id") % 97).cast("double").alias("value"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.user_id: r for r in memory.QUERIES["e8_reservoir_sequence"](spark, str(tmp_path)).collect()}
+    assert len(got) == 401 and got[-1].steps == n and sum(r.steps for r in got.values()) == 3 * n
+    own = events.where("user_id = -1").orderBy("ts", "event_id").collect()
+    r = reservoir.Reservoir(1)
+    settled = sum(r.step(np.array([x.value / 100])) < reservoir.SETTLED for x in own)
+    assert (got[-1].weight, got[-1].settled) == (int(np.bitwise_count(r.words().view(np.uint64)).sum()), settled)
+    rows = spark.createDataFrame([(k, i, [1.0]) for k in (1, None) for i in range(5)], "k int, i int, f array<double>")
+    assert {(x.k, x.steps) for x in reservoir.encode_series(rows, "k", "i", "f", 1, longest=5).collect()} == {(1, 5), (None, 5)}
+    with pytest.raises(Exception, match="at most 4 steps"):
+        reservoir.encode_series(rows, "k", "i", "f", 1, longest=4).collect()
+
+
+def test_states_of_long_series_stay_finite():
+    series = [np.array([(i * 7919 % 97) / 100]) for i in range(5000)]
+    r, wide = reservoir.Reservoir(1), reservoir.Reservoir(1)
+    # the same steps in numbers of a wider range
+    wide.state = wide.state.astype(np.longdouble)
+    for v in series:
+        assert not np.isnan(r.step(v))
+    assert np.isfinite(r.state).all() and r.shift > 0
+    for v in series:
+        i = np.arange(wide.phase, wide.size, reservoir.STRIDE)
+        drive = (wide.in_weight[i] * v[wide.in_at[i]]).sum(axis=1) + (wide.weight[i] * wide.state[wide.at[i]]).sum(axis=1)
+        new = wide.state.copy()
+        new[i] = reservoir.LEAK * reservoir.squash(drive) + (1 - reservoir.LEAK) * wide.state[i]
+        wide.state, wide.phase = new, (wide.phase + 1) % reservoir.STRIDE
+    assert ((wide.state > 0) == (r.state > 0)).mean() > 0.999
