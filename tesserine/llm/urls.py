@@ -48,6 +48,8 @@ RULES = (
 #: Share of a step's mass that follows links; the rest stays.
 DAMPING = 0.85
 STEPS = 10
+#: Without a number of steps, masses move until their sum is below this share of all seeds' mass.
+LEFT = 1e-6
 #: Share of a host's pages that rules must block for it to be a blocked seed.
 SEED_SHARE = 0.9
 #: Distrust below this share of a seed's mean mass never blocks.
@@ -84,8 +86,9 @@ def links(pages: DataFrame) -> DataFrame:
     return to.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
-    """Mass of each ``kind`` and ``host`` after ``steps`` steps from seeds (``kind``, ``host``, ``mass``).
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
+    """Mass of each ``kind`` and ``host`` after ``steps`` steps from seeds (``kind``, ``host``, ``mass``); with None after
+    as many as it takes until what still moves is below :data:`LEFT`.
 
     Kind ``trust`` follows links, ``distrust`` follows them backwards, each link in proportion to its count.
     """
@@ -94,23 +97,25 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ste
     ways = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
     ways = ways.unionByName(edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share")))
     ways = stored(ways, "ways")
-    now, made = stored(seeds, "mass"), []
-    for _ in range(steps):
-        made.append(now)
+    now = stored(seeds, "mass")
+    made = [now]
+    while steps is None or len(made) <= steps:
         then = now.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((damping * F.sum(F.col("mass") * F.col("share"))).alias("mass"))
         now = stored(then, "mass")
-        if now.isEmpty():
+        moving = now.agg(F.sum("mass")).first()[0]
+        if moving is None:
             drop_stored(now)
             break
-    else:
         made.append(now)
+        if steps is None and moving < LEFT:
+            break
     total = made[0]
     for m in made[1:]:
         total = total.unionByName(m)
     return total.groupBy("kind", "host").agg(((1 - damping) * F.sum("mass")).alias("mass"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
     """``pages`` without ``html``, with ``host``, ``path``, ``rule`` (or null), ``verdict`` (allow or block), and the
     host's ``trust`` and ``distrust``.
 

@@ -321,6 +321,19 @@ def test_distrust_flows_backwards_and_trust_forwards(spark):
     assert got["fine.io"].trust == pytest.approx(0.15 * 0.85) and got["sink.io"].distrust == 0
 
 
+def test_masses_move_until_little_is_left(spark):
+    link = lambda to: f'<a href="http://{to}/">'
+    # 14 hops away from the blocked host, beyond the registered number of steps
+    chain = [(k, f"http://h{k}.io/x", link(f"h{k - 1}.io" if k > 1 else "bad.org")) for k in range(1, 15)]
+    pages = spark.createDataFrame([(0, "http://bad.org/es/a", ""), *chain], "page_id long, url string, html string")
+    far = {r.host: r for r in urls.judge(pages, steps=None).collect()}["h14.io"]
+    assert far.verdict == "block" and far.distrust == pytest.approx(0.15 * 0.85**14)
+    # on a cycle all of the mass ends on it
+    ring = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    mass = {r.host: r.mass for r in urls.propagated(spark.createDataFrame([("trust", "a", 1.0)], "kind string, host string, mass double"), ring, damping=0.5, steps=None).collect()}
+    assert mass == {"a": pytest.approx(2 / 3, abs=1e-5), "b": pytest.approx(1 / 3, abs=1e-5)}
+
+
 def test_fixity(spark):
     r = random.Random(3)
     a = [(f"f{i % 3}", i * 9000, "x" * r.randint(0, 9) + str(i)) for i in range(300)] + [(None, None, None)]
