@@ -20,14 +20,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one of smallest id, once if its rows repeat.
+    """One document of each group of linked documents: the one of smallest id.
 
+    Rows that share an id stand for themselves: those that link, or repeat, leave one, and others stay.
     Documents without an id can't be named in a group; they all stay.
     """
-    groups = jaccard.link(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    unnamed = docs.where(F.col("doc_id").isNull())
+    named = docs.where(F.col("doc_id").isNotNull())
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        groups = jaccard.link(docs.select("doc_id", "text"))
+        first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
+        return named.join(first, "doc_id", "left_semi").unionByName(unnamed).select(docs.columns)
+    # an id doesn't name a row here: rows are linked by their place in a table of their own
+    rows = stored(named.withColumn("_place", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("_place", "text").unionByName(unnamed.select(F.lit(None).cast("long").alias("_place"), "text"))
+    groups = jaccard.link(texts, key="_place").where(F.col("_place").isNotNull())
+    first = rows.select("_place", "doc_id").join(groups, "_place").groupBy("component_id").agg(F.min(F.struct("doc_id", "_place"))["_place"].alias("_place"))
+    one = rows.join(first, "_place", "left_semi").dropDuplicates(["doc_id", "text"])
+    return one.select(docs.columns).unionByName(unnamed).select(docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

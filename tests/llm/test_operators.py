@@ -383,3 +383,18 @@ def test_pipeline(spark, sf):
     packed = corpus_pipeline.STAGES[-1][1](spark, now, sf)
     assert {r.doc_id for r in packed.select("doc_id").collect()} == set(left)
     assert corpus_pipeline.run(spark, sf).select("doc_id").distinct().count() == len(left)
+
+
+def test_pipeline_keeps_unlinked_texts_of_one_id(spark, sf):
+    import corpus_pipeline
+
+    words = lambda seed: " ".join(f"w{random.Random(seed + i).randint(0, 10**6)}" for i in range(0, 6000, 100))
+    copied, own, third, other = words(1), words(2), words(3), words(4)
+    rows = [(1, copied, 0), (5, copied + " more", 1), (5, own, 2), (5, third, 3), (5, third, 4), (6, own + " end", 5), (7, other, 6), (7, other + " x", 7), (8, "", 8), (8, "", 9), (None, copied, 10), (None, copied, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").repartition(3)
+    left = corpus_pipeline.ngram_jaccard_join(spark, docs, sf)
+    assert left.columns == docs.columns
+    kept = [(r.doc_id, r.text) for r in left.collect()]
+    sure = [(1, copied), (5, own), (5, third), (8, ""), (None, copied), (None, copied)]
+    assert sorted(map(str, (x for x in kept if x[0] != 7))) == sorted(map(str, sure))
+    assert len([x for x in kept if x[0] == 7]) == 1
