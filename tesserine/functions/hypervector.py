@@ -8,7 +8,8 @@ any whole number of words, so a 64-bit sketch is a vector of one word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -172,12 +173,21 @@ def bundle(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS) ->
     return made.select(*keys, finalized(F.col("counts"), F.col("n"), words).alias(vector))
 
 
-def majority(vectors: list[np.ndarray]) -> np.ndarray:
-    """:func:`bundle` of words in memory (unsigned 64-bit)."""
-    if not vectors:
-        return np.zeros(WORDS, np.uint64)
-    bits = np.unpackbits(np.stack(vectors).view(np.uint8), axis=1, bitorder="little")
-    return np.packbits(bits.sum(axis=0, dtype=np.int64) > len(vectors) // 2, bitorder="little").view(np.uint64)
+#: Vectors whose bits are unpacked at once; their sums fit a byte.
+BLOCK = 255
+
+
+def majority(vectors: Iterable[np.ndarray], times: Iterable[int] | None = None) -> np.ndarray:
+    """:func:`bundle` of words in memory (unsigned 64-bit), each as often as ``times`` says; a block is held at a time."""
+    source, often, n, sums = iter(vectors), None if times is None else iter(times), 0, 0
+    while block := list(islice(source, BLOCK)):
+        bits = np.unpackbits(np.stack(block).view(np.uint8), axis=1, bitorder="little")
+        if often is None:
+            n, sums = n + len(block), sums + bits.sum(axis=0, dtype=np.uint8).astype(np.int64)
+        else:
+            each = list(islice(often, len(block)))
+            n, sums = n + sum(each), sums + (np.array(each, float) @ bits).astype(np.int64)
+    return np.packbits(sums > n // 2, bitorder="little").view(np.uint64) if n else np.zeros(WORDS, np.uint64)
 
 
 def rotated(vector: np.ndarray, shift: int) -> np.ndarray:

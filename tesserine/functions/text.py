@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import md5
@@ -130,7 +131,8 @@ def ngram_vector(text: str, n: int) -> np.ndarray:
     """Majority of the vectors of all runs of ``n`` characters; zero outside 1 to 32 or for shorter texts."""
     if not 1 <= n <= 32 or len(text) < n:
         return np.zeros(WORDS, np.uint64)
-    return majority([_word_vector(text[i : i + n]) for i in range(len(text) - n + 1)])
+    runs = Counter(text[i : i + n] for i in range(len(text) - n + 1))
+    return majority((_word_vector(r) for r in runs), runs.values())
 
 
 def encode_text(text: str, stride: int = 1, ngrams: int | None = None, code_aware: bool = False, lowercase: bool = True) -> np.ndarray:
@@ -139,7 +141,7 @@ def encode_text(text: str, stride: int = 1, ngrams: int | None = None, code_awar
     tokens = _tokens(text, code_aware, lowercase)
     if not tokens:
         return np.zeros(WORDS, np.uint64)
-    own = _word_vector(tokens[0]) if len(tokens) == 1 else majority([rotated(_word_vector(t), (i * stride) % (64 * WORDS)) for i, t in enumerate(tokens)])
+    own = _word_vector(tokens[0]) if len(tokens) == 1 else majority(rotated(_word_vector(t), (i * stride) % (64 * WORDS)) for i, t in enumerate(tokens))
     if not ngrams:
         return own
     return majority([own, ngram_vector(text.lower() if lowercase else text, ngrams)])

@@ -221,13 +221,13 @@ def h30(spark, sf_dir):
 @query("t1_encode_text")
 def t1(spark, sf_dir):
     encode = tx.encoder()
-    return _t(spark, sf_dir, "benchmark").select("item_id", hv.weight(encode(F.col("text"))).alias("weight"))
+    return _t(spark, sf_dir, "documents").select("doc_id", hv.weight(encode(F.col("text"))).alias("weight"))
 
 
 @query("t2_encode_with_ngrams")
 def t2(spark, sf_dir):
     encode = tx.encoder(ngrams=3)
-    return _t(spark, sf_dir, "benchmark").select("item_id", hv.weight(encode(F.col("text"))).alias("weight"))
+    return _t(spark, sf_dir, "documents").select("doc_id", hv.weight(encode(F.col("text"))).alias("weight"))
 
 
 _SP = r"[ \t\n\r\x0B\f]+"
@@ -245,7 +245,7 @@ def t6(spark, sf_dir):
 
 @query("t7_stable_hash")
 def t7(spark, sf_dir):
-    return _t(spark, sf_dir, "benchmark").select("item_id", tx.stable_hash(F.col("text")).alias("hash"), tx.absence_id(F.col("text")).alias("absence_id"))
+    return _t(spark, sf_dir, "documents").select("doc_id", tx.stable_hash(F.col("text")).alias("hash"), tx.absence_id(F.col("text")).alias("absence_id"))
 
 
 @query("t13_estimated_tokens", rf"SELECT doc_id, CAST(ceil(len(list_filter(regexp_split_to_array(lower(text), '{_SP}'), lambda t: t <> '')) / 0.75) AS BIGINT) AS tokens FROM documents")

@@ -109,3 +109,31 @@ def test_maps_spread_evenly(kind):
     values = [a.next_value() for _ in range(2000)]
     assert values == [b.next_value() for _ in range(2000)]
     assert 0.45 < np.mean(values) < 0.55 and min(values) >= 0 and max(values) < 1
+
+
+def test_majority_of_long_texts_is_taken_in_blocks():
+    import tracemalloc
+
+    words = [f"w{i % 700}" for i in range(20_000)]
+    tx.encode_text(" ".join(words[:700]))
+    tracemalloc.start()
+    got = tx.encode_text(" ".join(words))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    sums = np.zeros(hv.BITS, np.int64)
+    for i, w in enumerate(words):
+        sums += np.unpackbits(hv.rotated(tx._word_vector(w), i % hv.BITS).view(np.uint8), bitorder="little")
+    assert (np.unpackbits(got.view(np.uint8), bitorder="little") == (sums > len(words) // 2)).all()
+    text = "abcab" * 100
+    runs = [tx._word_vector(text[i : i + 3]) for i in range(len(text) - 2)]
+    assert (tx.ngram_vector(text, 3) == hv.majority(runs)).all()
+
+
+@pytest.mark.parametrize("name", ["t1_encode_text", "t2_encode_with_ngrams", "t7_stable_hash"])
+def test_text_operators_run_over_documents(spark, sf, name):
+    from tesserine.plans import memory
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = memory.QUERIES[name](spark, sf).select("doc_id").collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
