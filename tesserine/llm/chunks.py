@@ -19,10 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernel
-from .common import partitions, totals
+from .common import partitions, stored
 
 #: Bytes of text, and rows, that a chunk holds on average.
 CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 20_000
+#: Rows of one key may hold so many chunks before they are numbered to be dealt apart.
+REPEATED_CHUNKS = 4
 #: Keys that a bucket holds on average.
 BUCKET_KEYS = 1_500_000
 
@@ -51,12 +53,22 @@ class Distinct:
         return (self.keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
-def deal(packed: DataFrame, *by: Column) -> Chunks:
-    """``packed`` has ``_row`` and ``_text``; rows are dealt by a hash of ``by``."""
-    n, size = totals(packed, "_text")
+def deal(packed: DataFrame, key: Column) -> Chunks:
+    """``packed`` has ``_row`` and ``_text``; rows are dealt by a hash of ``key`` and text.
+
+    Rows that repeat both meet in one chunk. Where rows of one key hold more than a few chunks' bytes, rows are
+    numbered, written once so that every pass sees the same numbers, and dealt by their number too.
+    """
+    size = F.coalesce(F.octet_length("_text"), F.lit(0)).cast("long")
+    keyed = packed.groupBy(F.xxhash64(key).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size"))
+    n, size, most, rows = (x or 0 for x in keyed.agg(F.sum("n"), F.sum("size"), F.max(F.when(F.col("n") > 1, F.col("size"))), F.max("n")).first())
     chunks = max(1, -(-size // CHUNK_BYTES), -(-n // CHUNK_ROWS))
     bits = max(4, int(np.ceil(np.log2(max(1.0, size / 6 / BUCKET_KEYS)))))
-    dealt = packed.withColumn("_chunk", F.pmod(F.xxhash64(*by), F.lit(chunks)))
+    by = [key, F.col("_text")]
+    if most > REPEATED_CHUNKS * CHUNK_BYTES or rows > REPEATED_CHUNKS * CHUNK_ROWS:
+        packed = stored(packed.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+        by.append(F.col("_number"))
+    dealt = packed.withColumn("_chunk", F.pmod(F.xxhash64(*by), F.lit(chunks))).drop("_number")
     return Chunks(dealt.repartition(partitions(packed.sparkSession), "_chunk"), bits)
 
 

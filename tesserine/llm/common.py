@@ -19,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see.
 
-    It is read from ``spark.checkpoint.dir``. Where that is unset (tests, a
-    laptop) the context's own checkpoint folder is used, or a new one is set.
+    It is read from ``spark.checkpoint.dir``. Where that is unset the context's own checkpoint folder is used. With
+    neither, a local master (tests, a laptop) gets a new folder; a cluster is an error, for no folder of the driver's
+    machine is shared.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
@@ -28,19 +29,26 @@ def shared_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(base)
         return base.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserine-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables."""
+    return f"{shared_dir(spark)}/tesserine/{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage with a table that survives the loss of executors, and keeps
-    column pruning, which ``checkpoint()`` would not. The folder's own retention
-    rule removes the table; results read it lazily.
+    column pruning, which ``checkpoint()`` would not. Results read it lazily;
+    :func:`clean` removes all tables of the application when they are done with.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tesserine/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -48,12 +56,35 @@ def stored(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_stored(df: DataFrame) -> None:
     """Remove a table made by :func:`stored` when nothing reads it any more."""
-    spark = df.sparkSession
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+class Scratch:
+    """Tables that one operator stores on the way and drops when its last one is written."""
+
+    def __init__(self) -> None:
+        self.made: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, tag: str) -> DataFrame:
+        self.made.append(stored(df, tag))
+        return self.made[-1]
+
+    def drop(self) -> None:
+        while self.made:
+            drop_stored(self.made.pop())
+
+
+def clean(spark: SparkSession) -> None:
+    """Remove every table that operators of this application stored. Results not yet written are lost with them."""
+    _delete(spark, _own_dir(spark))
 
 
 def carried(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, list[str]]:
@@ -69,11 +100,5 @@ def carried(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, list[str]]:
     return docs.withColumn("_row", packed), rest
 
 
-def totals(docs: DataFrame, text: str) -> tuple[int, int]:
-    """Rows of ``docs`` and bytes of their texts; sizes partitions, never drops rows."""
-    n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.col(text))), F.lit(0))).first()
-    return int(n), int(size)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

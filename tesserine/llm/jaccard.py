@@ -254,7 +254,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     component. A null key counts as none; a component of null keys alone has a null id. Ties have no effect.
     """
     packed = docs.select(F.struct(F.col(key).cast("long").alias("_key")).alias("_row"), F.col(text).cast("string").alias("_text"))
-    dealt = chunks.deal(packed, F.col("_row._key"), F.col("_text"))
+    dealt = chunks.deal(packed, F.col("_row._key"))
     sets = stored(_shingled(dealt, k, num, den), "shingled")
     classes = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_key").alias("low"))
     # the rows of a class are alike but for the key

@@ -69,7 +69,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     added = ["n_words", "n_removed", "removed"]
     packed, rest = carried(docs, [*added, text])
     packed = packed.select("_row", F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"))
-    dealt = chunks.deal(packed, F.col("_key"), F.col("_text"))
+    dealt = chunks.deal(packed, F.col("_key"))
     dealt = chunks.Chunks(dealt.rows.drop("_key"), dealt.bits)
     bits = dealt.bits
 
