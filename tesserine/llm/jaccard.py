@@ -23,11 +23,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import chunks, kernel
-from .common import stored
+from .common import Scratch, stored
 from .components import components
 
 SHINGLE = 5
@@ -124,7 +124,7 @@ def boundary(classes: DataFrame) -> int:
     return size
 
 
-def _candidates(classes: DataFrame, small: int, num: int, den: int) -> DataFrame:
+def _candidates(scratch: Scratch, classes: DataFrame, small: int, num: int, den: int) -> DataFrame:
     """Star edges between classes that share a key."""
     # a large set can link to a small one of at least its share of the boundary
     lists = classes.where((F.col("n") * den >= small * num) | (F.col("n") == 1)).select("cls", F.explode(F.slice("prefix", 1, F.greatest("n_first", F.lit(0)))).alias("a")).select("cls", "a", F.lit(None).cast("long").alias("b"))
@@ -132,7 +132,9 @@ def _candidates(classes: DataFrame, small: int, num: int, den: int) -> DataFrame
     pairs = few.select("cls", "prefix", F.posexplode("prefix").alias("i", "a")).select("cls", "a", F.explode(F.slice("prefix", F.col("i") + 2, F.size("prefix"))).alias("b"))
     pairs = pairs.select("cls", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     keys = lists.unionByName(pairs).select("cls", F.xxhash64("a", F.coalesce("b", F.lit(0))).alias("key"))
-    hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub")
+    # written first: a very common key is one skewed partition of a join of scans, which Spark splits, while it can't where
+    # the aggregate feeds the join. Few hubs are sent to all executors instead.
+    hubs = scratch.stored(keys.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last")).where(F.col("hub") != F.col("last")).select("key", "hub"), "hubs")
     return keys.join(hubs, "key").where(F.col("cls") != F.col("hub")).select(F.col("cls").alias("a"), F.col("hub").alias("b")).distinct()
 
 
@@ -214,11 +216,12 @@ def _decided(groups: DataFrame, num: int, den: int, *by: str) -> DataFrame:
     return groups.groupBy(*by).applyInArrow(decide, _EDGES)
 
 
-def _verified(classes: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
+def _verified(scratch: Scratch, classes: DataFrame, candidates: DataFrame, num: int, den: int) -> DataFrame:
     """``node`` and ``label`` of the classes that have a true link."""
     group = components(candidates).withColumnRenamed("node", "cls").withColumnRenamed("label", "group")
-    sizes = group.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
-    sets = stored(classes.select("cls", "n", "shared").join(group.join(sizes, "group"), "cls").withColumn("asked", F.lit(True)), "sets")
+    # sizes and hubs are written before they meet the rows of their group, of which one may have a great share
+    sizes = scratch.stored(group.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "sizes")
+    sets = scratch.stored(classes.select("cls", "n", "shared").join(group.join(sizes, "group"), "cls").withColumn("asked", F.lit(True)), "sets")
     small = _decided(sets.where(F.col("members") <= GROUP), num, den, "group").select(F.col("a").alias("node"), F.col("b").alias("label"))
     large = sets.where(F.col("members") > GROUP)
     if large.isEmpty():
@@ -226,16 +229,16 @@ def _verified(classes: DataFrame, candidates: DataFrame, num: int, den: int) ->
 
     # every set of a large group meets the group's hub first
     hubs = large.groupBy("group").agg(F.min("cls").alias("cls")).join(large.select("cls", F.col("n").alias("hub_n"), F.col("shared").alias("hub_shared")), "cls").withColumnRenamed("cls", "hub")
-    hubs = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hubs = scratch.stored(hubs, "hubs").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = large.withColumn("salt", F.pmod(F.xxhash64("cls"), F.lit(SALTS)).cast("int"))
     overlap = F.size(F.array_intersect("shared", "hub_shared"))
     met = salted.join(hubs, ["group", "salt"]).select("group", "cls", "hub", "n", "shared", "members", (den * overlap >= num * (F.col("n") + F.col("hub_n") - overlap)).alias("linked"))
-    met = stored(met, "met")
+    met = scratch.stored(met, "met")
     star = met.where("linked").select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
     # what the hub leaves open is compared with the whole group, part by part
     rest = met.where(~F.col("linked"))
-    left = rest.groupBy("group").agg(F.count(F.lit(1)).alias("open"))
+    left = scratch.stored(rest.groupBy("group").agg(F.count(F.lit(1)).alias("open")), "open")
     part = lambda n: F.pmod(F.xxhash64("cls"), F.ceil(F.col(n) / GROUP)).cast("int")
     parts = lambda n: F.sequence(F.lit(0), (F.ceil(F.col(n) / GROUP) - 1).cast("int"))
     asked = rest.join(left, "group").select("group", "cls", "n", "shared", part("open").alias("x"), F.explode(parts("members")).alias("y"), F.lit(True).alias("asked"))
@@ -246,6 +249,25 @@ def _verified(classes: DataFrame, candidates: DataFrame, num: int, den: int) ->
     return small.unionByName(components(star.unionByName(grid)))
 
 
+#: Bytes of a node: a mark of null, the class's smallest key, its digest.
+_MARK, _KEY = 1, 8
+
+
+def _node(low: Column, cls: Column) -> Column:
+    """A class as bytes that sort by its smallest key, a null key last, and then by its digest.
+
+    The smallest node of a component so tells the component's id, and no join by component is needed to find it.
+    """
+    plain = F.unhex(F.lpad(F.hex(F.coalesce(low, F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0"))
+    return F.concat(F.when(low.isNull(), F.unhex(F.lit("01"))).otherwise(F.unhex(F.lit("00"))), plain, cls)
+
+
+def _key_of(node: Column) -> Column:
+    """The smallest key of a node."""
+    key = F.conv(F.hex(F.substring(node, 1 + _MARK, _KEY)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
+    return F.when(F.hex(F.substring(node, 1, _MARK)) == "00", key)
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = NUMERATOR, den: int = DENOMINATOR) -> DataFrame:
     """``key``, ``n_shingles`` and ``component_id`` (smallest key reachable by links) of each document.
 
@@ -259,11 +281,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     classes = sets.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("_key").alias("low"))
     # the rows of a class are alike but for the key
     chosen = sets.where(F.size("prefix") > 0).join(classes, (sets.cls == classes.cls) & (sets._key.eqNullSafe(classes.low)), "left_semi").dropDuplicates(["cls"])
-    chosen = stored(chosen.select("cls", "n", "prefix", "n_first", "cost", "shared"), "classes")
-    labels = _verified(chosen, _candidates(chosen, boundary(chosen), num, den), num, den)
-    of = classes.join(labels, classes.cls == labels.node, "left").select("cls", "low", F.coalesce("label", "cls").alias("label"))
-    ids = of.groupBy("label").agg(F.min("low").alias("component_id"))
-    by_class = of.join(ids, "label").select("cls", "component_id")
+    scratch = Scratch()
+    chosen = scratch.stored(chosen.select(_node(F.col("_key"), F.col("cls")).alias("cls"), "n", "prefix", "n_first", "cost", "shared"), "classes")
+    labels = _verified(scratch, chosen, _candidates(scratch, chosen, boundary(chosen), num, den), num, den)
+    digest = F.substring("node", 1 + _MARK + _KEY, 16)
+    labels = labels.select(digest.alias("cls"), F.struct(_key_of(F.col("label")).alias("id")).alias("found"))
+    # written, so that the join with the rows of a class that has a great share of them is one that Spark can split
+    by_class = stored(classes.join(labels, "cls", "left").select("cls", F.when(F.col("found").isNotNull(), F.col("found.id")).otherwise(F.col("low")).alias("component_id")), "labels")
+    scratch.drop()
     rows = sets.select(F.col("_key").alias(key), "cls", F.col("n").alias("n_shingles"))
     linked_ = rows.where(F.col("cls").isNotNull()).join(by_class, "cls").select(key, "n_shingles", "component_id")
     return linked_.unionByName(rows.where(F.col("cls").isNull()).select(key, "n_shingles", F.col(key).alias("component_id")))
