@@ -41,14 +41,17 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the word windows that stand more than once; ``n_chars`` follows."""
-    cut = substrings.deduplicate(docs, verbatim=True)
+    """Texts without the word windows that stand more than once; ``n_chars`` follows.
+
+    A document of which no word is left goes; one that had none before stays as it is.
+    """
+    cut = substrings.deduplicate(docs, verbatim=True).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return leaks.screen(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") == 0).select(docs.columns)
+    return leaks.screen(docs, table(spark, sf_dir, "benchmark"), short=True).where(F.size("leaks") == 0).select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

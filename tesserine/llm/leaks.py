@@ -7,10 +7,15 @@ least ``m - q + 1 - k q`` q-grams with the item, on diagonals (place in text min
 place in item) that differ by at most ``k``. So q-grams of the texts are looked up
 in an index of the items, counted in overlapping bands of ``k + 1`` and again as
 many diagonals, and only bands that reach the bound are aligned. The alignment is
-banded, global in the item and free at both ends of the text.
+banded, global in the item and free at both ends of the text. ``q`` is ``Q``, or the
+largest number that keeps the bound positive for a short item. An item too short
+for an edit (``k`` = 0 and under ``Q`` bytes) is, if it is wanted, found where it
+stands as it is, between spaces or ends of the text.
 
 Items are the stated query set. They come to the driver block by block, each block
-of bounded bytes, and every block is held against all rows.
+of bounded bytes that goes to the executors as one broadcast, and a worker holds every
+block against all rows it reads. It keeps the indices of a few blocks; with more
+blocks it reads longer slices of text for each time that it builds them all.
 """
 
 from __future__ import annotations
@@ -25,13 +30,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .common import carried
+from .common import SLICE_BYTES, carried
 
 Q = 12
 #: Edits allowed, as a share of an item's folded bytes.
 EDIT_RATE = 0.06
-#: Folded bytes of items that one pass over the documents looks for.
+#: Folded bytes of the items in one block.
 BLOCK_BYTES = 4 << 20
+#: Indices of blocks that a worker keeps.
+KEPT_BLOCKS = 2
+#: Bytes of text for which a worker goes through blocks that it can't keep.
+LONG_SLICE = 16 << 20
+#: Shared q-grams that are counted at once; more are counted in parts.
+HITS = 1 << 21
 
 _FOLD = np.frombuffer(bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256)), np.uint8)
 _PART = 1 << 20
@@ -68,16 +79,25 @@ class Item:
     text: bytes
     budget: int
     bound: int
+    #: Length of the q-grams it is looked up by.
+    q: int
 
+    @property
+    def whole(self) -> bool:
+        """Is it found only as it stands, between spaces?"""
+        return self.q == len(self.text) < Q
 
-def prepare(item: int, text: str | None, q: int = Q, rate: float = EDIT_RATE) -> Item | None:
-    """An item with its edit budget, which is cut so that the lemma's bound stays positive; None if shorter than ``q``."""
+
+def prepare(item: int, text: str | None, q: int = Q, rate: float = EDIT_RATE, short: bool = False) -> Item | None:
+    """An item with its edit budget, and q-grams short enough that the lemma's bound is positive; None without a letter or
+    digit, and for items under ``q`` bytes unless they are wanted."""
     own = folded((text or "").encode())[0].tobytes().strip()
     m = len(own)
-    if m < q:
+    if not m or m < q and not short:
         return None
-    k = min(int(rate * m), (m - q) // q)
-    return Item(item, own, k, m - q + 1 - k * q)
+    k = int(rate * m)
+    q = min(q, m // (k + 1))
+    return Item(item, own, k, m - q + 1 - k * q, q)
 
 
 def align(item: bytes, region: bytes, width: int) -> tuple[int, int, int]:
@@ -111,36 +131,93 @@ def align(item: bytes, region: bytes, width: int) -> tuple[int, int, int]:
     return edits, d, end
 
 
-class _Index:
-    """Q-grams of a block of items."""
+class _Grams:
+    """Q-grams of one length of some items of a block."""
 
-    def __init__(self, items: list[Item], q: int) -> None:
-        kernel.HELD.clear()
-        self.items, self.q = items, q
-        grams = [_grams(np.frombuffer(i.text, np.uint8), q) for i in items]
-        all_ = np.concatenate(grams) if grams else np.empty(0, np.uint64)
+    def __init__(self, numbers: list[int], items: list[Item], q: int) -> None:
+        self.q = q
+        grams = [_grams(np.frombuffer(items[k].text, np.uint8), q) for k in numbers]
+        all_ = np.concatenate(grams)
         order = np.argsort(all_, kind="stable")
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in grams])[order]
-        self.place = (np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64))[order]
+        self.item = np.repeat(np.array(numbers, np.int32), [len(g) for g in grams])[order]
+        self.place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams])[order]
         self.keys, self.first = np.unique(all_[order], return_index=True)
         self.count = np.diff(np.append(self.first, len(all_)))
-        self.bits = max(16, int(np.ceil(np.log2(max(2, 32 * len(self.keys))))))
+        self.bits = max(16, int(np.ceil(np.log2(max(2, 8 * len(self.keys))))))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.budget = np.array([i.budget for i in items])
-        self.bound = np.array([i.bound for i in items])
 
-    def hits(self, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places in ``buf`` whose q-gram an item has; the item's number; the place in the item."""
+    def places(self, buf: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places in ``buf`` whose q-gram an item has and that one text holds, the q-gram's number, and the text's."""
         h = _grams(buf, self.q)
         at = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
         k = np.searchsorted(self.keys, h[at])
         k[k == len(self.keys)] = 0
         same = self.keys[k] == h[at]
         at, k = at[same], k[same]
-        n = self.count[k]
-        which = np.repeat(self.first[k] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())
-        return np.repeat(at, n), self.item[which], self.place[which]
+        owner = np.searchsorted(edge, at, "right") - 1
+        inside = at + self.q <= edge[owner + 1]
+        return at[inside], k[inside], owner[inside]
+
+    def parts(self, k: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of item numbers that have at most ``HITS`` hits for the q-grams ``k``, or hold one item."""
+        if int(self.count[k].sum()) <= HITS:
+            yield 0, int(self.item.max()) + 1
+            return
+        often = np.bincount(k, minlength=len(self.keys))
+        hits = np.cumsum(np.bincount(self.item, weights=np.repeat(often, self.count)))
+        lo = 0
+        while lo < len(hits):
+            before = hits[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(hits, before + HITS, "right")))
+            yield lo, hi
+            lo = hi
+
+    def bands(self, at: np.ndarray, k: np.ndarray, owner: np.ndarray, budget: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Text, item and band of the shared q-grams with the items ``lo .. hi``, each band once, and how many it has.
+
+        Each diagonal counts in two bands, so that any ``k + 1`` neighbours share one.
+        """
+        chosen = np.flatnonzero((self.item >= lo) & (self.item < hi)) if hi - lo <= self.item.max() else np.arange(len(self.item))
+        key = np.repeat(np.arange(len(self.keys)), self.count)[chosen]
+        item, place = self.item[chosen].astype(np.int64), self.place[chosen].astype(np.int64)
+        count = np.bincount(key, minlength=len(self.keys))
+        first = np.cumsum(count) - count
+        made, a, upto = None, 0, np.cumsum(count[k])
+        while a < len(at):
+            b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + HITS, "right")))
+            n = count[k[a:b]]
+            which = np.repeat(first[k[a:b]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            own, it = np.repeat(owner[a:b], n), item[which]
+            low = (np.repeat(at[a:b], n) - place[which]) // (budget[it] + 1)
+            a = b
+            now = _counted(np.stack([np.tile(own, 2), np.tile(it, 2), np.concatenate([low, low - 1])]), np.ones(2 * len(own), np.int64))
+            made = now if made is None else _counted(np.concatenate([made[0], now[0]], axis=1), np.concatenate([made[1], now[1]]))
+        return made if made is not None else (np.empty((3, 0), np.int64), np.empty(0, np.int64))
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct columns of ``keys`` in ascending order, with the sums of their counts."""
+    if not keys.shape[1]:
+        return keys, counts
+    order = np.lexsort(keys[::-1])
+    keys = keys[:, order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+    return keys[:, first], np.add.reduceat(counts[order], first)
+
+
+class _Index:
+    """Q-grams of a block of items, by their length."""
+
+    def __init__(self, items: list[Item]) -> None:
+        kernel.HELD.clear()
+        self.items = items
+        by: dict[int, list[int]] = {}
+        for k, item in enumerate(items):
+            by.setdefault(item.q, []).append(k)
+        self.grams = [_Grams(numbers, items, q) for q, numbers in sorted(by.items())]
+        self.budget = np.array([i.budget for i in items], np.int64)
+        self.bound = np.array([i.bound for i in items], np.int64)
 
     def search(self, texts: list[bytes | None]) -> dict[int, dict[int, tuple[int, int, int]]]:
         """By text number and item number: edits, and first and last byte of the best place in the text."""
@@ -150,45 +227,41 @@ class _Index:
         buf, source = folded(joined, offsets[:-1])
         edge = np.searchsorted(source, offsets)
         found: dict[int, dict[int, tuple[int, int, int]]] = {}
-        if not len(self.keys):
-            return found
-        at, item, place = self.hits(buf)
-        owner = np.searchsorted(edge, at, "right") - 1
-        inside = at + self.q <= edge[owner + 1]
-        at, item, place, owner = at[inside], item[inside], place[inside], owner[inside]
-        if not len(at):
-            return found
-        band = self.budget[item] + 1
-        low = (at - place) // band
-        # each diagonal counts in two bands, so that any k + 1 neighbours share one
-        keys = np.stack([np.tile(owner, 2), np.tile(item, 2), np.concatenate([low, low - 1])])
-        order = np.lexsort(keys[::-1])
-        keys = keys[:, order]
-        new = np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
-        first = np.flatnonzero(new)
-        count = np.diff(np.append(first, keys.shape[1]))
-        for i, k, b in keys[:, first[count >= self.bound[keys[1, first]]]].T.tolist():
-            it, own = self.items[k], found.setdefault(i, {})
-            if k in own and own[k][0] == 0:
-                continue
-            # before its first shared q-gram and after its last one a place may lie up to the budget beside the band
-            lo, width = b * (it.budget + 1) - it.budget, 4 * it.budget + 2
-            start, stop = max(lo, int(edge[i])), min(lo + len(it.text) + width, int(edge[i + 1]))
-            # diagonals before the text are kept: a zero byte, which no folded text has, costs as much as the item's byte left out
-            before = start - lo
-            region = bytes(before) + buf[start:stop].tobytes()
+        for grams in self.grams:
+            at, k, owner = grams.places(buf, edge)
+            for lo, hi in grams.parts(k) if len(at) else ():
+                keys, count = grams.bands(at, k, owner, self.budget, lo, hi)
+                for i, number, b in keys[:, count >= self.bound[keys[1]]].T.tolist():
+                    self._verify(found.setdefault(i, {}), number, b, buf, source, int(edge[i]), int(edge[i + 1]), int(offsets[i]))
+        return {i: v for i, v in found.items() if v}
+
+    def _verify(self, own: dict[int, tuple[int, int, int]], number: int, band: int, buf: np.ndarray, source: np.ndarray, first: int, last: int, offset: int) -> None:
+        """Align an item in one band of a text, ``buf[first:last]``, and keep the place if it is the best yet."""
+        it = self.items[number]
+        if number in own and own[number][0] == 0:
+            return
+        # before its first shared q-gram and after its last one a place may lie up to the budget beside the band
+        lo, width = band * (it.budget + 1) - it.budget, 4 * it.budget + 2
+        start, stop = max(lo, first), min(lo + len(it.text) + width, last)
+        # diagonals before the text are kept: a zero byte, which no folded text has, costs as much as the item's byte left out
+        before = start - lo
+        region = bytes(before) + buf[start:stop].tobytes()
+        if it.whole:
+            padded = (b" " if start == first else buf[start - 1 : start].tobytes()) + buf[start:stop].tobytes() + (b" " if stop == last else buf[stop : stop + 1].tobytes())
+            x = padded.find(b" " + it.text + b" ")
+            edits, x, y = (0, before + x, before + x + len(it.text)) if x >= 0 else (1, 0, 0)
+        else:
             exact = region.find(it.text)
             edits, x, y = (0, exact, exact + len(it.text)) if exact >= 0 else align(it.text, region, width)
-            x, y = max(x - before, 0), y - before
-            if edits <= it.budget and y > x and (k not in own or edits < own[k][0]):
-                own[k] = (edits, int(source[start + x] - offsets[i]), int(source[start + y - 1] - offsets[i]) + 1)
-        return {i: v for i, v in found.items() if v}
+        x, y = max(x - before, 0), y - before
+        if edits <= it.budget and y > x and (number not in own or edits < own[number][0]):
+            own[number] = (edits, int(source[start + x] - offset), int(source[start + y - 1] - offset) + 1)
 
 
-def _blocks(bench: DataFrame, item: str, text: str, q: int, rate: float) -> Iterator[list[Item]]:
+def _blocks(bench: DataFrame, item: str, text: str, q: int, rate: float, short: bool) -> Iterator[list[Item]]:
     block, size = [], 0
     for row in bench.select(F.col(item).cast("long"), F.col(text).cast("string")).toLocalIterator():
-        own = prepare(row[0], row[1], q, rate)
+        own = prepare(row[0], row[1], q, rate, short)
         if own:
             block.append(own)
             size += len(own.text)
@@ -199,28 +272,61 @@ def _blocks(bench: DataFrame, item: str, text: str, q: int, rate: float) -> Iter
         yield block
 
 
-def screen(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
+class _Blocks:
+    """The blocks of a worker; it keeps the indices of the last few."""
+
+    def __init__(self, handles: list) -> None:
+        self.handles, self.kept = handles, {}
+
+    def __iter__(self) -> Iterator[_Index]:
+        for k, handle in enumerate(self.handles):
+            if k not in self.kept:
+                if len(self.kept) >= KEPT_BLOCKS:
+                    self.kept.pop(next(iter(self.kept)))
+                self.kept[k] = _Index(handle.value)
+            yield self.kept[k]
+
+
+def screen(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE, short: bool = False) -> DataFrame:
     """``docs`` with ``leaks``: for each item that stands in the text, its id, ``edits``, and ``start`` and ``end`` (in
     characters) of the best place, the first of ties by diagonal. An input column ``leaks`` is replaced.
 
-    A null or empty text has no leaks, and stays as it is. Items that fold to fewer bytes than ``q`` identify nothing
-    and are never found. Repeated items are each reported. Without items every list is empty.
+    A null or empty text has no leaks, and stays as it is. Items that fold to no letter or digit identify nothing and
+    are never found. Items under ``q`` folded bytes are found with ``short``, and only as they stand between spaces.
+    Repeated items are each reported. Without items every list is empty.
     """
     leak = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
     packed, rest = carried(docs, ["leaks"])
-    out = packed.select("_row", F.col(text).cast("string").alias("_text"), F.array().cast(T.ArrayType(leak)).alias("_found"))
-    schema = T.StructType([out.schema["_row"], T.StructField("_text", T.StringType()), T.StructField("_found", T.ArrayType(leak))])
-    for block in _blocks(bench, item, item_text, q, rate):
-
-        def run(batches: Iterator[pa.RecordBatch], block: list[Item] = block) -> Iterator[pa.RecordBatch]:
-            index = _Index(block, q)
-            for batch, texts in kernel.slices(batches, "_text"):
-                lists = batch.column(2).to_pylist()
-                for i, own in index.search(texts).items():
-                    chars = lambda n, t=texts[i]: len(t[:n].decode(errors="ignore"))
-                    lists[i] = sorted([*lists[i], *({"item_id": block[k].item, "edits": e, "start": chars(a), "end": chars(b)} for k, (e, a, b) in own.items())], key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lists, arrow)], ["_row", "_text", "_found"])
-
-        out = out.mapInArrow(run, schema)
-    return out.select(*[F.col("_row")[c].alias(c) for c in rest], F.col("_found").alias("leaks"))
+    packed = packed.select("_row", F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([packed.schema["_row"], T.StructField("leaks", T.ArrayType(leak))])
+    context = docs.sparkSession.sparkContext
+    # one block at a time is in the driver's Python; executors fetch a block when a worker first needs it
+    handles = [context.broadcast(block) for block in _blocks(bench, item, item_text, q, rate, short)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = _Blocks(handles)
+        most = LONG_SLICE if len(handles) > KEPT_BLOCKS else SLICE_BYTES
+        for batch, texts in kernel.slices(batches, "_text", most):
+            lists: list[list[dict]] = [[] for _ in texts]
+            for index in blocks:
+                # a search looks at a slice's bytes; longer ones are cut where texts end
+                for lo, part in _cut(texts):
+                    for i, own in index.search(part).items():
+                        chars = lambda n, t=part[i]: len(t[:n].decode(errors="ignore"))
+                        lists[lo + i] += [{"item_id": index.items[k].item, "edits": e, "start": chars(a), "end": chars(b)} for k, (e, a, b) in own.items()]
+            for own in lists:
+                own.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, x["start"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lists, arrow)], ["_row", "leaks"])
+
+    out = packed.mapInArrow(run, schema)
+    return out.select(*[F.col("_row")[c].alias(c) for c in rest], "leaks")
+
+
+def _cut(texts: list[bytes | None]) -> Iterator[tuple[int, list[bytes | None]]]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or b"")
+        if size >= SLICE_BYTES or i == len(texts) - 1:
+            yield lo, texts[lo : i + 1]
+            lo, size = i + 1, 0

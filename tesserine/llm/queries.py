@@ -254,7 +254,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = leaks.screen(docs, table(spark, sf_dir, "benchmark")).select("doc_id", F.explode("leaks").alias("leak"))
+    found = leaks.screen(docs, table(spark, sf_dir, "benchmark"), short=True).select("doc_id", F.explode("leaks").alias("leak"))
     return found.select("doc_id", "leak.item_id", "leak.edits", "leak.start", "leak.end")
 
 

@@ -260,7 +260,7 @@ def test_leaks_against_brute_force():
     r = random.Random(7)
     letters = "abcde "
     items = [leaks.prepare(i, "".join(r.choice(letters) for _ in range(r.randint(30, 90)))) for i in range(12)]
-    index = leaks._Index(items, leaks.Q)
+    index = leaks._Index(items)
     texts = []
     for _ in range(60):
         own = list(r.choice(items).text.decode())
@@ -291,7 +291,7 @@ def test_leaks_at_the_ends_of_a_text():
             own[k : k + 1] = r.choice([[], [], ["a"], [own[k], "b"]])
         rest = "".join(r.choice(letters) for _ in range(40))
         texts.append(r.choice(["".join(own) + rest, rest + "".join(own), "".join(own)]).encode())
-    found = leaks._Index(items, leaks.Q).search(texts)
+    found = leaks._Index(items).search(texts)
     assert all(k % 12 in found.get(k, {}) for k in range(36))
     for i, t in enumerate(texts):
         flat = leaks.folded(t + b"\n")[0].tobytes()
@@ -300,6 +300,58 @@ def test_leaks_at_the_ends_of_a_text():
         assert all(0 <= a < b <= len(t) + 1 for _, a, b in found.get(i, {}).values())
 
 
+def test_leaks_of_short_items(spark):
+    own = ["E=mc2", "a b", "!?", "x1", "Exactly twelve", "twenty bytes of item", "an item of thirty four bytes here o"]
+    bench = spark.createDataFrame(list(enumerate(own)), "item_id long, text string")
+    texts = ["so E = mc2, he said", "e=mc22", "X1", "ax1", "see exactly  twelve.", "a twenty byte of item b", "an item of thirtyfour bytes her o", "an item of thrty fur bytes here o"]
+    got = {r.doc_id: [(x.item_id, x.edits) for x in r.leaks] for r in leaks.screen(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench, short=True).collect()}
+    assert got[0] == [(0, 0)] and not got[1] and got[2] == [(3, 0)] and not got[3] and got[4] == [(4, 0)]
+    assert got[5] == [(5, 1)] and got[6] == [(6, 2)] and [i for i, _ in got[7]] == [6]
+    for m in range(1, 400):
+        item = leaks.prepare(0, "x" * m, short=True)
+        assert item.bound >= 1 and item.q >= 1 and item.budget == int(leaks.EDIT_RATE * m)
+
+
+def test_leaks_in_blocks_and_parts_are_those_of_one(spark, monkeypatch):
+    r = random.Random(9)
+    opening = "consider the following question and answer "
+    own = [opening + " ".join(r.choice(["red", "blue", "tree", "house", "river", "stone"]) + str(r.randint(0, 99)) for _ in range(8)) for _ in range(40)]
+    bench = spark.createDataFrame(list(enumerate(own)), "item_id long, text string")
+    texts = [opening * 30, own[3] + " and " + own[7], opening * 5 + own[11][:-2], "nothing", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    of = lambda: sorted((x.doc_id, tuple(map(tuple, x.leaks))) for x in leaks.screen(docs, bench).collect())
+    one = of()
+    assert [len(x[1]) for x in one] == [0, 2, 1, 0, 0]
+    index = leaks._Index([leaks.prepare(i, t) for i, t in enumerate(own)])
+    whole = index.search([(t or "").encode() for t in texts])
+    monkeypatch.setattr(leaks, "HITS", 50)
+    assert index.search([(t or "").encode() for t in texts]) == whole
+    monkeypatch.setattr(leaks, "BLOCK_BYTES", 300)
+    assert of() == one
+
+
+def test_leaks_tell_places_that_are_so_many_edits_away():
+    r = random.Random(12)
+    items = [leaks.prepare(i, "".join(r.choice("abcdef ") for _ in range(r.randint(40, 120)))) for i in range(8)]
+    texts = []
+    for _ in range(80):
+        own = list(r.choice(items).text.decode())
+        for _ in range(r.randint(0, 5)):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice([[], ["a"], [own[k], "b"]])
+        texts.append(("Gh, " * r.randint(0, 9) + "".join(own) + " ij" * r.randint(0, 9)).encode())
+    for i, own in leaks._Index(items).search(texts).items():
+        for k, (edits, a, b) in own.items():
+            part = leaks.folded(texts[i][a:b])[0].tobytes()
+            before = list(range(len(part) + 1))
+            for x, c in enumerate(items[k].text, 1):
+                now = [x]
+                for y, d in enumerate(part, 1):
+                    now.append(min(before[y - 1] + (c != d), before[y] + 1, now[y - 1] + 1))
+                before = now
+            assert before[-1] == edits == edit_distance(items[k].text, leaks.folded(texts[i] + b"\n")[0].tobytes())
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.com/en/7x?q", None), (2, "https://x.com/en/", ""), (3, "no scheme", "<a href='//b.net/'>"), (4, None, None), (5, "ftp://net#f", "x"), (6, "x://y.example.net/de/81/a", "h"), (6, "x://y.example.net/de/81/a", "h"), (7, "a://evil.org/es/1", "<a href=http://friend.io/>")]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))).collect()}
