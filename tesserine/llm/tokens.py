@@ -5,11 +5,13 @@ digits, other signs, a few English endings) and merges inside each piece alone.
 Texts repeat pieces far more than they differ: each worker keeps a bounded memory of
 pieces that the library has encoded. Only texts whose normal form and split are
 certain (ASCII and Latin-1 letters, no other control characters, no special tokens)
-go this way; all others go to the library whole.
+go this way; all others go to the library whole. So do all texts under any other file:
+the way by pieces is taken only where the file's own steps are the ones it stands for.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -28,6 +30,28 @@ _LETTERS = "a-zß-öø-ÿ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
+# The steps of a file whose texts may be split here.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_here(path: str) -> bool:
+    """Does the file normalise and split texts by the steps that :class:`Encoder` follows itself?"""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    plain = all(not t["normalized"] and not t["single_word"] and not t["lstrip"] and not t["rstrip"] for t in made["added_tokens"])
+    return (
+        made["normalizer"] == _NORMALIZER and made["pre_tokenizer"] == _SPLITTER and made["model"]["type"] == "BPE" and not made["model"]["dropout"]
+        and made["truncation"] is None and plain
+    )
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -42,6 +66,7 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path = path
+        self.split = splits_here(path)
         # the library's merges, for pieces that are normal and split already
         self.piece = Tokenizer.from_file(path)
         self.piece.normalizer = normalizers.Sequence([])
@@ -70,7 +95,7 @@ class Encoder:
         waiting: list[tuple[str, list, list[str], list[int]]] = []
         asked: dict[str, None] = {}
         for t in texts:
-            if not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
+            if not self.split or not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
                 waiting.append((t, None, None, None))
                 continue
             own = _PIECES.findall(t.lower())
@@ -85,7 +110,7 @@ class Encoder:
                 else:
                     ids[i] = self.new[own[i]] = known
             waiting.append((t, ids, own, left))
-            if len(asked) >= _CALL:
+            if len(asked) >= _CALL or len(waiting) >= _CALL:
                 yield from self._answered(waiting, asked)
                 waiting, asked = [], {}
         yield from self._answered(waiting, asked)

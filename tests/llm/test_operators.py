@@ -192,6 +192,20 @@ def test_encoder_is_the_library(library):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_encoder_is_the_library_for_every_file():
+    import glob
+    import os
+
+    from tokenizers import Tokenizer
+
+    files = sorted(glob.glob(os.path.join(os.path.dirname(tokens.vocabulary_path()), "*.json")))
+    assert len(files) > 1 and [f for f in files if tokens.splits_here(f)] == [tokens.vocabulary_path()]
+    own = [*ODD, "The Quick brown FOX, it's 42 times", "  two  spaces\n\nlines\t"]
+    for path in files:
+        whole = Tokenizer.from_file(path)
+        assert [np.frombuffer(i, "<u4").tolist() for i in tokens.Encoder(path).encode(own)] == [whole.encode(t, add_special_tokens=False).ids for t in own]
+
+
 def test_encoder_forgets_and_learns_again(library, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBER", 40)
     r = random.Random(1)
