@@ -10,13 +10,15 @@ Segment layout, little-endian::
 
     magic "TRS1" | u32 n_docs | u64 n_tokens | u32 n_symbols | u32 n_blocks
     | u32 bytes of the zlib-packed table | u32 bytes of the zlib-packed directory
-    table      n_symbols x u32 symbol, n_symbols x u32 frequency (sum 2**SCALE)
+    table      n_symbols x u32 symbol, n_symbols x u32 frequency (sum 2**scale)
     directory  n_docs x u64 ids of each document
     index      n_blocks x (u64 first word, u64 first id, u32 ids, u32 crc32 of the ids)
     states     n_blocks x LANES x u64
     words      u32 each
     u32 crc32 of all before it
 
+The scale is ``SCALE``, or as much more as twice the number of symbols needs.
+
 Segments are rows of a Parquet table (order, documents, bytes), which any store
 that Spark writes can hold.
 """
@@ -41,6 +43,8 @@ LANES = 32
 BLOCK = 1 << 16
 #: A segment ends with the document that brings it to so many ids.
 SEGMENT = 1 << 22
+#: Characters of a text by which rows of one key are dealt apart.
+TIE = 64
 #: Segments whose first ids are sent to every executor; those of more are joined by a shuffle.
 BROADCAST_SEGMENTS = 1_000_000
 
@@ -49,20 +53,22 @@ _HEAD = struct.Struct("<4sIQIIII")
 _INDEX = np.dtype([("word", "<u8"), ("first", "<u8"), ("n", "<u4"), ("crc", "<u4")])
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
-_SCALE = np.uint64(SCALE)
+
+
+def scale_for(symbols: int) -> int:
+    """Bits of a table in which every symbol can have a share and most of it is left for the frequent ones."""
+    return max(SCALE, symbols.bit_length() + 1)
 
 
 def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols that occur and their shares of ``2**SCALE``, each at least 1."""
+    """Symbols that occur and their shares of the table's whole, each at least 1."""
     count = np.bincount(ids)
     symbols = np.flatnonzero(count)
-    if len(symbols) > 1 << (SCALE - 1):
-        raise ValueError(f"{len(symbols)} different ids are too many for a table of 2**{SCALE}")
     if not len(symbols):
         return symbols, count
-    count = count[symbols]
-    freq = np.maximum(1, count * (1 << SCALE) // count.sum())
-    over = int(freq.sum()) - (1 << SCALE)
+    count, whole = count[symbols], 1 << scale_for(len(symbols))
+    freq = np.maximum(1, count * whole // count.sum())
+    over = int(freq.sum()) - whole
     if over < 0:
         freq[np.argmax(freq)] -= over
     for at in np.argsort(-freq) if over > 0 else ():
@@ -77,19 +83,20 @@ def frequency_table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _encode_blocks(index: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """States and words of blocks of equal length: ``index[block, id]`` are symbol numbers."""
     blocks, n = index.shape
+    scale = np.uint64(scale_for(len(freq)))
     x = np.full((blocks, LANES), _LOW)
     out: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range((n - 1) // LANES * LANES, -1, -LANES):
         s = index[:, at : at + LANES]
         m = s.shape[1]
         f, y = freq[s], x[:, :m]
-        full = y >= (f << np.uint64(63 - SCALE))
+        full = y >= (f << (np.uint64(63) - scale))
         b, _ = np.nonzero(full)
         if len(b):
             out.append((b, (y[full] & np.uint64(0xFFFFFFFF)).astype("<u4")))
             y = np.where(full, y >> _32, y)
         q = y // f
-        x[:, :m] = (q << _SCALE) + (y - q * f) + cum[s]
+        x[:, :m] = (q << scale) + (y - q * f) + cum[s]
     if not out:
         return x, [np.empty(0, "<u4")] * blocks
     out.reverse()  # the decoder reads forwards
@@ -150,13 +157,14 @@ class Segment:
     def _decode(self, which: np.ndarray, n: int) -> np.ndarray:
         x, next_ = self.states[which].astype(np.uint64), self.index["word"][which].astype(np.int64)
         out = np.empty((len(which), n), "<u4")
-        low = np.uint64((1 << SCALE) - 1)
+        scale = np.uint64(scale_for(len(self.symbols)))
+        low = (np.uint64(1) << scale) - np.uint64(1)
         for at in range(0, n, LANES):
             y = x[:, : min(LANES, n - at)]
             slot = y & low
             s = self.slots[slot]
             out[:, at : at + LANES] = self.symbols[s]
-            y = self.freq[s] * (y >> _SCALE) + slot - self.cum[s]
+            y = self.freq[s] * (y >> scale) + slot - self.cum[s]
             need = y < _LOW
             ahead = np.cumsum(need, axis=1)
             if ahead[:, -1].any():
@@ -203,7 +211,9 @@ def write_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", path:
     spark = docs.sparkSession
     vocabulary, end = path or tokens.vocabulary_path(), np.array([end_id], "<u4").tobytes()
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.col(text).cast("string").alias("_text"))
-    rows = rows.repartitionByRange(partitions(spark), F.col("_key").asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first(), "_text")
+    # rows of one key, or of none, are dealt by how their text begins, which keeps the order by text
+    tie = F.substring("_text", 1, TIE)
+    rows = rows.repartitionByRange(partitions(spark), F.col("_key").asc_nulls_first(), tie.asc_nulls_first()).sortWithinPartitions(F.col("_key").asc_nulls_first(), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, keys, own, size = TaskContext.get().partitionId(), 0, [], [], 0

@@ -104,6 +104,13 @@ def test_segments_round_trip():
             assert s.block(k).tobytes() == b"".join(docs)[4 * rans.BLOCK * k : 4 * rans.BLOCK * (k + 1)]
 
 
+def test_a_segment_of_very_many_symbols():
+    ids = np.random.default_rng(0).permutation(700_000).astype("<u4")
+    ids = np.concatenate([ids, np.zeros(300_000, "<u4")])
+    assert rans.scale_for(700_000) > rans.SCALE
+    assert list(rans.Segment(rans.encode([ids.tobytes(), b"", ids[:9].tobytes()])).documents()) == [ids.tobytes(), b"", ids[:9].tobytes()]
+
+
 def test_a_damaged_segment_is_noticed():
     data = bytearray(rans.encode([np.arange(5000, dtype="<u4").tobytes()]))
     data[len(data) // 2] ^= 1
