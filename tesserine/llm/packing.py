@@ -8,18 +8,21 @@ segment tree over remaining capacities finds the tightest open bin for each run
 of equal documents in logarithmic time. The outcome is that of one global
 best-fit-decreasing pass over every document, at a cost that does not grow with
 their number. Each piece then finds its place by its rank among pieces of its
-length.
+length: its rank within its task, known as it is made, and the pieces of that length
+of the tasks before, one row of numbers for each task. Ids are written once and only
+read after that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +31,8 @@ from .common import carried, stored
 
 CAPACITY = 4096
 END_ID = 1
-#: Rows of placements that are sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of the tasks' rows that are sent to every executor; more are joined by a shuffle of the pieces.
+BROADCAST_BYTES = 64 << 20
 
 
 class CapacityTree:
@@ -140,26 +143,38 @@ def pieces(docs: DataFrame, text: str, capacity: int, path: str, end_id: int) ->
     return packed.mapInArrow(run, schema)
 
 
-def _placements(groups: DataFrame, runs: list[Run]) -> DataFrame:
-    """Split runs at the borders of the tasks' groups: which bins take which ranks of each ``(_part, length)``."""
-    by: dict[int, list[Run]] = {}
-    for r in runs:
-        by.setdefault(r.length, []).append(r)
-    table = {k: np.array([(r.rank, r.n, r.bin, r.each, r.fill) for r in sorted(v, key=lambda r: r.rank)], np.int64) for k, v in by.items()}
-    names = ["_part", "length", "lo", "hi", "base", "bin", "each", "fill"]
+def _offsets(made: DataFrame, capacity: int) -> DataFrame:
+    """For each task (``_part``) how many pieces of each length the tasks before it have, by length."""
+    groups = made.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    first = groups.select("_part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for part, length, first, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                t = table[length]
-                a = int(np.searchsorted(t[:, 0], first, "right")) - 1
-                b = int(np.searchsorted(t[:, 0], first + n, "left"))
-                for rank, size, bin_, each, fill in t[a:b].tolist():
-                    rows.append((part, length, max(rank - first, 0), min(rank + size - first, n), rank - first, bin_, each, fill))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] or [pa.array([], pa.int64())] * 8, names)
+    def dense(rows: pa.Table) -> pa.Table:
+        out = np.zeros(capacity + 1, np.int64)
+        out[rows.column("length").to_numpy()] = rows.column("first").to_numpy()
+        return pa.table([rows.column("_part").slice(0, 1), pa.array([out], pa.list_(pa.int64()))], ["_part", "offsets"])
+
+    return first.groupBy("_part").applyInArrow(dense, "_part long, offsets array<long>")
+
+
+_PLACE = "sequence_id long, offset long"
 
-    return groups.mapInArrow(run, ", ".join(f"{n} long" for n in names))
+
+def _placer(runs: list[Run]) -> Callable[[Column, Column], Column]:
+    """A function of a piece's length and its rank among all pieces of that length to its place."""
+    runs = sorted(runs, key=lambda r: (r.length, r.rank))
+    length, rank, bin_, each, fill = (np.array([getattr(r, c) for r in runs], np.int64) for c in ("length", "rank", "bin", "each", "fill"))
+    # ranks of one length ascend; a length's ranks stay below 2**50
+    key = (length << 50) + rank
+
+    @F.pandas_udf(_PLACE)
+    def place(n: pd.Series, at: pd.Series) -> pd.DataFrame:
+        n, at = n.to_numpy(np.int64), at.to_numpy(np.int64)
+        k = np.searchsorted(key, (n << 50) + at, "right") - 1
+        step = at - rank[k]
+        return pd.DataFrame({"sequence_id": bin_[k] + step // each[k], "offset": fill[k] + step % each[k] * n})
+
+    return place
 
 
 def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -171,19 +186,12 @@ def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: st
     each. An empty table gives an empty result. No text is cut but into whole pieces of ``capacity``.
     """
     made = stored(pieces(docs, text, capacity, path or tokens.vocabulary_path(), end_id), "pieces")
-    groups = made.groupBy("_part", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = groups.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_part", "length", "first", "n")
-    places = stored(_placements(first, best_fit_decreasing(counts, capacity)), "places")
-    side = F.broadcast(places) if places.count() <= BROADCAST_ROWS else places
-    m, p = made.alias("m"), side.alias("p")
-    joined = m.join(p, (F.col("m._part") == F.col("p._part")) & (F.col("m.length") == F.col("p.length")) & (F.col("m._rank") >= F.col("p.lo")) & (F.col("m._rank") < F.col("p.hi")))
-    at = F.col("m._rank") - F.col("p.base")
+    offsets = stored(_offsets(made, capacity), "offsets")
+    if offsets.count() * 8 * (capacity + 1) <= BROADCAST_BYTES:
+        offsets = F.broadcast(offsets)
+    place = _placer(best_fit_decreasing(counts, capacity))
+    ranked = made.join(offsets, "_part").withColumn("_at", F.col("_rank") + F.get("offsets", F.col("length").cast("int")))
+    placed = ranked.select("_row", "piece", "start", "length", "ids", place("length", "_at").alias("_place"))
     rest = [c for c in made.schema["_row"].dataType.names if c != "_none"]
-    return joined.select(
-        *[F.col("m._row")[c].alias(c) for c in rest],
-        *[F.col(f"m.{c}") for c in ("piece", "start", "length", "ids")],
-        (F.col("p.bin") + F.floor(at / F.col("p.each"))).cast("long").alias("sequence_id"),
-        (F.col("p.fill") + (at % F.col("p.each")) * F.col("m.length")).cast("long").alias("offset"),
-    )
+    return placed.select(*[F.col("_row")[c].alias(c) for c in rest], "piece", "start", "length", "ids", "_place.sequence_id", "_place.offset")

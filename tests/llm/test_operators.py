@@ -226,6 +226,31 @@ def test_token_files(docs, library):
     assert rans.round_trip(empty(docs)).count() == 0
 
 
+def test_token_files_deal_rows_of_one_key_apart(spark, library):
+    r = random.Random(4)
+    rows = [(None, " ".join(r.choice("abcdefgh") * r.randint(1, 5) for _ in range(30))) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    written = rans.write_tokens(frame)
+    assert written.select("part").distinct().count() > 1
+    got = [(x.start, x.n_tokens) for x in rans.read_tokens(written).orderBy("start").collect()]
+    sizes = [len(library.encode(t, add_special_tokens=False).ids) + 1 for _, t in sorted(rows, key=lambda x: x[1])]
+    assert got == [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
+
+
+def test_packing_by_a_shuffle_is_the_same(docs, monkeypatch):
+    of = lambda: sorted((str(r.doc_id), bytes(r.ids), r.piece) for r in packing.pack(docs, capacity=300).collect())
+    one = of()
+    monkeypatch.setattr(packing, "BROADCAST_BYTES", 0)
+    assert of() == one
+
+
+def test_packing_uses_as_few_sequences_as_one_global_pass(docs):
+    from .test_kernel import brute
+
+    made = packing.pack(docs, capacity=300).select("length", "sequence_id").collect()
+    assert len({r.sequence_id for r in made}) == len(brute([r.length for r in made], 300))
+
+
 def test_packing(docs, library):
     made = packing.pack(docs, capacity=500).collect()
     whole = {}
