@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Each rule rejects a document on one or two features of its text. A sample tells
-what a rule costs per row and what share it rejects; rules then run in order of
-rejection per cost, each only on the rows that all before it kept. The order
-changes the time only: a document is kept when no rule rejects it, whichever
+Each rule rejects a document on one or two features of its text. On a sample the
+order is built rule by rule: of the rules left, the one comes next that rejects most
+per second of those rows that the rules before it kept, where features that are
+already there cost nothing. Rules then run in that order, each only on the rows that
+all before it kept. The order changes the time only: a document is kept when no rule rejects it, whichever
 comes first, so a biased or empty sample is harmless.
 
 Nulls count as empty texts. Empty texts have zero for each feature and fall to
@@ -29,8 +30,9 @@ SYMBOLS = kernel._lut(set(b"#*$%&|<>"))
 UPPER = kernel._lut(set(range(0x41, 0x5B)))
 BANGS = kernel._lut(set(b"!"))
 
-#: Rows that :func:`plan` times the rules on; they fix the order of the rules and nothing else.
-SAMPLE_ROWS = 2000
+#: Rows that :func:`plan` times the rules on, and rows and bytes of them that one task gives. They fix the order of the
+#: rules and nothing else; texts over the bytes are left out of the sample.
+SAMPLE_ROWS, TASK_ROWS, TASK_BYTES = 2000, 32, 256 << 10
 
 
 class Features:
@@ -40,6 +42,7 @@ class Features:
         self.source = texts
         self._texts: kernel.Texts | None = None
         self._made: dict[str, np.ndarray] = {}
+        self._of: tuple[Features, np.ndarray] | None = None
 
     @property
     def texts(self) -> kernel.Texts:
@@ -49,12 +52,24 @@ class Features:
 
     def __getitem__(self, name: str) -> np.ndarray:
         if name not in self._made:
-            self._made[name] = getattr(self, f"_{name}")()
+            self._made[name] = self._of[0][name][self._of[1]] if self._of and name[0] != "(" else getattr(self, f"_{name}")()
         return self._made[name]
 
     def only(self, rows: np.ndarray) -> Features:
+        """Some of the rows. While they are most of the rows whose words are known, those are used again."""
+        top, at = self._of or (self, np.arange(len(self.source)))
         out = Features([self.source[i] for i in rows])
         out._made = {k: v[rows] for k, v in self._made.items() if k[0] != "("}
+        if 2 * len(rows) >= len(top.source):
+            out._of = top, at[rows]
+        return out
+
+    def alike(self) -> Features:
+        """The same rows with all that is known of them; what is asked of one stays unknown to the other."""
+        out = Features(self.source)
+        out._texts, out._made = self._texts, dict(self._made)
+        if self._of:
+            out._of = self._of[0].alike(), self._of[1]
         return out
 
     def _n_words(self) -> np.ndarray:
@@ -134,23 +149,51 @@ RULES = (
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(texts: list[bytes | None], rules: tuple[Rule, ...]) -> list[tuple[str, float, float]]:
-    """Name, seconds a row and share rejected of each rule, on its own over ``texts``."""
-    out = []
-    for rule in rules:
-        own = Features(texts)
-        began = time.perf_counter()
-        no = rule.rejects(own)
-        spent = time.perf_counter() - began
-        out.append((rule.name, max(spent, 1e-9) / max(1, len(texts)), float(np.mean(no)) if len(texts) else 0.0))
-    return out
+def ordered(texts: list[bytes | None], rules: tuple[Rule, ...], features: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """Rules by rejection per cost over ``texts``, each measured on the rows that those before it keep.
 
-
-def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
+    ``features`` are there anyway and cost nothing. Ties, as on no rows, stay in the order given.
+    """
+    left, out, now = list(rules), [], Features(texts)
+    for f in features:
+        now[f]
+    while left:
+        best: tuple[float, Rule, np.ndarray] | None = None
+        for rule in left:
+            own = now.alike()
+            began = time.perf_counter()
+            no = rule.rejects(own)
+            value = float(np.count_nonzero(no)) / max(time.perf_counter() - began, 1e-9)
+            if best is None or value > best[0]:
+                best = value, rule, no
+        left.remove(best[1])
+        out.append(best[1])
+        best[1].rejects(now)  # what it computes is there for the next
+        if best[2].any():
+            now = now.only(np.flatnonzero(~best[2]))
+    return tuple(out)
+
+
+def sampled(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[bytes | None]:
+    """Texts of at most ``rows`` rows, a few from the start of each of as many tasks as that takes."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                kept, size = [], 0
+                for t in kernel.binaries(batch.column(0).slice(0, TASK_ROWS)):
+                    if size + len(t or b"") <= TASK_BYTES:
+                        kept.append(t)
+                        size += len(t or b"")
+                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["t"])
+                return
+
+    return [r.t and bytes(r.t) for r in docs.select(F.col(text).cast("string").alias("t")).mapInArrow(some, "t binary").take(rows)]
+
+
+def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, features: tuple[str, ...] = ()) -> tuple[Rule, ...]:
     """Rules by rejection per cost, the highest first, as a bounded sample of rows estimates them."""
-    rows = docs.select(F.col(text).cast("string").alias("t")).take(sample_rows)  # reads as few partitions as it needs
-    found = {name: share / cost for name, cost, share in measured([r.t.encode() if r.t else b"" for r in rows], rules)}
-    return tuple(sorted(rules, key=lambda r: -found[r.name]))
+    return ordered(sampled(docs, text, sample_rows), rules, features)
 
 
 def judge(feats: Features, rules: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +228,7 @@ def cascade(
     features named are computed for every row, rejected or not; others only where
     a rule that is reached needs them.
     """
-    order = order or plan(docs, rules, text)
+    order = order or plan(docs, rules, text, features=features)
     added = ["kept", "rejected_by", "n_rules", *features]
     packed, rest = carried(docs, added)
     packed = packed.select("_row", F.col(text).cast("string").alias("_text"))

@@ -64,6 +64,26 @@ def test_quality_order_does_not_change_verdicts(docs):
     assert [r.name for r in quality.plan(empty(docs))] == [r.name for r in quality.RULES]
 
 
+def test_quality_orders_rules_by_what_they_still_reject():
+    long, short = ("word " * 80).encode(), b"w"
+    made = []
+
+    def slow(f):
+        made.append(len(f.source))
+        return np.array([b"w" in t[:1] and len(t) < 9 for t in f.source]) & (sum(range(200_000)) > 0)
+
+    first = quality.Rule("short", lambda f: f["n_words"] < 50)
+    rules = (quality.Rule("same but slow", slow), first, quality.Rule("never", lambda f: f["n_bangs"] > 10**6))
+    order = quality.ordered([long, short] * 50, rules, features=("n_words",))
+    assert order[0] is first and {r.name for r in order} == {"short", "same but slow", "never"}
+    # what the first one rejects, the others are no longer asked about
+    assert made[-1] == 50
+    f = quality.Features([long, short, long, long])
+    f["n_words"]
+    part = f.only(np.array([0, 2, 3])).only(np.array([1, 2]))
+    assert part["n_words"].tolist() == [80, 80] == quality.Features([long, long])["n_words"].tolist() and part["n_dup_lines"].tolist() == [0, 0] and part["n_bangs"].tolist() == [0, 0]
+
+
 def test_substrings(docs):
     made = substrings.deduplicate(docs)
     own = [(i, WORD.findall(t)) for i, t in rows_of(docs)]
