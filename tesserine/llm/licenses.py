@@ -1,22 +1,26 @@
 """Licence scan by a positional index of rare words.
 
-Every licence template is a short list of words. One pass over all documents
-counts in how many of them each template word occurs (its document frequency);
-the vocabulary is fixed by the templates, so the counts are a few hundred numbers
-at any size. A second pass takes, for each text, the licence words of highest
-inverse document frequency that it has (of each template whose key words it has),
-looks up where the template holds them, and lets each occurrence vote for the
-shift ``place in text - place in template``. Where votes of different words meet,
-that alignment is a candidate. It counts when every mandatory key phrase of the
-template stands in the aligned stretch.
+Every licence template is a list of words. One pass over all documents counts in how
+many of them each template word occurs (its document frequency); the vocabulary is
+fixed by the templates, so the counts are some thousand numbers at any size. The
+index holds, for each template, the postings (template, place) of its words of
+highest inverse document frequency, and of the highest of its key phrases, which no
+text with the licence can lack. A second pass takes the words of each text that
+the index holds, looks their postings up, and intersects them by relative position:
+each occurrence votes for the shift ``place in text - place in template``, and where
+different words of a template meet at shifts that lie close together, words added or
+left out between them, is a candidate. In it every mandatory key phrase of the
+template must stand, in order; each first key phrase makes one notice. Its score is
+the share of the template's words that stand in the stretch in order (their longest
+common subsequence).
 
 Base phrases are counted apart from this, at all places.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from math import log
 
 import numpy as np
@@ -27,14 +31,7 @@ from pyspark.sql import types as T
 
 from . import kernel
 from .common import carried
-
-
-@dataclass(frozen=True)
-class Template:
-    label: str
-    text: str
-    #: Phrases that must all stand in the aligned stretch.
-    keys: tuple[str, ...]
+from .licence_texts import TEMPLATES, Template
 
 
 #: Phrases of the contract and their labels.
@@ -45,52 +42,58 @@ PHRASES = {
     "mit license": "mit",
 }
 
-#: Notices as they are commonly written, in lower-case words.
-TEMPLATES = (
-    Template("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    Template("gpl-2.0", "this work is licensed under the gnu general public license version 2", ("gnu general public license", "version 2")),
-    Template("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
-    Template("agpl", "licensed under the gnu affero general public license", ("gnu affero general public license",)),
-    Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    Template("mit-notice", "released under the mit license", ("mit license",)),
-    Template("mit-grant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("permission is hereby granted free of charge", "without restriction")),
-    Template("isc-grant", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee is hereby granted")),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms", "conditions are met")),
-    Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license", "2 0")),
-    Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc", "4 0")),
-    Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa", "4 0")),
-    Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    Template("creative-commons", "this work is licensed under a creative commons attribution international license", ("creative commons attribution",)),
-    Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
-)
-
-#: Different licence words of highest IDF that a text is looked up by.
+#: Words of highest IDF that a template is looked up by; of a short one half of its words.
 RARE_WORDS = 8
-#: Words that may be missing or added between two parts of an aligned notice.
-SLACK = 4
+#: Words that may be added or left out between two words that vote for one candidate.
+GAP = 16
+
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Words of a text by the contract: A-Z lower-cased, runs of letters, digits and signs beyond ASCII."""
+    return _WORD.findall(text.translate(_SMALL))
+
+
+_SMALL = {c: c + 32 for c in range(0x41, 0x5B)}
 
 
 class _Index:
-    """Vocabulary, phrases and template postings, all as small arrays."""
+    """Vocabulary, phrases, and with ``idf`` the postings of rare words, all as small arrays."""
 
-    def __init__(self, templates: tuple[Template, ...], phrases: dict[str, str]) -> None:
+    def __init__(self, templates: tuple[Template, ...], phrases: dict[str, str], idf: np.ndarray | None = None) -> None:
         self.templates, self.phrases = templates, phrases
-        self.words = sorted({w for t in templates for s in (t.text, *t.keys) for w in s.split()} | {w for p in phrases for w in p.split()})
+        lists = [words_of(t.text) for t in templates]
+        self.words = sorted({w for own in lists for w in own} | {w for t in templates for k in t.keys for w in words_of(k)} | {w for p in phrases for w in words_of(p)})
         joined = kernel.Texts([" ".join(self.words).encode()], kernel.ALNUM)
         h = joined.hashes()
         self.order = np.argsort(h)
         self.sorted = h[self.order]
         self.number = {w: i for i, w in enumerate(self.words)}
-        self.phrase_codes = [(self._codes(p), label) for p, label in phrases.items()]
-        self.template_codes = [self._codes(t.text) for t in templates]
-        self.key_codes = [[self._codes(k) for k in t.keys] for t in templates]
-        self.postings: dict[int, list[tuple[int, int]]] = {}
+        self.phrase_codes = [(self._codes(words_of(p)), label) for p, label in phrases.items()]
+        self.template_codes = [self._codes(own) for own in lists]
+        self.key_codes = [[self._codes(words_of(k)) for k in t.keys] for t in templates]
+        # where the first and last key phrases stand in their template
+        self.before = [_first(c, k[0]) for c, k in zip(self.template_codes, self.key_codes, strict=True)]
+        self.after = [len(c) - _first(c, k[-1]) - len(k[-1]) for c, k in zip(self.template_codes, self.key_codes, strict=True)]
+        if idf is None:
+            return
+        rows = []
         for k, codes in enumerate(self.template_codes):
-            for at, c in enumerate(codes):
-                self.postings.setdefault(int(c), []).append((k, at))
-
-    def _codes(self, text: str) -> np.ndarray:
-        return np.array([self.number[w] for w in text.split()])
+            rarest = lambda own, n: own[np.lexsort((own, -idf[own]))][:n].tolist()
+            own, keys = np.unique(codes), [np.unique(key) for key in self.key_codes[k]]
+            # words that a text may lack, and two that it must have side by side, as they stand in the first key phrase
+            rare = {*rarest(own, min(RARE_WORDS, len(own) // 2)), *rarest(keys[0], 2), *(c for key in keys[1:] for c in rarest(key, 1))}
+            rows += [(c, k, int(at)) for c in rare for at in np.flatnonzero(codes == c)]
+        rows.sort()
+        self.post_template, self.post_place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
+        self.n_posts = np.bincount([r[0] for r in rows], minlength=len(self.words))
+        self.first_post = np.cumsum(self.n_posts) - self.n_posts
+        #: Different rare words that have to meet; the first key phrase alone has as many.
+        self.least = np.array([min(2, len(np.unique(keys[0]))) for keys in self.key_codes])
+
+    def _codes(self, words: list[str]) -> np.ndarray:
+        return np.array([self.number[w] for w in words])
 
     def code(self, h: np.ndarray) -> np.ndarray:
         """Numbers of vocabulary words, -1 for others."""
@@ -98,6 +101,78 @@ class _Index:
         at[at == len(self.sorted)] = 0
         return np.where(self.sorted[at] == h, self.order[at], -1)
 
+    def candidates(self, code: np.ndarray, owner: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Text, template, and the first and last word of the stretches where rare words of the template meet."""
+        held = np.flatnonzero(code >= 0)
+        held = held[self.n_posts[code[held]] > 0]
+        n = self.n_posts[code[held]]
+        post = np.repeat(self.first_post[code[held]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        at = np.repeat(held, n)
+        template, text = self.post_template[post], owner[at]
+        shift = at - first[text] - self.post_place[post]
+        order = np.lexsort((shift, template, text))
+        text, template, shift, word = text[order], template[order], shift[order], code[at][order]
+        if not len(text):
+            return
+        new = np.ones(len(text), bool)
+        new[1:] = (text[1:] != text[:-1]) | (template[1:] != template[:-1]) | (shift[1:] - shift[:-1] > GAP)
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        kinds = np.bincount(np.unique(group * len(self.words) + word) // len(self.words), minlength=len(begin))
+        end = np.append(begin[1:], len(text)) - 1
+        for g in np.flatnonzero(kinds >= self.least[template[begin]]).tolist():
+            i, k = int(text[begin[g]]), int(template[begin[g]])
+            size = int(first[i + 1] - first[i])
+            yield i, k, max(0, int(shift[begin[g]]) - GAP), min(size, int(shift[end[g]]) + len(self.template_codes[k]) + GAP)
+
+    def notices(self, k: int, codes: np.ndarray, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """First word and words met of each notice of template ``k`` in the stretch ``lo .. hi`` of a text.
+
+        A notice is a first key phrase and the nearest next ones after it, before the next first one.
+        """
+        part, template, keys = codes[lo:hi], self.template_codes[k], self.key_codes[k]
+        none = np.zeros(len(part), np.int8)
+        places = [_runs(part, none, key) for key in keys]
+        if not all(len(p) for p in places):
+            return
+        starts = places[0].tolist()
+        for s, next_ in zip(starts, [*starts[1:], len(part)], strict=True):
+            at, end = s, s + len(keys[0])
+            for key, own in zip(keys[1:], places[1:], strict=True):
+                j = int(np.searchsorted(own, end))
+                if j == len(own):
+                    return
+                at, end = int(own[j]), int(own[j]) + len(key)
+            if at >= next_ and len(keys) > 1:
+                continue
+            x, y = max(0, lo + s - self.before[k] - GAP), min(len(codes), lo + end + self.after[k] + GAP)
+            own = codes[x:y]
+            exact = lo + s - self.before[k]
+            whole = exact >= 0 and np.array_equal(codes[exact : exact + len(template)], template)
+            back = 0
+            while back < min(self.before[k], lo + s) and codes[lo + s - back - 1] == template[self.before[k] - back - 1]:
+                back += 1
+            yield lo + s - back, len(template) if whole else _common(template, own)
+
+
+def _first(codes: np.ndarray, phrase: np.ndarray) -> int:
+    """Where a phrase stands in a template; 0 where it does not."""
+    at = _runs(codes, np.zeros(len(codes), np.int8), phrase)
+    return int(at[0]) if len(at) else 0
+
+
+def _common(template: np.ndarray, text: np.ndarray) -> int:
+    """Length of the longest common subsequence, a row of bits for each word of the text."""
+    where: dict[int, int] = {}
+    for i, c in enumerate(template.tolist()):
+        where[c] = where.get(c, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    row = full
+    for c in text.tolist():
+        hit = row & where.get(c, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(template) - row.bit_count()
+
 
 def _runs(codes: np.ndarray, owner: np.ndarray, phrase: np.ndarray) -> np.ndarray:
     """Places where the phrase's words stand consecutively in one text."""
@@ -130,42 +205,6 @@ def frequencies(docs: DataFrame, text: str = "text", templates: tuple[Template,
     return df.get(-1, 0), {w: df.get(i, 0) for i, w in enumerate(index.words)}
 
 
-def _candidates(index: _Index, code: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and template numbers where the text has every word of the template's key phrases."""
-    has = np.zeros((n, len(index.words)), np.int32)
-    held = code >= 0
-    has[owner[held], code[held]] = 1
-    need = np.zeros((len(index.templates), len(index.words)), np.int32)
-    for k, keys in enumerate(index.key_codes):
-        need[k, np.concatenate(keys)] = 1
-    return np.nonzero(has @ need.T == need.sum(axis=1))
-
-
-def _aligned(index: _Index, k: int, codes: np.ndarray, idf: np.ndarray) -> list[tuple[int, int]]:
-    """Shift and words met, for each alignment of template ``k`` with one text that holds its key phrases.
-
-    The template's words that the text has are looked up, the ``RARE_WORDS`` of highest IDF; two different
-    ones must vote for a shift.
-    """
-    template = index.template_codes[k]
-    present = np.unique(codes[np.isin(codes, template)])
-    rare = present[np.lexsort((present, -idf[present]))][:RARE_WORDS]
-    votes: list[np.ndarray] = []
-    for c in rare:
-        shifts = np.flatnonzero(codes == c)[:, None] - np.flatnonzero(template == c)
-        votes.append(np.unique(shifts))
-    shift, words = np.unique(np.concatenate(votes), return_counts=True)
-    found = []
-    for s in shift[words >= 2].tolist():
-        lo, hi = max(0, s - SLACK), min(len(codes), s + len(template) + SLACK)
-        part = codes[lo:hi]
-        owner = np.zeros(len(part), np.int8)
-        if all(len(_runs(part, owner, key)) for key in index.key_codes[k]):
-            at = np.arange(max(0, -s), min(len(template), len(codes) - s))
-            found.append((s, int(np.sum(codes[s + at] == template[at]))))
-    return found
-
-
 def scan(
     docs: DataFrame,
     text: str = "text",
@@ -179,12 +218,12 @@ def scan(
     whole notice, 0.0 for none) and ``notices`` (array of label, first word, words met).
 
     Input columns of those names are replaced. A null text counts as empty and has no words, labels or notices.
-    Repeated rows and ties are each reported. Alignments of one template at several shifts are all reported.
+    Repeated rows and ties are each reported. A notice is reported once for each place of its first key phrase.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"]
     total, df = counts or frequencies(docs, text, templates, phrases)
-    index = _Index(templates, phrases)
-    idf = np.array([log((1 + total) / (1 + df.get(w, 0))) for w in index.words])
+    plain = _Index(templates, phrases)
+    index = _Index(templates, phrases, np.array([log((1 + total) / (1 + df.get(w, 0))) for w in plain.words]))
     packed, rest = carried(docs, added)
     packed = packed.select("_row", F.col(text).cast("string").alias("_text"))
     notice = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_met", T.LongType())])
@@ -209,11 +248,15 @@ def scan(
                 for i in np.unique(own).tolist():
                     labels[i].add(label)
             every, score, notices = [set(x) for x in labels], np.zeros(n), [[] for _ in range(n)]
-            for i, k in zip(*(x.tolist() for x in _candidates(index, code, owner, n)), strict=True):
-                for shift, met in _aligned(index, k, code[t.first[i] : t.first[i + 1]], idf):
+            told: set[tuple[int, int, int]] = set()
+            for i, k, lo, hi in index.candidates(code, owner, t.first):
+                for place, met in index.notices(k, code[t.first[i] : t.first[i + 1]], lo, hi):
+                    if (i, k, place) in told:
+                        continue
+                    told.add((i, k, place))
                     label = index.templates[k].label
                     every[i].add(label)
-                    notices[i].append({"label": label, "first_word": shift, "n_met": met})
+                    notices[i].append({"label": label, "first_word": place, "n_met": met})
                     score[i] = max(score[i], met / len(index.template_codes[k]))
             for x in notices:
                 x.sort(key=lambda m: (m["first_word"], m["label"]))
