@@ -3,7 +3,9 @@
 Chosen and rejected conversations are compared turn by turn. Their longest common
 prefix of turns is rendered once as the prompt; what follows on each side is its
 completion. In a completion only what the assistant says is trained on; spans of
-characters say where that is. DataFrame functions only.
+characters say where that is: a token is trained on when its offsets, as a tokenizer
+gives them for the completion, lie inside of a span. Marks that stand in what is said
+are spaced out, so that no text can open or close a turn. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -21,8 +23,13 @@ def header(role: Column) -> Column:
 FOOTER = "<|im_end|>\n"
 
 
+def plain(said: Column) -> Column:
+    """A text or role in which no mark of a turn stands."""
+    return F.regexp_replace(said.cast("string"), r"<\|(im_start|im_end)\|>", "<| $1 |>")
+
+
 def _side(turns: DataFrame, conv: str, turn: str, name: str) -> DataFrame:
-    said = F.struct(F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    said = F.struct(plain(F.col("role")).alias("role"), plain(F.col("text")).alias("text"))
     place = F.coalesce(F.col(turn).cast("long"), F.lit(-(1 << 63)))
     return turns.select(F.col(conv).alias("conv"), place.alias("place"), F.lit(name).alias("side"), said.alias("said"))
 
@@ -51,21 +58,24 @@ def pair(chosen: DataFrame, rejected: DataFrame, conv: str = "conv_id", turn: st
     ``chosen`` and ``rejected`` (rendered completions), ``chosen_spans`` and ``rejected_spans``.
 
     Both inputs have ``conv``, ``turn``, ``role`` and ``text``; other columns are left out. Turns stand in the order of
-    their numbers, a null one first. Of rows that repeat a turn's number on a side the smallest (role, text) counts. A
-    null text is an empty one, a null role an empty role. Null conversation ids are one conversation. Equal sides have
-    empty completions, a side without turns an empty one, and empty inputs give no rows.
+    their numbers, a null one first, and those that share a number in the order of role and text; rows that repeat one
+    on a side count once. A null text is an empty one, a null role an empty role. Null conversation ids are one
+    conversation. Equal sides have empty completions, a side without turns an empty one, and empty inputs give no rows.
     """
     both = _side(chosen, conv, turn, "c").unionByName(_side(rejected, conv, turn, "r"))
-    of = lambda s: F.min(F.when(F.col("side") == s, F.col("said")))
-    turns = both.groupBy("conv", "place").agg(of("c").alias("c"), of("r").alias("r"))
+    of = lambda s: F.max(F.col("side") == s)
+    turns = both.groupBy("conv", "place", "said").agg(of("c").alias("c"), of("r").alias("r"))
+    at = F.struct("place", "said")
     listed = turns.groupBy("conv").agg(
-        F.min(F.when(~F.col("c").eqNullSafe(F.col("r")), F.col("place"))).alias("split"),
-        F.array_sort(F.collect_list(F.struct("place", F.col("c").alias("c"), F.col("r").alias("r")))).alias("turns"),
+        F.min(F.when(~(F.col("c") & F.col("r")), at)).alias("split"),
+        F.array_sort(F.collect_list(F.struct("place", "said", "c", "r"))).alias("turns"),
     )
 
     def part(side: str, common: bool) -> Column:
-        inside = lambda t: (F.col("split").isNull() | (t["place"] < F.col("split"))) if common else (t["place"] >= F.col("split")) & t[side].isNotNull()
-        return F.transform(F.filter("turns", inside), lambda t: F.struct(t[side].alias("said")))
+        # turns are sorted alike on both sides: the first that one of them lacks ends the prefix
+        before = lambda t: F.col("split").isNull() | (F.struct(t["place"].alias("place"), t["said"].alias("said")) < F.col("split"))
+        inside = lambda t: before(t) if common else ~before(t) & t[side]
+        return F.transform(F.filter("turns", inside), lambda t: F.struct(t["said"].alias("said")))
 
     parts = listed.select("conv", part("c", True).alias("p"), part("c", False).alias("c"), part("r", False).alias("r"))
     return parts.select(
