@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixity, jaccard, leaks, licenses, packing, preferences, quality, rans, substrings, urls
-from .common import table
+from .common import stored, table
 
 #: Words of the contracts, as a DuckDB expression over ``text``.
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -77,10 +77,13 @@ def op2_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     pages = table(spark, sf_dir, "pages").select("page_id", fixity.warc_record(F.col("url"), F.col("html")).alias("record"))
     archive = F.format_string("part-%06d.warc", F.floor(F.col("page_id") / _PER_ARCHIVE))
+    # pages without a number are dealt out by what they hold
+    archive = F.when(F.col("page_id").isNotNull(), archive).otherwise(F.format_string("part-none-%06d.warc", F.pmod(F.xxhash64("record"), F.lit(1 << 16))))
     copy = _replica(F.col("page_id"), F.col("record"))
     hashed = pages.select("page_id", archive.alias("archive"), F.octet_length("record").cast("long").alias("size"), fixity.digest_of(F.col("record")).alias("first"), F.when(copy.isNotNull(), fixity.digest_of(copy)).alias("second"))
-    before = Window.partitionBy("archive").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = hashed.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    # pages that share a number stand in the order of their digests; both replicas read the offsets that were written once
+    before = Window.partitionBy("archive").orderBy("page_id", "first", "second").rowsBetween(Window.unboundedPreceding, -1)
+    placed = stored(hashed.withColumn("offset", F.coalesce(F.sum("size").over(before), F.lit(0))), "placed")
     side = lambda c: placed.where(F.col(c).isNotNull()).select("archive", "offset", F.col(c).alias("digest"))
     return fixity.audit(side("first"), side("second"))
 
@@ -246,6 +249,30 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def licence_base_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op7_license_scans`` that its phrases alone decide, which SQL can state."""
+    return op7_license_scans(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _base_phrases_sql() -> str:
+    """Every place of every phrase."""
+    hit = lambda p: " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(p.split()))
+    label = "CASE " + " ".join(f"WHEN {hit(p)} THEN '{x}'" for p, x in licenses.PHRASES.items()) + " END"
+    return rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), p AS (
+  SELECT r, i - 1 AS place, {label} AS label FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), b AS (
+  SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM p WHERE label IS NOT NULL GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM w LEFT JOIN b USING (r)
+"""
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     back = rans.read_tokens(rans.write_tokens(docs))
@@ -271,6 +298,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_preference_formatting": op5_preference_formatting,
     "op6_quality_rules": op6_quality_rules,
     "op7_license_scans": op7_license_scans,
+    "licence_base_phrases": licence_base_phrases,
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
@@ -282,4 +310,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard_join": OP4_SQL,
     "op5_preference_formatting": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
+    "licence_base_phrases": _base_phrases_sql(),
 }
