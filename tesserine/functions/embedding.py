@@ -57,10 +57,53 @@ class Client:
         return projection.random_projection(self.width)(embedding)
 
 
+def http_call(url: str, key: str, model: str, timeout: float = 30.0) -> Callable[[list[str]], list[list[float]]]:
+    """A client of a remote service that takes ``{"model", "input": [..]}`` and gives ``{"data": [{"index", "embedding"}]}``."""
+
+    def call(texts: list[str]) -> list[list[float]]:
+        import json
+        from urllib.request import Request, urlopen
+
+        body = json.dumps({"model": model, "input": texts}).encode()
+        with urlopen(Request(url, body, {"Authorization": f"Bearer {key}", "Content-Type": "application/json"}), timeout=timeout) as reply:
+            data = json.load(reply)["data"]
+        return [d["embedding"] for d in sorted(data, key=lambda d: d["index"])]
+
+    return call
+
+
+def onnx_call(model: str, tokenizer: str, most: int = 512) -> Callable[[list[str]], list[list[float]]]:
+    """A client of a local ONNX encoder: the mean of its last states over each text's tokens, of length one.
+
+    Files are opened where the client runs, once in each worker.
+    """
+    held: dict[str, tuple] = {}
+
+    def call(texts: list[str]) -> list[list[float]]:
+        if "open" not in held:
+            import onnxruntime
+            from tokenizers import Tokenizer
+
+            own = Tokenizer.from_file(tokenizer)
+            own.enable_padding()
+            own.enable_truncation(most)
+            held["open"] = onnxruntime.InferenceSession(model, providers=["CPUExecutionProvider"]), own
+        session, own = held["open"]
+        coded = own.encode_batch(texts)
+        given = {"input_ids": np.array([c.ids for c in coded], np.int64), "attention_mask": np.array([c.attention_mask for c in coded], np.int64), "token_type_ids": np.array([c.type_ids for c in coded], np.int64)}
+        states = session.run(None, {i.name: given[i.name] for i in session.get_inputs()})[0]
+        mask = given["attention_mask"][:, :, None]
+        mean = (states * mask).sum(axis=1) / np.maximum(1, mask.sum(axis=1))
+        return (mean / np.maximum(1e-12, np.linalg.norm(mean, axis=1, keepdims=True))).tolist()
+
+    return call
+
+
 def get_provider(name: str, call: Callable[[list[str]], list[list[float]]] | None = None, width: int = 384) -> Provider:
-    """``hdc-text``, or ``fastembed[:model]``, ``openai`` and ``voyage`` with the client that runs them."""
+    """``hdc-text``, or ``fastembed[:model]``, ``openai`` and ``voyage`` with the client that runs them: one of
+    :func:`http_call` or :func:`onnx_call`, or any other."""
     kind = name.partition(":")[0]
-    if kind == "hdc-text":
+    if kind in ("hdc-text", "hdc"):
         return HdcText()
     if kind in ("fastembed", "openai", "voyage"):
         if call is None:

@@ -34,6 +34,11 @@ def seeded(seed: Column, words: int = WORDS, prefix: str = "hv") -> Column:
     return F.slice(F.flatten(pairs), 1, words)
 
 
+def random(words: int = WORDS) -> Column:
+    """A pseudo-random vector for each row, other ones in each query. A task that runs again may make others, so store them."""
+    return seeded(F.uuid(), words, "random")
+
+
 def sparse(seed: Column, density: float, words: int = WORDS, prefix: str = "sparse") -> Column:
     """``floor(bits * density)`` draws of a bit with replacement, all from ``seed``."""
     bits, draws = 64 * words, int(64 * words * density)
@@ -151,7 +156,7 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
         return named(total)
 
     def added(group: pa.Table) -> pa.Table:
-        stack = np.array(group.column("counts").to_pylist(), np.int64).sum(axis=0)
+        stack = group.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(group), -1).sum(axis=0)
         n = int(np.sum(group.column("n").to_numpy()))
         return pa.table([group.column("key").slice(0, 1), pa.array([n], pa.int64()), pa.array([stack], pa.list_(pa.int64()))], ["key", "n", "counts"])
 
@@ -161,6 +166,11 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
     return named(half.groupBy("key").applyInArrow(added, schema))
 
 
+def retracted(total: DataFrame) -> DataFrame:
+    """Counts of :func:`bit_counts` with ``sign``, where a group from which more was retracted than added is an error."""
+    return total.withColumn("n", F.when(F.col("n") < 0, F.raise_error(F.lit("nothing is left to retract"))).otherwise(F.col("n")))
+
+
 def finalized(counts: Column, n: Column, words: int = WORDS) -> Column:
     """Majority: a bit is set when more than half of ``n`` vectors set it; none of zero vectors."""
     bit = F.transform(counts, lambda c, i: F.when((n > 0) & (c > F.floor(n / 2)), F.call_function("shiftleft", F.lit(1).cast("long"), (i % 64).cast("int"))).otherwise(F.lit(0).cast("long")))

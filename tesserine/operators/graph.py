@@ -109,6 +109,8 @@ def graph_rag(similar: DataFrame, edges: DataFrame, anchors: int = 10, hops: int
     ``score``, ``similarity``, ``anchor_id``, ``hop_distance``, ``assoc_strength``.
     """
     ways = edges.where(F.col("strength") >= least).select(F.col("from_id").alias("id"), "to_id", F.col("strength").alias("edge"))
+    # every hop reads the scores, so vectors are compared once
+    similar = cut(similar.select("id", "score"))
     best = similar.orderBy(F.desc("score"), "id").limit(anchors)
     row = F.struct((weights[0] * F.col("score") + weights[1] * F.lit(1.0)).alias("score"), F.col("score").alias("similarity"), F.col("id").alias("anchor_id"), F.lit(0).alias("hop_distance"), F.lit(1.0).alias("assoc_strength"))
     known = cut(best.select("id", row.alias("r")))

@@ -4,20 +4,33 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schemas import check_k
+from .kept import kept
 
 K1, B = 1.2, 0.75
 
 
 @dataclass(frozen=True)
 class Bm25:
-    """Postings (``id``, ``term``, ``tf``) and document lengths (``id``, ``dl``)."""
+    """Postings (``id``, ``term``, ``tf``) and document lengths (``id``, ``dl``).
+
+    A kept index has ``dl`` in its postings, which are clustered by term, and ``totals`` (documents, mean length), so
+    that a search reads the row groups of its terms and nothing else.
+    """
 
     postings: DataFrame
     lengths: DataFrame
+    totals: tuple[int, float] | None = None
+
+    def keep(self, spark: SparkSession, name: str, state: str, folder: str | None = None) -> Bm25:
+        """This index as kept tables for a state of its source; built where they aren't there yet."""
+        lengths = kept(spark, f"{name}-lengths", state, lambda: self.lengths, folder=folder)
+        postings = kept(spark, f"{name}-postings", state, lambda: self.postings.join(lengths, "id").select("term", "id", "tf", "dl"), ["term", "id"], folder)
+        sums = kept(spark, f"{name}-totals", state, lambda: Bm25(postings, lengths).size(), folder=folder).first()
+        return Bm25(postings, lengths, (sums.n_docs, sums.avg_doc_length))
 
     @staticmethod
     def build(docs: DataFrame, tokens: Column, id_: str = "id") -> Bm25:
@@ -30,7 +43,7 @@ class Bm25:
         """Upsert documents."""
         new = Bm25.build(docs, tokens, id_)
         old = self.remove(new.lengths.select("id"))
-        return Bm25(old.postings.unionByName(new.postings), old.lengths.unionByName(new.lengths))
+        return Bm25(old.postings.select("id", "term", "tf").unionByName(new.postings), old.lengths.unionByName(new.lengths))
 
     def remove(self, ids: DataFrame) -> Bm25:
         return Bm25(self.postings.join(ids, "id", "left_anti"), self.lengths.join(ids, "id", "left_anti"))
@@ -48,17 +61,20 @@ class Bm25:
     def scores(self, query: list[str]) -> DataFrame:
         """``id`` and ``score`` of every document with a positive score, over the distinct query terms.
 
-        The terms are a literal list, so postings are filtered in the scan; only documents that have one meet their
-        lengths. The few document frequencies and the two corpus totals travel to every task.
+        The terms are a literal list. Those of a kept index prune its scan, and its postings bring the lengths; otherwise
+        only documents that have one meet theirs. The few document frequencies, one a term, travel to every task.
         """
         terms = sorted(set(query))
         mine = self.postings.where(F.col("term").isin(terms) if terms else F.lit(False))
         frequency = F.broadcast(mine.groupBy("term").agg(F.count(F.lit(1)).alias("df")).limit(max(1, len(terms))))
-        n, average = self.size().first() if terms else (0, 0.0)
+        n, average = (self.totals or self.size().first()) if terms else (0, 0.0)
         idf = F.log(F.lit(n + 1.0)) - F.log(F.col("df") + 0.5)
         length = F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(average or 1.0)
         part = idf * F.lit(K1 + 1) * F.col("tf") / (F.col("tf") + F.lit(K1) * length)
-        return mine.join(frequency, "term").join(self.lengths, "id").groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
+        met = mine.join(frequency, "term")
+        if "dl" not in self.postings.columns:
+            met = met.join(self.lengths, "id")
+        return met.groupBy("id").agg(F.sum(part).alias("score")).where("score > 0")
 
     def search(self, query: list[str], k: int, allowed: DataFrame | None = None) -> DataFrame:
         """The best ``k``, of the ids in ``allowed`` if given. Filters come after the scores."""

@@ -10,6 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,30 @@ def literal(vector: list[int]) -> Column:
 
 def scored(corpus: DataFrame, query: list[int], id_: str = "id", vector: str = "vector") -> DataFrame:
     """``id``, ``distance`` and ``score`` of each row. The query is folded into the expression."""
-    d = hv.hamming(F.col(vector), literal(query))
+    few = reduce(lambda a, b: a + b, [F.bit_count(F.col(vector)[i].bitwiseXOR(F.lit(w).cast("long"))) for i, w in enumerate(query)]) if len(query) <= 4 else None
+    d = hv.hamming(F.col(vector), literal(query)) if few is None else few
     return corpus.select(F.col(id_).alias("id"), d.cast("int").alias("distance")).withColumn("score", 1 - F.col("distance") / (32.0 * len(query)))
 
 
+def _nearest(corpus: DataFrame, query: list[int], k: int, id_: str, vector: str) -> DataFrame:
+    """Rows in the running for the best ``k``: each Arrow batch gives its own best, ties by id."""
+    matrix, dtype = np.array(query, np.int64).view(np.uint64), dict(corpus.dtypes)[id_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+            d = np.bitwise_count(rows ^ matrix).sum(axis=1, dtype=np.int32)
+            edge = np.partition(d, k - 1)[k - 1] if k < n else d.max()
+            at = pa.array(np.flatnonzero(d <= edge))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(d).take(at)], ["id", "distance"])
+
+    hits = corpus.select(F.col(id_).alias("id"), F.col(vector)).mapInArrow(run, f"id {dtype}, distance int")
+    return hits.withColumn("score", 1 - F.col("distance") / (32.0 * len(query)))
+
+
 def top_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.orderBy(F.desc("score"), "id").limit(check_k(k))
 
@@ -45,7 +66,9 @@ def probe(corpus: DataFrame, query: list[int], k: int, now: int | None = None, f
         corpus = corpus.where(live(now))
     if filter_ is not None:
         corpus = corpus.where(filter_.validate().column(F.col("metadata")))
-    return top_k(scored(corpus, query, id_, vector), k)
+    # wide vectors are compared in matrix form; words of a sketch in the expression
+    wide = len(query) > 4
+    return top_k(_nearest(corpus, query, check_k(k), id_, vector) if wide else scored(corpus, query, id_, vector), k)
 
 
 def patterns(hits: DataFrame, threshold: float = PATTERN_THRESHOLD) -> DataFrame:
@@ -130,15 +153,15 @@ def filter_strategy(total: int, matching: int) -> str:
     return "BucketPost" if share <= 0.8 else "ScanPost"
 
 
-#: Presets of retrieval by the number of query tokens.
+# Presets of retrieval by the number of query tokens.
 PRESETS = {
-    "short": {"bucket_width": 4, "max_candidates": 200, "graph_depth": 1},
-    "medium": {"bucket_width": 6, "max_candidates": 500, "graph_depth": 2},
-    "long": {"bucket_width": 8, "max_candidates": 1000, "graph_depth": 2},
+    "short": {"max_candidates": 200, "graph_depth": 1, "graph_fanout": 5, "bucket_width": 2, "graph": False, "buckets": True, "abort_without_overlap": True, "fallback_ratio": 0.5},
+    "medium": {"max_candidates": 500, "graph_depth": 1, "graph_fanout": 10, "bucket_width": 2, "graph": True, "buckets": True, "abort_without_overlap": True, "fallback_ratio": 0.5},
+    "long": {"max_candidates": 1000, "graph_depth": 2, "graph_fanout": 10, "bucket_width": 2, "graph": True, "buckets": True, "abort_without_overlap": False, "fallback_ratio": 0.5},
 }
 
 
-def preset(tokens: int) -> dict[str, int]:
+def preset(tokens: int) -> dict[str, float]:
     return PRESETS["short" if tokens <= 2 else "medium" if tokens <= 8 else "long"]
 
 
@@ -192,10 +215,11 @@ class LshIndex:
         parts = [F.shiftleft(bit(p), i) for i, p in enumerate(self.places[table])]
         return reduce(lambda a, b: a.bitwiseOR(b), parts)
 
-    def keys(self, corpus: DataFrame, id_: str = "id", vector: str = "vector") -> DataFrame:
-        """The index table: ``table``, ``key`` and ``id``, one row a table."""
+    def keys(self, corpus: DataFrame, id_: str = "id", vector: str = "vector", with_vectors: bool = False) -> DataFrame:
+        """The index table: ``table``, ``key`` and ``id``, one row a table; vectors of few words can stand in it too."""
         every = F.array(*[F.struct(F.lit(t).alias("table"), self._key(F.col(vector), t).alias("key")) for t in range(self.tables)])
-        return corpus.select(F.col(id_).alias("id"), F.explode(every).alias("k")).select("k.table", "k.key", "id")
+        own = [F.col(vector).alias("vector")] if with_vectors else []
+        return corpus.select(F.col(id_).alias("id"), *own, F.explode(every).alias("k")).select("k.table", "k.key", "id", *(["vector"] if with_vectors else []))
 
     def candidates(self, index: DataFrame, query: list[int], flips: int = 0) -> DataFrame:
         """Ids that share a bucket with the query, or with ``flips`` its buckets and those up to so many bits beside them."""
@@ -206,11 +230,19 @@ class LshIndex:
             wanted.append((t, key - (1 << 64) if key >= 1 << 63 else key))
         near = lambda k: F.bit_count(F.col("key").bitwiseXOR(F.lit(k).cast("long"))) <= flips if flips else F.col("key") == k
         hit = reduce(lambda a, b: a | b, [(F.col("table") == t) & near(k) for t, k in wanted])
-        return index.where(hit).select("id").distinct()
+        if flips and self.hash_bits <= 16:
+            # the buckets by name, so that an index clustered by table and key is pruned
+            beside = lambda k: [k ^ sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(self.hash_bits), n)]
+            hit = reduce(lambda a, b: a | b, [(F.col("table") == t) & F.col("key").isin(beside(k)) for t, k in wanted])
+        found = index.where(hit)
+        return found.dropDuplicates(["id"]).select("id", "vector") if "vector" in index.columns else found.select("id").distinct()
 
     def search(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, id_: str = "id", vector: str = "vector", flips: int = 0) -> DataFrame:
         """Exact re-ranking of the candidates. May give fewer than ``k`` rows, and miss near ones; ``flips`` looks into more buckets."""
-        near = corpus.withColumnRenamed(id_, "id").join(self.candidates(index, query, flips), "id", "left_semi")
+        near = self.candidates(index, query, flips)
+        if "vector" in near.columns:
+            return top_k(scored(near, query), k)
+        near = corpus.withColumnRenamed(id_, "id").join(near, "id", "left_semi")
         return top_k(scored(near, query, "id", vector), k)
 
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:

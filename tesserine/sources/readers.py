@@ -76,28 +76,35 @@ def index_lines(lines: DataFrame, field: str = "text", id_field: str | None = No
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a text file with their numbers from 1."""
-    numbered = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    return spark.createDataFrame(numbered, "line long, value string")
+    """Lines of a text file with their numbers from 1.
+
+    Numbers come from the count of lines in each partition; a partition numbers its own, and only counts are collected.
+    """
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("at"))
+    part = F.shiftright("at", 33)
+    # a row's partition stands in the upper bits, and the parts of one file are read in order
+    counts = lines.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    first = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    return lines.withColumn("part", part).join(F.broadcast(first), "part").select((F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("line"), "value")
 
 
 def chunks_by_heading(files: DataFrame, least: int = 2) -> DataFrame:
     """Sections of Markdown texts (``path``, ``value``): ``path``, ``idx``, ``level``, ``heading``, ``content``, ``fingerprint``.
 
     A heading line has one to six ``#`` and a text. Sections above level ``least`` and those without content are left
-    out, as is what stands before the first heading; a file's lines are walked in one expression.
+    out, as is what stands before the first heading. Lines are rows, and a section is the number of headings so far.
     """
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n")
-    head = lambda l: F.regexp_extract(F.trim(l), r"^(#{1,6})\s+(\S.*)$", 1)  # noqa: E731, E741
-    empty = F.array().cast("array<struct<level:int,heading:string,content:string>>")
-
-    def step(state: Column, line: Column) -> Column:
-        new = F.struct(F.length(head(line)).alias("level"), F.regexp_extract(F.trim(line), r"^(#{1,6})\s+(\S.*)$", 2).alias("heading"), F.lit("").alias("content"))
-        last = F.element_at(state, -1)
-        more = F.struct(last["level"].alias("level"), last["heading"].alias("heading"), F.concat(last["content"], line, F.lit("\n")).alias("content"))
-        return F.when(head(line) != "", F.concat(state, F.array(new))).when(F.size(state) > 0, F.concat(F.slice(state, 1, F.size(state) - 1), F.array(more))).otherwise(state)
-
-    sections = files.select("path", F.posexplode(F.aggregate(lines, empty, step)).alias("idx", "s")).select("path", "idx", "s.level", "s.heading", F.trim(F.regexp_replace("s.content", r"^\n+|\n+$", "")).alias("content"))
+    heading = r"^(#{1,6})\s+(\S.*)$"
+    lines = files.select("path", F.posexplode(F.split(F.regexp_replace("value", "\r", ""), "\n")).alias("n", "line"))
+    lines = lines.withColumn("mark", F.regexp_extract(F.trim("line"), heading, 1))
+    upto = Window.partitionBy("path").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("idx", F.count_if(F.col("mark") != "").over(upto).cast("int") - 1).where("idx >= 0")
+    own = lines.groupBy("path", "idx").agg(
+        F.max(F.when(F.col("mark") != "", F.struct(F.length("mark").alias("level"), F.regexp_extract(F.trim("line"), heading, 2).alias("heading")))).alias("h"),
+        F.array_sort(F.collect_list(F.when(F.col("mark") == "", F.struct("n", "line")))).alias("body"),
+    )
+    content = F.array_join(F.transform("body", lambda x: x["line"]), "\n")
+    sections = own.select("path", "idx", "h.level", "h.heading", F.trim(F.regexp_replace(content, r"^\n+|\n+$", "")).alias("content"))
     kept = sections.where((F.col("level") >= least) & (F.col("content") != ""))
     return kept.withColumn("fingerprint", F.sha2("content", 256)).withColumn("id", F.concat_ws(":", F.lit("md"), "path", F.col("level").cast("string"), F.col("idx").cast("string")))
 

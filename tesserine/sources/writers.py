@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 import struct
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hypervector import to_bytes
@@ -29,23 +28,48 @@ def export_parquet(rows: DataFrame, table: str, path: str, compression: str = "z
 
 
 def export_all(tables: dict[str, DataFrame], folder: str, **options: object) -> str:
-    """All tables and ``manifest.json`` with rows, bytes and SHA-256 of their files (a local or mounted folder)."""
+    """All tables and ``manifest.json`` with rows, bytes and SHA-256 of their files, in any store that Spark writes to.
+
+    A file is hashed by the task that reads it; the table's hash is that of its files' hashes in the order of their names.
+    """
     files = {}
     for name, rows in tables.items():
         path = f"{folder}/{name}.parquet"
         n = export_parquet(rows, name, path, **options)
-        parts = sorted(os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet"))
-        digest = hashlib.sha256()
-        for p in parts:
-            with open(p, "rb") as f:
-                digest.update(hashlib.file_digest(f, "sha256").digest())
-        files[name] = {"rows": n, "bytes": sum(map(os.path.getsize, parts)), "sha256": digest.hexdigest()}
+        parts = _hashed(rows.sparkSession, path).orderBy("path").collect()
+        files[name] = {"rows": n, "bytes": sum(p.size for p in parts), "sha256": hashlib.sha256(b"".join(bytes.fromhex(p.digest) for p in parts)).hexdigest()}
     text = manifest(files, dict(options))
-    with open(f"{folder}/manifest.json", "w") as f:
-        f.write(text)
+    spark = next(iter(tables.values())).sparkSession
+    put(spark, f"{folder}/manifest.json", text.encode())
     return text
 
 
+def _hashed(spark: SparkSession, folder: str) -> DataFrame:
+    """``path``, ``size`` and ``digest`` of the Parquet files below a folder."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(folder)
+    return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("digest"))
+
+
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file to any store, in place of one that is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
+def get(spark: SparkSession, path: str, most: int) -> bytes:
+    """A file of at most ``most`` bytes from any store."""
+    rows = spark.read.format("binaryFile").load(path).select("length", F.when(F.col("length") <= most, F.col("content")).alias("content")).limit(1).collect()
+    if not rows:
+        raise FileNotFoundError(path)
+    if rows[0].content is None:
+        raise ValueError(f"{path} has over {most} bytes")
+    return bytes(rows[0].content)
+
+
 def payload(concepts: DataFrame, edges: DataFrame, namespace: str | None = None, exported_at: int = 0) -> DataFrame:
     """One row with the JSON payload of a namespace, vectors in base64. Bounded by the import limit; use Parquet beyond."""
     if namespace is not None:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -40,6 +41,45 @@ def watch(events: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint:
     return events.where(of_kind(kind)).writeStream.foreachBatch(emit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class Emitter:
+    """What takes the events of a micro-batch; called by :func:`watch`. The plain one drops them."""
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        return None
+
+
+class LogEmitter(Emitter):
+    """Each event as one line of a logger. Events of a batch come to the driver one partition at a time."""
+
+    def __init__(self, log: Callable[[str], None], source: str = "tesserine") -> None:
+        self.log, self.source = log, source
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        for row in cloud_events(events, self.source).toLocalIterator():
+            self.log(row.event)
+
+
+class PostEmitter(Emitter):
+    """Envelopes given to ``post`` (such as an HTTP client's) where they are, a list of JSON texts at a time."""
+
+    def __init__(self, post: Callable[[list[str]], None], source: str = "tesserine", batch: int = 64) -> None:
+        self.post, self.source, self.batch = post, source, batch
+
+    def __call__(self, events: DataFrame, batch: int) -> None:
+        post, step = self.post, self.batch
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sent = 0
+            for b in batches:
+                rows = b.column(0).to_pylist()
+                for at in range(0, len(rows), step):
+                    post(rows[at : at + step])
+                sent += len(rows)
+            yield pa.RecordBatch.from_arrays([pa.array([sent], pa.int64())], ["sent"])
+
+        cloud_events(events, self.source).mapInArrow(send, "sent long").agg(F.sum("sent")).collect()
+
+
 def counted(events: DataFrame, late: str = "10 minutes", width: str = "1 hour", at: str = "ts") -> DataFrame:
     """Events by window and kind, late rows dropped after ``late``."""
     return events.withWatermark(at, late).groupBy(F.window(at, width), "kind").agg(F.count(F.lit(1)).alias("n"))
