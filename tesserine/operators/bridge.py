@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.hypervector import majority
 from ..sources.tables import cut
+from .filters import live, searchable_text
 from .fusion import normalized
+from .search import probe, scored
 
 WEIGHTS = (0.6, 0.3, 0.1)
 MAX_FACTS, TOKEN_BUDGET = 20, 1000
@@ -64,6 +67,38 @@ def merged(primary: DataFrame, widened: DataFrame, k: int, reranker: Callable[[D
     return both.withColumn("final_score", final_score(F.col("deterministic"), F.col("concept"), F.col("semantic"))).orderBy(F.desc("final_score"), "id").limit(k)
 
 
+def query(concepts: DataFrame, ontology: DataFrame, text: str, k: int, now: int, depth: int = 2, code_aware: bool = False, reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Retrieval by a text, widened over an ontology: ``id``, its three scores, ``evidence`` and ``final_score``.
+
+    The best ``k`` live rows are the deterministic part. Labels of ontology concepts that the text names, and of those
+    related to them, count where a live row has that id; the first ``k`` by name are bundled, and the bundle scores the
+    deterministic rows and the labels' rows. Both parts are normalised. Without matching labels the first part is all.
+    """
+    live_rows = concepts.where(live(now))
+    vector = [int(w) for w in tx.encode_text(text, code_aware=code_aware).view("int64")]
+    primary = cut(probe(live_rows, vector, k).select("id", "score"))
+    tokens = ontology.sparkSession.createDataFrame([(t,) for t in sorted(set(tx._tokens(text, code_aware, True)))], "token string")
+    labels = expanded(matched(tokens, label_index(ontology)), ontology, depth)
+    named = cut(live_rows.join(labels.select(F.col("label").alias("id")), "id", "left_semi").select("id").orderBy("id").limit(k))
+    ids = [r.id for r in named.toLocalIterator()]
+    widened = primary.limit(0)
+    if ids:
+        bundle = [int(w) for w in majority(tx.encode_text(i, code_aware=code_aware) for i in ids).view("int64")]
+        some = live_rows.join(primary.select("id").unionByName(named).distinct(), "id", "left_semi")
+        widened = normalized(scored(some, bundle).select("id", "score"))
+    return merged(primary, widened, k, reranker)
+
+
+def best_final(hits: DataFrame) -> float:
+    """The best final score, 0 without hits."""
+    return hits.agg(F.coalesce(F.max("final_score"), F.lit(0.0)).alias("best")).first().best
+
+
+def facts(concepts: DataFrame) -> DataFrame:
+    """``id`` and ``text`` of the rows that have a text."""
+    return concepts.select("id", searchable_text(F.col("metadata")).alias("text")).where("text is not null")
+
+
 def packet(hits: DataFrame, facts: DataFrame, budget: int = TOKEN_BUDGET, most: int = MAX_FACTS) -> DataFrame:
     """Facts of the best hits within a token budget: ``facts``, ``tokens``, ``confidence`` (mean of the top scores).
 

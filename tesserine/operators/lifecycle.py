@@ -68,6 +68,23 @@ def associated(edges: DataFrame, new: DataFrame, concepts: DataFrame, now: int,
     return out, checked.where(~F.col("_ok")).drop("_ok")
 
 
+def updated(current: DataFrame, changes: DataFrame, keys: list[str], now: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``current`` with the columns of ``changes`` (a null one keeps the old value) and a new ``modified_at``, and
+    the keys of ``changes`` that are not there."""
+    own = [c for c in changes.columns if c not in keys]
+    named = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in own], F.lit(True).alias("_hit"))
+    both = current.join(named, keys)
+    made = both.select(*[F.coalesce(f"_{c}", c).alias(c) if c in own else F.lit(now).cast("long").alias(c) if c == "modified_at" else F.col(c) for c in current.columns])
+    return made, changes.select(*keys).join(current.select(*keys), keys, "left_anti")
+
+
+def metadata_merged(old: Column, new: Column) -> Column:
+    """JSON objects merged key by key, the new value of a key that both have."""
+    entries = lambda c: F.map_entries(F.from_json(F.coalesce(c, F.lit("{}")), "map<string,variant>"))
+    kept = F.filter(entries(old), lambda e: ~F.array_contains(F.coalesce(F.json_object_keys(new), F.array().cast("array<string>")), e["key"]))
+    return F.to_json(F.map_from_entries(F.concat(kept, entries(new))))
+
+
 def disassociated(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
 

@@ -62,12 +62,13 @@ def put(spark: SparkSession, path: str, data: bytes) -> None:
 
 def get(spark: SparkSession, path: str, most: int) -> bytes:
     """A file of at most ``most`` bytes from any store."""
-    rows = spark.read.format("binaryFile").load(path).select("length", F.when(F.col("length") <= most, F.col("content")).alias("content")).limit(1).collect()
-    if not rows:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
         raise FileNotFoundError(path)
-    if rows[0].content is None:
+    if fs.getFileStatus(p).getLen() > most:
         raise ValueError(f"{path} has over {most} bytes")
-    return bytes(rows[0].content)
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first().content)
 
 
 def payload(concepts: DataFrame, edges: DataFrame, namespace: str | None = None, exported_at: int = 0) -> DataFrame:
