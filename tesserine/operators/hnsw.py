@@ -12,16 +12,17 @@ import heapq
 import io
 import struct
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import fnv1a
 from ..sources.schemas import check_k
 from .filters import Filter
-from .search import probe, top_k
+from .search import QUERY_BLOCK, probe, top_k
 
 #: Rows of one shard.
 SHARD_ROWS = 4096
@@ -172,6 +173,40 @@ class HnswIndex:
             hits = hits.join(without.select("id"), "id", "left_anti")
         return top_k(hits.withColumn("score", 1 - F.col("distance") / (32.0 * words)), k)
 
+    def search_batch(self, index: DataFrame, queries: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
+        """The best ``k`` of each query: ``query_id``, ``id``, ``distance``, ``score``, ``rank``. Queries come to the driver
+        block by block; a shard is opened once for a block, and gives ``k`` rows a query."""
+        check_k(k)
+        ef, dtype = self.ef, index.schema["ids"].dataType.elementType.simpleString()
+        kind = dict(queries.dtypes)[query_id]
+        parts, words = [], 1
+
+        def best(block: list[tuple]) -> DataFrame:
+            keys, matrix = [b[0] for b in block], np.array([b[1] for b in block], np.int64).view(np.uint64)
+
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        graph, ids = Graph.load(batch.column(1)[i].as_py()), batch.column(0).slice(i, 1).flatten()
+                        rows = [(q, j, d) for q in range(len(keys)) for d, j in graph.search(matrix[q], k, ef)]
+                        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), ids.take(pa.array([r[1] for r in rows], pa.int64())), pa.array([r[2] for r in rows], pa.int32())], ["q", "id", "distance"])
+
+            names = index.sparkSession.createDataFrame(list(enumerate(keys)), f"q int, query_id {kind}")
+            return index.select("ids", "graph").mapInArrow(run, f"q int, id {dtype}, distance int").join(F.broadcast(names), "q").select("query_id", "id", "distance")
+
+        block: list[tuple] = []
+        for row in queries.select(query_id, vector).toLocalIterator():
+            block.append((row[0], list(row[1])))
+            words = len(row[1])
+            if len(block) == QUERY_BLOCK:
+                parts.append(best(block))
+                block = []
+        if block or not parts:
+            parts.append(best(block))
+        hits = reduce(DataFrame.unionByName, parts)
+        ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))).where(F.col("rank") <= k)
+        return ranked.select("query_id", "id", "distance", (1 - F.col("distance") / (32.0 * words)).alias("score"), "rank")
+
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:
         """Five times ``k`` rows, filtered; an exact filtered scan where fewer than ``k`` are left."""
         keep = corpus.where(filter_.validate().column(F.col("metadata")))

@@ -245,6 +245,20 @@ class LshIndex:
         near = corpus.withColumnRenamed(id_, "id").join(near, "id", "left_semi")
         return top_k(scored(near, query, "id", vector), k)
 
+    def search_batch(self, index: DataFrame, queries: DataFrame, k: int, flips: int = 0, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
+        """The best ``k`` of each query among the rows of its buckets, and of those up to ``flips`` bits beside them:
+        ``query_id``, ``id``, ``distance``, ``score``, ``rank``. The index holds vectors. One join by table and key, no driver."""
+        check_k(k)
+        beside = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(self.hash_bits), n)]
+        own = self.keys(queries, query_id, vector).withColumnRenamed("id", "query_id")
+        wanted = own.select("query_id", "table", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(b).cast("long")) for b in beside])).alias("key"))
+        met = index.join(wanted, ["table", "key"]).dropDuplicates(["query_id", "id"]).select("query_id", "id", "vector")
+        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("asked"))
+        hits = met.join(asked, "query_id").select("query_id", "id", hv.hamming(F.col("vector"), F.col("asked")).cast("int").alias("distance"))
+        best = Window.partitionBy("query_id").orderBy("distance", "id")
+        ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        return ranked.select("query_id", "id", "distance", (1 - F.col("distance") / float(self.bits / 2)).alias("score"), "rank")
+
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:
         """With a filter; an exact filtered scan where fewer than ``k`` rows come back."""
         keep = filter_.validate().column(F.col("metadata"))

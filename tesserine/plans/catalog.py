@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import memory, sqlsuite
+from . import extras, memory, sqlsuite  # noqa: F401  (extras adds to memory's queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**memory.QUERIES, **sqlsuite.QUERIES}
 ORACLE_SQL: dict[str, str] = {**memory.ORACLE_SQL, **sqlsuite.ORACLE_SQL}

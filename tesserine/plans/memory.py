@@ -17,8 +17,9 @@ from ..functions import hypervector as hv
 from ..functions import projection
 from ..functions import text as tx
 from ..operators import analytics, bridge, filters, fusion, graph, keyword, lifecycle, search
-from ..sources import readers, schemas
-from ..streaming import reservoir
+from ..operators.kept import kept, source_state
+from ..sources import readers, schemas, tables
+from ..streaming import changes, reservoir
 from . import harness
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,12 +51,18 @@ def _r(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def _kept(spark: SparkSession, sf_dir: str, name: str, source: str, build: Callable[[], DataFrame], by: list[str] | None = None) -> DataFrame:
+    """A table derived from one of the test tables, made when it is first asked for."""
+    return kept(spark, name, source_state(spark, f"{sf_dir}/{source}.parquet"), build, by)
+
+
 # ---- vectors -----------------------------------------------------------------
 
 
 def sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as 64-bit sign sketches with their label as metadata."""
-    return _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hv.signs(F.col("embedding")).alias("vector"), F.to_json(F.struct("label")).alias("metadata"), "label")
+    made = lambda: _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hv.signs(F.col("embedding")).alias("vector"), F.to_json(F.struct("label")).alias("metadata"), "label")
+    return _kept(spark, sf_dir, "sketches", "embeddings", made)
 
 
 def _word(rows: DataFrame, id_: int) -> list[int]:
@@ -105,7 +112,8 @@ def q10(spark, sf_dir):
     return spark.createDataFrame([(search.filter_strategy(n[0], n[1]),)], "strategy string")
 
 
-@query("q12_graph_candidates")
+@query("q12_graph_candidates", f"""WITH RECURSIVE {_SK[5:]}, r(id, d) AS (SELECT id, 0 FROM (SELECT vec_id AS id FROM s ORDER BY d, CAST(vec_id AS VARCHAR) LIMIT 1)
+UNION SELECT (r.id * 7 + 1) % 500, r.d + 1 FROM r JOIN embeddings e ON e.vec_id = r.id WHERE r.d < 3) SELECT DISTINCT CAST(id AS VARCHAR) AS id FROM r""")
 def q12(spark, sf_dir):
     rows = sketches(spark, sf_dir)
     named = rows.withColumn("id", F.col("id").cast("string"))
@@ -137,7 +145,12 @@ _SAME = " OR ".join("(" + " AND ".join(f"(embedding[{p + 1}] >= 0) = (q[{p + 1}]
 @query("q23_lsh_search", f"WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id, CAST({_BITDIST.format(a='embedding', b='q')} AS INT) AS d FROM embeddings, q WHERE {_SAME}) SELECT vec_id AS id, d AS distance, round(1 - d / 32.0, 6) AS score FROM s ORDER BY d, vec_id LIMIT 10")
 def q23(spark, sf_dir):
     rows = sketches(spark, sf_dir)
-    return _LSH.search(rows, _LSH.keys(rows), _word(rows, 0), 10).withColumn("score", _r("score"))
+    return _LSH.search(rows, lsh_index(spark, sf_dir), _word(rows, 0), 10).withColumn("score", _r("score"))
+
+
+def lsh_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The buckets of all sketches, clustered by table and key; a sketch is one word and stands in its buckets."""
+    return _kept(spark, sf_dir, "buckets", "embeddings", lambda: _LSH.keys(sketches(spark, sf_dir), with_vectors=True), ["table", "key"])
 
 
 @query("q26_lsh_filtered", f"{_SK} SELECT vec_id AS id, d AS distance, round(1 - d / 32.0, 6) AS score FROM s WHERE label = 3 ORDER BY d, vec_id LIMIT 200")
@@ -159,7 +172,8 @@ _HD = "list_sum(list_transform(list_zip({a}, {b}), lambda z: bit_count(xor(z[1],
 
 def _concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a 10 240-bit vector that their id seeds."""
-    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hv.seeded(F.col("doc_id")).alias("vector"))
+    made = lambda: _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), hv.seeded(F.col("doc_id")).alias("vector"))
+    return _kept(spark, sf_dir, "vectors", "documents", made)
 
 
 @query("probe", f"WITH {_HV}, q AS (SELECT w AS q FROM v WHERE doc_id = 0) SELECT doc_id AS id, CAST({_HD.format(a='w', b='q')} AS INT) AS distance, round(1 - {_HD.format(a='w', b='q')} / 5120.0, 6) AS score FROM v, q ORDER BY 2, 1 LIMIT 10")
@@ -185,7 +199,9 @@ def h6(spark, sf_dir):
     return made.select("label", hv.weight(F.col("vector")).cast("int").alias("weight"), F.concat(F.lit("["), F.array_join(bits, ", "), F.lit("]")).alias("bits"))
 
 
-@query("h10_permute")
+@query("h10_permute", f"""WITH {_HV}, b AS (SELECT doc_id, list_transform(w, lambda x: lpad(bin(x), 64, '0')) AS w FROM v),
+s AS (SELECT doc_id, array_to_string(list_transform(range(0, 80), lambda i: w[2 * i + 2] || w[2 * i + 1]), '') AS a, array_to_string(list_reverse(w), '') AS b FROM b)
+SELECT doc_id AS id, CAST(bit_count(xor(a::BIT, (substr(a, 131) || substr(a, 1, 130))::BIT)) AS INT) AS a, CAST(bit_count(xor(b::BIT, (substr(b, 131) || substr(b, 1, 130))::BIT)) AS INT) AS b FROM s""")
 def h10(spark, sf_dir):
     v = _concepts(spark, sf_dir)
     return v.select("id", hv.hamming(F.col("vector"), hv.permute(F.col("vector"), 130)).alias("a"), hv.hamming(F.col("vector"), hv.permute_binary(F.col("vector"), 130)).alias("b"))
@@ -243,7 +259,14 @@ def t6(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", F.array_join(tx.tokenize(F.col("url"), code_aware=True), " ").alias("tokens"))
 
 
-@query("t7_stable_hash")
+def _fnv(text: str) -> str:
+    """FNV-1a of a text's bytes in SQL, wide enough for the product."""
+    byte = f"list_transform(range(0, strlen({text})), lambda i: CAST(CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS INT) AS UHUGEINT))"
+    folded = f"list_reduce({byte}, lambda h, b: (xor(h, b) * {tx.FNV_PRIME}::UHUGEINT) % 18446744073709551616::UHUGEINT, {tx.FNV_OFFSET}::UHUGEINT)"
+    return f"lpad(lower(to_hex(CAST({folded} AS UBIGINT))), 16, '0')"
+
+
+@query("t7_stable_hash", f"SELECT doc_id, {_fnv('text')} AS hash, 'absence:' || {_fnv('n')} AS absence_id FROM (SELECT doc_id, text, lower(trim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ')) AS n FROM documents)")
 def t7(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", tx.stable_hash(F.col("text")).alias("hash"), tx.absence_id(F.col("text")).alias("absence_id"))
 
@@ -276,7 +299,8 @@ TERMS = ["the", "attion", "thanedble", "nd", "de", "sch"]
 
 
 def _bm25(spark: SparkSession, sf_dir: str) -> keyword.Bm25:
-    return keyword.Bm25.build(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), tx.tokenize_keywords(F.col("text")))
+    made = keyword.Bm25.build(_t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), tx.tokenize_keywords(F.col("text")))
+    return made.keep(spark, "keywords", source_state(spark, f"{sf_dir}/documents.parquet"))
 
 
 _BM = f"""k AS (SELECT doc_id AS id, {_KW.format('text')} AS k FROM documents), dl AS (SELECT id, len(k) AS dl FROM k),
@@ -369,7 +393,15 @@ def r10(spark, sf_dir):
     return hits.select("id", _r("deterministic").alias("deterministic"), _r("concept").alias("concept"), _r("final_score").alias("final_score"))
 
 
-@query("r13_memory_packet")
+@query("r13_memory_packet", rf"""WITH RECURSIVE {_SK[5:]}, a AS (SELECT vec_id AS id, 1 - d / 32.0 AS s FROM s ORDER BY d, vec_id LIMIT 30), b AS (SELECT vec_id AS id, 1 - d / 32.0 AS c FROM s WHERE label = 1 ORDER BY d, vec_id LIMIT 30),
+n AS (SELECT id, (s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) AS det FROM a), m AS (SELECT coalesce(n.id, b.id) AS id, 0.6 * coalesce(det, 0) + 0.3 * coalesce(c, 0) AS f FROM n FULL OUTER JOIN b ON n.id = b.id ORDER BY f DESC, id LIMIT 25),
+t AS (SELECT CAST(id AS VARCHAR) AS id, f, coalesce(text, CAST(id AS VARCHAR)) AS fact FROM m LEFT JOIN documents ON doc_id = id),
+o AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY fact ORDER BY f DESC, id) = 1 ORDER BY f DESC, id LIMIT 20),
+c AS (SELECT *, row_number() OVER (ORDER BY f DESC, id) AS i, CAST(ceil(len(list_filter(regexp_split_to_array(lower(fact), '[ 	
+
+]+'), lambda t: t <> '')) / 0.75) AS BIGINT) AS cost FROM o),
+g(i, used, k) AS (SELECT 0::BIGINT, 0::BIGINT, 0 UNION ALL SELECT c.i, CASE WHEN used + cost <= 1000 THEN used + cost ELSE used END, CASE WHEN used + cost <= 1000 THEN k + 1 ELSE k END FROM g JOIN c ON c.i = g.i + 1)
+SELECT CAST(k AS INT) AS n_facts, CAST(used AS INT) AS tokens, (SELECT round(avg(f), 6) FROM c) AS confidence FROM g ORDER BY i DESC LIMIT 1""")
 def r13(spark, sf_dir):
     rows = sketches(spark, sf_dir)
     q = _word(rows, 0)
@@ -446,6 +478,10 @@ def s14(spark, sf_dir):
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts and suppliers, linked both ways by the mean discount of their line items."""
+    return _kept(spark, sf_dir, "edges", "lineitem", lambda: _linked(spark, sf_dir), ["from_id", "to_id"])
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _t(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.round(F.avg("l_discount") * 10, 4).alias("strength"), F.max(_epoch("l_shipdate")).alias("created_at"))
     p, s = F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), "l_suppkey")
     there = e.select(p.alias("from_id"), s.alias("to_id"), "strength", "created_at")
@@ -584,7 +620,13 @@ def a6(spark, sf_dir):
     return lifecycle.version_at(v, none, v.agg(F.min("concept_id")).first()[0], 2).select("concept_id", "version", "created_at")
 
 
-@query("a10_diff_versions")
+_DIFFED = f"""{_V}, p AS (SELECT a.event_type AS x, b.event_type AS y, a.props AS m, b.props AS n FROM v a JOIN v b ON a.concept_id = b.concept_id WHERE a.version = 1 AND b.version = 2 AND a.concept_id = (SELECT min(concept_id) FROM v)),
+w AS (SELECT *, list_transform(range(0, 80), lambda i: md5('hv:' || x || ':' || i)) AS a, list_transform(range(0, 80), lambda i: md5('hv:' || y || ':' || i)) AS b, json_keys(m) AS k, json_keys(n) AS l FROM p)"""
+_HALF = "bit_count(xor(('0x' || substr(z[1], {0}, 16))::UBIGINT, ('0x' || substr(z[2], {0}, 16))::UBIGINT))"
+
+
+@query("a10_diff_versions", f"""WITH {_DIFFED} SELECT round(list_sum(list_transform(list_zip(a, b), lambda z: {_HALF.format(1)} + {_HALF.format(17)})) / 5120.0, 6) AS distance, CAST(len(list_filter(l, lambda c: NOT list_contains(k, c))) AS INT) AS added,
+CAST(len(list_filter(k, lambda c: NOT list_contains(l, c))) AS INT) AS removed, CAST(len(list_filter(k, lambda c: list_contains(l, c) AND json_extract_string(m, '$.' || c) IS DISTINCT FROM json_extract_string(n, '$.' || c))) AS INT) AS changed FROM w""")
 def a10(spark, sf_dir):
     v = _versions(spark, sf_dir).withColumn("vector", hv.seeded(F.col("event_type")))
     return lifecycle.diff(v, v.agg(F.min("concept_id")).first()[0], 1, 2).select(_r("vector_cosine_distance").alias("distance"), F.size("added").alias("added"), F.size("removed").alias("removed"), F.size("changed").alias("changed"))
@@ -662,11 +704,12 @@ def e2(spark, sf_dir):
     source = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(source).schema
     # the stream source takes folders: the file is named by a glob
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
-    made = stream.groupBy(F.window("ts", "1 day").alias("w"), F.col("event_type").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
-    name = f"counts_{uuid.uuid4().hex}"
-    made.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.col("w.start").alias("day"), "kind", "n")
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumnRenamed("event_type", "kind").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = f"{tables.checkpoint_dir(spark)}/counts-{uuid.uuid4().hex}"
+    emit = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{folder}/rows")
+    made = changes.counted(stream, width="1 day").writeStream.outputMode("complete").foreachBatch(emit)
+    made.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", "n")
 
 
 @query("e8_reservoir_sequence")
@@ -692,8 +735,7 @@ def e24(spark, sf_dir):
 @query("w8_previous_version_id", "SELECT event_id, CASE WHEN event_id % 7 >= 2 THEN 'm' || user_id || ':v' || (event_id % 7 - 1) END AS previous FROM events")
 def w8(spark, sf_dir):
     id_ = F.concat(F.lit("m"), "user_id", F.lit(":v"), (F.col("event_id") % 7).cast("string"))
-    n = F.regexp_extract(id_, r":v(\d+)$", 1).cast("int")
-    return _t(spark, sf_dir, "events").select("event_id", F.when(n >= 2, F.concat(F.regexp_replace(id_, r"\d+$", ""), (n - 1).cast("string"))).alias("previous"))
+    return _t(spark, sf_dir, "events").select("event_id", harness.previous_version(id_).alias("previous"))
 
 
 @query("w11_benchmark_run")
