@@ -2,8 +2,9 @@
 
 ``word_bpe_49k.json`` drops white space, splits the rest into pieces (letters, single
 digits, other signs, a few English endings) and merges inside each piece alone.
-Texts repeat pieces far more than they differ: each worker keeps a bounded memory of
-pieces that the library has encoded. Only texts whose normal form and split are
+Texts repeat pieces far more than they differ: the pieces of some texts are found and
+told apart together, by 64-bit hashes, and each worker keeps a bounded memory of
+pieces, by their bytes, that the library has encoded. Only texts whose normal form and split are
 certain (ASCII and Latin-1 letters, no other control characters, no special tokens)
 go this way; all others go to the library whole. So do all texts under any other file:
 the way by pieces is taken only where the file's own steps are the ones it stands for.
@@ -18,15 +19,19 @@ from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
-from .kernel import HELD
+import numpy as np
+
+from .kernel import HELD, span_hashes
 
 #: Pieces that one worker remembers; two generations of this size bound its memory.
 REMEMBER = 250_000
-#: Pieces given to the library in one call.
-_CALL = 5_000
+#: Pieces given to the library in one call, and characters of texts that are split together.
+_CALL, _TOGETHER = 5_000, 1 << 20
 
 _PLAIN = re.compile(r"[\t\n\x0b\x0c\r -~À-ÿ]*")
 _LETTERS = "a-zß-öø-ÿ"
+_ENDING = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
+_GAP = re.compile(r"\s")
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTERS}]+")
 
 
@@ -58,6 +63,11 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+# kinds of bytes: white space, letters and all bytes beyond ASCII, digits, other signs
+_KIND = np.array([0 if b in b" \t\n\x0b\x0c\r" else _DIGIT if 0x30 <= b <= 0x39 else _LETTER if b >= 0x80 or 0x61 <= b <= 0x7A else _SIGN for b in range(256)], np.uint8)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, as the library gives them."""
 
@@ -72,8 +82,8 @@ class Encoder:
         self.piece.normalizer = normalizers.Sequence([])
         self.piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.special = tuple(t.content for t in self.piece.get_added_tokens_decoder().values())
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     @cached_property
     def library(self):  # noqa: ANN201
@@ -82,49 +92,114 @@ class Encoder:
 
         return Tokenizer.from_file(self.path)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         if len(self.new) + len(pieces) > REMEMBER:
             self.new, self.old = {}, self.new
         for at in range(0, len(pieces), _CALL):
             part = pieces[at : at + _CALL]
-            for w, e in zip(part, self.piece.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.new[w] = array("I", e.ids).tobytes()
+            # one sequence of many words: its ids and the word of each are two lists instead of an object for each word
+            made = self.piece.encode([p.decode() for p in part], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(made.ids, "<u4").tobytes()
+            ends = np.cumsum(np.bincount(np.array(made.word_ids), minlength=len(part)) * 4).tolist()
+            self.new.update(zip(part, map(ids.__getitem__, map(slice, [0, *ends], ends)), strict=False))
+
+    def _known(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of different pieces; the library is asked for those not remembered, together."""
+        ids = list(map(self.new.get, pieces))
+        if None in ids:
+            held = [(i, self.old.get(pieces[i])) for i, v in enumerate(ids) if v is None]
+            self._learn([pieces[i] for i, v in held if v is None])
+            new = self.new
+            for i, v in held:
+                ids[i] = new[pieces[i]] if v is None else v
+                new[pieces[i]] = ids[i]
+        return ids
+
+    def _split(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of texts in small letters that split at white space, at each digit, and where letters and other signs meet."""
+        data = "\n".join(texts).encode() + b"\n"
+        buf = np.frombuffer(data, np.uint8)
+        kind = _KIND[buf]
+        # of two bytes the second tells a sign from a letter, and both are of one kind
+        sign = np.flatnonzero((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        kind[sign] = kind[sign + 1] = _SIGN
+        change = kind[1:] != kind[:-1]
+        begins, stops = np.ones(len(kind), bool), np.ones(len(kind), bool)
+        digit = kind == _DIGIT
+        begins[1:], stops[:-1] = change | digit[1:], change | digit[:-1]
+        word = kind != 0
+        starts, ends = np.flatnonzero(begins & word), np.flatnonzero(stops & word) + 1
+        offsets = np.cumsum([0, *(len(t.encode()) + 1 for t in texts)])
+        if not len(starts):
+            yield from [b""] * len(texts)
+            return
+        _, at, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+        own = self._known([data[x:y] for x, y in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+        size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, before = np.frombuffer(b"".join(own), "<u4"), np.cumsum(size) - size
+        n = size[inverse]
+        upto = np.cumsum(n)
+        ids = flat[np.repeat(before[inverse] - (upto - n), n) + np.arange(int(upto[-1]))]
+        edge = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)].tolist()
+        for x, y in zip(edge, edge[1:]):
+            yield ids[x:y].tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text in turn. Pieces not remembered wait until a call's worth of them is together."""
-        waiting: list[tuple[str, list, list[str], list[int]]] = []
-        asked: dict[str, None] = {}
+        """Ids of each text in turn. Texts are split together, some of them at a time; long ones are cut at white space."""
+        waiting: list[str] = []
+        parts: list[int] = []
+        size = 0
         for t in texts:
             if not self.split or not _PLAIN.fullmatch(t) or any(s in t for s in self.special):
-                waiting.append((t, None, None, None))
-                continue
-            own = _PIECES.findall(t.lower())
-            ids = list(map(self.new.get, own))
-            open_ = [i for i, v in enumerate(ids) if v is None] if None in ids else []
-            left = []
-            for i in open_:
-                known = self.old.get(own[i])
-                if known is None:
-                    asked[own[i]] = None
-                    left.append(i)
-                else:
-                    ids[i] = self.new[own[i]] = known
-            waiting.append((t, ids, own, left))
-            if len(asked) >= _CALL or len(waiting) >= _CALL:
-                yield from self._answered(waiting, asked)
-                waiting, asked = [], {}
-        yield from self._answered(waiting, asked)
-
-    def _answered(self, waiting: list[tuple], asked: dict[str, None]) -> Iterator[bytes]:
-        self._learn(list(asked))
-        for t, ids, own, left in waiting:
-            if ids is None:
+                yield from self._joined(waiting, parts)
+                waiting, parts, size = [], [], 0
                 yield array("I", self.library.encode(t, add_special_tokens=False).ids).tobytes()
                 continue
-            for i in left:
-                # a rotation can come between: what was asked for is in the new generation or the old one
-                ids[i] = self.new.get(own[i]) or self.old[own[i]]
-            yield b"".join(ids)
+            t = t.lower()
+            if _ENDING.search(t):
+                own = [p.encode() for p in _PIECES.findall(t)]
+                every = list(dict.fromkeys(own))
+                known = dict(zip(every, self._known(every), strict=True))
+                yield from self._joined(waiting, parts)
+                waiting, parts, size = [], [], 0
+                yield b"".join(map(known.__getitem__, own))
+                continue
+            cut = _cut(t)
+            parts.append(len(cut))
+            for part in cut:
+                waiting.append(part)
+                size += len(part)
+            if size >= _TOGETHER:
+                yield from self._joined(waiting, parts)
+                waiting, parts, size = [], [], 0
+        yield from self._joined(waiting, parts)
+
+    def _joined(self, waiting: list[str], parts: list[int]) -> Iterator[bytes]:
+        """Ids of the texts that wait, of each as many parts as it was cut into."""
+        made = self._some(waiting)
+        for n in parts:
+            yield next(made) if n == 1 else b"".join(next(made) for _ in range(n))
+
+    def _some(self, waiting: list[str]) -> Iterator[bytes]:
+        lo = size = 0
+        for i, part in enumerate(waiting):
+            size += len(part)
+            if size >= _TOGETHER or i == len(waiting) - 1:
+                yield from self._split(waiting[lo : i + 1])
+                lo, size = i + 1, 0
+
+
+def _cut(text: str) -> list[str]:
+    """A text in parts of about ``_TOGETHER`` characters, cut at white space; a longer run without it is one part."""
+    if len(text) <= 2 * _TOGETHER:
+        return [text]
+    out, at = [], 0
+    while at < len(text):
+        gap = _GAP.search(text, at + _TOGETHER)
+        end = gap.start() if gap else len(text)
+        out.append(text[at:end])
+        at = end
+    return out
 
 
 def encoder(path: str) -> Encoder:
