@@ -15,14 +15,13 @@ read after that.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +32,8 @@ CAPACITY = 4096
 END_ID = 1
 #: Bytes of the tasks' rows that are sent to every executor; more are joined by a shuffle of the pieces.
 BROADCAST_BYTES = 64 << 20
+#: Runs that are sent to every executor, about 50 MB. Their number depends on the lengths that occur, not on how often.
+BROADCAST_RUNS = 1_000_000
 
 
 class CapacityTree:
@@ -157,24 +158,7 @@ def _offsets(made: DataFrame, capacity: int) -> DataFrame:
     return first.groupBy("_part").applyInArrow(dense, "_part long, offsets array<long>")
 
 
-_PLACE = "sequence_id long, offset long"
-
-
-def _placer(runs: list[Run]) -> Callable[[Column, Column], Column]:
-    """A function of a piece's length and its rank among all pieces of that length to its place."""
-    runs = sorted(runs, key=lambda r: (r.length, r.rank))
-    length, rank, bin_, each, fill = (np.array([getattr(r, c) for r in runs], np.int64) for c in ("length", "rank", "bin", "each", "fill"))
-    # ranks of one length ascend; a length's ranks stay below 2**50
-    key = (length << 50) + rank
-
-    @F.pandas_udf(_PLACE)
-    def place(n: pd.Series, at: pd.Series) -> pd.DataFrame:
-        n, at = n.to_numpy(np.int64), at.to_numpy(np.int64)
-        k = np.searchsorted(key, (n << 50) + at, "right") - 1
-        step = at - rank[k]
-        return pd.DataFrame({"sequence_id": bin_[k] + step // each[k], "offset": fill[k] + step % each[k] * n})
-
-    return place
+_RUN = "length long, lo long, hi long, bin long, each long, fill long"
 
 
 def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
@@ -190,8 +174,17 @@ def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: st
     offsets = stored(_offsets(made, capacity), "offsets")
     if offsets.count() * 8 * (capacity + 1) <= BROADCAST_BYTES:
         offsets = F.broadcast(offsets)
-    place = _placer(best_fit_decreasing(counts, capacity))
-    ranked = made.join(offsets, "_part").withColumn("_at", F.col("_rank") + F.get("offsets", F.col("length").cast("int")))
-    placed = ranked.select("_row", "piece", "start", "length", "ids", place("length", "_at").alias("_place"))
+    runs = best_fit_decreasing(counts, capacity)
+    rows = made.sparkSession.createDataFrame([(r.length, r.rank, r.rank + r.n, r.bin, r.each, r.fill) for r in runs], _RUN)
+    # some runs for each length, however many pieces there are
+    rows = F.broadcast(rows) if len(runs) <= BROADCAST_RUNS else rows
+    m, p = made.join(offsets, "_part").withColumn("_at", F.col("_rank") + F.get("offsets", F.col("length").cast("int"))).drop("offsets").alias("m"), rows.alias("p")
+    joined = m.join(p, (F.col("m.length") == F.col("p.length")) & (F.col("m._at") >= F.col("p.lo")) & (F.col("m._at") < F.col("p.hi")))
+    step = F.col("m._at") - F.col("p.lo")
     rest = [c for c in made.schema["_row"].dataType.names if c != "_none"]
-    return placed.select(*[F.col("_row")[c].alias(c) for c in rest], "piece", "start", "length", "ids", "_place.sequence_id", "_place.offset")
+    return joined.select(
+        *[F.col("m._row")[c].alias(c) for c in rest],
+        *[F.col(f"m.{c}") for c in ("piece", "start", "length", "ids")],
+        (F.col("p.bin") + F.floor(step / F.col("p.each"))).cast("long").alias("sequence_id"),
+        (F.col("p.fill") + (step % F.col("p.each")) * F.col("m.length")).cast("long").alias("offset"),
+    )
