@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,9 +31,9 @@ SYMBOLS = kernel._lut(set(b"#*$%&|<>"))
 UPPER = kernel._lut(set(range(0x41, 0x5B)))
 BANGS = kernel._lut(set(b"!"))
 
-#: Rows that :func:`plan` times the rules on, and rows and bytes of them that one task gives. They fix the order of the
-#: rules and nothing else; texts over the bytes are left out of the sample.
-SAMPLE_ROWS, TASK_ROWS, TASK_BYTES = 2000, 32, 256 << 10
+#: Rows that :func:`plan` times the rules on, files that they come from, and bytes of the longest. They fix the order of
+#: the rules and nothing else.
+SAMPLE_ROWS, SAMPLE_FILES, SAMPLE_BYTES = 1000, 8, 16 << 10
 
 
 class Features:
@@ -174,21 +175,19 @@ def ordered(texts: list[bytes | None], rules: tuple[Rule, ...], features: tuple[
     return tuple(out)
 
 
-def sampled(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[bytes | None]:
-    """Texts of at most ``rows`` rows, a few from the start of each of as many tasks as that takes."""
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                kept, size = [], 0
-                for t in kernel.binaries(batch.column(0).slice(0, TASK_ROWS)):
-                    if size + len(t or b"") <= TASK_BYTES:
-                        kept.append(t)
-                        size += len(t or b"")
-                yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], ["t"])
-                return
-
-    return [r.t and bytes(r.t) for r in docs.select(F.col(text).cast("string").alias("t")).mapInArrow(some, "t binary").take(rows)]
+def sampled(docs: DataFrame, text: str, rows: int = SAMPLE_ROWS) -> list[bytes]:
+    """Texts of at most ``rows`` rows: the first of some files that lie far apart, or of all rows where those don't come
+    straight from files. Only these files are opened, and no further than it takes."""
+    names = sorted({f.rsplit("/", 1)[-1] for f in docs.inputFiles()})
+    chosen = names[:: max(1, -(-len(names) // SAMPLE_FILES))]
+    text_ = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("t")
+    some = lambda rows_, n: [bytes(r.t) for r in rows_.select(text_).where(F.octet_length("t") <= SAMPLE_BYTES).limit(n).collect()]
+    if len(chosen) > 1:
+        try:
+            return [t for name in chosen for t in some(docs.where(F.col("_metadata.file_name") == name), rows // len(chosen))]
+        except AnalysisException:
+            pass  # rows of a join or of a computed table have no file
+    return some(docs, rows)
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = SAMPLE_ROWS, features: tuple[str, ...] = ()) -> tuple[Rule, ...]:
