@@ -41,6 +41,8 @@ BLOCK_BYTES = 4 << 20
 KEPT_BLOCKS = 2
 #: Bytes of text for which a worker goes through blocks that it can't keep.
 LONG_SLICE = 16 << 20
+#: Bands from which on those of one item are aligned together, and bytes of text that are aligned at once.
+TOGETHER, ALIGNED_BYTES = 64, 1 << 20
 #: Shared q-grams that are counted at once; more are counted in parts.
 HITS = 1 << 21
 
@@ -131,6 +133,20 @@ def align(item: bytes, region: bytes, width: int) -> tuple[int, int, int]:
     return edits, d, end
 
 
+def least_edits(item: bytes, regions: np.ndarray, width: int) -> np.ndarray:
+    """For each row of ``regions`` (bytes, zero where a text has none) the edits that :func:`align` finds, all rows together.
+
+    A zero byte equals none of an item's, so it costs what leaving out the item's byte does.
+    """
+    step = np.arange(width + 1, dtype=np.int32)
+    row = np.zeros((len(regions), width + 1), np.int32)
+    for r, c in enumerate(item):
+        best = row + (regions[:, r : r + width + 1] != c)
+        best[:, :-1] = np.minimum(best[:, :-1], row[:, 1:] + 1)
+        row = np.minimum.accumulate(best - step, axis=1) + step
+    return row.min(axis=1)
+
+
 class _Grams:
     """Q-grams of one length of some items of a block."""
 
@@ -231,10 +247,35 @@ class _Index:
             at, k, owner = grams.places(buf, edge)
             for lo, hi in grams.parts(k) if len(at) else ():
                 keys, count = grams.bands(at, k, owner, self.budget, lo, hi)
-                for i, number, b in keys[:, count >= self.bound[keys[1]]].T.tolist():
+                near = self._near(keys[:, count >= self.bound[keys[1]]], buf, edge)
+                for i, number, b in near.T.tolist():
                     self._verify(found.setdefault(i, {}), number, b, buf, source, int(edge[i]), int(edge[i + 1]), int(offsets[i]))
         return {i: v for i, v in found.items() if v}
 
+    def _near(self, keys: np.ndarray, buf: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """The bands (text, item, band) in which the item stands within its budget. Bands of one item are aligned together."""
+        if keys.shape[1] < TOGETHER:
+            return keys
+        keep, order = np.zeros(keys.shape[1], bool), np.argsort(keys[1], kind="stable")
+        groups = np.flatnonzero(np.diff(keys[1][order], prepend=-1))
+        for a, b in zip(groups, [*groups[1:], len(order)], strict=True):
+            it = self.items[keys[1][order[a]]]
+            if it.whole:
+                keep[order[a:b]] = True
+                continue
+            width = 4 * it.budget + 2
+            size = len(it.text) + width
+            step = max(1, ALIGNED_BYTES // size)
+            for at in range(a, b, step):
+                some = order[at : min(at + step, b)]
+                lo = keys[2][some] * (it.budget + 1) - it.budget
+                place = lo[:, None] + np.arange(size)
+                there = (place >= edge[keys[0][some]][:, None]) & (place < edge[keys[0][some] + 1][:, None])
+                regions = np.where(there, buf[np.where(there, place, 0)], 0)
+                alike, back = np.unique(regions, axis=0, return_inverse=True)
+                keep[some] = least_edits(it.text, alike, width)[back.reshape(-1)] <= it.budget
+        return keys[:, keep]
+
     def _verify(self, own: dict[int, tuple[int, int, int]], number: int, band: int, buf: np.ndarray, source: np.ndarray, first: int, last: int, offset: int) -> None:
         """Align an item in one band of a text, ``buf[first:last]``, and keep the place if it is the best yet."""
         it = self.items[number]

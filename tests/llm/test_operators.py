@@ -436,6 +436,23 @@ def test_leaks_in_blocks_and_parts_are_those_of_one(spark, monkeypatch):
     assert of() == one
 
 
+def test_bands_aligned_together_are_those_of_one_by_one(monkeypatch):
+    r = random.Random(21)
+    items = [leaks.prepare(i, "".join(r.choice("abcde ") for _ in range(r.randint(30, 90)))) for i in range(12)]
+    texts = []
+    for _ in range(150):
+        own = list(r.choice(items).text.decode())
+        for _ in range(r.randint(0, 8)):
+            k = r.randrange(len(own))
+            own[k : k + 1] = r.choice([[], ["a"], [own[k], "b"]])
+        texts.append(("".join(own) + "".join(r.choice("abcde ") for _ in range(r.randint(0, 20)))).encode())
+    made = []
+    for n in (1, 1 << 30):
+        monkeypatch.setattr(leaks, "TOGETHER", n)
+        made.append(leaks._Index(items).search(texts))
+    assert made[0] == made[1] and made[0]
+
+
 def test_leaks_tell_places_that_are_so_many_edits_away():
     r = random.Random(12)
     items = [leaks.prepare(i, "".join(r.choice("abcdef ") for _ in range(r.randint(40, 120)))) for i in range(8)]
