@@ -10,10 +10,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import extras, memory, sqlsuite  # noqa: F401  (extras adds to memory's queries)
+from . import extras, memory, sqlsuite
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**memory.QUERIES, **sqlsuite.QUERIES}
-ORACLE_SQL: dict[str, str] = {**memory.ORACLE_SQL, **sqlsuite.ORACLE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**memory.QUERIES, **extras.QUERIES, **sqlsuite.QUERIES}
+ORACLE_SQL: dict[str, str] = {**memory.ORACLE_SQL, **extras.ORACLE_SQL, **sqlsuite.ORACLE_SQL}
 
 _SHIPPED: set[str] = set()
 

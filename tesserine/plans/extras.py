@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,19 @@ from ..functions import text as tx
 from ..memory import Memory
 from ..operators import filters, graph, hnsw, lifecycle, retrieval, search
 from ..sources import readers, schemas, tables, writers
-from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, query, sketches
+from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, sketches
+
+
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name], ORACLE_SQL[name] = f, sql
+        return f
+
+    return add
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -357,3 +370,60 @@ def q38(spark, sf_dir):
     m.upsert(d.select(F.col("doc_id").cast("string").alias("id"), F.array(F.col("doc_id").cast("long")).alias("vector"), F.to_json(F.struct(F.col("text").alias("searchable_text"))).alias("metadata")))
     m.text_index()  # made by the first, read by the second
     return m.text_index().lengths.select("id", "dl")
+
+
+# ---- scans, functions by SQL, streams ---------------------------------------------
+
+
+def _round_trip(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Orders written in a format and read back by a filter."""
+    folder = _folder(spark, kind)
+    rows = _t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.col("o_orderstatus"), F.round("o_totalprice", 2).cast("double").alias("o_totalprice"))
+    writer = rows.write.option("header", True) if kind == "csv" else rows.write
+    writer.format(kind).save(folder)
+    reader = spark.read.schema(rows.schema)
+    return (reader.option("header", True) if kind == "csv" else reader).format(kind).load(folder).where("o_totalprice > 1000").select("o_orderkey", "o_orderstatus", F.round("o_totalprice", 2).alias("total"))
+
+
+_SCANNED = "SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS total FROM orders WHERE round(o_totalprice, 2) > 1000"
+query("l5_scan_csv", _SCANNED)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "csv"))
+query("l5_scan_json", _SCANNED)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "json"))
+query("l5_scan_orc", _SCANNED)(lambda spark, sf_dir: _round_trip(spark, sf_dir, "orc"))
+
+
+@query("l6_table_function", "SELECT doc_id, CAST(i AS INT) AS place, w AS word FROM (SELECT doc_id, unnest(range(1, 4)) AS i, string_split(lang || ' ' || source || ' end', ' ') AS ws FROM documents), LATERAL (SELECT ws[i] AS w) WHERE w IS NOT NULL")
+def l6(spark, sf_dir):
+    """Words of a text by a table function of SQL."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION first_words(t STRING, n INT) RETURNS TABLE (place INT, word STRING) RETURN SELECT pos + 1, col FROM posexplode(slice(split(t, ' '), 1, n))")
+    _t(spark, sf_dir, "documents").createOrReplaceTempView("documents")
+    return spark.sql("SELECT doc_id, f.place, f.word FROM documents, LATERAL first_words(concat_ws(' ', lang, source, 'end'), 3) f")
+
+
+@query("l7_custom_aggregate", "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS geometric_mean FROM lineitem GROUP BY l_returnflag")
+def l7(spark, sf_dir):
+    """An aggregate that SQL defines over built-in ones."""
+    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION geometric(mean_of_logs DOUBLE) RETURNS DOUBLE RETURN exp(mean_of_logs)")
+    _t(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    return spark.sql("SELECT l_returnflag, geometric(m) AS geometric_mean FROM (SELECT l_returnflag, avg(ln(l_quantity)) AS m FROM lineitem GROUP BY l_returnflag)").withColumn("geometric_mean", _r("geometric_mean"))
+
+
+@query("l8_similarity_join", f"SELECT q.vec_id AS a, e.vec_id AS b, CAST({_BITDIST.format(a='e.embedding', b='q.embedding')} AS INT) AS distance FROM embeddings q JOIN embeddings e ON q.vec_id < e.vec_id AND ({_NEAR.replace(') <= 1', ') = 0')}) WHERE {_BITDIST.format(a='e.embedding', b='q.embedding')} <= 12")
+def l8(spark, sf_dir):
+    """Pairs of one bucket that differ in at most 12 bits: a join by buckets, never of all pairs."""
+    index = lsh_index(spark, sf_dir)
+    a, b = (index.select("table", "key", F.col("id").alias(n), F.col("vector").alias(f"v{n}")) for n in ("a", "b"))
+    met = a.join(b, ["table", "key"]).where("a < b").withColumn("distance", hv.hamming(F.col("va"), F.col("vb")).cast("int")).where("distance <= 12")
+    return met.select("a", "b", "distance").distinct()
+
+
+@query("w3_session_bm25", """WITH d AS (SELECT conv_id || ':' || turn AS id, conv_id, text FROM conversations WHERE turn = 0), k AS (SELECT id, conv_id, """ + _KW.format("text") + """ AS k FROM d),
+p AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(k) AS t FROM k) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM p GROUP BY t), c AS (SELECT count(*) AS n, avg(len(k)) AS a FROM k),
+s AS (SELECT p.id, sum((ln(n + 1) - ln(df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(k) / a))) AS score FROM p JOIN df USING (t) JOIN k USING (id), c WHERE t IN ('the', 'of', 'and') GROUP BY p.id HAVING score > 0)
+SELECT id, round(score, 6) AS score FROM (SELECT * FROM s ORDER BY s.score DESC, id LIMIT 50) ORDER BY score DESC, id LIMIT 5""")
+def w3(spark, sf_dir):
+    from .harness import Conversations
+
+    m = Memory(spark, _folder(spark, "store"), now=1)
+    rows = _t(spark, sf_dir, "conversations").where("turn = 0").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
+    m.upsert(rows.select("id", F.array(F.lit(1).cast("long")).alias("vector"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("searchable_text"))).alias("metadata")))
+    return Conversations(m).query_bm25("the of and", None, 5).withColumn("score", _r("score"))

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import analytics, keyword
+from ..memory import Memory
+from ..operators import analytics, fusion, keyword, lifecycle
+from ..sources.tables import cut
 
 #: What sessions speak of.
 FACTS = {"favorite_color": ("red", "blue", "green", "amber"), "home_city": ("Lisbon", "Oslo", "Quito", "Kyoto"), "pet_name": ("Milo", "Luna", "Rex", "Ivy")}
 ABSTAIN_BELOW = 0.1
+# The least weight of a hit without a shared word, the least scores that hits keep, and the graph's part.
+OVERLAP_FLOOR, ADJUSTED_LEAST, VECTOR_LEAST, GRAPH_WEIGHTS = 0.05, 0.05, 0.15, (0.7, 0.3)
 
 
 def _pick(options: tuple[str, ...], *seed: Column) -> Column:
@@ -118,6 +122,83 @@ def scored(answered: DataFrame) -> DataFrame:
     return answered.withColumns({"recall_at_5": analytics.recall_at(gold, got, 5), "reciprocal_rank": analytics.reciprocal_rank(gold, got), "ndcg_at_10": analytics.ndcg_at(gold, got, 10)})
 
 
+class Conversations:
+    """Told turns in a memory, and the ways to ask it. Ids are ``<session>:<fact>:v<n>``; hits are ``id`` and ``score``."""
+
+    def __init__(self, memory: Memory) -> None:
+        self.memory = memory
+
+    def ingest(self, turns: DataFrame) -> None:
+        """Store the latest version of each turn as a concept, and link it to its neighbours and to others that share words."""
+        told = cut(latest(turns))
+        vector = tx.encoder()(F.col("text"))
+        self.memory.upsert(told.select(F.col("memory_id").alias("id"), vector.alias("vector"), F.to_json(F.struct(F.col("text").alias("searchable_text"), "session_id")).alias("metadata")))
+        links = neighbour_links(told).unionByName(overlap_links(told)).groupBy("from_id", "to_id").agg(F.max("strength").alias("strength"))
+        good, _ = lifecycle.associated(self.memory.edges.limit(0), links, self.memory.concepts, self.memory.now)
+        self.memory._written("associations", good.withColumn("namespace", F.lit(self.memory.namespace)))
+
+    def texts(self) -> DataFrame:
+        return self.memory.concepts.select("id", F.get_json_object("metadata", "$.searchable_text").alias("text"))
+
+    def words(self, text: str) -> list[str]:
+        return list(self.memory.spark.range(1).select(tx.tokenize_keywords(F.lit(text)).alias("t")).first().t)
+
+    def index(self) -> keyword.Bm25:
+        made = keyword.Bm25.build(self.texts(), tx.tokenize_keywords(F.col("text")))
+        return made.keep(self.memory.spark, "turns", str(self.memory.namespace_revision()), self.memory._index_folder())
+
+    def _reweighted(self, hits: DataFrame, text: str, k: int) -> DataFrame:
+        """Scores by the share of the question's words that a text has; little is left without any."""
+        asked = F.array(*[F.lit(w) for w in self.words(text)]) if self.words(text) else F.array().cast("array<string>")
+        share = tx.overlap_ratio(asked, tx.tokenize_keywords(F.col("text")))
+        both = hits.join(self.texts(), "id").withColumn("score", F.col("score") * (OVERLAP_FLOOR + (1 - OVERLAP_FLOOR) * share))
+        return both.where(F.col("score") >= ADJUSTED_LEAST).select("id", "score").orderBy(F.desc("score"), "id").limit(k)
+
+    def _within(self, hits: DataFrame, session: str | None, k: int) -> DataFrame:
+        own = hits if session is None else hits.where(F.col("id").startswith(f"{session}:"))
+        return own.orderBy(F.desc("score"), "id").limit(k)
+
+    def query(self, text: str, k: int) -> DataFrame:
+        """Vectors expanded over links, and keywords, fused."""
+        vector = [int(w) for w in tx.encode_text(text)]
+        near = self.memory.probe_vector_graph(vector, 3 * k, k, 2, 0.1, GRAPH_WEIGHTS).select("id", "score").where(F.col("score") >= VECTOR_LEAST)
+        asked = self.words(text)
+        hits = self.index().search(asked, 3 * k)
+        return self._reweighted(cut(fusion.merge(hits, near, fusion.weights(len(asked)), k)), text, k)
+
+    def query_association(self, text: str, k: int) -> DataFrame:
+        return self.query(text, k)
+
+    def query_in_session(self, text: str, session: str, k: int) -> DataFrame:
+        """Vectors and keywords of one session, fused."""
+        wide, asked = 10 * k, self.words(text)
+        vector = [int(w) for w in tx.encode_text(text)]
+        near = self._within(self.memory.probe(vector, wide).select("id", "score"), session, k)
+        hits = self._within(self.index().search(asked, wide), session, k)
+        return self._reweighted(cut(fusion.merge(hits, near, fusion.weights(len(asked)), k)), text, k)
+
+    def query_in_session_association(self, text: str, session: str, k: int) -> DataFrame:
+        return self._within(self.query(text, 10 * k), session, k)
+
+    def query_bm25(self, text: str, session: str | None, k: int) -> DataFrame:
+        return self._within(self.index().search(self.words(text), 10 * k), session, k)
+
+    def query_bridge(self, text: str, session: str | None, k: int) -> DataFrame:
+        hits = self.memory.bridge_hits(text, 10 * k).select("id", F.col("final_score").alias("score"))
+        return self._within(hits, session, k)
+
+    def query_hybrid(self, text: str, session: str | None, k: int) -> DataFrame:
+        return self.query(text, k) if session is None else self.query_in_session(text, session, k)
+
+    def query_history(self, id_: str, limit: int) -> DataFrame:
+        return self.memory.history(id_, limit)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """One JSON object a line for each case."""
+    results.write.mode("overwrite").json(path)
+
+
 def run(spark: SparkSession, seed: int = 42, n: int = 20) -> DataFrame:
     """Generate, ingest, answer and sum up by task."""
     turns = sessions(spark, seed, n)

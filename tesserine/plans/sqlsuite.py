@@ -89,12 +89,21 @@ SUITE = {
         WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL '30' MINUTE THEN 0 ELSE 1 END AS new FROM events),
         numbered AS (SELECT user_id, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM gaps)
         SELECT user_id, session, count(*) AS n, min(event_id) AS lo FROM numbered GROUP BY user_id, session""",
+    "l1_arrays": "SELECT vec_id, list_sum(embedding[1:3]) AS head, len(embedding) AS n, list_contains(embedding, embedding[1]) AS has FROM embeddings",
+    "l1_json": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL",
+    "l1_maps": "SELECT o_custkey, map_extract_value(map_from_entries(list((o_orderkey, o_orderstatus) ORDER BY o_orderkey)), min(o_orderkey)) AS first FROM orders GROUP BY o_custkey",
+    "l1_percentiles": "SELECT l_returnflag, percentile_disc(0.5) WITHIN GROUP (ORDER BY l_quantity) AS mid, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem GROUP BY l_returnflag",
+    "l1_correlated": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > (SELECT avg(o_totalprice) FROM orders))",
+    "l1_values_lateral": "SELECT n_nationkey, v FROM nation, LATERAL (SELECT n_nationkey * 2 AS v) t",
 }
 #: Where the engines spell one function differently: DuckDB's form.
 OTHER = {
     "l1_dates": SUITE["l1_dates"].replace("date_trunc('month', o_orderdate)", "CAST(date_trunc('month', o_orderdate) AS TIMESTAMP)"),
 }
 SPARK_FORM = {
+    "l1_arrays": "SELECT vec_id, aggregate(slice(embedding, 1, 3), 0D, (s, x) -> s + x) AS head, size(embedding) AS n, array_contains(embedding, embedding[0]) AS has FROM embeddings",
+    "l1_json": "SELECT event_id, get_json_object(props, '$.k') AS k FROM events WHERE get_json_object(props, '$.k') IS NOT NULL",
+    "l1_maps": "SELECT o_custkey, map_from_entries(array_sort(collect_list(struct(o_orderkey, o_orderstatus))))[min(o_orderkey)] AS first FROM orders GROUP BY o_custkey",
     "l1_dates": SUITE["l1_dates"].replace("datediff('day', TIMESTAMP '1992-01-01 00:00:00', o_orderdate)", "datediff(o_orderdate, DATE '1992-01-01')"),
 }
 

@@ -1,18 +1,16 @@
 import pytest
 
-from tesserine.plans import extras, memory  # noqa: F401  (extras registers its queries)
+from tesserine.plans import extras, memory
 
 from .compare import same
 
-OWN = sorted(n for n in memory.ORACLE_SQL if memory.QUERIES[n].__module__ == extras.__name__)
 
-
-@pytest.mark.parametrize("name", OWN)
+@pytest.mark.parametrize("name", sorted(extras.ORACLE_SQL))
 def test_query(spark, sf, name):
-    same(spark, sf, memory.QUERIES[name], memory.ORACLE_SQL[name])
+    same(spark, sf, extras.QUERIES[name], extras.ORACLE_SQL[name])
 
 
 def test_recall_of_the_batch_search(spark, sf):
-    found = {(r.query_id, r.id) for r in memory.QUERIES["q22_lsh_batch"](spark, sf).collect()}
+    found = {(r.query_id, r.id) for r in extras.QUERIES["q22_lsh_batch"](spark, sf).collect()}
     exact = {(r.query_id, r.id) for r in memory.QUERIES["q3_probe_batch"](spark, sf).collect()}
     assert len(found & exact) / len(exact) >= 0.9
