@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixity, jaccard, leaks, licenses, packing, preferences, quality, rans, substrings, urls
+from . import fixity, jaccard, leaks, licenses, manifest, packing, preferences, quality, rans, substrings, urls
 from .common import stored, table
 
 #: Words of the contracts, as a DuckDB expression over ``text``.
@@ -290,6 +290,65 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs).select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def _crc32(c: Column) -> Column:
+    """Unsigned CRC-32 of a number's decimal digits."""
+    return F.crc32(c.cast("string"))
+
+
+def _crc32_sql(text: str) -> str:
+    """The same in SQL: bit by bit over the bytes of an ASCII text."""
+    bit = lambda c: f"CASE WHEN {c} & 1 = 1 THEN xor(3988292384, {c} >> 1) ELSE {c} >> 1 END"
+    byte = "list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]), lambda d, _: " + bit("d") + ")"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: {byte}))"
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    # what is checked against the manifest: the same rows, some with a length that is one too large
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = manifest.leaf_of(*[F.col("n_chars") + 1 if f == "n_chars" else F.col(f) for f in fields])
+    made = manifest.build(docs, "doc_id", "lang", fields, F.when(_crc32(F.col("doc_id")) % 7 == 0, tampered))
+    return made.withColumnRenamed("key", "doc_id").select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def _op12_sql() -> str:
+    part = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda n: f"sha256({' || '.join(map(part, ('doc_id', 'source', 'lang', n, 'text')))})"
+    return f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, lang, {leaf("n_chars")} AS leaf, CASE WHEN {_crc32_sql("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {leaf("(n_chars + 1)")} END AS claim FROM documents
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l
+), low(lang, level, pos, h, n) AS (
+  SELECT lang, 0, rank, leaf, count(*) OVER (PARTITION BY lang) FROM r
+  UNION ALL
+  SELECT lang, any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM low WHERE n > 1 GROUP BY lang, pos // 2
+), sub AS (
+  SELECT lang, level AS depth, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS rank FROM low WHERE n = 1
+), high(level, pos, h, n) AS (
+  SELECT 0, rank, h, count(*) OVER () FROM sub
+  UNION ALL
+  SELECT any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM high WHERE n > 1 GROUP BY pos // 2
+), top AS (
+  SELECT level AS depth, h AS root FROM high WHERE n = 1
+), steps AS (
+  SELECT r.doc_id, r.lang, r.rank, s.h AS subroot, top.root, r.leaf, coalesce(r.claim, r.leaf) AS now, s.depth, top.depth AS depth_above, s.rank AS group_rank
+  FROM r JOIN sub s ON s.lang IS NOT DISTINCT FROM r.lang, top
+), walk(doc_id, lang, leaf, subroot, root, depth, total, group_rank, level, pos, now, proof) AS (
+  SELECT doc_id, lang, leaf, subroot, root, depth, depth + depth_above, group_rank, 0, CASE WHEN depth > 0 THEN rank ELSE group_rank END, now, '' FROM steps
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.leaf, w.subroot, w.root, w.depth, w.total, w.group_rank, w.level + 1,
+         CASE WHEN w.level + 1 = w.depth THEN w.group_rank ELSE w.pos // 2 END,
+         sha256(CASE WHEN w.pos % 2 = 1 THEN coalesce(a.h, b.h, '') || w.now ELSE w.now || coalesce(a.h, b.h, '') END), w.proof || coalesce(a.h, b.h, '')
+  FROM walk w
+  LEFT JOIN low a ON w.level < w.depth AND a.lang IS NOT DISTINCT FROM w.lang AND a.level = w.level AND a.pos = xor(w.pos, 1)
+  LEFT JOIN high b ON w.level >= w.depth AND b.level = w.level - w.depth AND b.pos = xor(w.pos, 1)
+  WHERE w.level < w.total
+)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded_root, now = root AS verified FROM walk WHERE level = total
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_warc_fixity": op2_warc_fixity,
@@ -302,6 +361,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),
@@ -311,4 +371,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_preference_formatting": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "licence_base_phrases": _base_phrases_sql(),
+    "op12_merkle_manifest": _op12_sql(),
 }
