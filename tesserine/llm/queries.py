@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import fixity, jaccard, leaks, licenses, manifest, packing, preferences, quality, rans, substrings, urls
+from . import fixity, jaccard, leaks, licenses, manifest, packing, preferences, quality, rans, runs, substrings, urls
 from .common import stored, table
 
 #: Words of the contracts, as a DuckDB expression over ``text``.
@@ -349,6 +349,56 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, now AS folded
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # every tenth text, by the checksum of its number, gets a periodic end
+    h = _crc32(F.col("doc_id"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    n, g = F.size("_words"), F.floor(F.col("_h") / 10)
+    at, times = (g % n).cast("int"), (3 + g % 8).cast("int")
+    period = (1 + F.floor((n - F.col("_at")) / F.col("_times"))).cast("int")
+    repeated = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", F.when(i >= F.col("_at"), F.col("_at") + (i - F.col("_at")) % F.col("_period")).otherwise(i)))
+    plant = F.col("_h") % 10 == 0
+    docs = docs.withColumn("_h", h).withColumn("_words", F.when(plant, words)).withColumn("_at", at).withColumn("_times", times).withColumn("_period", period)
+    docs = docs.select("doc_id", F.when(plant & (n > 0), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+    found = runs.find(docs)
+    spelt = F.array_join(F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))), "")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", F.sha2(spelt, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP13_SQL = rf"""
+WITH t AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS ws, {_crc32_sql("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+), a AS (
+  SELECT *, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM t
+), w AS (
+  SELECT r, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+         THEN list_transform(range(0, n), lambda i: ws[CAST(1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END AS BIGINT)]) ELSE ws END AS ws FROM a
+), p AS (
+  SELECT r, n, unnest(range(0, n)) AS i, unnest(ws) AS word FROM w
+), alike AS (
+  SELECT x.r, y.i - x.i AS q, x.i FROM p x JOIN p y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM alike
+), stretches AS (
+  SELECT r, q, min(i) AS start, count(*) + q AS length FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length
+), best AS (
+  SELECT r, start, length, period, count(*) OVER (PARTITION BY r) AS n_runs, row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) AS k FROM runs
+), spelt AS (
+  SELECT r, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM runs GROUP BY r
+), gone AS (
+  SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY i) AS t FROM p ANTI JOIN gone USING (r, i) GROUP BY r
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli,
+       sha256(coalesce(spelt.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM w LEFT JOIN (SELECT * FROM best WHERE k = 1) USING (r) LEFT JOIN spelt USING (r) LEFT JOIN kept USING (r)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_warc_fixity": op2_warc_fixity,
@@ -362,6 +412,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_url_filters": _op1_sql(),
@@ -372,4 +423,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": OP6_SQL,
     "licence_base_phrases": _base_phrases_sql(),
     "op12_merkle_manifest": _op12_sql(),
+    "op13_periodic_runs": OP13_SQL,
 }
