@@ -28,16 +28,17 @@ REPEATED_CHUNKS = 4
 #: Keys that a bucket holds on average.
 BUCKET_KEYS = 1_500_000
 
-_SENT = "_bucket long, _chunk long, _keys binary, _counts binary"
-_CODES = "_chunk long, _stage int, _bucket long, _codes binary"
+SENT = "_bucket long, _chunk long, _keys binary, _counts binary"
+CODES = "_chunk long, _stage int, _bucket long, _codes binary"
 
 
 @dataclass(frozen=True)
 class Chunks:
-    """Dealt rows (``_chunk``, ``_row``, ``_text``), and the number of buckets for their keys as a power of two."""
+    """Dealt rows (``_chunk``, ``_row``, ``_text``), the number of buckets for their keys as a power of two, and bytes of text."""
 
     rows: DataFrame
     bits: int
+    size: int = 0
 
 
 @dataclass(frozen=True)
@@ -69,7 +70,7 @@ def deal(packed: DataFrame, key: Column) -> Chunks:
         packed = stored(packed.withColumn("_number", F.monotonically_increasing_id()), "numbered")
         by.append(F.col("_number"))
     dealt = packed.withColumn("_chunk", F.pmod(F.xxhash64(*by), F.lit(chunks))).drop("_number")
-    return Chunks(dealt.repartition(partitions(packed.sparkSession), "_chunk"), bits)
+    return Chunks(dealt.repartition(partitions(packed.sparkSession), "_chunk"), bits, size)
 
 
 def narrow(h: np.ndarray, bits: int) -> Distinct:
@@ -107,7 +108,7 @@ def sent(chunk: int, d: Distinct) -> pa.Table:
     )
 
 
-def _added(keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
+def added(keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     """For each entry the sum of the counts of all entries with its key."""
     order = np.lexsort(tuple(keys)) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     new = np.ones(len(order), bool)
@@ -118,27 +119,37 @@ def _added(keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def answered(asked: DataFrame, code: Callable[[np.ndarray], np.ndarray], stage: int, lanes: int) -> DataFrame:
-    """Codes (unsigned bytes) of the corpus-wide counts, by chunk and bucket."""
+Judge = Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray]
+
+
+def codes(group: pa.Table, judge: Judge, stage: int, lanes: int) -> pa.Table:
+    """What ``judge`` makes of the keys, counts and chunks of a bucket's entries, as unsigned bytes for each chunk."""
     width = 4 if lanes == 1 else 8 * lanes
+    blobs, sizes = group.column("_keys").to_pylist(), []
+    parts: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+    for blob in blobs:
+        n = len(blob) // width
+        sizes.append(n)
+        for k in range(lanes):
+            parts[k].append(np.frombuffer(blob, "<u4", n) if lanes == 1 else np.frombuffer(blob, "<u8", n, 8 * n * k))
+    counts = np.frombuffer(b"".join(group.column("_counts").to_pylist()), "<u2").astype(np.int64)
+    chunk = np.repeat(group.column("_chunk").to_numpy(), sizes)
+    code = judge([np.concatenate(p) for p in parts], counts, chunk).astype(np.uint8).tobytes()
+    ends = np.cumsum(sizes).tolist()
+    return pa.table(
+        [group.column("_chunk"), pa.array(np.full(len(blobs), stage), pa.int32()), group.column("_bucket"), pa.array([code[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())],
+        ["_chunk", "_stage", "_bucket", "_codes"],
+    )
 
-    def count(group: pa.Table) -> pa.Table:
-        blobs, sizes = group.column("_keys").to_pylist(), []
-        parts: list[list[np.ndarray]] = [[] for _ in range(lanes)]
-        for blob in blobs:
-            n = len(blob) // width
-            sizes.append(n)
-            for k in range(lanes):
-                parts[k].append(np.frombuffer(blob, "<u4", n) if lanes == 1 else np.frombuffer(blob, "<u8", n, 8 * n * k))
-        counts = np.frombuffer(b"".join(group.column("_counts").to_pylist()), "<u2").astype(np.int64)
-        codes = code(_added([np.concatenate(p) for p in parts], counts)).astype(np.uint8).tobytes()
-        ends = np.cumsum(sizes).tolist()
-        return pa.table(
-            [group.column("_chunk"), pa.array(np.full(len(blobs), stage), pa.int32()), group.column("_bucket"), pa.array([codes[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())],
-            ["_chunk", "_stage", "_bucket", "_codes"],
-        )
-
-    return asked.groupBy("_bucket").applyInArrow(count, _CODES)
+
+def judged(asked: DataFrame, judge: Judge, stage: int, lanes: int) -> DataFrame:
+    """Codes by chunk and bucket."""
+    return asked.groupBy("_bucket").applyInArrow(lambda group: codes(group, judge, stage, lanes), CODES)
+
+
+def answered(asked: DataFrame, code: Callable[[np.ndarray], np.ndarray], stage: int, lanes: int) -> DataFrame:
+    """Codes of the corpus-wide counts, by chunk and bucket."""
+    return judged(asked, lambda keys, counts, _: code(added(keys, counts)), stage, lanes)
 
 
 def ask(chunks: Chunks, keys: Callable[[list[bytes | None]], Distinct]) -> DataFrame:
@@ -149,7 +160,7 @@ def ask(chunks: Chunks, keys: Callable[[list[bytes | None]], Distinct]) -> DataF
         kernel.release()
         return out
 
-    return chunks.rows.groupBy("_chunk").applyInArrow(emit, _SENT)
+    return chunks.rows.groupBy("_chunk").applyInArrow(emit, SENT)
 
 
 def codes_of(answers: pa.Table, stage: int) -> np.ndarray:
@@ -177,4 +188,4 @@ def sending(chunks: Chunks, answers: DataFrame, keys: Callable[[list[bytes | Non
             return pa.table({"_bucket": pa.array([], pa.int64()), "_chunk": pa.array([], pa.int64()), "_keys": pa.array([], pa.binary()), "_counts": pa.array([], pa.binary())})
         return sent(rows.column("_chunk")[0].as_py(), keys(kernel.binaries(rows.column("_text")), codes))
 
-    return again(chunks, answers, emit, _SENT)
+    return again(chunks, answers, emit, SENT)
