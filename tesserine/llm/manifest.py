@@ -85,6 +85,8 @@ def ranked(rows: DataFrame, by: list[str], keys: list[Column], order: list[Colum
     """
     key = keys[0]
     n, low, high = rows.agg(F.count(F.lit(1)), F.min(key), F.max(key)).first()
+    if not by and n <= BUCKET:
+        return rows.withColumn("_n", F.lit(n).cast("long")).withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long") - 1)
     low, high = low or 0, high or 0
     bits = least
     while bits < 63 and ((high + _TOP) >> (64 - bits) if bits else 0) - ((low + _TOP) >> (64 - bits) if bits else 0) + 1 < n / BUCKET:
@@ -147,11 +149,12 @@ def _hexes(packed: bytes) -> list[str]:
 @dataclass(frozen=True)
 class _Shape:
     fanout: int
+    block: int = BLOCK
 
     @property
     def per(self) -> int:
         """Levels of a block."""
-        return max(1, depth_of(BLOCK + 1, self.fanout) - 1)
+        return max(1, depth_of(self.block + 1, self.fanout) - 1)
 
     @property
     def width(self) -> int:
@@ -192,9 +195,8 @@ def _blocks(nodes: DataFrame, by: list[str], tier: int, shape: _Shape) -> DataFr
     return nodes.groupBy(*by, F.floor(F.col("_at") / shape.width).alias("_block")).applyInArrow(run, schema)
 
 
-def grown(nodes: DataFrame, by: list[str], fanout: int) -> Tree:
+def grown(nodes: DataFrame, by: list[str], shape: _Shape) -> Tree:
     """The trees over ranked nodes; each tier shrinks by some thousand."""
-    shape = _Shape(fanout)
     tiers = [stored(_blocks(nodes, by, 0, shape), "trie")]
     most = tiers[0].agg(F.max("_n")).first()[0] or 0
     while most > shape.width ** len(tiers):
@@ -202,10 +204,6 @@ def grown(nodes: DataFrame, by: list[str], fanout: int) -> Tree:
     return Tree(tiers, by, shape)
 
 
-def _path(rows: list[dict]) -> list[tuple[str, str]]:
-    return [(x["left"], x["right"]) for x in rows]
-
-
 def _handed_on(tree: Tree, tier: int, above: DataFrame) -> DataFrame:
     """``above`` the nodes below a tier's blocks: ``by``, ``_at``, ``above``, and what else ``above`` has for them."""
     shape, by = tree.shape, tree.by
@@ -245,7 +243,7 @@ def _proved(tree: Tree, above: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 n, packed, keys, claims, path, subroot, root = (batch.column(c)[r].as_py() for c in ("_n", "hashes", "keys", "claims", "above", "subroot", "root"))
                 levels = _levels(_hexes(packed), shape.of(n, 0), shape.fanout)
-                path = _path(path)
+                path = [(x["left"], x["right"]) for x in path]
                 rest, known = "".join(a + b for a, b in path), sum(len(a + b) for a, b in path) // 64
                 proofs, roots, counts = [], [], []
                 for i, leaf in enumerate(levels[0]):
@@ -270,7 +268,7 @@ def _pieces(text: str, size: Callable[[], int]) -> list[Column]:
     return [piece(i) for i in range(max(1, -(-size() // 7)))]
 
 
-def build(rows: DataFrame, key: str, group: str, fields: list[str], claim: Column | None = None, fanout: int = FANOUT) -> DataFrame:
+def build(rows: DataFrame, key: str, group: str, fields: list[str], claim: Column | None = None, fanout: int = FANOUT, block: int = BLOCK) -> DataFrame:
     """Leaf, subroot, root and proof of each row, and what its claimed leaf proves.
 
     A leaf is the digest of ``fields``. Per ``group``, leaves ascend by ``key``; every ``fanout`` consecutive nodes (the last
@@ -294,13 +292,14 @@ def build(rows: DataFrame, key: str, group: str, fields: list[str], claim: Colum
     # the last bit of a key is not among the 63 that are counted
     keys = [F.col("key"), F.col("key").bitwiseAND(F.lit(1)) * 2, *[bits(at) for at in (1, 8, 15, 22)], bits(29), F.col("_number")]
     leaves = ranked(packed, _GROUP, keys, [F.col("key"), F.col("hash"), F.col("_number")]).select(*_GROUP, "_n", F.col("_rank").alias("_at"), "hash", "key", "claim")
-    tree = grown(leaves, _GROUP, fanout)
+    shape = _Shape(fanout, block)
+    tree = grown(leaves, _GROUP, shape)
     tops = stored(tree.roots(), "subroots")
     longest = lambda: tops.agg(F.max(F.octet_length("_group"))).first()[0] or 0
     # the null group is told apart from the empty one by the order, not by these numbers
     order = [F.col("_null").desc(), F.col("_group")]
     groups = stored(ranked(tops, [], [F.when(F.col("_null"), None).otherwise(p) for p in _pieces("_group", longest)], order), "groups")
-    over = grown(groups.select("_n", F.col("_rank").alias("_at"), "hash"), [], fanout)
+    over = grown(groups.select("_n", F.col("_rank").alias("_at"), "hash"), [], shape)
     top = over.roots().first()
     root = top[0].hex() if top else ""
     above = over.tiers[-1].select("_at", F.array().cast(_ABOVE).alias("above"))

@@ -307,6 +307,25 @@ def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.deduplicate(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP11_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents
+), s AS (
+  SELECT r, i, md5(substr(x, 2 * i + 1, 800)) AS g FROM (SELECT r, x, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)
+), twice AS (
+  SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM s) WHERE c > 1
+), spans AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b FROM (SELECT r, i, sum(CASE WHEN i <= before + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM twice) GROUP BY r, k
+), kept AS (
+  SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS from_ FROM spans
+), cut AS (
+  SELECT r, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS x FROM kept JOIN d USING (r) GROUP BY r
+)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(cut.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN cut USING (r)
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
     # what is checked against the manifest: the same rows, some with a length that is one too large
@@ -428,6 +447,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_preference_formatting": OP5_SQL,
     "op6_quality_rules": OP6_SQL,
     "licence_base_phrases": _base_phrases_sql(),
+    "op11_suffix_array_dedup": OP11_SQL,
     "op12_merkle_manifest": _op12_sql(),
     "op13_periodic_runs": OP13_SQL,
 }

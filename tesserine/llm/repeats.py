@@ -128,7 +128,7 @@ class _Segments:
         return at, chunks.wide(*[kernel.window_hashes(base, self.length, lane)[at] for lane in (0, 1)], bits)
 
 
-def _judge(keys: list[np.ndarray], counts: np.ndarray, chunk: np.ndarray) -> np.ndarray:
+def _judge(keys: list[np.ndarray], counts: np.ndarray, chunk: np.ndarray, few: int) -> np.ndarray:
     if not len(counts):
         return counts
     key, segment = keys
@@ -140,7 +140,7 @@ def _judge(keys: list[np.ndarray], counts: np.ndarray, chunk: np.ndarray) -> np.
     inside = np.maximum.reduceat(counts[order] & _SELF, first) > 0
     of_key = np.cumsum(new_key[first]) - 1
     different = np.bincount(of_key)[of_key]
-    code = np.where(total > 1, _TWICE, 0) | np.where((different > 1) | (inside & (total < 2)), _SORTED, 0) | np.where(different > FEW, _MANY, 0)
+    code = np.where(total > 1, _TWICE, 0) | np.where((different > 1) | (inside & (total < 2)), _SORTED, 0) | np.where(different > few, _MANY, 0)
     out = np.empty(len(counts), np.int64)
     out[order] = code[np.cumsum(new) - 1] | np.where(new, _SENDER, 0)
     return out
@@ -152,13 +152,14 @@ def _runs(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, few: int = FEW) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed`` (array of first byte and number of bytes of each
     maximal removed run), and ``kept``: the bytes that stay, as binary, since a cut may fall into a character.
 
     A byte goes if a string of ``length`` bytes covers it that also starts anywhere else, in the same text or another.
     Strings are judged on the input. Input columns of those names are replaced, others stay, the text included. A null text
     counts as empty. Shorter texts lose nothing. Rows that repeat are each other's repeats. An empty table gives an empty result.
+    A key with more than ``few`` different segments is counted window by window, not sorted; the outcome is the same.
     """
     added = ["n_bytes", "n_removed", "n_spans", "removed", "kept"]
     packed, rest = carried(docs, [*added, text])
@@ -168,7 +169,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     dealt = chunks.Chunks(dealt.rows.drop("_key"), bits, dealt.size)
     # a third of the bytes are sent, at the most that was seen
     shards = max(partitions(docs.sparkSession), dealt.size // (3 * SHARD_BYTES))
-    first = chunks.judged(chunks.ask(dealt, lambda texts: _Segments(texts, length).asked(bits)), _judge, 1, 2)
+    first = chunks.judged(chunks.ask(dealt, lambda texts: _Segments(texts, length).asked(bits)), lambda keys, counts, chunk: _judge(keys, counts, chunk, few), 1, 2)
 
     def send(rows: pa.Table, codes: pa.Table) -> pa.Table:
         """Windows of many to their buckets (from 0 up), segments to their shards (from -1 down)."""
