@@ -13,13 +13,14 @@ from collections.abc import Callable
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import hypervector as hv
 from .functions import text as tx
 from .operators import analytics, bridge, filters, fusion, graph, hnsw, kept, keyword, lifecycle, retrieval, search
 from .sources import readers, schemas, tables, writers
+from .streaming import changes
 
 _SIGNED = 1 << 63
 
@@ -31,8 +32,8 @@ def _words(vector: Any) -> list[int]:
 class Memory:
     """Reads see the latest rows of the store; every write is one change log. ``now`` is the clock in seconds."""
 
-    KEYS = {"concepts": ["namespace", "id"], "associations": ["namespace", "from_id", "to_id"], "versions": ["namespace", "concept_id", "version"], "absences": ["id"], "canonical": ["namespace", "id"], "revisions": ["namespace"]}
-    SCHEMAS = {"concepts": schemas.CONCEPTS, "associations": schemas.ASSOCIATIONS, "versions": schemas.VERSIONS, "absences": schemas.ABSENCES, "canonical": schemas.CANONICAL, "revisions": schemas.REVISIONS}
+    KEYS = {"concepts": ["namespace", "id"], "associations": ["namespace", "from_id", "to_id"], "versions": ["namespace", "concept_id", "version"], "absences": ["id"], "canonical": ["namespace", "id"]}
+    SCHEMAS = {"concepts": schemas.CONCEPTS, "associations": schemas.ASSOCIATIONS, "versions": schemas.VERSIONS, "absences": schemas.ABSENCES, "canonical": schemas.CANONICAL}
 
     def __init__(self, spark: SparkSession, root: str, namespace: str = "_default", retention: int = schemas.LIMITS["versions"], now: int | None = None) -> None:
         self.spark, self.store, self.namespace, self.retention, self._now = spark, tables.Store(spark, root), namespace, retention, now
@@ -70,25 +71,47 @@ class Memory:
 
     def namespace_revision(self, namespace: str | None = None) -> int:
         """How often the concepts of a namespace were changed; 0 for one that never was."""
-        own = namespace or self.namespace
-        row = self.table("revisions", True).where(F.col("namespace") == own).agg(F.max("revision").alias("n")).first()
-        return row.n or 0
+        return self.store.counter(namespace or self.namespace)
 
     def bump_revision(self, namespace: str | None = None) -> int:
-        own = namespace or self.namespace
-        n = self.namespace_revision(own) + 1
-        self.store.upsert("revisions", self.spark.createDataFrame([(own, n)], self.SCHEMAS["revisions"]))
-        return n
+        with self.store.commit() as c:
+            c.count(namespace or self.namespace)
+        return self.namespace_revision(namespace)
 
-    def _written(self, name: str, rows: DataFrame, deleted: bool = False) -> int:
-        """Append rows or tombstones of a table, and count it where concepts change."""
-        rows = rows.select(*self.SCHEMAS[name].fieldNames())
+    def _commit(self, changes: list[tuple[str, DataFrame, bool]], events: DataFrame | None = None, namespace: str | None = None, read_at: int | None = None) -> int:
+        """Rows, or tombstones, of several tables, their events and, where concepts change, the namespace's new revision: in
+        one commit, so that a reader sees all or nothing of them."""
         began = time.perf_counter()
-        n = self.store.delete(name, tables.cut(rows)) if deleted else self.store.upsert(name, rows)
-        if name == "concepts":
-            self.bump_revision()
+        with self.store.commit(read_at) as c:
+            for name, rows, deleted in changes:
+                rows = rows.select(*self.SCHEMAS[name].fieldNames())
+                c.delete(name, rows.select(*self.KEYS[name])) if deleted else c.upsert(name, rows, self.KEYS[name])
+            if any(name == "concepts" for name, _, _ in changes):
+                c.count(namespace or self.namespace)
+            if events is not None:
+                c.events(events)
+        for name in dict.fromkeys(name for name, _, _ in changes):
+            self.store.tidy(name, self.SCHEMAS[name], self.KEYS[name])
         self.metrics.add("persist_ops", seconds=time.perf_counter() - began)
-        return n
+        return c.number
+
+    def _written(self, name: str, rows: DataFrame, deleted: bool = False, events: DataFrame | None = None) -> int:
+        return self._commit([(name, rows, deleted)], events)
+
+    def _events(self, rows: DataFrame, kind: Column | str, id_: str, other: str | None = None, score: str | None = None) -> DataFrame:
+        """Rows of the change feed, as :data:`schemas.EVENTS` has them."""
+        null = lambda c, t: F.lit(None).cast(t) if c is None else F.col(c).cast(t)
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        return rows.select(kind.alias("kind"), F.lit(self.namespace).alias("namespace"), F.col(id_).alias("id"), null(other, "string").alias("other_id"), null(score, "double").alias("score"), F.lit(self.now).cast("long").alias("at"))
+
+    def _upserted(self, rows: DataFrame) -> DataFrame:
+        """Events of concepts that are written: those with an id that is there are updates."""
+        known = self.concepts.select("id", F.lit(True).alias("_known"))
+        return self._events(rows.select("id").distinct().join(known, "id", "left"), F.when(F.col("_known"), "ConceptUpdated").otherwise("ConceptInjected"), "id")
+
+    def changes(self, files_per_trigger: int | None = None) -> DataFrame:
+        """The change feed of all namespaces as a stream, from the first commit on."""
+        return changes.feed(self.spark, self.store, files_per_trigger)
 
     # -- concepts
 
@@ -102,9 +125,8 @@ class Memory:
         full = tables.cut(rows.withColumns({k: v for k, v in fill.items() if k not in rows.columns}).select(*self.SCHEMAS["concepts"].fieldNames()))
         old = self.table("versions")
         new = full.select("namespace", F.col("id").alias("concept_id"), "vector", "metadata", "modified_at")
-        self._written("versions", lifecycle.next_version(old, new))
         self.metrics.add("concepts_injected", full.count())
-        return self._written("concepts", full)
+        return self._commit([("versions", lifecycle.next_version(old, new), False), ("concepts", full, False)], self._upserted(full))
 
     def inject(self, id_: str, vector: list[int], metadata: dict | None = None, ttl: int | None = None) -> int:
         row = self.spark.createDataFrame([(id_, _words(vector), json.dumps(metadata or {}, sort_keys=True))], "id string, vector array<long>, metadata string")
@@ -146,8 +168,7 @@ class Memory:
         ends = self.edges.join(by("from_id"), "from_id", "left_semi").unionByName(self.edges.join(by("to_id"), "to_id", "left_semi").join(by("from_id"), "from_id", "left_anti"))
         past = self.table("versions").join(by("concept_id"), "concept_id", "left_semi")
         self.metrics.add("delete_concepts")
-        for name, rows in (("associations", ends), ("versions", past), ("concepts", dead)):
-            self._written(name, rows, deleted=True)
+        self._commit([("associations", ends, True), ("versions", past, True), ("concepts", dead, True)], self._events(dead, "ConceptDeleted", "id"))
 
     def purge_expired(self, cascade: bool = False) -> int:
         ids = tables.cut(lifecycle.expired_ids(self.concepts, self.edges, self.now, cascade).join(self.concepts.select("id"), "id", "left_semi"))
@@ -173,7 +194,10 @@ class Memory:
         if not bad.isEmpty():
             raise ValueError(f"not an association: {bad.first().asDict()}")
         self.metrics.add("associations_created", len(pairs))
-        return self._written("associations", good.withColumn("namespace", F.lit(self.namespace)))
+        return self._associated(good)
+
+    def _associated(self, good: DataFrame) -> int:
+        return self._written("associations", good.withColumn("namespace", F.lit(self.namespace)), events=self._events(good, "Associated", "from_id", "to_id", "strength"))
 
     def associate_batch(self, pairs: list[tuple[str, str, float]], continue_on_error: bool = True) -> dict[str, int]:
         """Upsert the valid edges and count both kinds; without ``continue_on_error`` an invalid one is an error."""
@@ -183,7 +207,7 @@ class Memory:
         new = self.spark.createDataFrame(pairs, "from_id string, to_id string, strength double")
         good, bad = lifecycle.associated(self.edges.limit(0), new, self.concepts, self.now)
         failed = bad.count()
-        self._written("associations", good.withColumn("namespace", F.lit(self.namespace)))
+        self._associated(good)
         self.metrics.add("associations_created", len(pairs) - failed)
         return {"created": len(pairs) - failed, "failed": failed}
 
@@ -192,17 +216,18 @@ class Memory:
 
     def disassociate(self, start: str, end: str) -> None:
         rows = self.edges.where((F.col("from_id") == start) & (F.col("to_id") == end))
-        self._written("associations", rows, deleted=True)
+        self._written("associations", rows, True, self._events(rows, "Disassociated", "from_id", "to_id"))
         self.metrics.add("disassociations")
 
     def clear_associations(self, id_: str) -> None:
         """Delete the out-edges of a concept."""
-        self._written("associations", self.edges.where(F.col("from_id") == id_), deleted=True)
+        rows = self.edges.where(F.col("from_id") == id_)
+        self._written("associations", rows, True, self._events(rows, "Disassociated", "from_id", "to_id"))
 
     def reinforce(self, start: str, end: str) -> None:
         """An edge's clock starts again."""
         rows = self.edges.where((F.col("from_id") == start) & (F.col("to_id") == end))
-        self._written("associations", tables.cut(lifecycle.reinforced(rows, start, end, self.now)))
+        self._written("associations", lifecycle.reinforced(rows, start, end, self.now))
 
     # -- namespaces
 
@@ -210,9 +235,9 @@ class Memory:
         """Delete a namespace's rows in every table and count its revision on; returns its concepts."""
         own = namespace or self.namespace
         n = self.table("concepts", True).where(F.col("namespace") == own).count()
-        for name in ("concepts", "associations", "versions", "canonical", "absences"):
-            self.store.delete(name, tables.cut(self.table(name, True).where(F.col("namespace") == own)))
-        self.bump_revision(own)
+        of = lambda name: self.table(name, True).where(F.col("namespace") == own)
+        gone = of("concepts").select(F.lit("ConceptDeleted").alias("kind"), "namespace", "id", F.lit(None).cast("string").alias("other_id"), F.lit(None).cast("double").alias("score"), F.lit(self.now).cast("long").alias("at"))
+        self._commit([(name, of(name), True) for name in ("concepts", "associations", "versions", "canonical", "absences")], gone, own)
         self.cache.clear()
         return n
 
@@ -231,25 +256,41 @@ class Memory:
         """Rows beside those that the namespace has; concepts that are there keep their time of creation."""
         return self._import(concepts, edges, merge=True)
 
-    def _import(self, concepts: DataFrame, edges: DataFrame, merge: bool) -> int:
+    def _import(self, concepts: DataFrame, edges: DataFrame, merge: bool, tries: int = 5) -> int:
         concepts, edges = tables.cut(concepts), tables.cut(edges)
-        wrong = self.import_violations(concepts, edges, merge)
+        for left in range(tries - 1, -1, -1):
+            try:
+                return self._imported(concepts, edges, merge)
+            except tables.ConcurrentWrite:
+                if not left:
+                    raise
+        raise AssertionError
+
+    def _imported(self, concepts: DataFrame, edges: DataFrame, merge: bool) -> int:
+        """One commit: what goes, what comes, the events of both and the new revision. Made from one state of the store; if
+        another writer changes these tables meanwhile, nothing counts."""
+        state = self.store.state()
+        seen = lambda name: self.store.read(name, self.SCHEMAS[name], self.KEYS[name], state).where(F.col("namespace") == self.namespace)
+        wrong = readers.violations(concepts, edges, seen("concepts") if merge else None)
         if not wrong.isEmpty():
             raise ValueError(f"not a valid import: {wrong.first().asDict()}")
-        fill = {"namespace": F.lit(self.namespace), "created_at": F.lit(self.now).cast("long"), "modified_at": F.lit(self.now).cast("long"), "expires_at": F.lit(None).cast("long"), "canonical_concept_ids": F.array().cast("array<string>")}
+        now = F.lit(self.now).cast("long")
+        fill = {"namespace": F.lit(self.namespace), "created_at": now, "modified_at": now, "expires_at": F.lit(None).cast("long"), "canonical_concept_ids": F.array().cast("array<string>")}
         full = concepts.withColumns({k: v for k, v in fill.items() if k not in concepts.columns}).withColumn("namespace", F.lit(self.namespace)).select(*self.SCHEMAS["concepts"].fieldNames())
-        full = full.withColumn("created_at", F.coalesce("created_at", F.lit(self.now))).withColumn("modified_at", F.coalesce("modified_at", F.lit(self.now)))
-        ways = edges.withColumns({k: v for k, v in (("created_at", F.lit(self.now).cast("long")),) if k not in edges.columns}).withColumn("namespace", F.lit(self.namespace)).select(*self.SCHEMAS["associations"].fieldNames())
+        full = full.withColumn("created_at", F.coalesce("created_at", now)).withColumn("modified_at", F.coalesce("modified_at", now))
+        ways = edges.withColumns({k: v for k, v in (("created_at", now),) if k not in edges.columns}).withColumn("namespace", F.lit(self.namespace)).select(*self.SCHEMAS["associations"].fieldNames())
+        known = seen("concepts").select("id", F.col("created_at").alias("_old"))
+        events = self._events(full.select("id").distinct().join(known, "id", "left"), F.when(F.col("_old").isNotNull(), "ConceptUpdated").otherwise("ConceptInjected"), "id")
+        events = events.unionByName(self._events(ways, "Associated", "from_id", "to_id", "strength"))
+        parts: list[tuple[str, DataFrame, bool]] = []
         if merge:
-            old = self.concepts.select("id", F.col("created_at").alias("_old"))
-            full = full.join(old, "id", "left").withColumn("created_at", F.coalesce("_old", "created_at")).select(*self.SCHEMAS["concepts"].fieldNames())
-            full = tables.cut(full)
+            full = full.join(known, "id", "left").withColumn("created_at", F.coalesce("_old", "created_at"))
         else:
-            # rows that are not replaced go with the same numbers of logs: tombstones first, the new rows over them
-            self.store.delete("associations", tables.cut(self.edges.join(ways.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti").select(*self.SCHEMAS["associations"].fieldNames())))
-            self.store.delete("concepts", tables.cut(self.concepts.join(full.select("id"), "id", "left_anti").select(*self.SCHEMAS["concepts"].fieldNames())))
-        self.store.upsert("associations", ways)
-        n = self._written("concepts", full)
+            cut = seen("associations").join(ways.select("from_id", "to_id"), ["from_id", "to_id"], "left_anti")
+            gone = seen("concepts").join(full.select("id"), "id", "left_anti")
+            parts = [("associations", cut, True), ("concepts", gone, True)]
+            events = events.unionByName(self._events(gone, "ConceptDeleted", "id")).unionByName(self._events(cut, "Disassociated", "from_id", "to_id"))
+        n = self._commit([*parts, ("associations", ways, False), ("concepts", full, False)], events, read_at=state["n"])
         self.cache.clear()
         return n
 
@@ -293,8 +334,8 @@ class Memory:
     def load_merge(self, other: Memory) -> int:
         """Add another store's concepts of this namespace that are not here; its edges go over those here."""
         new = other.concepts.join(self.concepts.select("id"), "id", "left_anti")
-        self.store.upsert("associations", tables.cut(other.edges.select(*self.SCHEMAS["associations"].fieldNames())))
-        return self._written("concepts", tables.cut(new))
+        events = self._events(new, "ConceptInjected", "id").unionByName(self._events(other.edges, "Associated", "from_id", "to_id", "strength"))
+        return self._commit([("associations", other.edges, False), ("concepts", new, False)], events)
 
     # -- ontology
 
@@ -312,8 +353,7 @@ class Memory:
     def save_ontology(self, rows: DataFrame) -> int:
         """All of a namespace's ontology (``id``, ``version``, ``labels``, ``related``) in place of what it has."""
         full = tables.cut(rows.withColumn("namespace", F.lit(self.namespace)).select(*self.SCHEMAS["canonical"].fieldNames()))
-        self._written("canonical", self.ontology.join(full.select("id"), "id", "left_anti"), deleted=True)
-        return self._written("canonical", full)
+        return self._commit([("canonical", self.ontology.join(full.select("id"), "id", "left_anti"), True), ("canonical", full, False)])
 
     def write_ontology(self, path: str) -> None:
         """The ontology as JSON lines that :func:`readers.ontology` reads."""
@@ -603,7 +643,7 @@ class AbsenceStore:
         at = datetime.datetime.fromtimestamp(self.memory.now)
         new = self.memory.spark.createDataFrame([(id_, text, text.strip().lower(), 1, threshold, best, at, at, self.memory.namespace, revision)], schemas.ABSENCES)
         merged = lifecycle.absences_merged(self.list(), new).where(F.col("id") == id_)
-        self.memory._written("absences", tables.cut(merged))
+        self.memory._written("absences", merged)
         return self.get(id_)
 
     def silent(self, id_: str, revision: int) -> bool:

@@ -320,6 +320,69 @@ def s15(spark, sf_dir):
     return spark.createDataFrame([(later.concepts.count(), later.edges.count(), old)], "concepts long, edges long, created_at int")
 
 
+_ALL = "CAST(c_custkey AS VARCHAR) AS id"
+
+
+@query("u24_atomic_replace", f"""SELECT 0 AS step, {_ALL}, CAST(NULL AS VARCHAR) AS to_id FROM customer UNION ALL SELECT 1, {_ALL}, NULL FROM customer UNION ALL SELECT 2, {_ALL}, NULL FROM customer
+UNION ALL SELECT 3, {_ALL}, CASE WHEN c_custkey + 2 <= (SELECT max(c_custkey) FROM customer) THEN CAST(c_custkey + 2 AS VARCHAR) END FROM customer WHERE c_custkey % 2 = 1""")
+def u24_atomic(spark, sf_dir):
+    """What a reader sees of a namespace and its edges while it is replaced: after each step of a writer that stops, and after the commit."""
+    m = _stored_customers(spark, sf_dir)
+    seen = lambda step: m.concepts.select(F.lit(step).alias("step"), "id").join(m.edges.select(F.col("from_id").alias("id"), "to_id"), "id", "left")
+    new = m.concepts.where("cast(id as long) % 2 = 1").select("id", "vector", "metadata")
+    c = _t(spark, sf_dir, "customer")
+    last = c.agg(F.max("c_custkey")).first()[0]
+    ways = c.where((F.col("c_custkey") % 2 == 1) & (F.col("c_custkey") + 2 <= last)).select(F.col("c_custkey").cast("string").alias("from_id"), (F.col("c_custkey") + 2).cast("string").alias("to_id"), F.lit(0.5).alias("strength"))
+    stopped = m.store.commit()
+    states = [seen(0)]
+    stopped.delete("concepts", m.concepts.select("namespace", "id"))
+    states.append(seen(1))
+    stopped.upsert("associations", ways.select(F.lit(m.namespace).alias("namespace"), "*", F.lit(1).cast("long").alias("created_at")))
+    states.append(seen(2))
+    m.replace_namespace(new, ways)
+    rows = seen(3)
+    for s in states:
+        rows = rows.unionByName(s)
+    return rows.select("step", "id", "to_id")
+
+
+@query("s18_reads_over_many_logs", "SELECT CAST(c_custkey AS VARCHAR) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'changed ' || c_custkey % 6 ELSE c_name END AS name FROM customer WHERE c_custkey % 7 > 0")
+def s18(spark, sf_dir):
+    """A base, logs over it and tombstones, read by keys first."""
+    m = _stored_customers(spark, sf_dir)
+    m.store.compact("concepts", m.SCHEMAS["concepts"], m.KEYS["concepts"])
+    own = m.concepts
+    for k in range(6):
+        text = F.to_json(F.struct(F.concat(F.lit("changed "), F.lit(k % 6).cast("string")).alias("searchable_text")))
+        m._written("concepts", own.where((F.col("id").cast("long") % 6 == k) & (F.col("id").cast("long") % 3 == 0)).withColumn("metadata", text))
+    m._written("concepts", own.where(F.col("id").cast("long") % 7 == 0), deleted=True)
+    return m.concepts.select("id", filters.searchable_text(F.col("metadata")).alias("name"))
+
+
+@query("e1_change_feed", f"""SELECT 'ConceptInjected' AS kind, {_ALL}, CAST(NULL AS VARCHAR) AS other_id, CAST(NULL AS DOUBLE) AS score, CAST(1 AS BIGINT) AS times FROM customer
+UNION ALL SELECT 'ConceptUpdated', {_ALL}, NULL, NULL, 1 FROM customer WHERE c_custkey % 2 = 0
+UNION ALL SELECT 'Associated', {_ALL}, CAST(c_custkey + 1 AS VARCHAR), 0.5, 1 FROM customer WHERE c_custkey < (SELECT max(c_custkey) FROM customer)
+UNION ALL SELECT 'Disassociated', '1', '2', NULL, 1
+UNION ALL SELECT 'ConceptDeleted', {_ALL}, NULL, NULL, 1 FROM customer WHERE c_custkey % 5 = 0""")
+def e1(spark, sf_dir):
+    """Events of writes, updates and deletions, read by a stream that is stopped and started again in between."""
+    folder = _folder(spark, "feed")
+    m = _stored_customers(spark, sf_dir)
+
+    def drain() -> None:
+        q = m.changes().writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        q.start().awaitTermination()
+
+    drain()
+    m.upsert(m.concepts.where("cast(id as long) % 2 = 0").select("id", "vector", F.lit("{}").alias("metadata")))
+    m._associated(_ways(spark, sf_dir).withColumn("created_at", F.lit(100).cast("long")))
+    drain()
+    m.disassociate("1", "2")
+    m.delete_rows(m.concepts.where("cast(id as long) % 5 = 0").select("id"))
+    drain()
+    return spark.read.parquet(f"{folder}/out").groupBy("kind", "id", "other_id", "score").agg(F.count(F.lit(1)).alias("times"))
+
+
 @query("u17_associate_batch", "SELECT count(*) - 1 AS created, 2 AS failed FROM customer")
 def u17(spark, sf_dir):
     m = _stored_customers(spark, sf_dir)

@@ -21,7 +21,6 @@ ASSOCIATIONS = _struct(namespace=_S, from_id=_S, to_id=_S, strength=_D, created_
 VERSIONS = _struct(namespace=_S, concept_id=_S, version=_L, vector=_HV, metadata=_S, modified_at=_L)
 CANONICAL = _struct(namespace=_S, id=_S, version=_I, labels=T.ArrayType(_S), related=T.ArrayType(_S))
 ABSENCES = _struct(id=_S, query=_S, normalized_query=_S, attempt_count=_I, last_threshold=_D, best_score_ever=_D, first_seen=T.TimestampType(), last_seen=T.TimestampType(), namespace=_S, namespace_revision=_L)
-REVISIONS = _struct(namespace=_S, revision=_L)
 EVENTS = _struct(kind=_S, namespace=_S, id=_S, other_id=_S, score=_D, at=_L)
 
 #: The analytics tables.

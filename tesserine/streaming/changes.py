@@ -8,8 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.schemas import EVENTS
+from ..sources.tables import Store
 
 KINDS = ("ConceptInjected", "ConceptUpdated", "ConceptDeleted", "Associated", "Disassociated", "PatternRecognized", "AttractorFired")
 
@@ -22,6 +24,21 @@ def subscribe(spark: SparkSession, folder: str, files_per_trigger: int | None =
     return reader.parquet(folder)
 
 
+def feed(spark: SparkSession, store: Store, files_per_trigger: int | None = None) -> DataFrame:
+    """The change events of a store as a stream: :data:`EVENTS` and ``commit``, which ascends with the commits.
+
+    Only what a commit has made count is there, and a query with a checkpoint gets each event once, also after a restart.
+    """
+    store.state()
+    store.release()
+    fs, p = store._fs(f"{store.root}/events")
+    fs.mkdirs(p)
+    reader = spark.readStream.schema(StructType([*EVENTS.fields, StructField("commit", LongType())]))
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{store.root}/events")
+
+
 def of_kind(kind: str = "all") -> Column:
     if kind != "all" and kind not in KINDS:
         raise ValueError(f"unknown kind {kind}")

@@ -45,7 +45,9 @@ def test_updates(spark, tmp_path):
         execute_tool(m, "memory_rollback", {"id": "a", "version": 1})
 
 
-def test_namespaces_and_imports(spark, tmp_path, memory):
+def test_namespaces_and_imports(spark, tmp_path, memory, monkeypatch):
+    # paths are allowed below the working folder
+    monkeypatch.chdir(tmp_path)
     folder = tmp_path
     memory.export_json(str(folder / "all.json"))
     memory.export_binary(str(folder / "all.bin"))
