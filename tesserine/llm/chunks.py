@@ -5,7 +5,12 @@ passes read. A pass sends the distinct keys of a chunk to buckets of a hash rang
 packed as arrays with their counts in the chunk, so that a key that fills a third
 of the corpus arrives once from each chunk. A bucket adds the counts up and
 answers each chunk with one code for each key it sent, in the same order, so that
-an answer carries no keys. Chunks and buckets grow in number, not in size.
+an answer carries no keys.
+
+Chunks and buckets grow in number, not in size. Up to ``2 ** COARSE`` buckets a chunk sends to each of them. Beyond, rows
+would grow as chunks times buckets and hold ever fewer keys; so a chunk sends to ``2 ** COARSE`` coarse buckets, and relays, each
+for one of these and ``SPAN`` chunks, add up what is alike, send it on to the buckets, and hand the codes back. Every row
+then holds some hundred keys, however large the corpus is, and a key arrives once from each relay.
 """
 
 from __future__ import annotations
@@ -27,6 +32,8 @@ CHUNK_BYTES, CHUNK_ROWS = 2 << 20, 20_000
 REPEATED_CHUNKS = 4
 #: Keys that a bucket holds on average.
 BUCKET_KEYS = 1_500_000
+#: Bits of the buckets that a chunk sends to, and chunks that a relay takes from.
+COARSE, SPAN = 12, 16_384
 
 SENT = "_bucket long, _chunk long, _keys binary, _counts binary"
 CODES = "_chunk long, _stage int, _bucket long, _codes binary"
@@ -39,6 +46,8 @@ class Chunks:
     rows: DataFrame
     bits: int
     size: int = 0
+    coarse: int = COARSE
+    span: int = SPAN
 
 
 @dataclass(frozen=True)
@@ -50,9 +59,6 @@ class Distinct:
     counts: np.ndarray
     bits: int
 
-    def buckets(self) -> np.ndarray:
-        return (self.keys[0] >> np.uint64(64 - self.bits)).astype(np.int64)
-
 
 def deal(packed: DataFrame, key: Column) -> Chunks:
     """``packed`` has ``_row`` and ``_text``; rows are dealt by a hash of ``key`` and text.
@@ -92,13 +98,14 @@ def wide(a: np.ndarray, b: np.ndarray, bits: int) -> Distinct:
     return Distinct((x[first], y[first]), where, np.diff(np.append(first, len(x))), bits)
 
 
-def sent(chunk: int, d: Distinct) -> pa.Table:
-    bucket = d.buckets()
+def _rows(d: Distinct, chunk: int, bits: int, whole: bool) -> pa.Table:
+    """Keys and counts by bucket (the first ``bits`` of a key). One lane alone leaves out the bucket's bits, unless ``whole``."""
+    bucket = (d.keys[0] >> np.uint64(64 - bits)).astype(np.int64)
     edge = np.flatnonzero(np.diff(bucket, prepend=-1))
     ends = np.append(edge[1:], len(bucket))[: len(edge)]
     counts = np.minimum(d.counts, 65535).astype("<u2")
-    if len(d.keys) == 1:
-        low = ((d.keys[0] << np.uint64(d.bits)) >> np.uint64(32)).astype("<u4")
+    if len(d.keys) == 1 and not whole:
+        low = ((d.keys[0] << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
         blobs = [low[a:b].tobytes() for a, b in zip(edge, ends, strict=True)]
     else:
         blobs = [b"".join(k[a:b].astype("<u8").tobytes() for k in d.keys) for a, b in zip(edge, ends, strict=True)]
@@ -108,6 +115,11 @@ def sent(chunk: int, d: Distinct) -> pa.Table:
     )
 
 
+def sent(chunk: int, d: Distinct, coarse: int) -> pa.Table:
+    """What a chunk sends: to the buckets, or to the coarse ones if there are more than ``2 ** coarse``."""
+    return _rows(d, chunk, min(d.bits, coarse), d.bits > coarse)
+
+
 def added(keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
     """For each entry the sum of the counts of all entries with its key."""
     order = np.lexsort(tuple(keys)) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
@@ -122,41 +134,85 @@ def added(keys: list[np.ndarray], counts: np.ndarray) -> np.ndarray:
 Judge = Callable[[list[np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 
 
-def codes(group: pa.Table, judge: Judge, stage: int, lanes: int) -> pa.Table:
-    """What ``judge`` makes of the keys, counts and chunks of a bucket's entries, as unsigned bytes for each chunk."""
-    width = 4 if lanes == 1 else 8 * lanes
+def _entries(group: pa.Table, lanes: int, width: int) -> tuple[list[np.ndarray], np.ndarray, list[int]]:
+    """Keys and counts of all rows of a group, and how many each row has. Rows hold one lane after another."""
     blobs, sizes = group.column("_keys").to_pylist(), []
     parts: list[list[np.ndarray]] = [[] for _ in range(lanes)]
     for blob in blobs:
-        n = len(blob) // width
+        n = len(blob) // (width * lanes)
         sizes.append(n)
         for k in range(lanes):
-            parts[k].append(np.frombuffer(blob, "<u4", n) if lanes == 1 else np.frombuffer(blob, "<u8", n, 8 * n * k))
-    counts = np.frombuffer(b"".join(group.column("_counts").to_pylist()), "<u2").astype(np.int64)
-    chunk = np.repeat(group.column("_chunk").to_numpy(), sizes)
-    code = judge([np.concatenate(p) for p in parts], counts, chunk).astype(np.uint8).tobytes()
-    ends = np.cumsum(sizes).tolist()
+            parts[k].append(np.frombuffer(blob, f"<u{width}", n, width * n * k))
+    return [np.concatenate(p) for p in parts], np.frombuffer(b"".join(group.column("_counts").to_pylist()), "<u2").astype(np.int64), sizes
+
+
+def _coded(group: pa.Table, code: np.ndarray, sizes: list[int], stage: int) -> pa.Table:
+    code, ends = code.astype(np.uint8).tobytes(), np.cumsum(sizes).tolist()
     return pa.table(
-        [group.column("_chunk"), pa.array(np.full(len(blobs), stage), pa.int32()), group.column("_bucket"), pa.array([code[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())],
+        [group.column("_chunk"), pa.array(np.full(len(sizes), stage), pa.int32()), group.column("_bucket"), pa.array([code[e - n : e] for e, n in zip(ends, sizes, strict=True)], pa.binary())],
         ["_chunk", "_stage", "_bucket", "_codes"],
     )
 
 
-def judged(asked: DataFrame, judge: Judge, stage: int, lanes: int) -> DataFrame:
-    """Codes by chunk and bucket."""
-    return asked.groupBy("_bucket").applyInArrow(lambda group: codes(group, judge, stage, lanes), CODES)
+def codes(group: pa.Table, judge: Judge, stage: int, lanes: int) -> pa.Table:
+    """What ``judge`` makes of the keys, counts and chunks of a bucket's entries, as unsigned bytes for each chunk."""
+    keys, counts, sizes = _entries(group, lanes, 4 if lanes == 1 else 8)
+    return _coded(group, judge(keys, counts, np.repeat(group.column("_chunk").to_numpy(), sizes)), sizes, stage)
 
 
-def answered(asked: DataFrame, code: Callable[[np.ndarray], np.ndarray], stage: int, lanes: int) -> DataFrame:
+def _merged(group: pa.Table, lanes: int, bits: int, flag: int) -> tuple[Distinct, np.ndarray, list[int]]:
+    """The different keys of a relay with their counts, the order of entries by key and chunk, and entries of each row."""
+    keys, counts, sizes = _entries(group, lanes, 8)
+    order = np.lexsort((np.repeat(group.column("_chunk").to_numpy(), sizes), *keys[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    first = np.flatnonzero(new)
+    total = np.minimum(np.add.reduceat(counts[order] & ~flag, first), (flag or 1 << 16) - 1) | np.maximum.reduceat(counts[order] & flag, first)
+    where = np.empty(len(order), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return Distinct(tuple(k[order][first] for k in keys), where, total, bits), order[first], sizes
+
+
+def judged(asked: DataFrame, judge: Judge, stage: int, lanes: int, dealt: Chunks, flag: int = 0, once: int = 0) -> DataFrame:
+    """Codes by chunk and bucket of what chunks of ``dealt`` asked, through relays if there are more than ``2 ** coarse`` buckets.
+
+    ``flag`` is a bit of counts that entries of one key share, not add up; ``once`` are bits of codes that only one entry
+    of a key may get.
+    """
+    bits, span = dealt.bits, dealt.span
+    settle = lambda rows: rows.groupBy("_bucket").applyInArrow(lambda group: codes(group, judge, stage, lanes), CODES)
+    if bits <= dealt.coarse:
+        return settle(asked)
+
+    def forward(group: pa.Table) -> pa.Table:
+        return _rows(_merged(group, lanes, bits, flag)[0], group.column("_relay")[0].as_py(), bits, False)
+
+    def back(group: pa.Table, answers: pa.Table) -> pa.Table:
+        d, first, sizes = _merged(group, lanes, bits, flag)
+        code = codes_of(answers, stage)[d.where]
+        if once:
+            rest = np.ones(len(code), bool)
+            rest[first] = False
+            code = np.where(rest, code & (255 - once), code)
+        return _coded(group, code, sizes, stage)
+
+    relayed = asked.withColumn("_relay", F.shiftleft("_bucket", 40) + F.floor(F.col("_chunk") / span))
+    answers = settle(relayed.groupBy("_relay").applyInArrow(forward, SENT)).withColumnRenamed("_chunk", "_relay")
+    return relayed.groupBy("_relay").cogroup(answers.groupBy("_relay")).applyInArrow(back, CODES)
+
+
+def answered(asked: DataFrame, code: Callable[[np.ndarray], np.ndarray], stage: int, lanes: int, dealt: Chunks) -> DataFrame:
     """Codes of the corpus-wide counts, by chunk and bucket."""
-    return judged(asked, lambda keys, counts, _: code(added(keys, counts)), stage, lanes)
+    return judged(asked, lambda keys, counts, _: code(added(keys, counts)), stage, lanes, dealt)
 
 
 def ask(chunks: Chunks, keys: Callable[[list[bytes | None]], Distinct]) -> DataFrame:
     """First pass: what ``keys`` finds in the texts of each chunk."""
 
+    coarse = chunks.coarse
+
     def emit(group: pa.Table) -> pa.Table:
-        out = sent(group.column("_chunk")[0].as_py(), keys(kernel.binaries(group.column("_text"))))
+        out = sent(group.column("_chunk")[0].as_py(), keys(kernel.binaries(group.column("_text"))), coarse)
         kernel.release()
         return out
 
@@ -183,9 +239,11 @@ def again(chunks: Chunks, answers: DataFrame, run: Callable[[pa.Table, pa.Table]
 def sending(chunks: Chunks, answers: DataFrame, keys: Callable[[list[bytes | None], pa.Table], Distinct]) -> DataFrame:
     """A later pass that asks again, about keys that answers so far leave open."""
 
+    coarse = chunks.coarse
+
     def emit(rows: pa.Table, codes: pa.Table) -> pa.Table:
         if not len(rows):
             return pa.table({"_bucket": pa.array([], pa.int64()), "_chunk": pa.array([], pa.int64()), "_keys": pa.array([], pa.binary()), "_counts": pa.array([], pa.binary())})
-        return sent(rows.column("_chunk")[0].as_py(), keys(kernel.binaries(rows.column("_text")), codes))
+        return sent(rows.column("_chunk")[0].as_py(), keys(kernel.binaries(rows.column("_text")), codes), coarse)
 
     return again(chunks, answers, emit, SENT)

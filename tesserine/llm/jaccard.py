@@ -80,7 +80,7 @@ _SHINGLED = "_key long, cls binary, n long, prefix array<long>, n_first int, cos
 def _shingled(dealt: chunks.Chunks, k: int, num: int, den: int) -> DataFrame:
     """For each document its class, size, the shared shingles of its prefix and, if there are such, all its shared shingles."""
     bits = dealt.bits
-    df = chunks.answered(chunks.ask(dealt, lambda texts: chunks.narrow(_Sets(texts, k).hashes, bits)), _class_of_frequency, 1, 1)
+    df = chunks.answered(chunks.ask(dealt, lambda texts: chunks.narrow(_Sets(texts, k).hashes, bits)), _class_of_frequency, 1, 1, dealt)
 
     def prefixes(rows: pa.Table, codes: pa.Table) -> pa.Table:
         sets = _Sets(kernel.binaries(rows.column("_text")), k)

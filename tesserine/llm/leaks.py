@@ -314,7 +314,10 @@ def _blocks(bench: DataFrame, item: str, text: str, q: int, rate: float, short:
 
 
 class _Blocks:
-    """The blocks of a worker; it keeps the indices of the last few."""
+    """The blocks of a worker; it keeps the indices of the last few, and of no other block the items.
+
+    A handle of a broadcast would keep what it has read; what it read from stays on the worker's disk.
+    """
 
     def __init__(self, handles: list) -> None:
         self.handles, self.kept = handles, {}
@@ -325,6 +328,7 @@ class _Blocks:
                 if len(self.kept) >= KEPT_BLOCKS:
                     self.kept.pop(next(iter(self.kept)))
                 self.kept[k] = _Index(handle.value)
+                handle.__dict__.pop("_value", None)
             yield self.kept[k]
 
 

@@ -15,8 +15,10 @@ read after that.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +160,8 @@ def _offsets(made: DataFrame, capacity: int) -> DataFrame:
     return first.groupBy("_part").applyInArrow(dense, "_part long, offsets array<long>")
 
 
+#: A task writes its pieces to a file of its number.
+_FILE = re.compile(r"/part-(\d+)-[^/]*$")
 _RUN = "length long, lo long, hi long, bin long, each long, fill long"
 
 
@@ -172,13 +176,25 @@ def pack(docs: DataFrame, text: str = "text", capacity: int = CAPACITY, path: st
     made = stored(pieces(docs, text, capacity, path or tokens.vocabulary_path(), end_id), "pieces")
     counts = {r.length: r.n for r in made.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets = stored(_offsets(made, capacity), "offsets")
-    if offsets.count() * 8 * (capacity + 1) <= BROADCAST_BYTES:
-        offsets = F.broadcast(offsets)
     runs = best_fit_decreasing(counts, capacity)
     rows = made.sparkSession.createDataFrame([(r.length, r.rank, r.rank + r.n, r.bin, r.each, r.fill) for r in runs], _RUN)
     # some runs for each length, however many pieces there are
     rows = F.broadcast(rows) if len(runs) <= BROADCAST_RUNS else rows
-    m, p = made.join(offsets, "_part").withColumn("_at", F.col("_rank") + F.get("offsets", F.col("length").cast("int"))).drop("offsets").alias("m"), rows.alias("p")
+    if offsets.count() * 8 * (capacity + 1) <= BROADCAST_BYTES:
+        return _placed(made, offsets, rows)
+    # more tasks than that: as many at a time as their offsets may be sent, from the files that they wrote; ids never move
+    groups: dict[int, list[str]] = {}
+    width = max(1, BROADCAST_BYTES // (8 * (capacity + 1)))
+    for file in made.inputFiles():
+        groups.setdefault(int(_FILE.search(file)[1]) // width, []).append(file)
+    read = made.sparkSession.read.schema(made.schema)
+    parts = [stored(_placed(read.parquet(*files), offsets.where((F.col("_part") >= g * width) & (F.col("_part") < (g + 1) * width)), rows), "placed") for g, files in sorted(groups.items())]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _placed(made: DataFrame, offsets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pieces with the places that the runs ``rows`` give them; ``offsets`` are those of the tasks that made them."""
+    m, p = made.join(F.broadcast(offsets), "_part").withColumn("_at", F.col("_rank") + F.get("offsets", F.col("length").cast("int"))).drop("offsets").alias("m"), rows.alias("p")
     joined = m.join(p, (F.col("m.length") == F.col("p.length")) & (F.col("m._at") >= F.col("p.lo")) & (F.col("m._at") < F.col("p.hi")))
     step = F.col("m._at") - F.col("p.lo")
     rest = [c for c in made.schema["_row"].dataType.names if c != "_none"]

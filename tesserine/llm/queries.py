@@ -20,20 +20,15 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op1_sql() -> str:
-    """The rules, and the steps over host links one after another."""
+    """The rules, and the steps over host links until little is left to move."""
     rules = sorted(urls.RULES, key=lambda r: (len(r.rule), r.rule), reverse=True)
     fits = lambda r: f"(host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}')"
     rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.rule}'" for r in rules) + " END"
     by_rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r.verdict}'" for r in rules) + " END"
     host = lambda u: f"translate(regexp_extract({u}, '://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}')"
-    steps = "".join(
-        f""", t{k} AS (SELECT e.dst AS host, sum(t.m * e.n / o.n) * {urls.DAMPING} AS m FROM t{k - 1} t JOIN e ON e.src = t.host JOIN o ON o.src = e.src GROUP BY 1)
-        , d{k} AS (SELECT e.src AS host, sum(t.m * e.n / i.n) * {urls.DAMPING} AS m FROM d{k - 1} t JOIN e ON e.dst = t.host JOIN i ON i.dst = e.dst GROUP BY 1)"""
-        for k in range(1, urls.STEPS + 1)
-    )
-    total = lambda x: " UNION ALL ".join(f"SELECT * FROM {x}{k}" for k in range(urls.STEPS + 1))
+    href = urls.HREF.replace("'", "''")
     return rf"""
-WITH p AS (
+WITH RECURSIVE p AS (
   SELECT page_id, html, coalesce({host("url")}, '') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages
 ), r AS (
   SELECT *, {rule} AS rule, {by_rule} AS by_rule FROM p
@@ -42,16 +37,27 @@ WITH p AS (
 ), s AS (
   SELECT *, b >= {urls.SEED_SHARE} * n AS bad, NOT (b >= {urls.SEED_SHARE} * n) AND a > 0 AS good FROM h
 ), l AS (
-  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '(?i)href\s*=\s*["'']([^"''>]*)', 1)) AS href FROM p
+  SELECT host AS src, unnest(regexp_extract_all(coalesce(html, ''), '{href}', 1)) AS href FROM p
 ), e AS (
   SELECT src, dst, count(*) AS n FROM (
     SELECT src, {host("CASE WHEN starts_with(href, '//') THEN 'x:' || href ELSE href END")} AS dst FROM l WHERE regexp_matches(href, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//')
   ) WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY src, dst
 ), o AS (SELECT src, sum(n) AS n FROM e GROUP BY src), i AS (SELECT dst, sum(n) AS n FROM e GROUP BY dst)
-, t0 AS (SELECT host, a / (SELECT CAST(sum(a) AS DOUBLE) FROM s WHERE good) AS m FROM s WHERE good)
-, d0 AS (SELECT host, b / (SELECT CAST(sum(b) AS DOUBLE) FROM s WHERE bad) AS m FROM s WHERE bad)
-{steps}
-, t AS (SELECT host, sum(m) AS m FROM ({total("t")}) GROUP BY host), d AS (SELECT host, sum(m) AS m FROM ({total("d")}) GROUP BY host)
+, ways AS (
+  SELECT 'trust' AS kind, src AS host, dst AS next, e.n / o.n AS share FROM e JOIN o USING (src)
+  UNION ALL SELECT 'distrust', dst, src, e.n / i.n FROM e JOIN i USING (dst)
+), m(kind, host, mass, moving) AS (
+  SELECT 'trust', host, a / (SELECT CAST(sum(a) AS DOUBLE) FROM s WHERE good), 1.0::DOUBLE FROM s WHERE good
+  UNION ALL SELECT 'distrust', host, b / (SELECT CAST(sum(b) AS DOUBLE) FROM s WHERE bad), 1.0::DOUBLE FROM s WHERE bad
+), walk(kind, host, mass, moving) AS (
+  SELECT * FROM m
+  UNION ALL
+  SELECT kind, host, mass, sum(mass) OVER () FROM (
+    SELECT walk.kind, ways.next AS host, {urls.DAMPING} * sum(walk.mass * ways.share) AS mass
+    FROM walk JOIN ways ON ways.kind = walk.kind AND ways.host = walk.host WHERE walk.moving >= {urls.LEFT} GROUP BY walk.kind, ways.next
+  )
+)
+, t AS (SELECT host, sum(mass) AS m FROM walk WHERE kind = 'trust' GROUP BY host), d AS (SELECT host, sum(mass) AS m FROM walk WHERE kind = 'distrust' GROUP BY host)
 SELECT page_id, r.host, path, rule, coalesce(by_rule, CASE WHEN coalesce(d.m, 0) > coalesce(t.m, 0)
        AND d.m >= {urls.FLOOR} / greatest(1, (SELECT count(*) FROM s WHERE bad)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM r LEFT JOIN t ON t.host = r.host LEFT JOIN d ON d.host = r.host

@@ -14,6 +14,8 @@ Nothing but hashes, counts and segments that are neither unique nor alike leaves
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -166,10 +168,10 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
     packed = packed.select("_row", F.col(f"`{text}`").cast("string").alias("_text"), F.col(f"`{key}`").alias("_key"))
     dealt = chunks.deal(packed, F.col("_key"))
     bits = max(4, dealt.bits - 4)  # there are some 16 times fewer keys than words
-    dealt = chunks.Chunks(dealt.rows.drop("_key"), bits, dealt.size)
+    dealt = replace(dealt, rows=dealt.rows.drop("_key"), bits=bits)
     # a third of the bytes are sent, at the most that was seen
     shards = max(partitions(docs.sparkSession), dealt.size // (3 * SHARD_BYTES))
-    first = chunks.judged(chunks.ask(dealt, lambda texts: _Segments(texts, length).asked(bits)), lambda keys, counts, chunk: _judge(keys, counts, chunk, few), 1, 2)
+    first = chunks.judged(chunks.ask(dealt, lambda texts: _Segments(texts, length).asked(bits)), lambda keys, counts, chunk: _judge(keys, counts, chunk, few), 1, 2, dealt, _SELF, _SENDER)
 
     def send(rows: pa.Table, codes: pa.Table) -> pa.Table:
         """Windows of many to their buckets (from 0 up), segments to their shards (from -1 down)."""
@@ -177,7 +179,7 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", length
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())], _MADE_NAMES)
         chunk, own = rows.column("_chunk")[0].as_py(), _Segments(kernel.binaries(rows.column("_text")), length)
         code, where = own.coded(codes, bits)
-        asked = chunks.sent(chunk, own.of_many(code, bits)[1])
+        asked = chunks.sent(chunk, own.of_many(code, bits)[1], coarse=64)
         for c in _MADE_NAMES[4:]:
             asked = asked.append_column(c, pa.nulls(len(asked), pa.int64()))
         which = np.flatnonzero((code & _SORTED > 0) & (code & _SENDER > 0) & (code & _MANY == 0))

@@ -11,6 +11,7 @@ Windows are judged on the input, not on what is left.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import compress
 
 import numpy as np
@@ -70,16 +71,16 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", window
     packed, rest = carried(docs, [*added, text])
     packed = packed.select("_row", F.col(text).cast("string").alias("_text"), F.col(key).alias("_key"))
     dealt = chunks.deal(packed, F.col("_key"))
-    dealt = chunks.Chunks(dealt.rows.drop("_key"), dealt.bits)
+    dealt = replace(dealt, rows=dealt.rows.drop("_key"))
     bits = dealt.bits
 
-    first = chunks.answered(chunks.ask(dealt, lambda texts: chunks.narrow(_Windows(texts, window).first, bits)), _twice, 1, 1)
+    first = chunks.answered(chunks.ask(dealt, lambda texts: chunks.narrow(_Windows(texts, window).first, bits)), _twice, 1, 1, dealt)
 
     def reopened(texts: list[bytes | None], codes: pa.Table) -> chunks.Distinct:
         own = _Windows(texts, window)
         return own.exact(own.open(chunks.codes_of(codes, 1), bits), bits)
 
-    second = chunks.answered(chunks.sending(dealt, first, reopened), _twice, 2, 2)
+    second = chunks.answered(chunks.sending(dealt, first, reopened), _twice, 2, 2, dealt)
 
     interval = pa.struct([("first", pa.int64()), ("n", pa.int64())])
     row = dealt.rows.schema["_row"]

@@ -47,9 +47,10 @@ RULES = (
 )
 #: Share of a step's mass that follows links; the rest stays.
 DAMPING = 0.85
-STEPS = 10
-#: Without a number of steps, masses move until their sum is below this share of all seeds' mass.
+#: Masses move until what moves is below this share of one kind's seeds, unless a number of steps is given.
 LEFT = 1e-6
+#: A link's target, quoted or not; what follows a blank is not needed for its host.
+HREF = r"""(?i)href\s*=\s*["']?\s*([^"'>\s]*)"""
 #: Share of a host's pages that rules must block for it to be a blocked seed.
 SEED_SHARE = 0.9
 #: Distrust below this share of a seed's mean mass never blocks.
@@ -80,20 +81,22 @@ def ruled(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) -> tuple[
 
 def links(pages: DataFrame) -> DataFrame:
     """Links between different hosts, counted: ``src``, ``dst``, ``n``. Relative links stay on their host."""
-    to = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(r'(?i)href\s*=\s*["\']([^"\'>]*)'), 1)).alias("href"))
+    to = pages.select(F.col("host").alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(HREF), 1)).alias("href"))
     to = to.where(F.col("href").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"))
     to = to.select("src", host_of(F.when(F.col("href").startswith("//"), F.concat(F.lit("x:"), "href")).otherwise(F.col("href"))).alias("dst"))
     return to.where((F.col("src") != "") & (F.col("dst") != "") & (F.col("src") != F.col("dst"))).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
-    """Mass of each ``kind`` and ``host`` after ``steps`` steps from seeds (``kind``, ``host``, ``mass``); with None after
-    as many as it takes until what still moves is below :data:`LEFT`.
+def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, steps: int | None = None) -> DataFrame:
+    """Mass of each ``kind`` and ``host`` after as many steps from seeds (``kind``, ``host``, ``mass``) as it takes until what
+    still moves is below :data:`LEFT`, or after ``steps`` of them.
 
-    Kind ``trust`` follows links, ``distrust`` follows them backwards, each link in proportion to its count.
+    Kind ``trust`` follows links, ``distrust`` follows them backwards, each link in proportion to its count. ``edges`` is a
+    written table, and so is what it is joined with: Spark splits a skewed partition (a host with many links) of a join of two
+    scans, but not of one that an aggregate feeds.
     """
-    out = edges.groupBy("src").agg(F.sum("n").alias("all"))
-    into = edges.groupBy("dst").agg(F.sum("n").alias("all"))
+    out = stored(edges.groupBy("src").agg(F.sum("n").alias("all")), "out")
+    into = stored(edges.groupBy("dst").agg(F.sum("n").alias("all")), "into")
     ways = edges.join(out, "src").select(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), (F.col("n") / F.col("all")).alias("share"))
     ways = ways.unionByName(edges.join(into, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("share")))
     ways = stored(ways, "ways")
@@ -115,7 +118,7 @@ def propagated(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, ste
     return total.groupBy("kind", "host").agg(((1 - damping) * F.sum("mass")).alias("mass"))
 
 
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, steps: int | None = STEPS) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", html: str = "html", damping: float = DAMPING, steps: int | None = None) -> DataFrame:
     """``pages`` without ``html``, with ``host``, ``path``, ``rule`` (or null), ``verdict`` (allow or block), and the
     host's ``trust`` and ``distrust``.
 
@@ -137,11 +140,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, url: str = "url", h
     sums = hosts.agg(F.sum(F.when(good, F.col("allowed"))).alias("good"), F.sum(F.when(bad, F.col("blocked"))).alias("bad"), F.count_if(bad).alias("n")).first()
     seeds = hosts.where(good).select(F.lit("trust").alias("kind"), "host", (F.col("allowed") / F.lit(sums.good or 1)).alias("mass"))
     seeds = seeds.unionByName(hosts.where(bad).select(F.lit("distrust").alias("kind"), "host", (F.col("blocked") / F.lit(sums.bad or 1)).alias("mass")))
-    mass = propagated(seeds, links(base), damping, steps)
+    mass = propagated(seeds, stored(links(base), "edges"), damping, steps)
     mass = mass.groupBy("host").agg(
         F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("mass"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == "distrust", F.col("mass"))), F.lit(0.0)).alias("distrust")
     )
-    joined = base.drop("html").join(mass, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
+    joined = base.drop("html").join(stored(mass, "masses"), "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     floor = FLOOR * (1 - damping) / max(1, sums.n)
     by_host = F.when((F.col("distrust") > F.col("trust")) & (F.col("distrust") >= floor), "block").otherwise("allow")
     return joined.select(*[F.col("_row")[c].alias(c) for c in rest], "host", "path", "rule", F.coalesce("by_rule", by_host).alias("verdict"), "trust", "distrust")

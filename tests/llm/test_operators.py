@@ -304,7 +304,7 @@ def test_token_files_deal_rows_of_one_key_apart(spark, library):
     assert got == [(sum(sizes[:i]), n) for i, n in enumerate(sizes)]
 
 
-def test_packing_by_a_shuffle_is_the_same(docs, monkeypatch):
+def test_packing_task_by_task_is_the_same(docs, monkeypatch):
     of = lambda: sorted((str(r.doc_id), bytes(r.ids), r.piece) for r in packing.pack(docs, capacity=300).collect())
     one = of()
     monkeypatch.setattr(packing, "BROADCAST_BYTES", 0)
@@ -498,7 +498,7 @@ def test_distrust_flows_backwards_and_trust_forwards(spark):
 
 def test_masses_move_until_little_is_left(spark):
     link = lambda to: f'<a href="http://{to}/">'
-    # 14 hops away from the blocked host, beyond the registered number of steps
+    # 14 hops away from the blocked host
     chain = [(k, f"http://h{k}.io/x", link(f"h{k - 1}.io" if k > 1 else "bad.org")) for k in range(1, 15)]
     pages = spark.createDataFrame([(0, "http://bad.org/es/a", ""), *chain], "page_id long, url string, html string")
     far = {r.host: r for r in urls.judge(pages, steps=None).collect()}["h14.io"]
