@@ -448,11 +448,20 @@ class Memory:
         fs, p = self.store._fs(self._index_path())
         return {"backend": self.backend.fingerprint, "count": int(count), "memory_bytes": int(fs.getContentSummary(p).getLength())}
 
+    def keyword_index(self, name: str, text: Column, tokens: Column) -> keyword.Bm25:
+        """A keyword index of the namespace's concepts, kept in the store. Writes since it was last asked for make one small
+        segment; statistics span all rows that have the text."""
+        state = self.store.state()
+        schema, keys = self.SCHEMAS["concepts"], self.KEYS["concepts"]
+        index = keyword.Segments(self.spark, f"{self._index_folder()}/{name}")
+        have, own = index.state(), F.col("namespace") == self.namespace
+        changed = self.store.changed("concepts", schema, keys, have["revision"], state) if have else None
+        docs = self.store.read("concepts", schema, keys, state).where(own).withColumn("text", text).where(F.col("text").isNotNull())
+        return index.refresh(state["touched"].get("concepts", 0), docs.select("id", "text"), tokens, None if changed is None else changed.where(own).select("id"))
+
     def text_index(self, code_aware: bool = False) -> keyword.Bm25:
-        """The keyword index of the namespace's texts at this revision, kept in the store; statistics span all rows."""
-        words = self.concepts.withColumn("text", filters.searchable_text(F.col("metadata"))).where(F.col("text").isNotNull())
-        made = keyword.Bm25.build(words, tx.tokenize(F.col("text"), code_aware))
-        return made.keep(self.spark, f"text-{int(code_aware)}", str(self.namespace_revision()), self._index_folder())
+        """The keyword index of the namespace's searchable texts."""
+        return self.keyword_index(f"text-{int(code_aware)}", filters.searchable_text(F.col("metadata")), tx.tokenize(F.col("text"), code_aware))
 
     def probe_text(self, text: str, k: int = 10, filter_: filters.Filter | None = None, mode: str = "auto", code_aware: bool = False) -> DataFrame:
         """Keyword and vector search fused; ``mode`` is auto, semantic or keyword. Statistics span all rows, also hidden ones."""

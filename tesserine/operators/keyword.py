@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schemas import check_k
+from ..sources.tables import load_json, names, put_json
 from .kept import kept
 
 K1, B = 1.2, 0.75
@@ -82,3 +85,106 @@ class Bm25:
         if allowed is not None:
             hits = hits.join(allowed.select("id"), "id", "left_semi")
         return hits.orderBy(F.desc("score"), "id").limit(check_k(k))
+
+
+class Segments:
+    """A keyword index that follows its documents: immutable segments, and of each what later ones put in its place.
+
+    A segment has the postings of its documents, clustered by term with the lengths beside them, the lengths, and ``gone``:
+    the ids that it speaks of, whether they are there still or not. A document counts where the newest segment with its id
+    has it. An update builds one segment from the documents that changed; sums for the statistics are carried on. Many
+    segments are merged: the later ones into one while they are small beside the first, else all.
+
+    Which segments there are is one small file, ``state-<n>.json``, of which the last counts. Segments that are no longer
+    named are left to running readers until :meth:`vacuum`.
+    """
+
+    #: Segments before some are merged; share of the first segment's documents that the others may have.
+    MOST, SHARE = 8, 0.25
+    #: Ids of later segments up to which they are sent to every executor.
+    BROADCAST_ROWS = 1_000_000
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n[6:-5]) for n in names(self.spark, self.folder) if n.startswith("state-"))
+
+    def state(self) -> dict | None:
+        """``revision``, ``n`` and ``words`` of the documents that count, and ``segments`` as name and ids spoken of."""
+        last = self._numbers()
+        return load_json(self.spark, f"{self.folder}/state-{last[-1]}.json") | {"number": last[-1]} if last else None
+
+    def _table(self, segment: str, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{segment}/{kind}")
+
+    def _live(self, segments: list[list], kind: str) -> DataFrame:
+        """Rows of all segments whose documents count."""
+        parts = []
+        for i, (name, _) in enumerate(segments):
+            rows, later = self._table(name, kind), segments[i + 1 :]
+            if later:
+                gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in later])
+                gone = F.broadcast(gone) if sum(n for _, n in later) <= self.BROADCAST_ROWS else gone
+                rows = rows.join(gone, "id", "left_anti")
+            parts.append(rows)
+        return reduce(DataFrame.unionByName, parts)
+
+    def _write(self, postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> list:
+        name = uuid.uuid4().hex
+        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}/postings")
+        lengths.write.parquet(f"{self.folder}/{name}/lengths")
+        gone.distinct().write.parquet(f"{self.folder}/{name}/gone")
+        return [name, self._table(name, "gone").count()]
+
+    def _built(self, docs: DataFrame, tokens: Column, gone: DataFrame | None) -> tuple[list, int, int]:
+        """A segment of some documents, how many they are, and their words."""
+        listed = docs.select("id", tokens.alias("tokens")).select("id", "tokens", F.size("tokens").alias("dl"))
+        # the length travels with each word, so that postings need no join
+        postings = listed.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        segment = self._write(postings, listed.select("id", "dl"), gone if gone is not None else listed.select("id"))
+        sums = self._table(segment[0], "lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        return segment, sums[0], sums[1]
+
+    def refresh(self, revision: int, docs: DataFrame, tokens: Column, changed: DataFrame | None = None) -> Bm25:
+        """The index of ``docs`` (``id`` and what ``tokens`` reads) as of ``revision``. ``changed`` has the ids that may
+        differ from what the index has, those that are gone included; without it all is built anew."""
+        old = self.state()
+        while old is None or old["revision"] < revision:
+            if old is None or changed is None:
+                segment, n, words = self._built(docs, tokens, None)
+                new = {"revision": revision, "n": n, "words": words, "segments": [segment]}
+            elif changed.isEmpty():
+                new = {**old, "revision": revision}
+            else:
+                before = self._live(old["segments"], "lengths").join(F.broadcast(changed), "id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+                segment, n, words = self._built(docs.join(F.broadcast(changed), "id", "left_semi"), tokens, changed)
+                new = {"revision": revision, "n": old["n"] - before[0] + n, "words": old["words"] - before[1] + words, "segments": self._merged([*old["segments"], segment])}
+            number = (old["number"] if old else 0) + 1
+            new.pop("number", None)
+            if not put_json(self.spark, f"{self.folder}/state-{number}.json", new):
+                changed = None  # another session was first; if it was at an older revision, build anew
+            old = self.state()
+        return self.view(old)
+
+    def _merged(self, segments: list[list]) -> list[list]:
+        if len(segments) <= self.MOST:
+            return segments
+        small = sum(n for _, n in segments[1:]) <= self.SHARE * segments[0][1]
+        some = segments[1:] if small else segments
+        gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in some])
+        made = self._write(self._live(some, "postings"), self._live(some, "lengths"), gone)
+        return [segments[0], made] if small else [made]
+
+    def view(self, state: dict | None = None) -> Bm25:
+        own = state or self.state()
+        return Bm25(self._live(own["segments"], "postings"), self._live(own["segments"], "lengths"), (own["n"], own["words"] / own["n"] if own["n"] else 0.0))
+
+    def vacuum(self) -> None:
+        """Remove what the last state does not name. Other readers must have ended."""
+        own = self.state()
+        used = {n for n, _ in own["segments"]} | {f"state-{own['number']}.json"} if own else set()
+        for name in names(self.spark, self.folder):
+            if name not in used:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)

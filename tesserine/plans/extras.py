@@ -490,3 +490,37 @@ def w3(spark, sf_dir):
     rows = _t(spark, sf_dir, "conversations").where("turn = 0").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "text")
     m.upsert(rows.select("id", F.array(F.lit(1).cast("long")).alias("vector"), F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("searchable_text"))).alias("metadata")))
     return Conversations(m).query_bm25("the of and", None, 5).withColumn("score", _r("score"))
+
+
+@query("w5_session_keywords", """WITH d AS (SELECT conv_id || ':' || turn AS id, conv_id, coalesce(text, '') AS text FROM conversations), k AS (SELECT id, conv_id, """ + _KW.format("text") + """ AS k FROM d),
+p AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(k) AS t FROM k) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM p GROUP BY t), c AS (SELECT count(*) AS n, avg(len(k)) AS a FROM k),
+s AS (SELECT p.id, any_value(conv_id) AS conv_id, sum((ln(n + 1) - ln(df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(k) / a))) AS score FROM p JOIN df USING (t) JOIN k USING (id), c WHERE t IN ('the', 'of', 'and') GROUP BY p.id HAVING score > 0)
+SELECT id, round(score, 6) AS score FROM s WHERE conv_id IN (3, 5) QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY s.score DESC, id) <= 5""")
+def w5(spark, sf_dir):
+    """The best turns of two sessions by keywords; statistics span all turns of all sessions."""
+    from .harness import Conversations
+
+    m = Memory(spark, _folder(spark, "store"), now=1)
+    rows = _t(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.coalesce("text", F.lit("")).alias("searchable_text"), F.col("conv_id").cast("string").alias("session_id"))
+    m.upsert(rows.select("id", F.array(F.lit(1).cast("long")).alias("vector"), F.to_json(F.struct("searchable_text", "session_id")).alias("metadata")))
+    told = Conversations(m)
+    return told.query_bm25("the of and", "3", 5).unionByName(told.query_bm25("the of and", "5", 5)).withColumn("score", _r("score"))
+
+
+@query("b1_incremental_index", r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 = 0 THEN 'the the ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
+k AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[ 	
+]+'), lambda t: t <> '') AS k FROM d),
+p AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(k) AS t FROM k) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM p GROUP BY t), c AS (SELECT count(*) AS n, avg(len(k)) AS a FROM k)
+SELECT p.id, round(sum((ln(n + 1) - ln(df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(k) / a))), 6) AS score
+FROM p JOIN df USING (t) JOIN k USING (id), c WHERE t IN ('and', 'of', 'und') GROUP BY p.id HAVING score > 0""")
+def b1_incremental(spark, sf_dir):
+    """All scores of an index that was built once and then followed an upsert and a deletion by small segments."""
+    m = Memory(spark, _folder(spark, "store"), now=1)
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), F.array(F.col("doc_id").cast("long")).alias("vector"), "text")
+    rows = lambda df: df.select("id", "vector", F.to_json(F.struct(F.col("text").alias("searchable_text"))).alias("metadata"))
+    m.upsert(rows(d))
+    m.text_index()
+    m.upsert(rows(d.where("cast(id as long) % 10 = 0").withColumn("text", F.concat(F.lit("the the "), "text"))))
+    m.text_index()
+    m.delete_rows(d.where("cast(id as long) % 10 = 1").select("id"))
+    return m.text_index().scores(["and", "of", "und"]).select("id", _r("score").alias("score"))

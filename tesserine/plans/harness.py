@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..memory import Memory
-from ..operators import analytics, fusion, keyword, lifecycle
+from ..operators import analytics, filters, fusion, keyword, lifecycle
 from ..sources.tables import cut
 
 #: What sessions speak of.
@@ -144,8 +144,11 @@ class Conversations:
         return list(self.memory.spark.range(1).select(tx.tokenize_keywords(F.lit(text)).alias("t")).first().t)
 
     def index(self) -> keyword.Bm25:
-        made = keyword.Bm25.build(self.texts(), tx.tokenize_keywords(F.col("text")))
-        return made.keep(self.memory.spark, "turns", str(self.memory.namespace_revision()), self.memory._index_folder())
+        return self.memory.keyword_index("turns", F.get_json_object("metadata", "$.searchable_text"), tx.tokenize_keywords(F.col("text")))
+
+    def _of(self, session: str | None) -> DataFrame | None:
+        """Ids of a session's turns; all without one."""
+        return None if session is None else self.memory.concepts.where(F.get_json_object("metadata", "$.session_id") == session).select("id")
 
     def _reweighted(self, hits: DataFrame, text: str, k: int) -> DataFrame:
         """Scores by the share of the question's words that a text has; little is left without any."""
@@ -171,17 +174,18 @@ class Conversations:
 
     def query_in_session(self, text: str, session: str, k: int) -> DataFrame:
         """Vectors and keywords of one session, fused."""
-        wide, asked = 10 * k, self.words(text)
+        wide, asked = 3 * k, self.words(text)
         vector = [int(w) for w in tx.encode_text(text)]
-        near = self._within(self.memory.probe(vector, wide).select("id", "score"), session, k)
-        hits = self._within(self.index().search(asked, wide), session, k)
+        # other sessions are left out before the best are taken, so none of this one is crowded out
+        near = self.memory.probe(vector, wide, filters.eq("session_id", session)).select("id", "score")
+        hits = self.index().search(asked, wide, self._of(session))
         return self._reweighted(cut(fusion.merge(hits, near, fusion.weights(len(asked)), k)), text, k)
 
     def query_in_session_association(self, text: str, session: str, k: int) -> DataFrame:
         return self._within(self.query(text, 10 * k), session, k)
 
     def query_bm25(self, text: str, session: str | None, k: int) -> DataFrame:
-        return self._within(self.index().search(self.words(text), 10 * k), session, k)
+        return self.index().search(self.words(text), k, self._of(session))
 
     def query_bridge(self, text: str, session: str | None, k: int) -> DataFrame:
         hits = self.memory.bridge_hits(text, 10 * k).select("id", F.col("final_score").alias("score"))

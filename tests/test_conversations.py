@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tesserine.functions import text as tx
 from tesserine.memory import Memory
 from tesserine.plans import harness
 from tesserine.streaming import changes
@@ -26,6 +27,16 @@ def test_ways_to_ask(spark, tmp_path):
     assert sum(len(f.read_text().splitlines()) for f in (tmp_path / "out").glob("*.json")) == 2
 
 
+def test_a_small_session_is_not_crowded_out(spark, tmp_path):
+    rows = [("big", f"big:t{i}:v1", "my home city is Oslo") for i in range(200)] + [("small", "small:t:v1", "the home city of mine")]
+    told = harness.Conversations(Memory(spark, str(tmp_path / "s"), now=10))
+    frame = spark.createDataFrame(rows, "session_id string, id string, searchable_text string")
+    told.memory.upsert(frame.select("id", tx.encoder()(F.col("searchable_text")).alias("vector"), F.to_json(F.struct("searchable_text", "session_id")).alias("metadata")))
+    for ask in (told.query_in_session, told.query_bm25):
+        assert [r.id for r in ask("home city", "small", 2).collect()] == ["small:t:v1"]
+    assert len(told.query_in_session("home city", "big", 3).collect()) == 3
+
+
 def test_late_events_are_left_out(spark, tmp_path):
     (tmp_path / "in").mkdir()
     lines = lambda *ts: "\n".join(json.dumps({"ts": t, "kind": "a"}) for t in ts)
