@@ -14,6 +14,7 @@ from ..functions import text as tx
 from ..memory import Memory
 from ..operators import filters, graph, hnsw, lifecycle, retrieval, search
 from ..sources import readers, schemas, tables, writers
+from ..streaming import timers
 from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, sketches
 
 
@@ -509,7 +510,8 @@ def w5(spark, sf_dir):
 
 @query("b1_incremental_index", r"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS id, CASE WHEN doc_id % 10 = 0 THEN 'the the ' || text ELSE text END AS text FROM documents WHERE doc_id % 10 <> 1),
 k AS (SELECT id, list_filter(regexp_split_to_array(lower(text), '[ 	
-]+'), lambda t: t <> '') AS k FROM d),
+
+]+'), lambda t: t <> '') AS k FROM d),
 p AS (SELECT id, t, count(*) AS tf FROM (SELECT id, unnest(k) AS t FROM k) GROUP BY id, t), df AS (SELECT t, count(*) AS df FROM p GROUP BY t), c AS (SELECT count(*) AS n, avg(len(k)) AS a FROM k)
 SELECT p.id, round(sum((ln(n + 1) - ln(df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(k) / a))), 6) AS score
 FROM p JOIN df USING (t) JOIN k USING (id), c WHERE t IN ('and', 'of', 'und') GROUP BY p.id HAVING score > 0""")
@@ -524,3 +526,19 @@ def b1_incremental(spark, sf_dir):
     m.text_index()
     m.delete_rows(d.where("cast(id as long) % 10 = 1").select("id"))
     return m.text_index().scores(["and", "of", "und"]).select("id", _r("score").alias("score"))
+
+
+@query("e7_expiries_in_a_stream", "SELECT event_type AS namespace, CAST(user_id AS VARCHAR) AS id, CAST(arg_max(ts, event_id) AS TIMESTAMP) + INTERVAL 1 DAY AS expires_at FROM events GROUP BY 1, 2 HAVING CAST(arg_max(ts, event_id) AS TIMESTAMP) + INTERVAL 1 DAY <= (SELECT CAST(max(ts) AS TIMESTAMP) FROM events)")
+def e7(spark, sf_dir):
+    """Each event lets its user's row of that kind live one day longer; rows whose time is up when the stream ends."""
+    folder, conf = _folder(spark, "expiries"), "spark.sql.streaming.stateStore.providerClass"
+    stream = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    writes = stream.select(F.col("event_type").alias("namespace"), F.col("user_id").cast("string").alias("id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("at"), (F.col("ts").cast("timestamp") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, timers.PROVIDER)
+    try:
+        q = timers.expiries(writes).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        q.start().awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return spark.read.parquet(f"{folder}/out").withColumn("expires_at", F.col("expires_at").cast("timestamp_ntz"))
