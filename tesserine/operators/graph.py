@@ -45,22 +45,73 @@ def bfs(edges: DataFrame, start: str, config: Traversal = Traversal()) -> DataFr
 
 
 def _best_paths(edges: DataFrame, start: str, goal: str, cost: Column, config: Traversal) -> DataFrame:
-    """One row with the cheapest path of at most ``max_depth`` edges, or none. Ties go to the smaller path."""
-    spark = edges.sparkSession
-    ways = edges.where(F.col("strength") >= config.min_strength).select(F.col("from_id").alias("at"), F.col("to_id"), cost.alias("step"))
-    known = spark.createDataFrame([(start, 0.0, [start])], "at string, cost double, path array<string>")
+    """One row with the cheapest path of at most ``max_depth`` edges, or none. Ties go to the smaller path.
+
+    First, from both ends by turns, costs alone are relaxed, an edge longer each round, from the side that has the smaller
+    front. They bound what a path can cost, and end when no longer path can cost less. Then paths are made, but only over
+    edges that can be on one within the bound, so paths travel for few nodes.
+    """
+    ways = edges.where(F.col("strength") >= config.min_strength).select(F.col("from_id").alias("at"), F.col("to_id").alias("to"), cost.alias("step"))
+    if start == goal:
+        return edges.sparkSession.createDataFrame([([start], 0.0)], "path array<string>, cost double")
+    found = _bounded(ways, start, goal, config.max_depth)
+    if found is None:
+        return edges.sparkSession.createDataFrame([], "path array<string>, cost double")
+    near, bound = found
+    return _paths(near, start, goal, bound, config.max_depth)
+
+
+def _relaxed(known: DataFrame, front: DataFrame, ways: DataFrame, bound: float | None) -> tuple[DataFrame, DataFrame]:
+    """Costs one edge further: all of them, and those that are new or less. Nothing over the bound goes on."""
+    new = front.join(ways, "at").groupBy(F.col("to").alias("at")).agg(F.min(F.col("cost") + F.col("step")).alias("cost"))
+    new = new if bound is None else new.where(F.col("cost") <= bound)
+    better = cut(new.join(known.select("at", F.col("cost").alias("old")), "at", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).select("at", "cost"))
+    return cut(known.join(better.select("at"), "at", "left_anti").unionByName(better)), better
+
+
+def _bounded(ways: DataFrame, start: str, goal: str, depth: int) -> tuple[DataFrame, float] | None:
+    """Edges that may lie on a path as cheap as the cheapest, and a bound of its cost; None without a path."""
+    spark = ways.sparkSession
+    least = ways.agg(F.min("step")).first()[0]
+    if least is None:
+        return None
+    back = ways.select(F.col("to").alias("at"), F.col("at").alias("to"), "step")
+    known = [spark.createDataFrame([(n, 0.0)], "at string, cost double") for n in (start, goal)]
+    front, sizes, lowest, bound = list(known), [1, 1], [0.0, 0.0], None
+    for _ in range(depth):
+        side = 0 if sizes[0] <= sizes[1] else 1
+        known[side], front[side] = _relaxed(known[side], front[side], (ways, back)[side], bound if least >= 0 else None)
+        sizes[side], lowest[side] = front[side].agg(F.count(F.lit(1)), F.min("cost")).first()
+        met = known[0].join(known[1].select("at", F.col("cost").alias("rest")), "at").agg(F.min(F.col("cost") + F.col("rest"))).first()[0]
+        if met is not None:  # sums in another order may differ in their last digits
+            bound = met + 1e-9 * max(1.0, abs(met))
+        if not sizes[side] or (least >= 0 and bound is not None and lowest[0] + lowest[1] > bound):
+            break
+    if bound is None:
+        return None
+    if least < 0:
+        return ways, float("inf")
+    # an edge on such a path is within the bound from the side that has reached its ends
+    a, b = known[0].select("at", F.col("cost").alias("_a")), known[1].select(F.col("at").alias("to"), F.col("cost").alias("_b"))
+    from_start = ways.join(a, "at").where(F.col("_a") + F.col("step") <= bound).select("at", "to", "step")
+    to_goal = ways.join(b, "to").where(F.col("_b") + F.col("step") <= bound).select("at", "to", "step")
+    return cut(from_start.unionByName(to_goal).distinct()), bound
+
+
+def _paths(ways: DataFrame, start: str, goal: str, bound: float, depth: int) -> DataFrame:
+    """The cheapest path over few edges, by relaxation of whole paths; a node goes on when more edges reach it cheaper."""
+    known = ways.sparkSession.createDataFrame([(start, 0.0, [start])], "at string, cost double, path array<string>")
     front = known
-    for _ in range(0 if start == goal else config.max_depth):
-        new = front.join(ways, "at").where(~F.array_contains("path", F.col("to_id")))
-        new = new.select(F.col("to_id").alias("at"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("to_id")).alias("path"))
+    for _ in range(depth):
+        new = front.join(ways, "at").where(~F.array_contains("path", F.col("to")))
+        new = new.select(F.col("to").alias("at"), (F.col("cost") + F.col("step")).alias("cost"), F.concat("path", F.array("to")).alias("path")).where(F.col("cost") <= bound)
         best = new.groupBy("at").agg(F.min(F.struct("cost", "path")).alias("b")).select("at", "b.cost", "b.path")
-        # a node goes on when this many edges reach it cheaper than fewer did
-        before = known.groupBy("at").agg(F.min(F.struct("cost", "path")).alias("k")).select("at", "k")
+        before = known.select("at", F.struct("cost", "path").alias("k"))
         front = cut(best.join(before, "at", "left").where(F.col("k").isNull() | (F.struct("cost", "path") < F.col("k"))).select("at", "cost", "path"))
         if front.isEmpty():
             break
-        known = known.unionByName(front)
-    return known.where(F.col("at") == goal).agg(F.min(F.struct("cost", "path")).alias("b")).where("b is not null").select("b.path", "b.cost")
+        known = cut(known.join(front.select("at"), "at", "left_anti").unionByName(front))
+    return known.where(F.col("at") == goal).select("path", "cost")
 
 
 def shortest_path(edges: DataFrame, start: str, goal: str, config: Traversal = Traversal()) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,13 +12,13 @@ from ..sources.tables import checkpoint_dir
 
 
 def source_state(spark: SparkSession, *paths: str) -> str:
-    """Names, sizes and times of the files below some paths; it changes when a source does."""
+    """Names, sizes and times of all files below some paths, at any depth; it changes when a source does."""
     state = []
     for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        top = fs.getFileStatus(p)
-        for s in fs.listStatus(p) if top.isDirectory() else [top]:
+        fs, p = _fs(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            s = files.next()
             state.append(f"{s.getPath()}:{s.getLen()}:{s.getModificationTime()}")
     return hashlib.sha256("\n".join(sorted(state)).encode()).hexdigest()[:32]
 
@@ -26,8 +27,8 @@ def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFra
     """The table ``name`` of a source's state, from ``folder`` or the application's part of the shared folder; built if
     it isn't there.
 
-    With ``by`` its rows are clustered by those columns, so that a filter on them reads few row groups. A table that was
-    not written to its end is built again.
+    With ``by`` its rows are clustered by those columns, so that a filter on them reads few row groups. It is written aside
+    and appears by a rename, so sessions that build it at once don't delete under each other.
     """
     path = f"{folder or _own(spark)}/{name}-{state}"
     fs, mark = _fs(spark, f"{path}/_SUCCESS")
@@ -35,7 +36,14 @@ def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFra
         rows = build()
         if by:
             rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
-        rows.write.mode("overwrite").parquet(path)
+        aside = f"{path}.{uuid.uuid4().hex}"
+        rows.write.parquet(aside)
+        fs, made = _fs(spark, aside)
+        target = mark.getParent()
+        if fs.exists(target) and not fs.exists(mark):  # a part that an older version left
+            fs.delete(target, True)
+        if fs.exists(mark) or not fs.rename(made, target):
+            fs.delete(made, True)
     return spark.read.parquet(path)
 
 

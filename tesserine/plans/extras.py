@@ -268,6 +268,18 @@ def g5(spark, sf_dir):
     return graph.shortest_path(e, start, str(reach), graph.Traversal(max_depth=6)).select(F.abs(_r("cost")).alias("cost"))
 
 
+@query("g6_path_of_many_edges", """WITH RECURSIVE w AS (SELECT c_custkey AS f, c_custkey + k AS t, ((c_custkey * 7 + k * 5) % 9 + 1) / 10.0 AS s FROM customer, (SELECT unnest([1, 2, 3]) AS k)),
+p(id, c, d) AS (SELECT min(f), 0.0::DOUBLE, 0 FROM w UNION ALL SELECT t, min(c - ln(s)), d + 1 FROM p JOIN w ON f = id WHERE d < 16 GROUP BY t, d)
+SELECT round(min(c), 6) AS cost, true AS long FROM p WHERE id = (SELECT min(f) + 24 FROM w)""")
+def g6(spark, sf_dir):
+    """From the first customer to the one 24 numbers on, over edges of all customers."""
+    c = _t(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*[F.lit(k) for k in (1, 2, 3)])).alias("k"))
+    e = tables.cut(c.select(F.col("c_custkey").cast("string").alias("from_id"), (F.col("c_custkey") + F.col("k")).cast("string").alias("to_id"), (((F.col("c_custkey") * 7 + F.col("k") * 5) % 9 + 1) / 10.0).alias("strength")))
+    start = c.agg(F.min("c_custkey")).first()[0]
+    found = graph.shortest_path(e, str(start), str(start + 24), graph.Traversal(max_depth=16))
+    return found.select(_r("cost").alias("cost"), (F.size("path") > 10).alias("long"))
+
+
 # ---- the store ------------------------------------------------------------------
 
 
