@@ -122,6 +122,14 @@ NOTICES = (
     Template("bsd-notice", "released under the bsd license", ("bsd license",)),
     Template("isc-notice", "released under the isc license", ("isc license",)),
     Template("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
+    Template("mpl-2.0", "licensed under the mpl 2 0", ("the mpl 2 0",)),
+    Template("bsd-2-clause", "released under the bsd 2 clause license", ("bsd 2 clause license",)),
+    Template("bsd-3-clause", "released under the bsd 3 clause license", ("bsd 3 clause license",)),
+    Template("cc-by-4.0", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    Template("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    Template("cc-by-nc-sa-4.0", "creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0",)),
+    Template("cc-by-nd-4.0", "creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
     Template("public-domain", "this file is placed in the public domain", ("in the public domain",)),
 )
 
@@ -155,7 +163,9 @@ CDDL-1.0 CDDL-1.1 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GFDL-1.3-only GPL-2.
 ISC LGPL-2.0-only LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MIT-0 MPL-1.1 MPL-2.0 MS-PL MS-RL NCSA ODbL-1.0
 OFL-1.1 OSL-3.0 PostgreSQL Python-2.0 Ruby Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
 
-TAGS = tuple(Template(f"spdx:{name.lower()}", f"SPDX-License-Identifier: {name}", (f"spdx license identifier {name}",)) for name in SPDX)
+#: What a tag line begins with; its template goes on with one identifier, and :func:`licenses.scan` reads the expression.
+TAG = "spdx license identifier"
+TAGS = tuple(Template(f"spdx:{name.lower()}", f"SPDX-License-Identifier: {name}", (f"{TAG} {name}",)) for name in SPDX)
 
 #: All that a scan looks for.
 TEMPLATES = NOTICES + TEXTS + TAGS

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from . import kernel
 from .common import carried
-from .licence_texts import TEMPLATES, Template
+from .licence_texts import TAG, TEMPLATES, Template
 
 
 #: Phrases of the contract and their labels.
@@ -76,6 +76,7 @@ class _Index:
         # where the first and last key phrases stand in their template
         self.before = [_first(c, k[0]) for c, k in zip(self.template_codes, self.key_codes, strict=True)]
         self.after = [len(c) - _first(c, k[-1]) - len(k[-1]) for c, k in zip(self.template_codes, self.key_codes, strict=True)]
+        self.identifiers = self._identifiers()
         if idf is None:
             return
         rows = []
@@ -92,6 +93,23 @@ class _Index:
         #: Different rare words that have to meet; the first key phrase alone has as many.
         self.least = np.array([min(2, len(np.unique(keys[0]))) for keys in self.key_codes])
 
+    def _identifiers(self) -> dict[tuple[int, ...], str]:
+        """Identifiers of tag lines by their words."""
+        n = len(words_of(TAG))
+        tags = [(t.label, c) for t, c in zip(self.templates, self.template_codes, strict=True) if words_of(t.text)[:n] == words_of(TAG)]
+        return {tuple(c[n:].tolist()): label for label, c in tags}
+
+    def expression(self, codes: np.ndarray, at: int) -> Iterator[tuple[int, int, str]]:
+        """Place, words and label of each identifier that ``or`` and ``and`` join to the one that ends at ``at``."""
+        joins = {self.number.get("or"), self.number.get("and")}
+        longest = max(map(len, self.identifiers), default=0)
+        while at < len(codes) and int(codes[at]) in joins:
+            own = next((n for n in range(longest, 0, -1) if tuple(codes[at + 1 : at + 1 + n].tolist()) in self.identifiers), 0)
+            if not own:
+                return
+            yield at + 1, own, self.identifiers[tuple(codes[at + 1 : at + 1 + own].tolist())]
+            at += 1 + own
+
     def _codes(self, words: list[str]) -> np.ndarray:
         return np.array([self.number[w] for w in words])
 
@@ -218,7 +236,8 @@ def scan(
     whole notice, 0.0 for none) and ``notices`` (array of label, first word, words met).
 
     Input columns of those names are replaced. A null text counts as empty and has no words, labels or notices.
-    Repeated rows and ties are each reported. A notice is reported once for each place of its first key phrase.
+    Repeated rows and ties are each reported. A notice is reported once for each place of its first key phrase. After the
+    identifier of a tag line, those that ``OR`` or ``AND`` join to it are labels and notices too.
     """
     added = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "notices"]
     total, df = counts or frequencies(docs, text, templates, phrases)
@@ -231,6 +250,8 @@ def scan(
     schema = T.StructType([packed.schema["_row"], *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]])
     arrow = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("n_met", pa.int64())]))]
 
+    tags = set(index.identifiers.values())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in kernel.slices(batches, "_text"):
             t = kernel.Texts(texts, kernel.ALNUM, lower=True)
@@ -258,6 +279,11 @@ def scan(
                     every[i].add(label)
                     notices[i].append({"label": label, "first_word": place, "n_met": met})
                     score[i] = max(score[i], met / len(index.template_codes[k]))
+                    if label in tags:
+                        own = code[t.first[i] : t.first[i + 1]]
+                        for at, words, other in index.expression(own, place + len(index.template_codes[k])):
+                            every[i].add(other)
+                            notices[i].append({"label": other, "first_word": at, "n_met": words})
             for x in notices:
                 x.sort(key=lambda m: (m["first_word"], m["label"]))
             cols = [
