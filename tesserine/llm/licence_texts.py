@@ -122,14 +122,14 @@ NOTICES = (
     Template("bsd-notice", "released under the bsd license", ("bsd license",)),
     Template("isc-notice", "released under the isc license", ("isc license",)),
     Template("boost", "distributed under the boost software license version 1 0", ("boost software license",)),
-    Template("mpl-2.0", "licensed under the mpl 2 0", ("the mpl 2 0",)),
-    Template("bsd-2-clause", "released under the bsd 2 clause license", ("bsd 2 clause license",)),
-    Template("bsd-3-clause", "released under the bsd 3 clause license", ("bsd 3 clause license",)),
-    Template("cc-by-4.0", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
-    Template("cc-by-sa-4.0", "creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
-    Template("cc-by-nc-4.0", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
-    Template("cc-by-nc-sa-4.0", "creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0",)),
-    Template("cc-by-nd-4.0", "creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
+    Template("mpl-2.0-notice", "licensed under the mpl 2 0", ("the mpl 2 0",)),
+    Template("bsd-2-clause-notice", "released under the bsd 2 clause license", ("bsd 2 clause license",)),
+    Template("bsd-3-clause-notice", "released under the bsd 3 clause license", ("bsd 3 clause license",)),
+    Template("cc-by-4.0-notice", "creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
+    Template("cc-by-sa-4.0-notice", "creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike 4 0",)),
+    Template("cc-by-nc-4.0-notice", "creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial 4 0",)),
+    Template("cc-by-nc-sa-4.0-notice", "creative commons attribution noncommercial sharealike 4 0 international license", ("creative commons attribution noncommercial sharealike 4 0",)),
+    Template("cc-by-nd-4.0-notice", "creative commons attribution noderivatives 4 0 international license", ("creative commons attribution noderivatives 4 0",)),
     Template("public-domain", "this file is placed in the public domain", ("in the public domain",)),
 )
 
