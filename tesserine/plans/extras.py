@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import hypervector as hv
 from ..functions import text as tx
 from ..memory import Memory
-from ..operators import filters, graph, hnsw, lifecycle, retrieval, search
+from ..operators import filters, graph, hnsw, lifecycle, multi_index, retrieval, search
 from ..sources import readers, schemas, tables, writers
 from ..streaming import timers
 from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, sketches
@@ -85,6 +86,46 @@ def q24(spark, sf_dir):
     return _LSH.search_filtered(rows, _LSH.keys(rows), _word(rows, 0), 3, filters.eq("label", 3)).withColumn("score", _r("score"))
 
 
+# Queries with noise: each 20th row's sketch with nine of its bits turned.
+_NOISY = """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x >= 0) AS v FROM embeddings),
+a AS (SELECT vec_id AS query_id, list_transform(range(64), lambda i: v[i + 1] <> list_contains(list_transform(range(9), lambda j: (vec_id + 7 * j) % 64), i)) AS v FROM s WHERE vec_id % 20 = 0)"""
+_APART = "CAST(list_sum(list_transform(list_zip(a.v, s.v), lambda z: CASE WHEN z[1] <> z[2] THEN 1 ELSE 0 END)) AS INT)"
+_MULTI = multi_index.MultiIndex(parts=4, most=10)
+
+
+def _noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turned = [F.expr(f"shiftleft(1L, cast(pmod(id + {7 * j}, 64) as int))") for j in range(9)]
+    mask = reduce(lambda a, b: a.bitwiseOR(b), turned)
+    rows = sketches(spark, sf_dir).where("id % 20 = 0")
+    return rows.select(F.col("id").alias("query_id"), F.array(F.col("vector")[0].bitwiseXOR(mask)).alias("vector"))
+
+
+def _multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kept(spark, sf_dir, "parts", "embeddings", lambda: _MULTI.build(sketches(spark, sf_dir)), ["part", "key"])
+
+
+@query("q11_within_radius", f"""{_NOISY}, c AS (SELECT v, min(vec_id) AS id FROM s GROUP BY v) SELECT * FROM (SELECT a.query_id, s.id, {_APART} AS distance FROM a, c AS s) WHERE distance <= 11""")
+def q11_radius(spark, sf_dir):
+    """Different vectors at most 11 bits from each query, by their smallest id, from the index alone."""
+    asked = _noisy(spark, sf_dir)
+    near = _MULTI.classes(_multi(spark, sf_dir), asked, 11).select(F.col("asked").alias("vector"), F.col("ids")[0].alias("id"), "distance")
+    return asked.join(near, "vector").select("query_id", "id", "distance")
+
+
+@query("q13_nearest_exact", f"""{_NOISY} SELECT query_id, id, distance, round(1 - distance / 32.0, 6) AS score, CAST(rank AS INT) AS rank FROM (
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (SELECT a.query_id, s.vec_id AS id, {_APART} AS distance FROM a, s)) WHERE rank <= 1""")
+def q13_nearest(spark, sf_dir):
+    return _MULTI.nearest(_multi(spark, sf_dir), _noisy(spark, sf_dir), 1).withColumn("score", _r("score"))
+
+
+@query("q14_rows_read", f"""{_NOISY}, c AS (SELECT DISTINCT v FROM s), d AS (SELECT a.query_id, list_sum(list_transform(range(4), lambda p:
+CASE WHEN list_sum(list_transform(range(16 * p, 16 * p + 16), lambda i: CASE WHEN a.v[i + 1] <> c.v[i + 1] THEN 1 ELSE 0 END)) <= 2 THEN 1 ELSE 0 END)) AS n FROM a, c)
+SELECT query_id, CAST(sum(n) AS BIGINT) AS opened FROM d GROUP BY query_id""")
+def q14_read(spark, sf_dir):
+    """Rows of the index that the lookups of a search within 11 bits read."""
+    return _MULTI.opened(_multi(spark, sf_dir), _noisy(spark, sf_dir), _MULTI.steps(11))
+
+
 @query("q25_hnsw_recall", "SELECT true AS enough")
 def q25(spark, sf_dir):
     """Recall of the walks against the exact scan over the queries whose id is divisible by 20: at least 0.9."""
