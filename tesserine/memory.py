@@ -468,7 +468,7 @@ class Memory:
         tokens = tx._tokens(text, code_aware, True)
         live = self.concepts.where(filters.live(self.now))
         if filter_ is not None:
-            live = live.where(filter_.validate().column(F.col("metadata")))
+            live = live.where(filter_.on(live))
         wide = max(k, 50)
         hits = self.text_index(code_aware).search(tokens, wide, live)
         near = self.probe([int(w) for w in tx.encode_text(text, code_aware=code_aware)], wide, filter_)

@@ -2,6 +2,11 @@
 
 Equality is strict about types: 1 is not "1", and a JSON null is a value. Values are
 compared in canonical JSON text, which keeps quotes and nulls and sorts keys.
+
+Keys that filters often ask for can be promoted: :func:`promote` adds a column with the canonical text of a key's value
+(null: the key is missing), and :meth:`Filter.on` asks that column instead of parsing each row's JSON. Such predicates
+reach the Parquet scan, where a table clustered by the column skips row groups, and rows that fail never have their
+metadata or vector read. The rules of equality stay the same.
 """
 
 from __future__ import annotations
@@ -30,6 +35,23 @@ def _value(metadata: Column, key: str) -> Column:
     return F.when(_has(metadata, key), F.coalesce(F.to_json(F.variant_get(F.try_parse_json(metadata), path, "variant")), F.lit("null")))
 
 
+PROMOTED = "metadata$"
+
+
+def promote(rows: DataFrame, *keys: str) -> DataFrame:
+    """A column ``metadata$<key>`` for each key: the canonical JSON of its value, null where the key is missing.
+
+    Cluster the table by the column and an id (``kept(.., by=["metadata$key", "id"])``), so that a value that a third of
+    all rows share is dealt over many files.
+    """
+    return rows.withColumns({PROMOTED + key: _value(F.col("metadata"), key) for key in keys})
+
+
+def promoted(rows: DataFrame) -> dict[str, Column]:
+    """The promoted columns of a table by their keys."""
+    return {c[len(PROMOTED) :]: F.col(f"`{c.replace('`', '``')}`") for c in rows.columns if c.startswith(PROMOTED)}
+
+
 @dataclass(frozen=True)
 class Filter:
     """A node: ``eq``, ``in``, ``exists`` with a key, or ``and``, ``or``, ``not`` with nodes below."""
@@ -48,21 +70,29 @@ class Filter:
             raise ValueError(f"a filter is at most {LIMITS['filter_depth']} deep")
         return self
 
-    def column(self, metadata: Column) -> Column:
-        """The predicate as a column that is never null."""
+    def on(self, rows: DataFrame) -> Column:
+        """The predicate over a table, through its promoted columns where it has them."""
+        return self.validate().column(F.col("metadata"), promoted(rows))
+
+    def column(self, metadata: Column, known: dict[str, Column] | None = None) -> Column:
+        """The predicate as a column that is never null; ``known`` has the canonical values of some keys."""
+        own = (known or {}).get(self.key)
         match self.kind:
             case "exists":
-                return _has(metadata, self.key)
+                return _has(metadata, self.key) if own is None else own.isNotNull()
             case "eq" | "in":
                 if not self.values:
                     return F.lit(False)
+                if own is not None:
+                    # in this form, not within coalesce, it can be handed to a scan
+                    return own.isNotNull() & own.isin([_canonical(v) for v in self.values])
                 return F.coalesce(_value(metadata, self.key).isin([_canonical(v) for v in self.values]), F.lit(False))
             case "not":
-                return ~self.below[0].column(metadata)
+                return ~self.below[0].column(metadata, known)
             case "and" | "or":
                 made = F.lit(self.kind == "and")
                 for f in self.below:
-                    made = made & f.column(metadata) if self.kind == "and" else made | f.column(metadata)
+                    made = made & f.column(metadata, known) if self.kind == "and" else made | f.column(metadata, known)
                 return made
         raise ValueError(f"unknown filter {self.kind}")
 

@@ -209,7 +209,7 @@ class HnswIndex:
 
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:
         """Five times ``k`` rows, filtered; an exact filtered scan where fewer than ``k`` are left."""
-        keep = corpus.where(filter_.validate().column(F.col("metadata")))
+        keep = corpus.where(filter_.on(corpus))
         near = top_k(self.search(index, query, 5 * k).join(keep.select("id"), "id", "left_semi"), k)
         return near if near.count() >= k else probe(keep, query, k)
 

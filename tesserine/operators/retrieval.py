@@ -133,7 +133,7 @@ def score_positions(corpus: DataFrame, query: list[int], candidates: DataFrame,
 
 def with_stats(corpus: DataFrame, query: list[int], k: int, filter_: Filter, stats: Stats = Stats()) -> tuple[DataFrame, Stats]:
     """A filtered retrieval with its selectivity and the strategy that it stands for."""
-    keep = filter_.validate().column(F.col("metadata"))
+    keep = filter_.on(corpus)
     total, matching = corpus.agg(F.count(F.lit(1)), F.count_if(keep)).first()
     hits = search.probe(corpus, query, k, filter_=filter_)
     return hits, replace(stats, candidates=matching, scored=matching, selectivity=matching / total if total else 0.0, strategy=search.filter_strategy(total, matching))

@@ -65,7 +65,7 @@ def probe(corpus: DataFrame, query: list[int], k: int, now: int | None = None, f
     if now is not None:
         corpus = corpus.where(live(now))
     if filter_ is not None:
-        corpus = corpus.where(filter_.validate().column(F.col("metadata")))
+        corpus = corpus.where(filter_.on(corpus))
     # wide vectors are compared in matrix form; words of a sketch in the expression
     wide = len(query) > 4
     return top_k(_nearest(corpus, query, check_k(k), id_, vector) if wide else scored(corpus, query, id_, vector), k)
@@ -261,7 +261,7 @@ class LshIndex:
 
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:
         """With a filter; an exact filtered scan where fewer than ``k`` rows come back."""
-        keep = filter_.validate().column(F.col("metadata"))
+        keep = filter_.on(corpus)
         near = self.search(corpus.where(keep), index, query, k)
         return near if near.count() >= k else probe(corpus.where(keep), query, k)
 

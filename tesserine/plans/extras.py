@@ -86,6 +86,26 @@ def q24(spark, sf_dir):
     return _LSH.search_filtered(rows, _LSH.keys(rows), _word(rows, 0), 3, filters.eq("label", 3)).withColumn("score", _r("score"))
 
 
+@query("f1_promoted_filter", """SELECT doc_id, source, lang FROM documents WHERE source IN (SELECT min(source) FROM documents UNION ALL SELECT max(source) FROM documents)
+AND NOT coalesce(lang = 'de', false) AND NOT coalesce(n_chars = 100, false) AND source IS NOT NULL""")
+def f1_promoted(spark, sf_dir):
+    """A filter tree whose keys are columns: the scan gets it, and the JSON is parsed for the one key that isn't."""
+    docs = _t(spark, sf_dir, "documents")
+    made = lambda: filters.promote(docs.select("doc_id", "source", "lang", F.to_json(F.struct("source", "lang", "n_chars")).alias("metadata")), "source", "lang")
+    rows = _kept(spark, sf_dir, "promoted", "documents", made, ["metadata$source", "doc_id"])
+    ends = docs.agg(F.min("source"), F.max("source")).first()
+    keep = filters.and_(filters.in_("source", list(ends)), filters.not_(filters.eq("lang", "de")), filters.not_(filters.eq("n_chars", 100)), filters.not_(filters.eq("n_chars", "100")), filters.exists("source"))
+    return rows.where(keep.on(rows)).select("doc_id", "source", "lang")
+
+
+@query("q2_promoted_probe", f"{_SK} SELECT vec_id AS id, d AS distance, round(1 - d / 32.0, 6) AS score FROM s WHERE label IN (1, 2) OR label = 5 ORDER BY d, vec_id LIMIT 10")
+def q2_promoted(spark, sf_dir):
+    made = lambda: filters.promote(sketches(spark, sf_dir), "label")
+    rows = _kept(spark, sf_dir, "labelled", "embeddings", made, ["metadata$label", "id"])
+    keep = filters.or_(filters.in_("label", [1, 2]), filters.eq("label", 5))
+    return search.probe(rows, _word(rows, 0), 10, filter_=keep).withColumn("score", _r("score"))
+
+
 # Queries with noise: each 20th row's sketch with nine of its bits turned.
 _NOISY = """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: x >= 0) AS v FROM embeddings),
 a AS (SELECT vec_id AS query_id, list_transform(range(64), lambda i: v[i + 1] <> list_contains(list_transform(range(9), lambda j: (vec_id + 7 * j) % 64), i)) AS v FROM s WHERE vec_id % 20 = 0)"""
