@@ -14,7 +14,7 @@ from ..functions import hypervector as hv
 from ..functions import text as tx
 from ..memory import Memory
 from ..operators import filters, graph, hnsw, lifecycle, multi_index, retrieval, search
-from ..sources import readers, schemas, tables, writers
+from ..sources import readers, schemas, sink, tables, writers
 from ..streaming import timers
 from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, sketches
 
@@ -489,6 +489,16 @@ def x6(spark, sf_dir):
     return back.where(F.lit(told["rows"] > 0 and len(told["sha256"]) == 64))
 
 
+@query("x5_committed_export", "SELECT 'p' || l_partkey AS src_id, 's' || l_suppkey AS dst_id, round(avg(l_discount) * 10, 4) AS strength FROM lineitem GROUP BY l_partkey, l_suppkey")
+def x5(spark, sf_dir):
+    """Rows read by the manifest that the write's commit made; a file that is not as it says takes them all away."""
+    folder = _folder(spark, "committed")
+    rows = _edges(spark, sf_dir).where("from_id like 'p%'").select(F.col("from_id").alias("src_id"), F.col("to_id").alias("dst_id"), "strength")
+    told = sink.export(rows, folder)
+    whole = sink.damaged(spark, folder).isEmpty() and told["rows"] == sum(f["rows"] for f in told["files"])
+    return sink.read(spark, folder).where(F.lit(whole))
+
+
 @query("s12_json_round_trip", "SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name AS name FROM nation")
 def s12(spark, sf_dir):
     m = Memory(spark, _folder(spark, "store"), now=1)
