@@ -1,6 +1,8 @@
 """Periodic runs against a search of all periods."""
 
+import hashlib
 import random
+import zlib
 
 from tesserine.llm import queries, runs
 from tests.compare import same
@@ -61,3 +63,13 @@ def test_best_of_several():
 
 def test_against_sql(spark, sf):
     same(spark, sf, queries.QUERIES["op13_periodic_runs"], queries.ORACLE_SQL["op13_periodic_runs"])
+
+
+def test_planted_texts_without_words(spark, tmp_path):
+    """An empty text whose number asks for a periodic end has no word to begin it at."""
+    ids = [i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0][:4]
+    spark.createDataFrame(list(zip(ids, ["", None, " \t\n", "a"], strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op13_periodic_runs(spark, str(tmp_path)).collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    assert [got[i].n_runs for i in ids] == [0] * 4 and all(got[i].start is None for i in ids)
+    assert [got[i].collapsed_sha256 for i in ids] == [empty] * 3 + [hashlib.sha256(b"a").hexdigest()]
