@@ -259,11 +259,15 @@ class LshIndex:
         ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
         return ranked.select("query_id", "id", "distance", (1 - F.col("distance") / float(self.bits / 2)).alias("score"), "rank")
 
-    def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter) -> DataFrame:
-        """With a filter; an exact filtered scan where fewer than ``k`` rows come back."""
-        keep = filter_.on(corpus)
-        near = self.search(corpus.where(keep), index, query, k)
-        return near if near.count() >= k else probe(corpus.where(keep), query, k)
+    def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter, exact: bool = False) -> DataFrame:
+        """With a filter; an exact filtered scan where fewer than ``k`` rows come back. With ``exact`` the buckets give only a
+        bound: the best ``k`` are no further than the last hit, and the rows up to there are ranked, in whatever bucket."""
+        corpus = corpus.where(filter_.on(corpus))
+        near = self.search(corpus, index, query, k)
+        if not exact:
+            return near if near.count() >= k else probe(corpus, query, k)
+        n, edge = near.agg(F.count(F.lit(1)), F.max("distance")).first()
+        return top_k(scored(corpus, query).where(F.col("distance") <= edge), k) if n >= k else probe(corpus, query, k)
 
 
 def backend(kind: str, **options: int) -> LshIndex | None:

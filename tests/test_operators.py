@@ -45,6 +45,18 @@ def test_lsh_recall(spark):
     assert found / total >= 0.9
 
 
+def test_lsh_filtered_exactly_where_buckets_hold_enough(spark):
+    # a table of one bit: the nearest rows differ in that bit, the farther ones share the bucket
+    index = search.LshIndex(tables=1, hash_bits=1, bits=64)
+    place = index.places[0][0]
+    near = 1 << place
+    far = sum(1 << p for p in [p for p in range(62) if p != place][:5])
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    rows = spark.createDataFrame([(i, [signed(near if i % 2 else far)], '{"a": 1}') for i in range(20)], "id long, vector array<long>, metadata string")
+    ids = lambda exact: [r.id for r in index.search_filtered(rows, index.keys(rows), [0], 4, filters.eq("a", 1), exact).collect()]
+    assert ids(False) == [0, 2, 4, 6] and ids(True) == [1, 3, 5, 7]
+
+
 def test_lsh_recall_of_the_registered_index(spark, sf):
     from tesserine.plans import memory
 
