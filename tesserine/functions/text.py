@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable
 from functools import lru_cache
 from hashlib import md5
+from math import sin
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hypervector import WORDS, majority, rotated
+from .hypervector import WORDS, Adder, majorities, majority, rotated
 
 #: The white space of every tokenizer here; both engines of a comparison read it alike.
 SPACE = r"[ \t\n\r\x0B\f]+"
@@ -136,8 +137,61 @@ def preview(text: Column, n: int = 200) -> Column:
 
 def word_vector(token: str, prefix: str = "hv") -> np.ndarray:
     """:func:`tesserine.functions.hypervector.seeded` of one token, in memory."""
-    digits = "".join(md5(f"{prefix}:{token}:{i}".encode()).hexdigest() for i in range(WORDS // 2))
-    return np.array([int(digits[i : i + 16], 16) for i in range(0, len(digits), 16)], np.uint64)
+    digests = b"".join(md5(f"{prefix}:{token}:{i}".encode()).digest() for i in range(WORDS // 2))
+    return np.frombuffer(digests, ">u8").astype(np.uint64)
+
+
+#: Turns and constants of the 64 steps of MD5, as its standard has them; which word of the block each step takes.
+_TURNS = [t for row in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for t in row * 4]
+_SINES = [int(abs(sin(i + 1)) * (1 << 32)) for i in range(64)]
+_TAKEN = [(m * i + c) % 16 for m, c, at in ((1, 0, 0), (5, 1, 16), (3, 5, 32), (7, 0, 48)) for i in range(at, at + 16)]
+_BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def _md5_blocks(block: np.ndarray) -> np.ndarray:
+    """MD5 digests of messages of one block each: ``block`` is 16 little-endian words by messages, the result messages by 4."""
+    a, b, c, d = (np.full(block.shape[1], x, np.uint32) for x in _BEGIN)
+    for i in range(64):
+        f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+        f += a
+        f += block[_TAKEN[i]]
+        f += np.uint32(_SINES[i])
+        turned = f << np.uint32(_TURNS[i])
+        f >>= np.uint32(32 - _TURNS[i])
+        turned |= f
+        turned += b
+        a, b, c, d = d, turned, b, c
+    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), _BEGIN, strict=True)], axis=1)
+
+
+#: Tokens whose digests are made at once: 10 240 messages, so that all stays in the cache.
+HASHED = 128
+
+
+def word_vectors(tokens: list[str], prefix: str = "hv") -> np.ndarray:
+    """:func:`word_vector` of many tokens, one row each. A message of at most 55 bytes is one block of MD5."""
+    out, places = np.empty((len(tokens), WORDS), np.uint64), WORDS // 2
+    begun = [f"{prefix}:{t}:".encode() for t in tokens]
+    short = [i for i, b in enumerate(begun) if len(b) + len(str(places - 1)) <= 55]
+    short.sort(key=lambda i: len(begun[i]))
+    for at in range(0, len(short), HASHED):
+        some = short[at : at + HASHED]
+        one = np.frombuffer(b"".join(begun[i].ljust(64, b"\0") for i in some), np.uint8).reshape(-1, 1, 64)
+        block, sizes = np.repeat(one, places, axis=1), np.array([len(begun[i]) for i in some])
+        for n in np.unique(sizes).tolist():
+            a, b = np.searchsorted(sizes, [n, n + 1])
+            block[a:b, :, n : n + 3] = _ENDS
+            block[a:b, :, 56:58] = ((n + _DIGITS) * 8).astype("<u2")[:, None].view(np.uint8)
+        words = np.ascontiguousarray(block.reshape(-1, 64).view("<u4").T)
+        out[some] = _md5_blocks(words).view(">u8").reshape(len(some), WORDS)
+    for i in set(range(len(tokens))).difference(short):
+        out[i] = word_vector(tokens[i], prefix)
+    return out
+
+
+#: The digits of each place with the bit that ends a message, and how many digits they are.
+_ENDS = np.array([list((str(i).encode() + b"\x80").ljust(3, b"\0")) for i in range(WORDS // 2)], np.uint8)
+_DIGITS = np.array([len(str(i)) for i in range(WORDS // 2)], np.int64)
 
 
 @lru_cache(maxsize=50_000)
@@ -152,11 +206,14 @@ def _tokens(text: str, code_aware: bool, lowercase: bool) -> list[str]:
     return [t for t in re.split(rf"::|[_\-./]|{SPACE}" if code_aware else SPACE, text) if t]
 
 
+def _runs(text: str, n: int) -> Counter:
+    """The runs of ``n`` characters and how often each stands; none outside 1 to 32."""
+    return Counter(text[i : i + n] for i in range(len(text) - n + 1)) if 1 <= n <= 32 else Counter()
+
+
 def ngram_vector(text: str, n: int) -> np.ndarray:
     """Majority of the vectors of all runs of ``n`` characters; zero outside 1 to 32 or for shorter texts."""
-    if not 1 <= n <= 32 or len(text) < n:
-        return np.zeros(WORDS, np.uint64)
-    runs = Counter(text[i : i + n] for i in range(len(text) - n + 1))
+    runs = _runs(text, n)
     return majority((_word_vector(r) for r in runs), runs.values())
 
 
@@ -172,11 +229,36 @@ def encode_text(text: str, stride: int = 1, ngrams: int | None = None, code_awar
     return majority([own, ngram_vector(text.lower() if lowercase else text, ngrams)])
 
 
+#: Texts that are encoded at once: their sums take 40 KB each.
+TEXTS = 64
+
+
+@lru_cache(maxsize=1)
+def _adder() -> Adder:
+    return Adder(word_vectors)
+
+
+def encode_texts(texts: list[str], stride: int = 1, ngrams: int | None = None, code_aware: bool = False, lowercase: bool = True) -> np.ndarray:
+    """:func:`encode_text` of many texts, one row each."""
+    if len(texts) > TEXTS:
+        return np.concatenate([encode_texts(texts[i : i + TEXTS], stride, ngrams, code_aware, lowercase) for i in range(0, len(texts), TEXTS)])
+    adder, tokens = _adder(), [_tokens(t, code_aware, lowercase) for t in texts]
+    n = np.array([len(t) for t in tokens], np.int64)
+    own = majorities(adder.sums(((i, t, 1) for i, t in enumerate(tokens)), len(texts), stride), n)
+    if not ngrams:
+        return own
+    runs = [_runs(t.lower() if lowercase else t, ngrams) if words else Counter() for t, words in zip(texts, tokens, strict=True)]
+    # a run that stands c times is added once for each bit of c, by its weight
+    lists = ((i, [r for r, c in own_.items() if c >> k & 1], 1 << k) for i, own_ in enumerate(runs) for k in range(max(own_.values(), default=0).bit_length()))
+    return own & majorities(adder.sums(lists, len(texts)), np.array([r.total() for r in runs], np.int64))
+
+
 def encoder(stride: int = 1, ngrams: int | None = None, code_aware: bool = False) -> Callable[[Column], Column]:
     """:func:`encode_text` over Arrow batches. Null texts are encoded as empty."""
 
     @F.pandas_udf("array<bigint>")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([encode_text(t or "", stride, ngrams, code_aware).view(np.int64) for t in texts], dtype=object)
+        made = encode_texts([t or "" for t in texts], stride, ngrams, code_aware) if len(texts) else np.zeros((0, WORDS), np.uint64)
+        return pd.Series(list(made.view(np.int64)), dtype=object)
 
     return encode

@@ -137,3 +137,33 @@ def test_text_operators_run_over_documents(spark, sf, name):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     got = memory.QUERIES[name](spark, sf).select("doc_id").collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
+
+
+def test_texts_encoded_together_as_one_by_one():
+    import random
+
+    from tesserine.functions import text as tx
+
+    rng = random.Random(7)
+    texts = ["", " ", "a", "a a", "ab", "é ü é", "x " * 700] + [" ".join(rng.choice("abcdefgh") * rng.randint(1, 60) for _ in range(rng.randint(0, 150))) for _ in range(70)]
+    for stride, ngrams, code in ((1, None, False), (1, 3, False), (7, None, True), (100, 2, False), (1, 40, False)):
+        made = tx.encode_texts(texts, stride, ngrams, code)
+        assert all((m == tx.encode_text(t, stride, ngrams, code)).all() for m, t in zip(made, texts, strict=True))
+
+
+def test_vectors_of_many_tokens_and_a_full_table():
+    import numpy as np
+
+    from tesserine.functions import hypervector as hv
+    from tesserine.functions import text as tx
+
+    tokens = ["", *("x" * n for n in range(40, 60)), "é" * 23, "日本", *map(str, range(300))]
+    assert (tx.word_vectors(tokens) == np.stack([tx.word_vector(t) for t in tokens])).all()
+
+    class Small(hv.Adder):
+        HELD = 1024
+
+    texts = [[str(i * j % 1500) for i in range(400)] for j in range(1, 20)]
+    sums = Small(tx.word_vectors).sums(((i, t, 1) for i, t in enumerate(texts)), len(texts), 1)
+    alone = np.stack([hv.majority(hv.rotated(tx.word_vector(w), i) for i, w in enumerate(t)) for t in texts])
+    assert (hv.majorities(sums, np.full(len(texts), 400)) == alone).all()
