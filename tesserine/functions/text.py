@@ -34,10 +34,11 @@ def tokenize_search(text: Column, code_aware: bool = False) -> Column:
 def stem(token: Column) -> Column:
     """Without a final ``ing`` or ``ed`` where over two letters remain; ``ved`` becomes ``ve``."""
     n = F.length(token)
+    but = lambda k: F.substr(token, F.lit(1), n - k)
     return (
-        F.when(token.endswith("ing") & (n > 5), F.regexp_replace(token, "ing$", ""))
-        .when(token.endswith("ved") & (n > 4), F.regexp_replace(token, "d$", ""))
-        .when(token.endswith("ed") & (n > 4), F.regexp_replace(token, "ed$", ""))
+        F.when(token.endswith("ing") & (n > 5), but(3))
+        .when(token.endswith("ved") & (n > 4), but(1))
+        .when(token.endswith("ed") & (n > 4), but(2))
         .otherwise(token)
     )
 
@@ -56,7 +57,9 @@ def overlap_ratio(query: Column, document: Column) -> Column:
     """Share of the query's tokens (repeats count, stopwords don't) that the document has; 0 without such tokens."""
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     own = F.filter(query, lambda t: ~F.array_contains(stop, t))
-    return F.when(F.size(own) > 0, F.size(F.filter(own, lambda t: F.array_contains(document, t))) / F.size(own)).otherwise(F.lit(0.0))
+    # both are made once a row here; inside a lambda they would be made again for each token
+    share = lambda x: F.when(F.size(x["own"]) > 0, F.size(F.filter(x["own"], lambda t: F.array_contains(x["document"], t))) / F.size(x["own"])).otherwise(F.lit(0.0))
+    return F.transform(F.array(F.struct(own.alias("own"), document.alias("document"))), share)[0]
 
 
 def normalize(query: Column) -> Column:

@@ -167,3 +167,15 @@ def test_vectors_of_many_tokens_and_a_full_table():
     sums = Small(tx.word_vectors).sums(((i, t, 1) for i, t in enumerate(texts)), len(texts), 1)
     alone = np.stack([hv.majority(hv.rotated(tx.word_vector(w), i) for i, w in enumerate(t)) for t in texts])
     assert (hv.majorities(sums, np.full(len(texts), 400)) == alone).all()
+
+
+def test_overlap_ratio_makes_the_document_once(spark):
+    """Not again for each token of the query."""
+    from pyspark.sql import functions as F
+
+    from tesserine.functions import text as tx
+
+    rows = spark.createDataFrame([("the red fox running", "fox walking"), ("", "the"), (None, None)], "d string, q string")
+    made = rows.select(tx.overlap_ratio(tx.tokenize_keywords(F.col("q")), tx.tokenize_keywords(F.col("d"))).alias("r"))
+    assert [r.r for r in made.collect()] == [0.5, 0.0, 0.0]
+    assert "array_contains(transform(" not in made._jdf.queryExecution().optimizedPlan().toString()
