@@ -16,7 +16,7 @@ from ..memory import Memory
 from ..operators import filters, graph, hnsw, lifecycle, multi_index, retrieval, search
 from ..sources import readers, schemas, sink, tables, writers
 from ..streaming import timers
-from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _r, _t, _versions, _word, lsh_index, sketches
+from .memory import _BITDIST, _E, _KW, _LOW, _LSH, _SAME, _SK, NOW, Query, _bm25, _dated, _edges, _fnv, _kept, _latest, _linked, _r, _t, _versions, _word, lsh_index, sketches
 
 
 QUERIES: dict[str, Query] = {}
@@ -290,7 +290,7 @@ def u12(spark, sf_dir):
 
 @query("u19_clear_associations", f"WITH {_E} SELECT from_id, to_id FROM e WHERE from_id <> 's1'")
 def u19(spark, sf_dir):
-    return lifecycle.cleared(_edges(spark, sf_dir), "s1").select("from_id", "to_id")
+    return lifecycle.cleared(_linked(spark, sf_dir), "s1").select("from_id", "to_id")
 
 
 @query("u20_reinforce", f"WITH {_E}, t AS (SELECT min(to_id) AS t FROM e WHERE from_id = 's1') SELECT from_id, to_id, CASE WHEN from_id = 's1' AND to_id = t THEN 7 ELSE created_at END AS created_at FROM e, t")
@@ -483,7 +483,7 @@ def a3(spark, sf_dir):
 @query("x6_export_and_load", "SELECT 'p' || l_partkey AS src_id, 's' || l_suppkey AS dst_id, round(avg(l_discount) * 10, 4) AS strength FROM lineitem GROUP BY l_partkey, l_suppkey")
 def x6(spark, sf_dir):
     folder = _folder(spark, "export")
-    rows = _edges(spark, sf_dir).where("from_id like 'p%'").select(F.col("from_id").alias("src_id"), F.col("to_id").alias("dst_id"), "strength")
+    rows = _linked(spark, sf_dir).where("from_id like 'p%'").select(F.col("from_id").alias("src_id"), F.col("to_id").alias("dst_id"), "strength")
     told = json.loads(writers.export_all({"associations": rows}, folder))["files"]["associations"]
     back = spark.read.parquet(f"{folder}/associations.parquet")
     return back.where(F.lit(told["rows"] > 0 and len(told["sha256"]) == 64))
@@ -493,7 +493,7 @@ def x6(spark, sf_dir):
 def x5(spark, sf_dir):
     """Rows read by the manifest that the write's commit made; a file that is not as it says takes them all away."""
     folder = _folder(spark, "committed")
-    rows = _edges(spark, sf_dir).where("from_id like 'p%'").select(F.col("from_id").alias("src_id"), F.col("to_id").alias("dst_id"), "strength")
+    rows = _linked(spark, sf_dir).where("from_id like 'p%'").select(F.col("from_id").alias("src_id"), F.col("to_id").alias("dst_id"), "strength")
     told = sink.export(rows, folder)
     whole = sink.damaged(spark, folder).isEmpty() and told["rows"] == sum(f["rows"] for f in told["files"])
     return sink.read(spark, folder).where(F.lit(whole))

@@ -14,3 +14,9 @@ def test_recall_of_the_batch_search(spark, sf):
     found = {(r.query_id, r.id) for r in extras.QUERIES["q22_lsh_batch"](spark, sf).collect()}
     exact = {(r.query_id, r.id) for r in memory.QUERIES["q3_probe_batch"](spark, sf).collect()}
     assert len(found & exact) / len(exact) >= 0.9
+
+
+def test_whole_table_queries_keep_no_sorted_edges(spark, sf):
+    """One shuffle makes both ways of a pair; no range partitioning, which would run it all twice, and no kept copy."""
+    plan = extras.QUERIES["u19_clear_associations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning") == 1 and "edges-" not in plan
