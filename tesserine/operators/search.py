@@ -199,6 +199,9 @@ def graph_candidates(corpus: DataFrame, edges: DataFrame, query: list[int], fano
 class LshIndex:
     """Bit-sampling LSH: each table's key is a sample of the vector's bits, drawn from one seed."""
 
+    #: Rows of a table whose buckets are taken as one part.
+    BUCKET_ROWS = 1 << 20
+
     def __init__(self, tables: int = 16, hash_bits: int = 12, bits: int = hv.BITS, seed: int = 42) -> None:
         if not 1 <= tables <= 1000 or not 1 <= hash_bits <= 64:
             raise ValueError("an index has 1 to 1000 tables of 1 to 64 bits")
@@ -247,16 +250,51 @@ class LshIndex:
 
     def search_batch(self, index: DataFrame, queries: DataFrame, k: int, flips: int = 0, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """The best ``k`` of each query among the rows of its buckets, and of those up to ``flips`` bits beside them:
-        ``query_id``, ``id``, ``distance``, ``score``, ``rank``. The index holds vectors. One join by table and key, no driver."""
+        ``query_id``, ``id``, ``distance``, ``score``, ``rank``. The index holds vectors.
+
+        Buckets, in parts of some ``BUCKET_ROWS`` rows, meet the queries that look into them. A part gives each query its best
+        ``k`` of the rows that no bucket of an earlier table shows it, so no pair of query and row is ever shuffled.
+        """
         check_k(k)
         beside = [sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(self.hash_bits), n)]
-        own = self.keys(queries, query_id, vector).withColumnRenamed("id", "query_id")
-        wanted = own.select("query_id", "table", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(b).cast("long")) for b in beside])).alias("key"))
-        met = index.join(wanted, ["table", "key"]).dropDuplicates(["query_id", "id"]).select("query_id", "id", "vector")
-        asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("asked"))
-        hits = met.join(asked, "query_id").select("query_id", "id", hv.hamming(F.col("vector"), F.col("asked")).cast("int").alias("distance"))
-        best = Window.partitionBy("query_id").orderBy("distance", "id")
-        ranked = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        types = dict(index.dtypes)["id"], dict(queries.dtypes)[query_id]
+        parts = max(1, -(-index.where(F.col("table") == 0).count() // self.BUCKET_ROWS))
+        rows = index.select("table", "key", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), "id", "vector")
+        own = self.keys(queries, query_id, vector, with_vectors=True).withColumnRenamed("id", "query_id")
+        wanted = own.select("table", F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(b).cast("long")) for b in beside])).alias("key"), "query_id", F.col("vector").alias("asked"))
+        wanted = wanted.select("table", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), "query_id", "asked")
+        masks = np.zeros((self.tables, self.bits // 64), np.uint64)
+        for t, places in enumerate(self.places):
+            for p in places:
+                masks[t, p // 64] |= np.uint64(1 << p % 64)
+
+        def words(column: pa.ChunkedArray, n: int) -> np.ndarray:
+            return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+
+        def best(bucket: pa.Table, looking: pa.Table) -> pa.Table:
+            found = [(np.empty(0, np.int64),) * 3]
+            if len(bucket) and len(looking):
+                bucket = bucket.sort_by("id")
+                rows, table = words(bucket.column("vector"), len(bucket)), bucket.column("table")[0].as_py()
+                for q, asked in enumerate(words(looking.column("asked"), len(looking))):
+                    apart = rows ^ asked
+                    new = np.ones(len(rows), bool)
+                    for mask in masks[:table]:
+                        new &= np.bitwise_count(apart & mask).sum(axis=1) > flips
+                    at = np.flatnonzero(new)
+                    d = np.bitwise_count(apart[at]).sum(axis=1, dtype=np.int64)
+                    if len(d) > k:
+                        near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
+                        near = near[np.argsort(d[near], kind="stable")[:k]]
+                        at, d = at[near], d[near]
+                    found.append((np.full(len(at), q), at, d))
+            q, at, d = (np.concatenate(x) for x in zip(*found, strict=True))
+            return pa.table([looking.column("query_id").take(pa.array(q)), bucket.column("id").take(pa.array(at)), pa.array(d, pa.int32())], ["query_id", "id", "distance"])
+
+        met = rows.groupBy("table", "key", "part").cogroup(wanted.groupBy("table", "key", "part"))
+        hits = met.applyInArrow(best, f"query_id {types[1]}, id {types[0]}, distance int")
+        order = Window.partitionBy("query_id").orderBy("distance", "id")
+        ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         return ranked.select("query_id", "id", "distance", (1 - F.col("distance") / float(self.bits / 2)).alias("score"), "rank")
 
     def search_filtered(self, corpus: DataFrame, index: DataFrame, query: list[int], k: int, filter_: Filter, exact: bool = False) -> DataFrame:

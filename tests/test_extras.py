@@ -20,3 +20,14 @@ def test_whole_table_queries_keep_no_sorted_edges(spark, sf):
     """One shuffle makes both ways of a pair; no range partitioning, which would run it all twice, and no kept copy."""
     plan = extras.QUERIES["u19_clear_associations"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" not in plan and plan.count("Exchange hashpartitioning") == 1 and "edges-" not in plan
+
+
+def test_batch_of_buckets_shuffles_no_pairs(spark, sf, monkeypatch):
+    """The same rows from one part and from many, and only the best of each part behind a bucket's queries."""
+    index, rows = memory.lsh_index(spark, sf), memory.sketches(spark, sf)
+    asked = rows.where("id % 20 = 0").select("id", "vector").withColumnRenamed("id", "query_id")
+    made = lambda: sorted(map(tuple, memory._LSH.search_batch(index, asked, 10, flips=1).collect()))
+    one = made()
+    monkeypatch.setattr(memory._LSH, "BUCKET_ROWS", 100)
+    assert made() == one and len(one) == 10 * asked.count()
+    assert "FlatMapCoGroupsInArrow" in memory._LSH.search_batch(index, asked, 10, flips=1)._jdf.queryExecution().executedPlan().toString()
