@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 from hashlib import md5
+import re
 from math import sin
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +52,81 @@ def tokenize_keywords(text: Column) -> Column:
     return F.transform(runs, stem)
 
 
+@dataclass(frozen=True)
+class Words:
+    """A tokenizer for :func:`counted`: the column that it reads (binary), what finds the words of one text, and what
+    changes them, in place, once they are counted."""
+
+    text: Column
+    found: Callable[[bytes], list[bytes]]
+    then: Callable[[dict[bytes, int]], None] | None = None
+
+    @staticmethod
+    def plain(text: Column, code_aware: bool = False) -> Words:
+        """The words of :func:`tokenize`."""
+        # bytes are split at the white space of SPACE
+        return Words(F.lower(F.coalesce(text, F.lit(""))).cast("binary"), _code_words if code_aware else bytes.split)
+
+    @staticmethod
+    def keywords(text: Column) -> Words:
+        """The words of :func:`tokenize_keywords`."""
+        return Words(F.lower(F.coalesce(text, F.lit(""))).cast("binary"), _keywords, _stemmed)
+
+
+def _code_words(text: bytes) -> list[bytes]:
+    return re.sub(rb"::|[_\-./]", b" ", text).split()
+
+
+_BLANK = bytes(c if chr(c) in "abcdefghijklmnopqrstuvwxyz0123456789-" else 32 for c in range(256))
+
+
+def _keywords(text: bytes) -> list[bytes]:
+    return text.translate(_BLANK).split()
+
+
+def _stemmed(times: dict[bytes, int]) -> None:
+    """:func:`stem` of counted words; those of one byte go."""
+    moved = [(t, times.pop(t)) for t in [t for t in times if t[-1] in b"gd" or len(t) < 2]]
+    for t, n in moved:
+        if t.endswith(b"ing") and len(t) > 5:
+            t = t[:-3]
+        elif t.endswith(b"ved") and len(t) > 4:
+            t = t[:-1]
+        elif t.endswith(b"ed") and len(t) > 4:
+            t = t[:-2]
+        if len(t) > 1:
+            times[t] = times.get(t, 0) + n
+
+
+def counted(docs: DataFrame, tokens: Column | Words, id_: str = "id") -> DataFrame:
+    """Each row's ``id``, its number of words ``dl``, and ``words``: each different one with the times (``tf``) that it stands there.
+
+    Rows are counted where they are read; a word of a text leaves its task once.
+    """
+    given = docs.select(F.col(id_).alias("id"), (tokens.text if isinstance(tokens, Words) else tokens).alias("tokens"))
+    found, then = (tokens.found, tokens.then) if isinstance(tokens, Words) else (None, None)
+    schema = T.StructType([given.schema["id"], T.StructField("dl", T.IntegerType()), T.StructField("words", T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.LongType())])))])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                dl, terms, tfs, ends = [], [], [], [0]
+                for own in part.column(1).to_pylist():
+                    times = Counter(found(own) if found else own or ())
+                    if then:
+                        then(times)
+                    dl.append(None if own is None else sum(times.values()))
+                    terms += times
+                    tfs += times.values()
+                    ends.append(len(terms))
+                named = pa.array(terms, pa.binary()).cast(pa.string()) if found else pa.array(terms, pa.string())
+                each = pa.StructArray.from_arrays([named, pa.array(tfs, pa.int64())], ["term", "tf"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(dl, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), each)], ["id", "dl", "words"])
+
+    return given.mapInArrow(count, schema)
+
+
 # Words that say nothing about a text's topic.
 STOPWORDS = ("a", "an", "the", "is", "am", "are", "my", "me", "i", "you", "your", "what", "which", "did", "do", "does", "after", "where", "number", "should")
 

@@ -448,7 +448,7 @@ class Memory:
         fs, p = self.store._fs(self._index_path())
         return {"backend": self.backend.fingerprint, "count": int(count), "memory_bytes": int(fs.getContentSummary(p).getLength())}
 
-    def keyword_index(self, name: str, text: Column, tokens: Column) -> keyword.Bm25:
+    def keyword_index(self, name: str, text: Column, tokens: Column | tx.Words) -> keyword.Bm25:
         """A keyword index of the namespace's concepts, kept in the store. Writes since it was last asked for make one small
         segment; statistics span all rows that have the text."""
         state = self.store.state()
@@ -461,7 +461,7 @@ class Memory:
 
     def text_index(self, code_aware: bool = False) -> keyword.Bm25:
         """The keyword index of the namespace's searchable texts."""
-        return self.keyword_index(f"text-{int(code_aware)}", filters.searchable_text(F.col("metadata")), tx.tokenize(F.col("text"), code_aware))
+        return self.keyword_index(f"text-{int(code_aware)}", filters.searchable_text(F.col("metadata")), tx.Words.plain(F.col("text"), code_aware))
 
     def probe_text(self, text: str, k: int = 10, filter_: filters.Filter | None = None, mode: str = "auto", code_aware: bool = False) -> DataFrame:
         """Keyword and vector search fused; ``mode`` is auto, semantic or keyword. Statistics span all rows, also hidden ones."""

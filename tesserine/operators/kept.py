@@ -23,11 +23,11 @@ def source_state(spark: SparkSession, *paths: str) -> str:
     return hashlib.sha256("\n".join(sorted(state)).encode()).hexdigest()[:32]
 
 
-def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFrame], by: list[str] | None = None, folder: str | None = None) -> DataFrame:
+def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFrame], by: list[str] | None = None, folder: str | None = None, parts: int | None = None) -> DataFrame:
     """The table ``name`` of a source's state, from ``folder`` or the application's part of the shared folder; built if
     it isn't there.
 
-    With ``by`` its rows are clustered by those columns, so that a filter on them reads few row groups. It is written aside
+    With ``by`` its rows are clustered by those columns, in ``parts`` if given, so that a filter on them reads few row groups. It is written aside
     and appears by a rename, so sessions that build it at once don't delete under each other.
     """
     path = f"{folder or _own(spark)}/{name}-{state}"
@@ -35,7 +35,7 @@ def kept(spark: SparkSession, name: str, state: str, build: Callable[[], DataFra
     if not fs.exists(mark):
         rows = build()
         if by:
-            rows = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+            rows = (rows.repartitionByRange(parts, *by) if parts else rows.repartitionByRange(*by)).sortWithinPartitions(*by)
         aside = f"{path}.{uuid.uuid4().hex}"
         rows.write.parquet(aside)
         fs, made = _fs(spark, aside)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import Words, counted
 from ..sources.schemas import check_k
 from ..sources.tables import load_json, names, put_json
 from .kept import kept
@@ -16,40 +18,72 @@ from .kept import kept
 K1, B = 1.2, 0.75
 
 
+#: Postings that one task sorts.
+SORTED_ROWS = 500_000
+
+
+def _parts(postings: int) -> int:
+    """Tasks that sort so many postings: what one holds does not grow with them."""
+    return max(1, -(-postings // SORTED_ROWS))
+
+
 @dataclass(frozen=True)
 class Bm25:
     """Postings (``id``, ``term``, ``tf``) and document lengths (``id``, ``dl``).
 
     A kept index has ``dl`` in its postings, which are clustered by term, and ``totals`` (documents, mean length), so
-    that a search reads the row groups of its terms and nothing else.
+    that a search reads the row groups of its terms and nothing else. ``words`` has a row for each document, with all its
+    words (:func:`tesserine.functions.text.counted`); in an index that has ``single`` no id repeats there.
     """
 
     postings: DataFrame
     lengths: DataFrame
     totals: tuple[int, float] | None = None
+    words: DataFrame | None = None
+    single: bool = False
+
+    #: Ids up to which those to be removed are sent to every executor.
+    BROADCAST_ROWS = 2_000_000
 
     def keep(self, spark: SparkSession, name: str, state: str, folder: str | None = None) -> Bm25:
-        """This index as kept tables for a state of its source; built where they aren't there yet."""
-        lengths = kept(spark, f"{name}-lengths", state, lambda: self.lengths, folder=folder)
-        postings = kept(spark, f"{name}-postings", state, lambda: self.postings.join(lengths, "id").select("term", "id", "tf", "dl"), ["term", "id"], folder)
-        sums = kept(spark, f"{name}-totals", state, lambda: Bm25(postings, lengths).size(), folder=folder).first()
-        return Bm25(postings, lengths, (sums.n_docs, sums.avg_doc_length))
+        """This index as kept tables for a state of its source; built where they aren't there yet.
+
+        Texts are read once, and documents with their words kept first. Their postings are a further table.
+        """
+        if self.words is None:
+            raise ValueError("an index that was added to has no words to keep")
+        words = kept(spark, f"{name}-words", state, lambda: self.words, folder=folder)
+        lengths, per_id = words.select("id", "dl"), words.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("postings"))
+        counts = lambda: Bm25(self.postings, lengths).size().crossJoin(per_id.agg(F.sum("postings").alias("postings"), (F.coalesce(F.max("n"), F.lit(0)) <= 1).alias("single")))
+        sums = kept(spark, f"{name}-sums", state, counts, folder=folder).first()
+        index = Bm25._of(words, sums.single)
+        # in an index whose ids repeat a posting meets each length of its id
+        posted = lambda: words.select("id", "dl", F.inline("words")) if sums.single else index.postings.join(lengths, "id")
+        postings = kept(spark, f"{name}-postings", state, lambda: posted().select("term", "id", "tf", "dl"), ["term", "id"], folder, _parts(sums.postings or 0))
+        return Bm25(postings, lengths, (sums.n_docs, sums.avg_doc_length), words, sums.single)
 
     @staticmethod
-    def build(docs: DataFrame, tokens: Column, id_: str = "id") -> Bm25:
+    def build(docs: DataFrame, tokens: Column | Words, id_: str = "id") -> Bm25:
         """An index of token lists. Statistics span every row given, whatever a later search shows."""
-        listed = docs.select(F.col(id_).alias("id"), tokens.alias("tokens"))
-        postings = listed.select("id", F.explode("tokens").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-        return Bm25(postings, listed.select("id", F.size("tokens").alias("dl")))
+        return Bm25._of(counted(docs, tokens, id_))
+
+    @staticmethod
+    def _of(words: DataFrame, single: bool = False) -> Bm25:
+        postings = words.select("id", F.inline("words"))
+        return Bm25(postings if single else postings.groupBy("id", "term").agg(F.sum("tf").alias("tf")), words.select("id", "dl"), None, words, single)
 
-    def add(self, docs: DataFrame, tokens: Column, id_: str = "id") -> Bm25:
+    def add(self, docs: DataFrame, tokens: Column | Words, id_: str = "id") -> Bm25:
         """Upsert documents."""
         new = Bm25.build(docs, tokens, id_)
         old = self.remove(new.lengths.select("id"))
         return Bm25(old.postings.select("id", "term", "tf").unionByName(new.postings), old.lengths.unionByName(new.lengths))
 
     def remove(self, ids: DataFrame) -> Bm25:
-        return Bm25(self.postings.join(ids, "id", "left_anti"), self.lengths.join(ids, "id", "left_anti"))
+        """Without the documents of some ids. Where it has a row for each document, only those rows meet the ids."""
+        if self.words is None:
+            return Bm25(self.postings.join(ids, "id", "left_anti"), self.lengths.join(ids, "id", "left_anti"))
+        few = ids.limit(self.BROADCAST_ROWS + 1).count() <= self.BROADCAST_ROWS
+        return Bm25._of(self.words.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), "id", "left_anti"), self.single)
 
     def clear(self) -> Bm25:
         return Bm25(self.postings.limit(0), self.lengths.limit(0))
@@ -123,6 +157,8 @@ class Segments:
         parts = []
         for i, (name, _) in enumerate(segments):
             rows, later = self._table(name, kind), segments[i + 1 :]
+            if kind == "lengths":  # a segment that was built has the words beside them
+                rows = rows.select("id", "dl")
             if later:
                 gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in later])
                 gone = F.broadcast(gone) if sum(n for _, n in later) <= self.BROADCAST_ROWS else gone
@@ -130,23 +166,25 @@ class Segments:
             parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
-    def _write(self, postings: DataFrame, lengths: DataFrame, gone: DataFrame) -> list:
+    def _write(self, postings: Callable[[DataFrame], DataFrame], lengths: DataFrame, gone: DataFrame, rows: int | None = None) -> list:
+        """A segment; its postings are made from its lengths as they were written, to be sorted by as many tasks as ``rows`` needs."""
         name = uuid.uuid4().hex
-        postings.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}/postings")
         lengths.write.parquet(f"{self.folder}/{name}/lengths")
+        lengths = self._table(name, "lengths")
+        n = rows if rows is not None else lengths.agg(F.sum(F.size("words"))).first()[0] or 0
+        postings(lengths).repartitionByRange(_parts(n), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}/postings")
         gone.distinct().write.parquet(f"{self.folder}/{name}/gone")
         return [name, self._table(name, "gone").count()]
 
-    def _built(self, docs: DataFrame, tokens: Column, gone: DataFrame | None) -> tuple[list, int, int]:
-        """A segment of some documents, how many they are, and their words."""
-        listed = docs.select("id", tokens.alias("tokens")).select("id", "tokens", F.size("tokens").alias("dl"))
+    def _built(self, docs: DataFrame, tokens: Column | Words, gone: DataFrame | None) -> tuple[list, int, int]:
+        """A segment of some documents, how many they are, and their words. Its texts are read once."""
+        listed = counted(docs, tokens)
         # the length travels with each word, so that postings need no join
-        postings = listed.select("id", "dl", F.explode("tokens").alias("term")).groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-        segment = self._write(postings, listed.select("id", "dl"), gone if gone is not None else listed.select("id"))
+        segment = self._write(lambda made: made.select("id", "dl", F.inline("words")).select("term", "id", "tf", "dl"), listed, gone if gone is not None else docs.select("id"))
         sums = self._table(segment[0], "lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
         return segment, sums[0], sums[1]
 
-    def refresh(self, revision: int, docs: DataFrame, tokens: Column, changed: DataFrame | None = None) -> Bm25:
+    def refresh(self, revision: int, docs: DataFrame, tokens: Column | Words, changed: DataFrame | None = None) -> Bm25:
         """The index of ``docs`` (``id`` and what ``tokens`` reads) as of ``revision``. ``changed`` has the ids that may
         differ from what the index has, those that are gone included; without it all is built anew."""
         old = self.state()
@@ -173,7 +211,8 @@ class Segments:
         small = sum(n for _, n in segments[1:]) <= self.SHARE * segments[0][1]
         some = segments[1:] if small else segments
         gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in some])
-        made = self._write(self._live(some, "postings"), self._live(some, "lengths"), gone)
+        postings = self._live(some, "postings")
+        made = self._write(lambda _: postings, self._live(some, "lengths"), gone, sum(self._table(n, "postings").count() for n, _ in some))
         return [segments[0], made] if small else [made]
 
     def view(self, state: dict | None = None) -> Bm25:
