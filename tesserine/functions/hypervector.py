@@ -122,6 +122,33 @@ def signs(values: Column) -> Column:
 
 _COUNTS = "array<bigint>"
 
+#: Vectors whose bits are unpacked at once; their sums fit a byte. Keys whose counts leave a task in one batch.
+BLOCK, ANSWERED = 255, 64
+
+
+def _partial_counts(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
+    """Counts of each batch by key: rows of key, vector and sign. A few rows are unpacked at a time and a few keys answered, whatever a batch holds."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lists = batch.column(1)
+        values = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, words)
+        sign_ = batch.column(2).to_numpy(zero_copy_only=False)
+        seen: dict[object, list[int]] = {}
+        for i, k in enumerate(batch.column(0).to_pylist()):
+            seen.setdefault(k, []).append(i)
+        groups = list(seen.values())
+        for some in (groups[i : i + ANSWERED] for i in range(0, len(groups), ANSWERED)):
+            n, sums = [int(sign_[at].sum()) for at in some], []
+            for at in some:
+                total = np.zeros(64 * words, np.int64)
+                for rows_ in (at[j : j + BLOCK] for j in range(0, len(at), BLOCK)):
+                    bits = np.unpackbits(values[rows_].view(np.uint8), axis=1, bitorder="little")
+                    own = sign_[rows_]
+                    total += bits.sum(axis=0, dtype=np.uint8) if (own == 1).all() else own @ bits
+                sums.append(total)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at[0] for at in some])), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["key", "n", "counts"])
+
 
 def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS, sign: str | None = None) -> DataFrame:
     """For each group the number of its vectors (``n``) and of its set bits at every place (``counts``).
@@ -135,22 +162,7 @@ def bit_counts(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS
     schema = "key string, n long, counts array<long>"
     named = lambda made: made.select(F.from_json("key", names).alias("key"), "n", "counts").select("key.*", "n", "counts")
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(1)
-            values = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, words)
-            bits = np.unpackbits(values.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-            sign_ = batch.column(2).to_numpy(zero_copy_only=False)
-            seen: dict[object, list[int]] = {}
-            for i, k in enumerate(batch.column(0).to_pylist()):
-                seen.setdefault(k, []).append(i)
-            n = [int(sign_[at].sum()) for at in seen.values()]
-            sums = [(bits[at] * sign_[at][:, None]).sum(axis=0) for at in seen.values()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([at[0] for at in seen.values()])), pa.array(n, pa.int64()), pa.array(sums, pa.list_(pa.int64()))], ["key", "n", "counts"])
-
-    parts = packed.mapInArrow(partial, schema)
+    parts = packed.mapInArrow(lambda batches: _partial_counts(batches, words), schema)
     if words <= 2:
         total = parts.groupBy("key").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("counts")[i]) for i in range(64 * words)]).alias("counts"))
         return named(total)
@@ -183,10 +195,6 @@ def bundle(rows: DataFrame, keys: list[str], vector: str, words: int = WORDS) ->
     return made.select(*keys, finalized(F.col("counts"), F.col("n"), words).alias(vector))
 
 
-#: Vectors whose bits are unpacked at once; their sums fit a byte.
-BLOCK = 255
-
-
 def majority(vectors: Iterable[np.ndarray], times: Iterable[int] | None = None) -> np.ndarray:
     """:func:`bundle` of words in memory (unsigned 64-bit), each as often as ``times`` says; a block is held at a time."""
     source, often, n, sums = iter(vectors), None if times is None else iter(times), 0, 0
