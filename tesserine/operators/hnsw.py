@@ -28,98 +28,117 @@ from .search import QUERY_BLOCK, probe, top_k
 SHARD_ROWS = 4096
 
 
+def _numbers(vectors: np.ndarray) -> list[int]:
+    """Each vector's bits as one number."""
+    return [int.from_bytes(v.tobytes(), "little") for v in np.ascontiguousarray(vectors)]
+
+
 class Graph:
-    """One shard: vectors, and for each layer the neighbours of its nodes (-1 fills rows)."""
+    """One shard: vectors, and for each layer the neighbours of its nodes.
+
+    Walks go over lists and whole numbers: a step meets some 30 nodes, for which calls of NumPy would cost many times the distances.
+    """
 
     def __init__(self, vectors: np.ndarray, m: int, ef: int, seed: int) -> None:
-        self.v, self.m = vectors, m
+        self.v, self.m, self.numbers = vectors, m, _numbers(vectors)
         n = len(vectors)
         draw = np.random.default_rng(seed)
-        top = np.minimum((-np.log(np.maximum(draw.random(n), 1e-12)) / np.log(max(2, m))).astype(int), 12)
-        self.layers = [np.full((n, 2 * m if k == 0 else m), -1, np.int32) for k in range(int(top.max()) + 1 if n else 1)]
-        self.entry, self.height = 0, int(top[0]) if n else 0
+        top = np.minimum((-np.log(np.maximum(draw.random(n), 1e-12)) / np.log(max(2, m))).astype(int), 12).tolist()
+        self.layers: list[list[list[int]]] = [[[] for _ in range(n)] for _ in range(max(top, default=0) + 1)]
+        self.entry, self.height = 0, top[0] if n else 0
         for i in range(1, n):
-            at = self.entry
-            for k in range(self.height, int(top[i]), -1):
-                at = self._descend(vectors[i], at, k)
+            at, q = self.entry, self.numbers[i]
+            for k in range(self.height, top[i], -1):
+                at = self._descend(q, at, k)
             near = [at]
-            for k in range(min(int(top[i]), self.height), -1, -1):
-                found = self._walk(vectors[i], near, ef, k)
+            for k in range(min(top[i], self.height), -1, -1):
+                found = self._walk(q, near, ef, k)
                 for _, j in found[:m]:
                     self._link(i, j, k)
                     self._link(j, i, k)
                 near = [j for _, j in found]
             if top[i] > self.height:
-                self.entry, self.height = i, int(top[i])
+                self.entry, self.height = i, top[i]
 
-    def _distance(self, q: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(self.v[nodes] ^ q).sum(axis=1, dtype=np.int64)
+    def _width(self, layer: int) -> int:
+        return self.m if layer else 2 * self.m
 
     def _link(self, i: int, j: int, layer: int) -> None:
         row = self.layers[layer][i]
-        if (row == j).any():
+        if j in row:
             return
-        free = np.flatnonzero(row < 0)
-        if len(free):
-            row[free[0]] = j
-            return
-        # the nearest stay
-        every = np.append(row, j)
-        row[:] = every[np.argsort(self._distance(self.v[i], every), kind="stable")[: len(row)]]
-
-    def _descend(self, q: np.ndarray, at: int, layer: int) -> int:
-        here = int(self._distance(q, np.array([at]))[0])
-        while True:
-            nodes = self.layers[layer][at]
-            nodes = nodes[nodes >= 0]
-            if not len(nodes):
-                return at
-            d = self._distance(q, nodes)
-            k = int(np.argmin(d))
-            if d[k] >= here:
-                return at
-            at, here = int(nodes[k]), int(d[k])
-
-    def _walk(self, q: np.ndarray, starts: list[int], ef: int, layer: int) -> list[tuple[int, int]]:
+        row.append(j)
+        if len(row) > self._width(layer):
+            # the nearest stay
+            q, number = self.numbers[i], self.numbers
+            row.sort(key=lambda x: (q ^ number[x]).bit_count())
+            row.pop()
+
+    def _descend(self, q: int, at: int, layer: int) -> int:
+        rows, number = self.layers[layer], self.numbers
+        here = (q ^ number[at]).bit_count()
+        while rows[at]:
+            near = min(rows[at], key=lambda j: (q ^ number[j]).bit_count())
+            d = (q ^ number[near]).bit_count()
+            if d >= here:
+                break
+            at, here = near, d
+        return at
+
+    def _walk(self, q: int, starts: list[int], ef: int, layer: int) -> list[tuple[int, int]]:
         """The ``ef`` nearest that a best-first walk meets: distance and node, the nearest first."""
-        seen = set(starts)
-        open_ = [(int(d), i) for d, i in zip(self._distance(q, np.array(starts)), starts, strict=True)]
-        best = [(-d, i) for d, i in open_]
+        rows, number = self.layers[layer], self.numbers
+        seen = bytearray(len(number))
+        for i in starts:
+            seen[i] = 1
+        # a distance and a node are one number, which sorts as the pair does
+        open_ = [((q ^ number[i]).bit_count() << 32) + i for i in starts]
+        best = [i - (c - i) for c, i in zip(open_, starts, strict=True)]
         heapq.heapify(open_), heapq.heapify(best)
+        full = len(best) >= ef
+        worst = -(best[0] >> 32)
         while open_:
-            d, i = heapq.heappop(open_)
-            if len(best) >= ef and d > -best[0][0]:
+            c = heapq.heappop(open_)
+            if full and c >> 32 > worst:
                 break
-            nodes = [j for j in self.layers[layer][i].tolist() if j >= 0 and j not in seen]
-            if not nodes:
-                continue
-            seen.update(nodes)
-            for dj, j in zip(self._distance(q, np.array(nodes)).tolist(), nodes, strict=True):
-                if len(best) < ef or dj < -best[0][0]:
-                    heapq.heappush(open_, (dj, j))
-                    heapq.heappush(best, (-dj, j))
-                    if len(best) > ef:
-                        heapq.heappop(best)
-        return sorted((-d, i) for d, i in best)
+            for j in rows[c & 0xFFFFFFFF]:
+                if seen[j]:
+                    continue
+                seen[j] = 1
+                d = (q ^ number[j]).bit_count()
+                if full:
+                    if d >= worst:
+                        continue
+                    heapq.heapreplace(best, (-d << 32) + j)
+                else:
+                    heapq.heappush(best, (-d << 32) + j)
+                    full = len(best) >= ef
+                heapq.heappush(open_, (d << 32) + j)
+                worst = -(best[0] >> 32)
+        return sorted((-(c >> 32), c & 0xFFFFFFFF) for c in best)
 
     def search(self, q: np.ndarray, k: int, ef: int) -> list[tuple[int, int]]:
         if not len(self.v):
             return []
-        at = self.entry
+        at, number = self.entry, int.from_bytes(q.tobytes(), "little")
         for layer in range(self.height, 0, -1):
-            at = self._descend(q, at, layer)
-        return self._walk(q, [at], max(ef, k), 0)[:k]
+            at = self._descend(number, at, layer)
+        return self._walk(number, [at], max(ef, k), 0)[:k]
 
     def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, v=self.v, at=np.array([self.m, self.entry, self.height]), **{f"l{k}": x for k, x in enumerate(self.layers)})
+        """As arrays: a layer is a row for each node, which -1 fills."""
+        out, filled = io.BytesIO(), {}
+        for k, rows in enumerate(self.layers):
+            filled[f"l{k}"] = np.array([row + [-1] * (self._width(k) - len(row)) for row in rows], np.int32).reshape(len(rows), self._width(k))
+        np.savez(out, v=self.v, at=np.array([self.m, self.entry, self.height]), **filled)
         return out.getvalue()
 
     @classmethod
     def load(cls, data: bytes) -> Graph:
         made, own = cls.__new__(cls), np.load(io.BytesIO(data), allow_pickle=False)
         made.v, (made.m, made.entry, made.height) = own["v"], own["at"].tolist()
-        made.layers = [own[f"l{k}"] for k in range(len(own.files) - 2)]
+        made.numbers = _numbers(made.v)
+        made.layers = [[[j for j in row if j >= 0] for row in own[f"l{k}"].tolist()] for k in range(len(own.files) - 2)]
         return made
 
 
@@ -150,7 +169,8 @@ class HnswIndex:
             ids = pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), group.column("id").combine_chunks())
             return pa.table([shard, ids, pa.array([Graph(v, m, ef, seed + shard[0].as_py()).dump()], pa.binary())], ["shard", "ids", "graph"])
 
-        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+        # by number, or a plan that adapts puts these small rows, and so all graphs, into one task
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).repartition(shards, "shard")
         return dealt.groupBy("shard").applyInArrow(make, f"shard int, ids array<{dtype}>, graph binary")
 
     def search(self, index: DataFrame, query: list[int], k: int, without: DataFrame | None = None) -> DataFrame:

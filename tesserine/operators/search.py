@@ -112,8 +112,11 @@ def probe_batch(corpus: DataFrame, queries: DataFrame, k: int, query_id: str = "
                 rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
                 ids, out = batch.column(0), []
                 order = np.argsort(np.array(ids.to_pylist(), dtype=object if dtype == "string" else None), kind="stable")
+                rows = rows[order]
+                # numbers of 16 bits are sorted in a time that follows their count
+                narrow = np.uint16 if 64 * rows.shape[1] < 1 << 16 else np.int64
                 for q in range(len(keys)):
-                    d = np.bitwise_count(rows ^ matrix[q]).sum(axis=1, dtype=np.int64)[order]
+                    d = np.bitwise_count(rows ^ matrix[q]).sum(axis=1, dtype=narrow)
                     at = np.argsort(d, kind="stable")[:k]
                     out.append((np.full(len(at), q), order[at], d[at]))
                 q, at, d = (np.concatenate(x) for x in zip(*out, strict=True))
