@@ -1,14 +1,14 @@
 """Echo-state reservoir: time series to hypervectors.
 
 Steps within a series follow one another, series do not: rows come sorted by series
-and step, batch by batch, and each series starts with a fresh state. Weights come from
-one seed and are made once in a worker. A state of 10 240 nodes, sparse weights and one
-batch of rows bound a worker's memory, however long a series is.
+and step, batch by batch, and each series starts with a fresh state. Many series are
+stepped side by side, the columns of one matrix. Weights come from one seed and are
+made once in a worker. The states of :data:`LANES` series, sparse weights and
+:data:`HELD` values bound a worker's memory, however long a series is.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,11 +25,13 @@ LEAK, INPUT_DEGREE, DEGREE, RING, STRIDE = 0.3, 4, 8, 512, 32
 SETTLED = 1e-5
 #: A state beyond two to this power is scaled down by it.
 HUGE = 200
+#: Series that are stepped side by side, and values of rows that are held to find them.
+LANES, HELD = 64, 1 << 21
 
 
-def squash(x: np.ndarray, shift: int = 0) -> np.ndarray:
+def squash(x: np.ndarray, shift: int | np.ndarray = 0) -> np.ndarray:
     """A rational approximation of the hyperbolic tangent, of ``x`` times two to the power ``shift`` and in that unit."""
-    if not shift:
+    if not np.any(shift):
         return x * (x * x + 27) / (9 * x * x + 27)
     one = np.ldexp(1.0, -2 * shift)
     under = 9 * x * x + 27 * one
@@ -104,11 +106,87 @@ class Reservoir:
 
     def words(self) -> np.ndarray:
         """Bits by the sign of sums of equal chunks of the state."""
-        if self.size < BITS:
-            raise ValueError(f"a state of {self.size} nodes is too small for {BITS} bits")
-        chunk = self.size // BITS
-        bits = self.state[: chunk * BITS].reshape(BITS, chunk).sum(axis=1) > 0
-        return np.packbits(bits, bitorder="little").view(np.int64)
+        return _words(self.state)
+
+
+def _words(state: np.ndarray) -> np.ndarray:
+    if len(state) < BITS:
+        raise ValueError(f"a state of {len(state)} nodes is too small for {BITS} bits")
+    chunk = len(state) // BITS
+    bits = np.ascontiguousarray(state[: chunk * BITS]).reshape(BITS, chunk).sum(axis=1) > 0
+    return np.packbits(bits, bitorder="little").view(np.int64)
+
+
+class Lanes:
+    """States of several series under one reservoir's weights, a column each; steps are those of :meth:`Reservoir.step`."""
+
+    def __init__(self, own: Reservoir, n: int) -> None:
+        self.own, self.steps = own, 0
+        self.state, self.shift = np.zeros((own.size, n)), np.zeros(n, int)
+        self.noise = np.random.Generator(np.random.PCG64(own.seed + 1))
+        self.settled: list[list[int]] = [[] for _ in range(n)]
+
+    def run(self, values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> None:
+        """Steps of rows of ``values``: ``counts`` from ``first`` on for each lane, the most in the first lane."""
+        for t in range(int(counts[0]) if len(counts) else 0):
+            n = int(np.searchsorted(-counts, -t))
+            self._step(values[first[:n] + t].T, n)
+
+    def _step(self, u: np.ndarray, n: int) -> None:
+        r, state, shift = self.own, self.state[:, :n], self.shift[:n]
+        if r.chaos:
+            u = u + self.noise.uniform(-r.chaos, r.chaos, r.inputs)[:, None]
+        shifted = shift.any()
+        if shifted:
+            u = np.ldexp(u, -shift)
+        i = slice(self.steps % STRIDE, None, STRIDE)
+        term = lambda weight, x, at, k: weight[i, k, None] * x[at[i, k]]
+        # sums in the order in which NumPy adds up a row
+        drive = term(r.in_weight, u, r.in_at, 0)
+        for k in range(1, INPUT_DEGREE):
+            drive += term(r.in_weight, u, r.in_at, k)
+        parts = [term(r.weight, state, r.at, k) for k in range(DEGREE)]
+        while len(parts) > 1:
+            parts = [a + b for a, b in zip(parts[::2], parts[1::2], strict=True)]
+        drive += parts[0]
+        old = state[i]
+        new = LEAK * squash(drive, shift if shifted else 0) + (1 - LEAK + r.beta) * old
+        if r.beta:
+            # no step but the last moved these nodes since, and it moved others
+            new -= r.beta * old
+        apart = new - old
+        moved = np.sqrt((apart * apart).sum(axis=0))
+        if shifted:
+            with np.errstate(over="ignore"):
+                moved = np.ldexp(moved, shift)
+        state[i] = new
+        for lane in np.flatnonzero(moved < SETTLED):
+            self.settled[lane].append(self.steps)
+        self.steps += 1
+        high = np.flatnonzero(np.abs(new).max(axis=0, initial=0) > 2.0**HUGE)
+        if len(high):
+            state[:, high] = np.ldexp(state[:, high], -HUGE)
+            shift[high] += HUGE
+
+    def words(self, lane: int) -> np.ndarray:
+        return _words(self.state[:, lane])
+
+
+def _starts(keys: pa.Array) -> np.ndarray:
+    """Rows at which another key begins."""
+    try:
+        code = keys.dictionary_encode("encode").indices.to_numpy()
+        return np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+    except pa.ArrowNotImplementedError:
+        every = keys.to_pylist()
+        return np.array([0, *(i for i in range(1, len(every)) if every[i] != every[i - 1])])
+
+
+def _values(column: pa.Array, inputs: int) -> np.ndarray:
+    n = column.value_lengths().fill_null(0).to_numpy()
+    if (n != inputs).any():
+        raise ValueError(f"a step has {inputs} values, not {n[n != inputs][0]}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(n), inputs)
 
 
 @lru_cache(maxsize=4)
@@ -116,35 +194,78 @@ def _shared(inputs: int, size: int, seed: int, beta: float, chaos: float) -> Res
     return Reservoir(inputs, size, seed, beta, chaos)
 
 
-def encode_series(rows: DataFrame, key: str, order: str, features: str, inputs: int, size: int = BITS, seed: int = 42, beta: float = 0.0, chaos: float = 0.0, longest: int | None = LIMITS["sequence"]) -> DataFrame:
+def encode_series(rows: DataFrame, key: str, order: str, features: str, inputs: int, size: int = BITS, seed: int = 42, beta: float = 0.0, chaos: float = 0.0, longest: int | None = LIMITS["sequence"], held: int = HELD) -> DataFrame:
     """``key``, ``steps``, ``vector`` and ``attractors`` (steps at which the state settled) of each series.
 
-    A series of over ``longest`` steps is an error; with None it may have any length. Nulls in ``order`` come last.
+    A series of over ``longest`` steps is an error; with None it may have any length. Nulls in ``order`` come last. A task
+    holds ``held`` values of rows to find series in; a longer series is stepped as it comes, with the same outcome.
     """
     kind = dict(rows.dtypes)[key]
     schema = f"{key} {kind}, steps long, vector array<long>, attractors array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, now, steps, settled = _shared(inputs, size, seed, beta, chaos), None, 0, array("i")
+        r, rest = _shared(inputs, size, seed, beta, chaos), []
+        long: tuple[pa.Array, Lanes] | None = None  # a series that goes on after the rows that came
+
+        def made(keys: pa.Array, steps: list[int], words: list[np.ndarray], settled: list[list[int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([keys, pa.array(steps, pa.int64()), pa.array(words, pa.list_(pa.int64())), pa.array(settled, pa.list_(pa.int32()))], [key, "steps", "vector", "attractors"])
+
+        def ended() -> Iterator[pa.RecordBatch]:
+            if long is not None:
+                yield made(long[0], [long[1].steps], [long[1].words(0)], long[1].settled)
+
+        def step(keys: pa.Array, values: np.ndarray, last: bool) -> Iterator[pa.RecordBatch]:
+            """Step all series but the last of some rows, which waits for more unless it is all there is."""
+            nonlocal rest, long
+            first = _starts(keys)
+            counts = np.diff(np.append(first, len(keys)))
+            if long is not None:
+                if _starts(pa.concat_arrays([long[0], keys.slice(0, 1)])).size > 1:
+                    yield from ended()
+                    long = None
+                else:
+                    check(long[1].steps + counts[0])
+                    long[1].run(values, first[:1], counts[:1])
+                    first, counts = first[1:], counts[1:]
+            if not last and len(first):
+                at = int(first[-1])
+                if len(first) > 1 or len(keys) * inputs < held or long is not None:
+                    rest = [(keys.slice(at), values[at:])]
+                else:
+                    check(counts[0])
+                    long = (keys.slice(at, 1), Lanes(r, 1))
+                    long[1].run(values, first, counts)
+                first, counts = first[:-1], counts[:-1]
+            if len(first) and long is not None:
+                yield from ended()
+                long = None
+            check(counts.max(initial=0))
+            order = np.argsort(-counts, kind="stable")
+            for a in range(0, len(order), LANES):
+                own = order[a : a + LANES]
+                lanes = Lanes(r, len(own))
+                lanes.run(values, first[own], counts[own])
+                yield made(keys.take(pa.array(first[own])), counts[own].tolist(), [lanes.words(k) for k in range(len(own))], lanes.settled)
+
+        def check(steps: int) -> None:
+            if longest is not None and steps > longest:
+                raise ValueError(f"a series has at most {longest} steps")
 
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([now, pa.array([steps], pa.int64()), pa.array([r.words()], pa.list_(pa.int64())), pa.array([np.frombuffer(settled, np.int32)], pa.list_(pa.int32()))], [key, "steps", "vector", "attractors"])
+        def taken(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal rest
+            own, rest = rest, []
+            if own:
+                yield from step(pa.concat_arrays([k for k, _ in own]), np.concatenate([v for _, v in own]), last)
 
         for batch in batches:
-            for i, values in enumerate(batch.column(1).to_pylist()):
-                own = batch.column(0).slice(i, 1)
-                if now is None or not own.equals(now):
-                    if now is not None:
-                        yield made()
-                    r.reset()
-                    now, steps, settled = pa.concat_arrays([own]), 0, array("i")
-                if longest is not None and steps >= longest:
-                    raise ValueError(f"a series has at most {longest} steps")
-                if r.step(np.asarray(values, float)) < SETTLED:
-                    settled.append(steps)
-                steps += 1
-        if now is not None:
-            yield made()
+            if batch.num_rows:
+                rest.append((batch.column(0), _values(batch.column(1), inputs)))
+            if sum(v.size for _, v in rest) >= held:
+                yield from taken(False)
+        yield from taken(True)
+        yield from ended()
 
     shaped = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), F.col(features).alias("f"))
-    return shaped.repartition("k").sortWithinPartitions("k", F.col("o").asc_nulls_last()).select("k", "f").mapInArrow(run, schema)
+    # by number: a plan that adapts would put small rows into few tasks, and it is steps that take the time
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shaped.repartition(parts, "k").sortWithinPartitions("k", F.col("o").asc_nulls_last()).select("k", "f").mapInArrow(run, schema)
