@@ -8,7 +8,7 @@ any whole number of words, so a 64-bit sketch is a vector of one word.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -222,25 +222,39 @@ def _turn(words: np.ndarray, shift: int) -> np.ndarray:
 
 #: Vectors that are added in one block, ``2**k - 1`` of them, and blocks at a time (their planes stay in the cache).
 ADDED, AT_ONCE = 63, 8
+#: Weighed vectors that are added at once.
+TOGETHER = 512
 
 
-def block_counts(vectors: np.ndarray) -> np.ndarray:
-    """Set bits at every place over the first axis of ``vectors`` (``ADDED``, blocks, words), the first bit of the first word first.
+def place_counts(levels: list[np.ndarray], kind: type) -> np.ndarray:
+    """Set bits at every place over the first axis of ``levels[k]``, each ``2**k`` times, as numbers of ``kind``, the first bit of the first word first.
 
     Three words of one weight become one of it and one of the next, by five bit operations on 64 places at once.
     """
-    out, level, rows = None, 0, vectors
-    while len(rows):
-        carried = []
-        while len(rows) > 1:
+    out, rows, k = np.zeros((*levels[0].shape[1:-1], 64 * levels[0].shape[-1]), kind), levels[0], 0
+    while len(rows) or k + 1 < len(levels):
+        half, more = len(rows) // 2, levels[k + 1] if k + 1 < len(levels) else rows[:0]
+        # what is carried, and the rows that begin at the next weight
+        following, at, rest = np.concatenate([np.empty((half, *rows.shape[1:]), np.uint64), more]), 0, []
+        while len(rows) > 2:
             m = len(rows) // 3
             a, b, c = rows[:m], rows[m : 2 * m], rows[2 * m : 3 * m]
-            either = a ^ b
-            carried.append((a & b) | (c & either))
-            rows = np.concatenate([either ^ c, rows[3 * m :]]) if len(rows) > 3 * m else either ^ c
-        bits = np.unpackbits(rows[0].byteswap().view(np.uint8), axis=-1)
-        out = bits if out is None else out + (bits << np.uint8(level))
-        rows, level = np.concatenate(carried) if carried else rows[:0], level + 1
+            if len(rows) > 3 * m:
+                rest.append(rows[3 * m :])
+            rows, carried = a ^ b, following[at : at + m]
+            np.bitwise_and(rows, c, out=carried)
+            carried |= a & b
+            rows ^= c
+            at += m
+            if len(rows) < 3 and rest:
+                rows, rest = np.concatenate([rows, *rest]), []
+        if len(rows) == 2:
+            np.bitwise_and(rows[0], rows[1], out=following[at])
+            rows = rows[:1] ^ rows[1:]
+        if len(rows):
+            bits = np.unpackbits(rows[0].byteswap().view(np.uint8), axis=-1)
+            out += bits.astype(kind, copy=False) << kind(k)
+        rows, k = following, k + 1
     return out
 
 
@@ -251,28 +265,34 @@ class Adder:
     ``stride * (i + j)`` bits (:func:`permute`). The turn by ``stride * i`` is made once, on the block's sums.
     """
 
-    #: Vectors that are held: 42 MB.
-    HELD = 1 << 15
+    #: Vectors that are held: 84 MB.
+    HELD = 1 << 16
 
-    def __init__(self, vectors: Callable[[list[str]], np.ndarray]) -> None:
+    def __init__(self, vectors: Callable[[list], np.ndarray]) -> None:
         # row 0 is no vector
-        self.vectors, self.index, self.names, self.table = vectors, {}, [""], np.zeros((self.HELD + 1, WORDS), np.uint64)
-        self.used = np.zeros(self.HELD + 1, np.int64)
+        self.vectors, self.index, self.table = vectors, {}, np.zeros((self.HELD + 1, WORDS), np.uint64)
+        self.names, self.used, self.free = [None] * (self.HELD + 1), np.zeros(self.HELD + 1, np.int64), list(range(self.HELD, 0, -1))
 
-    def _rows(self, names: set[str]) -> None:
+    def _rows(self, names: Collection) -> None:
+        """Hold the vectors of different names, at most half of ``HELD``."""
         new = [t for t in names if t not in self.index]
-        if len(self.names) + len(new) > self.HELD:
-            # half stays; uses of long ago count less and less
-            often = 1 + np.argsort(-self.used[1 : len(self.names)], kind="stable")[: self.HELD // 2]
-            n = len(often) + 1
-            self.table[1:n], self.used[1:n], self.names = self.table[often], self.used[often] // 2, ["", *(self.names[r] for r in often.tolist())]
-            self.used[n:], self.index = 0, {t: r for r, t in enumerate(self.names) if r}
-            new = [t for t in names if t not in self.index]
+        if len(new) > len(self.free):
+            # the quarter used least goes; uses of long ago count less and less
+            used, most = self.used.copy(), np.iinfo(np.int64).max
+            used[self.free], used[0], used[[self.index[t] for t in names if t in self.index]] = -1, most, most
+            n = max(self.HELD // 4, len(new))
+            self.free = np.argpartition(used, n)[:n].tolist()
+            for r in self.free:
+                self.index.pop(self.names[r], None)
+                self.names[r] = None
+            self.used -= self.used // 8
+            self.used[self.free] = 0
         if new:
-            n = len(self.names)
-            self.table[n : n + len(new)] = self.vectors(new).reshape(len(new), -1, 2)[:, :, ::-1].reshape(len(new), -1)
-            self.index.update(zip(new, range(n, n + len(new)), strict=True))
-            self.names += new
+            rows = [self.free.pop() for _ in new]
+            self.table[rows] = self.vectors(new).reshape(len(new), -1, 2)[:, :, ::-1].reshape(len(new), -1)
+            self.index.update(zip(new, rows, strict=True))
+            for t, r in zip(new, rows, strict=True):
+                self.names[r] = t
 
     def sums(self, lists: Iterable[tuple[int, list[str], int]], n: int, stride: int = 0) -> np.ndarray:
         """For each of ``n`` numbers the sums at every place over its lists of names, each ``weight`` times: (number, names, weight)."""
@@ -280,7 +300,8 @@ class Adder:
         for number, names, weight in lists:
             for i in range(0, len(names), ADDED):
                 waiting.append((number, i * stride % BITS, names[i : i + ADDED], weight))
-                if len(waiting) == AT_ONCE:
+                # many at a time: vectors that are new are made together
+                if len(waiting) == self.HELD // (4 * ADDED):
                     self._add(total, waiting, stride)
                     waiting = []
         if waiting:
@@ -288,20 +309,33 @@ class Adder:
         return total
 
     def _add(self, total: np.ndarray, blocks: list[tuple[int, int, list[str], int]], stride: int) -> None:
-        self._rows({t for b in blocks for t in b[2]})
+        self._rows(set().union(*(b[2] for b in blocks)))
         get = self.index.__getitem__
-        ids = np.zeros((len(blocks), ADDED), np.int64)
-        for k, b in enumerate(blocks):
-            ids[k, : len(b[2])] = list(map(get, b[2]))
-        np.add.at(self.used, ids.reshape(-1), 1)
-        vectors = self.table[ids.T]
-        if stride:
-            vectors = _turned(vectors, np.arange(ADDED) * stride)
-        for counts, (number, at, _, weight) in zip(block_counts(vectors), blocks, strict=True):
-            own = total[number]
-            times = counts if weight == 1 else counts * np.int32(weight)
-            own[: BITS - at] += times[at:]
-            own[BITS - at :] += times[:at]
+        for some in (blocks[i : i + AT_ONCE] for i in range(0, len(blocks), AT_ONCE)):
+            ids = np.zeros((len(some), ADDED), np.int64)
+            for k, b in enumerate(some):
+                ids[k, : len(b[2])] = list(map(get, b[2]))
+            np.add.at(self.used, ids.reshape(-1), 1)
+            vectors = self.table[ids.T]
+            if stride:
+                vectors = _turned(vectors, np.arange(ADDED) * stride)
+            for counts, (number, at, _, weight) in zip(place_counts([vectors], np.uint8), some, strict=True):
+                own = total[number]
+                times = counts if weight == 1 else counts * np.int32(weight)
+                own[: BITS - at] += times[at:]
+                own[BITS - at :] += times[:at]
+
+    def weighed(self, names: list, times: np.ndarray) -> np.ndarray:
+        """The sums at every place over the vectors of different names, each as often as ``times`` says."""
+        total = np.zeros(BITS, np.int32)
+        for i in range(0, len(names), TOGETHER):
+            some, n = names[i : i + TOGETHER], times[i : i + TOGETHER]
+            self._rows(some)
+            ids = np.array(list(map(self.index.__getitem__, some)))
+            self.used[ids] += 1
+            # a name that stands c times is added once for each bit of c, by its weight
+            total += place_counts([self.table[ids[n >> k & 1 == 1]] for k in range(int(n.max()).bit_length())], np.int32)
+        return total
 
 
 def majorities(sums: np.ndarray, n: np.ndarray) -> np.ndarray:

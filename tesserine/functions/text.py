@@ -229,20 +229,38 @@ _TAKEN = [(m * i + c) % 16 for m, c, at in ((1, 0, 0), (5, 1, 16), (3, 5, 32), (
 _BEGIN = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
 
 
-def _md5_blocks(block: np.ndarray) -> np.ndarray:
-    """MD5 digests of messages of one block each: ``block`` is 16 little-endian words by messages, the result messages by 4."""
-    a, b, c, d = (np.full(block.shape[1], x, np.uint32) for x in _BEGIN)
+def _md5_blocks(block: list[np.ndarray | None], shape: tuple[int, ...]) -> np.ndarray:
+    """MD5 digests of messages of one block each: ``block`` has its 16 little-endian words (arrays that broadcast to
+    ``shape``, or none where a word is zero in all), the result four words a message."""
+    a, b, c, d = (np.full(shape, x, np.uint32) for x in _BEGIN)
+    f = np.empty(shape, np.uint32)
     for i in range(64):
-        f = d ^ (b & (c ^ d)) if i < 16 else c ^ (d & (b ^ c)) if i < 32 else b ^ c ^ d if i < 48 else c ^ (b | ~d)
+        if i < 16:
+            np.bitwise_xor(c, d, out=f)
+            f &= b
+            f ^= d
+        elif i < 32:
+            np.bitwise_xor(b, c, out=f)
+            f &= d
+            f ^= c
+        elif i < 48:
+            np.bitwise_xor(b, c, out=f)
+            f ^= d
+        else:
+            np.invert(d, out=f)
+            f |= b
+            f ^= c
         f += a
-        f += block[_TAKEN[i]]
+        if (word := block[_TAKEN[i]]) is not None:
+            f += word
         f += np.uint32(_SINES[i])
-        turned = f << np.uint32(_TURNS[i])
+        # the first word is not needed any more: its memory takes the new one
+        np.left_shift(f, np.uint32(_TURNS[i]), out=a)
         f >>= np.uint32(32 - _TURNS[i])
-        turned |= f
-        turned += b
-        a, b, c, d = d, turned, b, c
-    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), _BEGIN, strict=True)], axis=1)
+        a |= f
+        a += b
+        a, b, c, d = d, a, b, c
+    return np.stack([x + np.uint32(y) for x, y in zip((a, b, c, d), _BEGIN, strict=True)], axis=-1)
 
 
 #: Tokens whose digests are made at once: 10 240 messages, so that all stays in the cache.
@@ -257,14 +275,18 @@ def word_vectors(tokens: list[str], prefix: str = "hv") -> np.ndarray:
     short.sort(key=lambda i: len(begun[i]))
     for at in range(0, len(short), HASHED):
         some = short[at : at + HASHED]
-        one = np.frombuffer(b"".join(begun[i].ljust(64, b"\0") for i in some), np.uint8).reshape(-1, 1, 64)
-        block, sizes = np.repeat(one, places, axis=1), np.array([len(begun[i]) for i in some])
+        one = np.frombuffer(b"".join(begun[i].ljust(56, b"\0") for i in some), np.uint8).reshape(-1, 56)
+        sizes = np.array([len(begun[i]) for i in some])
+        # only the words that hold digits differ from place to place
+        low, high = int(sizes[0]) // 4, (int(sizes[-1]) + 2) // 4 + 1
+        ends = np.repeat(one[:, None, 4 * low : 4 * high], places, axis=1)
         for n in np.unique(sizes).tolist():
             a, b = np.searchsorted(sizes, [n, n + 1])
-            block[a:b, :, n : n + 3] = _ENDS
-            block[a:b, :, 56:58] = ((n + _DIGITS) * 8).astype("<u2")[:, None].view(np.uint8)
-        words = np.ascontiguousarray(block.reshape(-1, 64).view("<u4").T)
-        out[some] = _md5_blocks(words).view(">u8").reshape(len(some), WORDS)
+            ends[a:b, :, n - 4 * low : n - 4 * low + 3] = _ENDS
+        block = [np.ascontiguousarray(w)[:, None] for w in one.view("<u4")[:, :low].T]
+        block += [np.ascontiguousarray(ends.view("<u4")[..., k]) for k in range(high - low)]
+        block += [None] * (14 - high) + [((sizes[:, None] + _DIGITS) * 8).astype(np.uint32), None]
+        out[some] = _md5_blocks(block, (len(some), places)).view(">u8").reshape(len(some), WORDS)
     for i in set(range(len(tokens))).difference(short):
         out[i] = word_vector(tokens[i], prefix)
     return out
@@ -319,6 +341,34 @@ def _adder() -> Adder:
     return Adder(word_vectors)
 
 
+#: Bits of a character in the number that stands for a run of at most ``NUMBERED`` of them.
+CHARACTER, NUMBERED = 21, 3
+
+
+def _run_counts(text: str, n: int) -> tuple[list, np.ndarray]:
+    """:func:`_runs` with short runs as numbers: the different ones, and how often each stands."""
+    if not 1 <= n <= NUMBERED or len(text) < n:
+        runs = _runs(text, n)
+        return list(runs), np.array(list(runs.values()), np.int64)
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+    numbers = codes[: len(codes) - n + 1]
+    for k in range(1, n):
+        numbers = numbers << CHARACTER | codes[k : len(codes) - n + 1 + k]
+    runs, times = np.unique(numbers, return_counts=True)
+    return runs.tolist(), times
+
+
+def _run_vectors(runs: list, n: int) -> np.ndarray:
+    if n > NUMBERED:
+        return word_vectors(runs)
+    return word_vectors(["".join(chr(r >> CHARACTER * k & (1 << CHARACTER) - 1) for k in reversed(range(n))) for r in runs])
+
+
+@lru_cache(maxsize=1)
+def _run_adder(n: int) -> Adder:
+    return Adder(lambda runs: _run_vectors(runs, n))
+
+
 def encode_texts(texts: list[str], stride: int = 1, ngrams: int | None = None, code_aware: bool = False, lowercase: bool = True) -> np.ndarray:
     """:func:`encode_text` of many texts, one row each."""
     if len(texts) > TEXTS:
@@ -328,10 +378,12 @@ def encode_texts(texts: list[str], stride: int = 1, ngrams: int | None = None, c
     own = majorities(adder.sums(((i, t, 1) for i, t in enumerate(tokens)), len(texts), stride), n)
     if not ngrams:
         return own
-    runs = [_runs(t.lower() if lowercase else t, ngrams) if words else Counter() for t, words in zip(texts, tokens, strict=True)]
-    # a run that stands c times is added once for each bit of c, by its weight
-    lists = ((i, [r for r, c in own_.items() if c >> k & 1], 1 << k) for i, own_ in enumerate(runs) for k in range(max(own_.values(), default=0).bit_length()))
-    return own & majorities(adder.sums(lists, len(texts)), np.array([r.total() for r in runs], np.int64))
+    runs = _run_adder(ngrams)
+    for i, text in enumerate(texts):
+        if n[i]:
+            names, times = _run_counts(text.lower() if lowercase else text, ngrams)
+            own[i] &= majorities(runs.weighed(names, times)[None], times.sum(keepdims=True))[0]
+    return own
 
 
 def encoder(stride: int = 1, ngrams: int | None = None, code_aware: bool = False) -> Callable[[Column], Column]:

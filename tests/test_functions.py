@@ -169,6 +169,25 @@ def test_vectors_of_many_tokens_and_a_full_table():
     assert (hv.majorities(sums, np.full(len(texts), 400)) == alone).all()
 
 
+def test_new_vectors_are_made_together_and_runs_are_added_by_weight():
+    import numpy as np
+
+    from tesserine.functions import hypervector as hv
+    from tesserine.functions import text as tx
+
+    made = []
+    adder = hv.Adder(lambda names: made.append(len(names)) or tx.word_vectors(names))
+    adder.sums(((j, [f"{j}-{i}" for i in range(63)], 1) for j in range(40)), 40, 1)
+    assert made == [40 * 63]
+
+    for text in ("", "ab", "aaaa", "é ü é日本日本 𝄞𝄞𝄞", "abcab" * 300, "".join(chr(0x100 + i * i % 4000) for i in range(3000))):
+        for n in (1, 2, 3, 4):
+            runs, times = tx._run_counts(text, n)
+            assert sorted(times.tolist()) == sorted(tx._runs(text, n).values())
+            sums = hv.Adder(lambda some, n=n: tx._run_vectors(some, n)).weighed(runs, times)
+            assert (hv.majorities(sums[None], times.sum(keepdims=True))[0] == tx.ngram_vector(text, n)).all()
+
+
 def test_overlap_ratio_makes_the_document_once(spark):
     """Not again for each token of the query."""
     from pyspark.sql import functions as F
