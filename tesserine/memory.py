@@ -122,11 +122,12 @@ class Memory:
         fill = {"namespace": F.lit(self.namespace), "created_at": F.lit(self.now).cast("long"), "modified_at": F.lit(self.now).cast("long"), "canonical_concept_ids": F.array().cast("array<string>")}
         if "expires_at" not in rows.columns:
             fill["expires_at"] = F.lit(None).cast("long")
-        full = tables.cut(rows.withColumns({k: v for k, v in fill.items() if k not in rows.columns}).select(*self.SCHEMAS["concepts"].fieldNames()))
-        old = self.table("versions")
-        new = full.select("namespace", F.col("id").alias("concept_id"), "vector", "metadata", "modified_at")
-        self.metrics.add("concepts_injected", full.count())
-        return self._commit([("versions", lifecycle.next_version(old, new), False), ("concepts", full, False)], self._upserted(full))
+        whole = rows.withColumns({k: v for k, v in fill.items() if k not in rows.columns}).select(*self.SCHEMAS["concepts"].fieldNames())
+        with tables.passing(whole) as full:
+            old = self.table("versions")
+            new = full.select("namespace", F.col("id").alias("concept_id"), "vector", "metadata", "modified_at")
+            self.metrics.add("concepts_injected", full.count())
+            return self._commit([("versions", lifecycle.next_version(old, new), False), ("concepts", full, False)], self._upserted(full))
 
     def inject(self, id_: str, vector: list[int], metadata: dict | None = None, ttl: int | None = None) -> int:
         row = self.spark.createDataFrame([(id_, _words(vector), json.dumps(metadata or {}, sort_keys=True))], "id string, vector array<long>, metadata string")

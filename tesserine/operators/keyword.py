@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import Words, counted
 from ..sources.schemas import check_k
-from ..sources.tables import load_json, names, put_json
+from ..sources.tables import load_json, names, put_json, remove
 from .kept import kept
 
 K1, B = 1.2, 0.75
@@ -157,7 +156,7 @@ class Segments:
         parts = []
         for i, (name, _) in enumerate(segments):
             rows, later = self._table(name, kind), segments[i + 1 :]
-            if kind == "lengths":  # a segment that was built has the words beside them
+            if kind == "lengths":  # segments of earlier versions have the words beside them
                 rows = rows.select("id", "dl")
             if later:
                 gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in later])
@@ -166,22 +165,24 @@ class Segments:
             parts.append(rows)
         return reduce(DataFrame.unionByName, parts)
 
-    def _write(self, postings: Callable[[DataFrame], DataFrame], lengths: DataFrame, gone: DataFrame, rows: int | None = None) -> list:
-        """A segment; its postings are made from its lengths as they were written, to be sorted by as many tasks as ``rows`` needs."""
-        name = uuid.uuid4().hex
+    def _write(self, name: str, postings: DataFrame, lengths: DataFrame, gone: DataFrame, rows: int) -> list:
+        """A segment; its postings are sorted by as many tasks as their number, ``rows``, needs."""
         lengths.write.parquet(f"{self.folder}/{name}/lengths")
-        lengths = self._table(name, "lengths")
-        n = rows if rows is not None else lengths.agg(F.sum(F.size("words"))).first()[0] or 0
-        postings(lengths).repartitionByRange(_parts(n), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}/postings")
+        postings.repartitionByRange(_parts(rows), "term", "id").sortWithinPartitions("term", "id").write.parquet(f"{self.folder}/{name}/postings")
         gone.distinct().write.parquet(f"{self.folder}/{name}/gone")
         return [name, self._table(name, "gone").count()]
 
     def _built(self, docs: DataFrame, tokens: Column | Words, gone: DataFrame | None) -> tuple[list, int, int]:
-        """A segment of some documents, how many they are, and their words. Its texts are read once."""
-        listed = counted(docs, tokens)
+        """A segment of some documents, how many they are, and their words. Its texts are read once: the words counted
+        are written, and removed when the segment is there."""
+        name = uuid.uuid4().hex
+        counted(docs, tokens).write.parquet(f"{self.folder}/{name}/words")
+        words = self._table(name, "words")
+        sums = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
         # the length travels with each word, so that postings need no join
-        segment = self._write(lambda made: made.select("id", "dl", F.inline("words")).select("term", "id", "tf", "dl"), listed, gone if gone is not None else docs.select("id"))
-        sums = self._table(segment[0], "lengths").agg(F.count(F.lit(1)), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        postings = words.select("id", "dl", F.inline("words")).select("term", "id", "tf", "dl")
+        segment = self._write(name, postings, words.select("id", "dl"), gone if gone is not None else words.select("id"), sums[2])
+        remove(self.spark, f"{self.folder}/{name}/words")
         return segment, sums[0], sums[1]
 
     def refresh(self, revision: int, docs: DataFrame, tokens: Column | Words, changed: DataFrame | None = None) -> Bm25:
@@ -212,7 +213,7 @@ class Segments:
         some = segments[1:] if small else segments
         gone = reduce(DataFrame.unionByName, [self._table(n, "gone") for n, _ in some])
         postings = self._live(some, "postings")
-        made = self._write(lambda _: postings, self._live(some, "lengths"), gone, sum(self._table(n, "postings").count() for n, _ in some))
+        made = self._write(uuid.uuid4().hex, postings, self._live(some, "lengths"), gone, sum(self._table(n, "postings").count() for n, _ in some))
         return [segments[0], made] if small else [made]
 
     def view(self, state: dict | None = None) -> Bm25:

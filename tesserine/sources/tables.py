@@ -6,7 +6,8 @@ import json
 import tempfile
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -29,10 +30,29 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder and read back."""
+    return _step(df)[0]
+
+
+@contextmanager
+def passing(df: DataFrame) -> Iterator[DataFrame]:
+    """:func:`cut` for as long as a block runs; what is read from it must have been written by then."""
+    rows, path = _step(df)
+    try:
+        yield rows
+    finally:
+        remove(df.sparkSession, path)
+
+
+def _step(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
 
 
 def _fs(spark: SparkSession, path: str):  # noqa: ANN202
@@ -135,8 +155,8 @@ class Store:
 
     The latest row of a key wins, and a tombstone removes it. Which row that is, is found from keys and commit numbers of the
     logs alone: wide columns are only read where they count, and never shuffled. ``tidy`` merges logs when there are many of
-    them, and writes a new base, clustered by key, when they hold a share of it. What went before is left to running readers
-    until ``vacuum``.
+    them, and writes a new base, clustered by key, when they hold a share of it. A large first log is the base as it stands.
+    What went before is left to running readers until ``vacuum``.
 
     Rows for the change feed appear as ``events/commit=<n>``, also by a rename, after their commit counts. If a writer is
     lost in between, the next commit (or :meth:`release`) does it.
@@ -203,8 +223,8 @@ class Store:
         for table, folder, upto, rows, kind in record.get("merged", []):
             old = state["tables"][table]
             after = [x for x in old["logs"] if x[1] > upto]
-            if kind == "base":
-                state["tables"][table] = {"base": [folder, rows, upto], "logs": after}
+            if kind != "log":  # a base that was a log is marked: it is not clustered
+                state["tables"][table] = {"base": [folder, rows, upto, *(["adopted"] if kind == "adopted" else [])], "logs": after}
             else:
                 state["tables"][table] = {**old, "logs": [[folder, upto, rows], *after]}
         for table in record.get("touched", []):
@@ -344,9 +364,9 @@ class Store:
 
     def _merge(self, table: str, schema: T.StructType, keys: list[str], state: dict, kind: str) -> int:
         own = state["tables"].get(table)
-        if own is None or not own["logs"]:
+        if own is None or not (own["logs"] or own["base"][3:]):
             return state["n"]
-        upto = own["logs"][-1][1]
+        upto = own["logs"][-1][1] if own["logs"] else own["base"][2]
         if kind == "base":
             rows = self.read(table, schema, keys, state).withColumn("_deleted", F.lit(False))
             bytes_ = sum(self._bytes(f"{table}/{f}") for f in [*([own["base"][0]] if own["base"] else []), *(x[0] for x in own["logs"])])
@@ -361,6 +381,17 @@ class Store:
         same = lambda now: now["tables"].get(table, {}).get("base") == own["base"] and [x[0] for x in now["tables"][table]["logs"]][: len(there)] == there
         return self.publish({"merged": [[table, folder, upto, n, kind]]}, needs=same)
 
+    def _adopt(self, table: str, schema: T.StructType, log: list) -> None:
+        """Make the only log the base, without a copy; one that holds tombstones stays a log."""
+        folder, upto, n = log
+        if not self._scan(table, [folder], schema).where("_deleted").isEmpty():
+            return
+        alone = lambda now: (t := now["tables"].get(table, {})).get("base", folder) is None and t["logs"][0][0] == folder
+        try:
+            self.publish({"merged": [[table, folder, upto, n, "adopted"]]}, needs=alone)
+        except ConcurrentWrite:
+            pass
+
     def compact(self, table: str, schema: T.StructType, keys: list[str]) -> int:
         """Write the current view as the new base. Writes that go on meanwhile stay on top of it."""
         return self._merge(table, schema, keys, self.state(), "base")
@@ -370,6 +401,8 @@ class Store:
         state = self.state()
         own = state["tables"].get(table, {"base": None, "logs": []})
         rows, base = sum(n for _, _, n in own["logs"]), own["base"][1] if own["base"] else 0
+        if own["base"] is None and len(own["logs"]) == 1 and rows > self.BROADCAST_ROWS:
+            return self._adopt(table, schema, own["logs"][0])
         if len(own["logs"]) < 2 or (len(own["logs"]) < self.MOST_LOGS and rows <= self.BROADCAST_ROWS):
             return
         try:

@@ -51,3 +51,48 @@ def test_many_rows_of_which_few_are_outdone(spark, tmp_path, monkeypatch):
         assert base[1] == 103 and len(list((tmp_path / "t" / base[0]).glob("part-*.parquet"))) > 8
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_large_first_log_is_the_base_without_a_copy(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "BROADCAST_ROWS", 30)
+    store, own = Store(spark, str(tmp_path)), lambda: store.state()["tables"]["t"]
+    store.upsert("t", rows(spark, range(100), "old"), KEYS)
+    first, since = own()["logs"][0][0], store.revision("t")
+    store.tidy("t", SCHEMA, KEYS)
+    assert own()["base"][:2] == [first, 100] and not own()["logs"]
+    store.upsert("t", rows(spark, range(90, 105), "new"), KEYS)
+    store.tidy("t", SCHEMA, KEYS)
+    store.delete("t", spark.createDataFrame([("a", 1), ("a", 95)], "ns string, id long"))
+    store.tidy("t", SCHEMA, KEYS)
+    assert own()["base"][0] == first and len(list((tmp_path / "t").iterdir())) == 3
+    got = {r.id: r.text for r in store.read("t", SCHEMA, KEYS).collect()}
+    assert len(got) == 103 and got[89] == "old 89" and got[90] == "new 90" and 1 not in got and 95 not in got
+    assert sorted(r.id for r in store.changed("t", SCHEMA, KEYS, since, store.state()).collect()) == [1, *range(90, 105)]
+    store.compact("t", SCHEMA, KEYS)
+    assert own()["base"][0] != first and own()["base"][1:2] == [103] and not own()["base"][3:]
+    # tombstones are no base
+    store.delete("u", spark.createDataFrame([("a", i) for i in range(40)], "ns string, id long"))
+    store.tidy("u", SCHEMA, KEYS)
+    assert store.state()["tables"]["u"]["base"] is None
+
+
+def test_an_adopted_base_can_be_clustered(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Store, "BROADCAST_ROWS", 30)
+    store = Store(spark, str(tmp_path))
+    store.upsert("t", rows(spark, range(100), "old"), KEYS)
+    store.tidy("t", SCHEMA, KEYS)
+    store.compact("t", SCHEMA, KEYS)
+    assert store.state()["tables"]["t"]["base"][1:2] == [100] and not store.state()["tables"]["t"]["base"][3:] and store.read("t", SCHEMA, KEYS).count() == 100
+
+
+def test_writes_and_an_index_leave_no_copy_of_texts_behind(spark, tmp_path):
+    from tesserine.memory import Memory
+    from tesserine.sources import tables
+
+    steps = lambda: set(tables.names(spark, f"{tables.checkpoint_dir(spark)}/steps"))
+    before, m = steps(), Memory(spark, str(tmp_path / "store"), now=1)
+    m.upsert(spark.createDataFrame([("a", [1], '{"searchable_text": "red fox"}'), ("b", [2], '{"searchable_text": "red hen"}')], "id string, vector array<long>, metadata string"))
+    assert steps() == before
+    assert {r.id for r in m.text_index().scores(["fox"]).collect()} == {"a"}
+    kinds = {p.name: spark.read.parquet(str(p)).columns for p in (tmp_path / "store").rglob("*") if p.name in ("lengths", "postings", "words") and p.is_dir()}
+    assert sorted(kinds) == ["lengths", "postings"] and kinds["lengths"] == ["id", "dl"]
